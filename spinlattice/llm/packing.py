@@ -144,9 +144,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
         import pandas as pd
         from pyspark import TaskContext
 
-        from .word_tokens import TextEncoder
+        from .word_tokens import encoder
 
-        encoder = TextEncoder(tokenizer)
+        encode_all = encoder(tokenizer).ids
         packer = Packer(sentence_ends(tokenizer), size, TaskContext.get().partitionId() << 40)
         tail = int(end_id).to_bytes(4, "little")
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
             rows: list = []
             texts = [None if pd.isna(t) else t for t in pdf["t"]]
             for k in range(0, len(texts), 512):
-                for key_, raw in zip(pdf["k"].iloc[k : k + 512], encoder.ids(texts[k : k + 512]), strict=True):
+                for key_, raw in zip(pdf["k"].iloc[k : k + 512], encode_all(texts[k : k + 512]), strict=True):
                     rows += packer.add(None if pd.isna(key_) else int(key_), np.frombuffer(raw + tail, "<u4"))
             if rows:
                 yield frame(rows)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -267,11 +268,17 @@ class PieceScan:
         return last
 
 
+@lru_cache(maxsize=4)
+def scan_of(path: str) -> PieceScan:
+    """One scan a Python worker, kept from task to task."""
+    return PieceScan(path)
+
+
 def _chunks(scan_path: str, size: int):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = PieceScan(scan_path)
+        scan = scan_of(scan_path)
         for pdf in batches:
             for rid, t in zip(pdf["rid"], pdf["t"], strict=True):
                 s = scan.sp.normalize(t)
@@ -292,7 +299,7 @@ def _matrices(scan_path: str):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = PieceScan(scan_path)
+        scan = scan_of(scan_path)
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
@@ -325,7 +332,7 @@ def _pieces(scan_path: str):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = PieceScan(scan_path)
+        scan = scan_of(scan_path)
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
@@ -372,7 +379,7 @@ def _small_keyed(model: str):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = PieceScan(model)
+        scan = scan_of(model)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
@@ -387,7 +394,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = PieceScan(model)
+        scan = scan_of(model)
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]

@@ -43,17 +43,18 @@ def pack(ids: np.ndarray) -> bytes:
     n = len(ids)
     blocks = -(-n // BLOCK)
     limit = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    # reach[s][i]: the first place from i on whose id is too wide for selector s
-    places = np.arange(n)
+    # the word that would start at each place: the widest packing whose ids all fit
     step, kind = np.ones(n, np.int64), np.full(n, ESCAPE, np.uint64)
-    done = np.zeros(n, bool)
-    end_of = np.minimum((places // BLOCK + 1) * BLOCK, n)
-    for s, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True)):
-        wide = np.where(ids >> np.uint64(bits) > 0, places, n)
-        first = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = ~done & (np.minimum(first, end_of) - places >= count)
-        step[fits], kind[fits] = count, s
-        done |= fits
+    narrow, widest = np.arange(n), int(ids.max()) if n else 0
+    for s in reversed(range(len(COUNTS))):
+        count, bits = COUNTS[s], BITS[s]
+        if widest >> bits:
+            narrow = narrow[ids[narrow] >> np.uint64(bits) == 0]
+        if len(narrow) < count:
+            break
+        first = narrow[: len(narrow) - count + 1]
+        fits = (narrow[count - 1 :] - first == count - 1) & (first // BLOCK == (first + count - 1) // BLOCK)
+        step[first[fits]], kind[first[fits]] = count, s
     at, live = np.arange(blocks) * BLOCK, np.arange(blocks)
     rows_block, rows_at = [], []
     while len(live):
@@ -126,14 +127,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         import pandas as pd
         from pyspark import TaskContext
 
-        from .word_tokens import TextEncoder
+        from .word_tokens import encoder
 
-        encoder, shard, start, segment = TextEncoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode_all, shard, start, segment = encoder(tokenizer).ids, TaskContext.get().partitionId(), 0, 0
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
-                raw = [x + tail for x in encoder.ids([None if pd.isna(t) else t for t in part["t"]])]
+                raw = [x + tail for x in encode_all([None if pd.isna(t) else t for t in part["t"]])]
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 row = {"shard": shard, "segment": segment, "start": start, "n_ids": len(ids)}
                 row |= {"doc_ids": [None if pd.isna(i) else int(i) for i in part["k"]], "doc_lengths": [len(x) // 4 for x in raw], "payload": pack(ids)}
@@ -173,7 +174,7 @@ def _decode(spark: SparkSession, path: str, schema: str, with_ids: bool) -> Data
     # a row for each shard, however large the shards: the number of output partitions
     totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return rows.join(before, "shard").select("before", "start", "doc_ids", "doc_lengths", "payload").mapInPandas(decode, schema)
+    return rows.join(F.broadcast(before), "shard").select("before", "start", "doc_ids", "doc_lengths", "payload").mapInPandas(decode, schema)
 
 
 def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,12 @@ class RankMerger:
         return out
 
 
+@lru_cache(maxsize=4)
+def merger_of(path: str) -> RankMerger:
+    """One merger a Python worker, kept from task to task."""
+    return RankMerger(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of whole texts; one map over the rows, no shuffle.
 
@@ -116,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        merger = RankMerger(tokenizer)
+        merger = merger_of(tokenizer)
         for pdf in batches:
             texts = [None if pd.isna(t) else t for t in pdf["t"]]
             n = merger.count(texts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,49 +34,88 @@ def splits_at_space(spec: dict) -> bool:
 
 
 class TextEncoder:
-    """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes.
+    """``ids(texts)`` gives each text's little-endian unsigned 32-bit ids as bytes.
 
-    ``max_words`` bounds the memory of the word cache; when it is full it starts anew,
-    which changes speed and never results.
+    Where white space separates tokens, a word's ids are looked up. A new word of Latin letters is
+    lower-cased and cut by the file's own pattern, and the library encodes only pre-tokens
+    not seen before; other new words go to the library whole. ``max_words`` bounds the memory of
+    each cache; a full one starts anew, which changes speed and never results.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 700_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
+            spec = json.load(f)
+        self.by_word = splits_at_space(spec)
         self.cache: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.max_words = max_words
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.cut, self.mark = None, b""
+        if self.by_word and kinds == ["NFC", "Replace", "Lowercase"]:
+            parts = spec["pre_tokenizer"]["pretokenizers"]
+            self.cut = regex.compile(f"(?:{parts[0]['pattern']['Regex']})| ").findall
+            # the same model behind what is left of the pre-tokenizer, for pre-tokens
+            bare = spec | {"normalizer": None, "pre_tokenizer": parts[1], "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+            self.mark = os.path.commonprefix(self.special) or b"\0"
+
+    @staticmethod
+    def _encode(tokenizer, parts: list[str]) -> list[bytes]:
+        got = tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+        ends = (4 * np.cumsum(np.bincount(of, minlength=len(parts)))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, new: list[bytes]) -> None:
         """Encode words not yet known, a few thousand a call."""
-        if len(self.cache) + len(new) > self.max_words:
-            self.cache.clear()
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            ends = 4 * np.cumsum(np.bincount(of, minlength=len(part)))
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.cache[w] = raw[at:end]
-                at = end
+        pieces, cache, mark = self.pieces, self.cache, self.mark
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            # UTF-8 up to U+023F: such characters are their own NFC forms and lower-case one by one
+            plain = [w for w in part if (w.isascii() or max(w) < 0xC9) and mark not in w] if self.cut else []
+            other = part if not plain else list(set(part).difference(plain)) if len(plain) < len(part) else []
+            if plain:
+                found = self.cut(b" ".join(plain).decode().lower() + " ")  # a space ends each word
+                needed = set(found)
+                if len(pieces) + len(needed) > self.max_words:
+                    pieces.clear()
+                pieces[" "] = b""
+                if todo := list(needed.difference(pieces)):
+                    pieces.update(zip(todo, self._encode(self.bare, todo), strict=True))
+                each = [pieces[x] for x in found]
+                ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+                ends = ends[np.fromiter((x == " " for x in found), bool, len(found))].tolist()
+                raw = b"".join(each)
+                cache.update(zip(plain, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            if other:
+                self.cache.update(zip(other, self._encode(self.tokenizer, [w.decode() for w in other]), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             got = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in got]
         out = []
-        for k in range(0, len(texts), 64):  # so that the words of one call fit in the cache
-            split = [(t or "").encode().split() for t in texts[k : k + 64]]
-            if new := list(set().union(*split).difference(self.cache)):
-                before = len(self.cache)
-                self.learn(new)
-                if len(self.cache) < before + len(new) and (lost := list(set().union(*split).difference(self.cache))):
-                    kept, self.max_words = self.max_words, len(self.cache) + len(lost) + self.max_words
-                    self.learn(lost)
-                    self.max_words = kept
-            get = self.cache.__getitem__
+        for k in range(0, len(texts), 256):
+            split = [(t or "").encode().split() for t in texts[k : k + 256]]
+            cache = self.cache
+            new = {w for ws in split for w in ws if w not in cache}
+            if len(cache) + len(new) > self.max_words:  # start anew, with all that is needed now
+                cache.clear()
+                new = set().union(*split)
+            if new:
+                self.learn(list(new))
+            get = cache.__getitem__
             out += [b"".join(map(get, w)) for w in split]
         return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> TextEncoder:
+    """One encoder a Python worker, kept from task to task."""
+    return TextEncoder(path)
