@@ -61,9 +61,23 @@ class TextEncoder:
             # the same model behind what is left of the pre-tokenizer, for pre-tokens
             bare = spec | {"normalizer": None, "pre_tokenizer": parts[1], "added_tokens": []}
             self.bare = Tokenizer.from_str(json.dumps(bare))
+            suffix = spec["model"].get("end_of_word_suffix")
+            vocab = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            if suffix:  # every pre-token's last id, and no other, carries the suffix
+                self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
             self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
             self.mark = os.path.commonprefix(self.special) or b"\0"
 
+    def _encode_pieces(self, parts: list[str]) -> list[bytes]:
+        """As _encode() for pre-tokens; their borders show in the ids."""
+        ids = np.array(self.bare.encode(parts, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        if len(ends) != len(parts):
+            return self._encode(self.bare, parts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     @staticmethod
     def _encode(tokenizer, parts: list[str]) -> list[bytes]:
         got = tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
@@ -87,7 +101,7 @@ class TextEncoder:
                     pieces.clear()
                 pieces[" "] = b""
                 if todo := list(needed.difference(pieces)):
-                    pieces.update(zip(todo, self._encode(self.bare, todo), strict=True))
+                    pieces.update(zip(todo, self._encode_pieces(todo), strict=True))
                 each = [pieces[x] for x in found]
                 ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
                 ends = ends[np.fromiter((x == " " for x in found), bool, len(found))].tolist()
