@@ -62,7 +62,7 @@ def score_seed(library: DataFrame, seeds: DataFrame, rules: keys.Rules = keys.Ru
 
 def generate_playlist(library: DataFrame, seeds: DataFrame, n: int = 10, rules: keys.Rules = keys.Rules()) -> DataFrame:
     """Seed first, then the n - 1 best positive totals; ties by id."""
-    w = Window.partitionBy("seed_id").orderBy(c("total").desc(), "track_id")
+    w = Window.partitionBy("seed_id").orderBy(F.round("total", 9).desc(), "track_id")  # equal but for rounding noise is a tie
     best = score_seed(library, seeds, rules).where("total > 0").withColumn("place", F.row_number().over(w)).where(c("place") < n)
     first = seeds.select(c("track_id").alias("seed_id"), "track_id", F.lit(0).alias("place"), F.lit(None).cast("double").alias("total"))
     return best.select("seed_id", "track_id", "place", "total").unionByName(first)
