@@ -12,6 +12,7 @@ key space is cut into ranges, and each range's parts of the runs meet in a k-way
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -118,10 +119,11 @@ def records(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: s
 
 
 def write_warc(pages: DataFrame, path: str, **names) -> None:
-    """Write archives to ``path``; files hold about FILE_BYTES (at least a record)."""
+    """Write gzip-compressed archives to ``path``; files hold about FILE_BYTES before compression (at
+    least a record). Offsets in the index are those of the uncompressed archive."""
     mean = pages.agg(F.avg(F.octet_length(names.get("payload", "html")))).first()[0] or 0
     each = max(1, int(FILE_BYTES // (mean + 600)))
-    records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 CAPTURE = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
@@ -165,7 +167,8 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
         for pdf in batches:
             for row in pdf.itertuples():
-                rows = sorted(parse(row.content, row.path.rsplit("/", 1)[-1]))
+                content = gzip.decompress(row.content) if row.content[:2] == b"\x1f\x8b" else row.content
+                rows = sorted(parse(content, row.path.rsplit("/", 1)[-1]))
                 out = pd.DataFrame(rows, columns=_FIELDS)
                 out.insert(0, "place", range(len(rows)))
                 yield out
