@@ -81,7 +81,8 @@ def links(distinct: DataFrame) -> DataFrame:
     left = base.select(F.col("fp").alias("a"), F.col("c.chain").alias("chain"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("bits"))
     right = base.select(F.col("fp").alias("b"), "c.chain", F.col("fp").bitwiseAND(F.col("c.mask")).alias("at"), F.explode("c.flips").alias("flip"))
     right = right.select("b", "chain", F.col("at").bitwiseXOR(F.col("flip")).alias("bits"))
-    pairs = left.join(right, ["chain", "bits"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
+    # sizes before the explosion say nothing about those behind it: never broadcast by estimate
+    pairs = left.hint("merge").join(right, ["chain", "bits"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
