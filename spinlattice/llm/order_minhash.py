@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, table, words
+from .common import let, range_bounds, range_bucket, table, words
 
 K = 5
 COMPONENTS = 64
@@ -68,10 +68,9 @@ def fingerprint_columns(df: DataFrame, text: str, name: str) -> DataFrame:
 
     digits = lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
     found = F.map_from_arrays(F.transform(b, lambda j: F.shiftrightunsigned(F.get(F.col(s), j), 58)), F.transform(b, lambda j: digits(component(j))))
-    m = f"_{name}_m"
-    df = df.select(*keep, found.alias(m), F.size(b).alias(b))
-    every = F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.coalesce(F.try_element_at(F.col(m), i.cast("long")), F.lit(EMPTY)))
-    text_ = F.when(F.col(b) == 0, F.lit(EMPTY * COMPONENTS)).otherwise(F.array_join(every, ""))
+    # bound by let(): inlined into the lambda, the map would be built again for every component
+    every = let(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("long")), F.lit(EMPTY))))
+    text_ = F.when(F.size(b) == 0, F.lit(EMPTY * COMPONENTS)).otherwise(F.array_join(every, ""))
     return df.select(*keep, text_.alias(name))
 
 
