@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, max_words: int = 300_000, max_pairs: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 700_000, max_pairs: int = 2_000_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,6 +53,7 @@ class PieceScan:
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids))
+        self.lengths = [*map(len, self.text)]
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_fallback = sp.is_byte(self.bytes[0])
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -128,12 +130,13 @@ class PieceScan:
 
     def trace(self, last: list, at: int, end: int) -> list[int]:
         """Pieces from ``at`` to ``end``, backwards along ``last``."""
-        out = []
+        out, lengths, size = [], self.lengths, self.size
         while end > at:
             i = last[end]
             out.append(i)
-            end -= len(self.piece(i))
-        return out[::-1]
+            end -= lengths[i] if i < size else 1
+        out.reverse()
+        return out
 
     def learn(self, new: list[str]) -> None:
         """Paths of short words, all words of a length at once; longer ones singly."""
@@ -176,12 +179,12 @@ class PieceScan:
         """Little-endian unsigned 32-bit ids, characters without a piece as bytes or unknown."""
         if max(ids, default=0) >= self.size:
             ids = [x for i in ids for x in ([i] if i < self.size else [self.bytes[b] for b in chr(i - self.size).encode()] if self.byte_fallback else [self.sp.unk_id()])]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), 64):
-            split = [self.cut(self.sp.normalize(t)) for t in texts[k : k + 64]]
+        for k in range(0, len(texts), 1024):
+            split = [self.cut(self.sp.normalize(t)) for t in texts[k : k + 1024]]
             every = set().union(*split)
             if new := every.difference(self.cache):
                 self.learn([*new])
@@ -381,8 +384,8 @@ def _small_keyed(model: str):
 
         scan = scan_of(model)
         for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
+            for k in range(0, len(pdf), 1024):
+                part = pdf.iloc[k : k + 1024]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": scan.encode(part["t"].tolist())})
 
     return run
