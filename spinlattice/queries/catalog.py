@@ -102,8 +102,8 @@ MODAL = "SELECT track_id, key_camelot, n, best, row_number() OVER (PARTITION BY
 CONS = f"""SELECT o.track_id, o.source_count, m.key_camelot, coalesce(m.n, 0) AS agreeing, round(o.bpm, 6) AS bpm, len(list_filter(o.l, lambda x: abs(x - o.bpm) <= 1)) AS bpm_agreeing,
 CASE WHEN o.keyed <= 1 THEN 'single' WHEN o.dk = 1 THEN 'agreed' ELSE 'contested' END AS status FROM (SELECT *, list_sort(l)[len(l) // 2 + 1] AS bpm FROM (SELECT track_id, count(*) AS source_count, count(key_camelot) AS keyed, count(DISTINCT key_camelot) AS dk, coalesce(list(bpm) FILTER (WHERE bpm IS NOT NULL), []) AS l FROM v_opinions GROUP BY track_id) a) o
 LEFT JOIN ({MODAL}) m ON m.track_id = o.track_id AND m.rn = 1"""
-CCOLS = ["track_id", "source_count", "key_camelot", "agreeing", r6(c("bpm")).alias("bpm"), "bpm_agreeing", "status"]
-query("e01_consensus", CONS)(lambda v: consensus.consensus(v("v_opinions")).select(*CCOLS))
+CCOLS = lambda: ["track_id", "source_count", "key_camelot", "agreeing", r6(c("bpm")).alias("bpm"), "bpm_agreeing", "status"]
+query("e01_consensus", CONS)(lambda v: consensus.consensus(v("v_opinions")).select(*CCOLS()))
 query("d09_consensus_batch", f"SELECT t.track_id, coalesce(x.source_count, 0) AS source_count, x.key_camelot, coalesce(x.status, 'unknown') AS status FROM v_tracks t LEFT JOIN ({CONS}) x ON x.track_id = t.track_id")(lambda v: consensus.consensus_for(v("v_tracks"), v("v_opinions")).select("track_id", "source_count", "key_camelot", "status"))
 query("d10_apply_proposals", "SELECT track_id, CASE WHEN track_id % 3 = 0 AND track_id % 2 = 0 THEN concat('new ', CAST(track_id AS STRING)) ELSE title END AS title, CASE WHEN track_id % 3 = 0 THEN 'fixed' ELSE artist END AS artist FROM v_tracks")(
     lambda v: catalog.update_columns(v("v_tracks"), v("v_tracks").where("track_id % 3 = 0").select("track_id", F.when(c("track_id") % 2 == 0, F.concat(F.lit("new "), "track_id")).alias("title"), F.lit("fixed").alias("artist")), ["title", "artist"]).select("track_id", "title", "artist")

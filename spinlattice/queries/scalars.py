@@ -48,9 +48,9 @@ PARTNERS = f"SELECT t.track_id, concat(CAST((t.n - 1 + o.k) % 12 + 1 AS STRING),
 query("c08_compatible_positions", PARTNERS)(lambda v: v("v_tracks").where("key_camelot is not null").select("track_id", F.explode(keys.compatible_positions(c("key_camelot"))).alias("partner")))
 
 REL = "CASE WHEN d IS NULL THEN 'unknown' WHEN d = 0 AND same THEN 'same-key' WHEN d = 0 THEN 'mood-shift' WHEN NOT same THEN 'bridge-needed' WHEN d IN (1, 11) THEN 'neighbor' WHEN d = 2 THEN 'energy-boost' WHEN d = 10 THEN 'energy-drop' ELSE 'tension' END"
-rel = keys.relation(c("ak"), c("bk"))
+rel = lambda: keys.relation(c("ak"), c("bk"))  # noqa: E731  no Column is made before there is a session
 query("c09_relationship", f"SELECT playlist_id, position, rel, CASE rel WHEN 'same-key' THEN 'Same key' WHEN 'neighbor' THEN 'Neighbor move' WHEN 'mood-shift' THEN 'Mood shift' WHEN 'energy-boost' THEN 'Energy boost' WHEN 'energy-drop' THEN 'Energy drop' WHEN 'tension' THEN 'Tension jump' WHEN 'bridge-needed' THEN 'Bridge needed' ELSE 'Unknown' END AS label FROM (SELECT *, {REL} AS rel FROM v_moves) x")(
-    lambda v: v("v_pairs").select(*PAIR, rel.alias("rel")).withColumn("label", keys.relation_label(c("rel")))
+    lambda v: v("v_pairs").select(*PAIR, rel().alias("rel")).withColumn("label", keys.relation_label(c("rel")))
 )
 POS = "CASE WHEN d IS NULL THEN NULL WHEN d = 0 AND same THEN 'same' WHEN d = 0 THEN 'mood_shift' WHEN NOT same THEN 'incompatible' WHEN d = 1 THEN 'plus_one' WHEN d = 11 THEN 'minus_one' WHEN d = 2 THEN 'plus_two' WHEN d = 10 THEN 'minus_two' ELSE 'incompatible' END"
 query("c10_position_relation", f"SELECT playlist_id, position, {POS} AS pos FROM v_moves")(lambda v: v("v_pairs").select(*PAIR, keys.position(c("ak"), c("bk")).alias("pos")))
@@ -64,7 +64,7 @@ RISK = f"CASE WHEN {REL} IN ('same-key', 'neighbor', 'mood-shift') THEN 'low' WH
 @query("c12_transition_score", f"SELECT playlist_id, position, {SCORE} AS score, {RISK} AS risk, round(delta, 6) AS delta_pct FROM v_moves")
 def _(v):
     d = keys.delta_percent(c("abpm"), c("bbpm"))
-    return v("v_pairs").select(*PAIR, keys.transition_score(rel, d).alias("score"), keys.relation_risk(rel).alias("risk"), r6(d).alias("delta_pct"))
+    return v("v_pairs").select(*PAIR, keys.transition_score(rel(), d).alias("score"), keys.relation_risk(rel()).alias("risk"), r6(d).alias("delta_pct"))
 
 
 query("c13_compatibility_strength", "SELECT playlist_id, position, coalesce((same AND d IN (0, 1, 2, 10, 11)) OR (NOT same AND d = 0), false) AS ok, CASE WHEN d IS NULL THEN 0 WHEN d = 0 AND same THEN 3 WHEN d = 0 THEN 2 WHEN same AND d IN (1, 11) THEN 2 WHEN same AND d IN (2, 10) THEN 1 ELSE 0 END AS strength FROM v_moves")(
@@ -82,7 +82,7 @@ DIFF = "(pt - tt + 12) % 12"
 MIREX = f"CASE WHEN pt = tt AND pm = tm THEN 1.0 WHEN pm = tm AND {DIFF} IN (5, 7) THEN 0.5 WHEN tm AND NOT pm AND {DIFF} = 9 THEN 0.3 WHEN NOT tm AND pm AND {DIFF} = 3 THEN 0.3 WHEN pt = tt AND pm <> tm THEN 0.2 ELSE 0.0 END"
 ERR = f"CASE WHEN pt = tt AND pm = tm THEN 'correct' WHEN pt = tt THEN 'parallel' WHEN (tm AND NOT pm AND {DIFF} = 9) OR (NOT tm AND pm AND {DIFF} = 3) THEN 'relative' WHEN pm = tm AND {DIFF} IN (5, 7) THEN 'fifth' WHEN {DIFF} IN (1, 11) THEN 'semitone' ELSE 'other' END"
 BOTH = "tt IS NOT NULL AND pt IS NOT NULL"
-mir = scoring.mirex(c("pt"), c("pm"), c("tt"), c("tm"))
+mir = lambda: scoring.mirex(c("pt"), c("pm"), c("tt"), c("tm"))
 
 
 def scored(v):
@@ -92,9 +92,9 @@ def scored(v):
     return p.select("*", keys.tonic(t).alias("tt"), keys.is_major(t).alias("tm"), keys.tonic(q).alias("pt"), keys.is_major(q).alias("pm"))
 
 
-query("c15_mirex", f"SELECT track_id, CAST({MIREX} AS DOUBLE) AS mirex FROM v_scored WHERE {BOTH}")(lambda v: scored(v).where(BOTH).select("track_id", mir.alias("mirex")))
+query("c15_mirex", f"SELECT track_id, CAST({MIREX} AS DOUBLE) AS mirex FROM v_scored WHERE {BOTH}")(lambda v: scored(v).where(BOTH).select("track_id", mir().alias("mirex")))
 query("c16_error_class", f"SELECT track_id, {ERR} AS error FROM v_scored WHERE {BOTH}")(lambda v: scored(v).where(BOTH).select("track_id", scoring.error_class(c("pt"), c("pm"), c("tt"), c("tm")).alias("error")))
-query("c17_compatible_flag", f"SELECT track_id, {MIREX} > 0 AS compatible FROM v_scored WHERE {BOTH}")(lambda v: scored(v).where(BOTH).select("track_id", (mir > 0).alias("compatible")))
+query("c17_compatible_flag", f"SELECT track_id, {MIREX} > 0 AS compatible FROM v_scored WHERE {BOTH}")(lambda v: scored(v).where(BOTH).select("track_id", (mir() > 0).alias("compatible")))
 _e = lambda m: f"(pred_bpm * {m} - truth_bpm)"
 query("c18_bpm_agreement", f"SELECT track_id, abs({_e('1.0')}) <= 1 AS raw, abs({_e('0.5')}) <= 1 OR abs({_e('1.0')}) <= 1 OR abs({_e('2.0')}) <= 1 AS octave, round(CASE WHEN abs({_e('0.5')}) <= abs({_e('1.0')}) AND abs({_e('0.5')}) <= abs({_e('2.0')}) THEN {_e('0.5')} WHEN abs({_e('1.0')}) <= abs({_e('2.0')}) THEN {_e('1.0')} ELSE {_e('2.0')} END, 6) AS error, round(pred_bpm / truth_bpm, 6) AS ratio FROM (SELECT track_id, CAST(pred_bpm AS DOUBLE) AS pred_bpm, CAST(truth_bpm AS DOUBLE) AS truth_bpm FROM v_predictions) p WHERE pred_bpm IS NOT NULL AND truth_bpm IS NOT NULL")(
     lambda v: v("v_predictions").where("pred_bpm is not null and truth_bpm is not null").select("track_id", scoring.within_one(c("pred_bpm"), c("truth_bpm"), False).alias("raw"), scoring.within_one(c("pred_bpm"), c("truth_bpm"), True).alias("octave"), r6(scoring.best_octave_error(c("pred_bpm"), c("truth_bpm"))).alias("error"), r6(scoring.bpm_ratio(c("pred_bpm"), c("truth_bpm"))).alias("ratio"))
