@@ -11,6 +11,9 @@ import numpy as np
 #: Set before the library is imported in a task: its own threads would compete with Spark's.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Bytes of UTF-8 up to U+023F: such characters are their own NFC forms and lower-case one by one.
+_OWN_FORMS = bytes(range(0xC9))
+
 #: The end-of-document id that the packing and binary outputs append.
 END_ID = 2
 
@@ -38,11 +41,12 @@ class TextEncoder:
 
     Where white space separates tokens, a word's ids are looked up. A new word of Latin letters is
     lower-cased and cut by the file's own pattern, and the library encodes only pre-tokens
-    not seen before; other new words go to the library whole. ``max_words`` bounds the memory of
-    each cache; a full one starts anew, which changes speed and never results.
+    not seen before; other new words go to the library whole. A cache has two generations of at
+    most ``max_words`` (or one batch's) words: a full young one becomes the old one, from which words in use
+    return. That bounds memory and changes speed, never results.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 220_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -52,6 +56,8 @@ class TextEncoder:
         self.by_word = splits_at_space(spec)
         self.cache: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_cache: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.max_words = max_words
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.cut, self.mark = None, b""
@@ -71,7 +77,7 @@ class TextEncoder:
 
     def _encode_pieces(self, parts: list[str]) -> list[bytes]:
         """As _encode() for pre-tokens; their borders show in the ids."""
-        ids = np.array(self.bare.encode(parts, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.bare.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
         if len(ends) != len(parts):
             return self._encode(self.bare, parts)
@@ -88,19 +94,27 @@ class TextEncoder:
 
     def learn(self, new: list[bytes]) -> None:
         """Encode words not yet known, a few thousand a call."""
-        pieces, cache, mark = self.pieces, self.cache, self.mark
+        cache, mark = self.cache, self.mark
         for k in range(0, len(new), 8192):
             part = new[k : k + 8192]
-            # UTF-8 up to U+023F: such characters are their own NFC forms and lower-case one by one
-            plain = [w for w in part if (w.isascii() or max(w) < 0xC9) and mark not in w] if self.cut else []
-            other = part if not plain else list(set(part).difference(plain)) if len(plain) < len(part) else []
+            blob = b" ".join(part)
+            if self.cut and mark not in blob and not blob.translate(None, _OWN_FORMS):
+                plain, other = part, []
+            else:
+                plain = [w for w in part if mark not in w and not w.translate(None, _OWN_FORMS)] if self.cut else []
+                other = list(set(part).difference(plain))
+                blob = b" ".join(plain)
             if plain:
-                found = self.cut(b" ".join(plain).decode().lower() + " ")  # a space ends each word
+                found = self.cut(blob.decode().lower() + " ")  # a space ends each word
                 needed = set(found)
-                if len(pieces) + len(needed) > self.max_words:
-                    pieces.clear()
+                if len(self.pieces) + len(needed) > self.max_words:
+                    self.old_pieces, self.pieces = self.pieces, {}
+                pieces = self.pieces
                 pieces[" "] = b""
-                if todo := list(needed.difference(pieces)):
+                todo = needed.difference(pieces)
+                again = self.old_pieces.keys() & todo
+                pieces.update(zip(again, map(self.old_pieces.__getitem__, again), strict=True))
+                if todo := list(todo - again):
                     pieces.update(zip(todo, self._encode_pieces(todo), strict=True))
                 each = [pieces[x] for x in found]
                 ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
@@ -117,14 +131,16 @@ class TextEncoder:
         out = []
         for k in range(0, len(texts), 256):
             split = [(t or "").encode().split() for t in texts[k : k + 256]]
-            cache = self.cache
-            new = {w for ws in split for w in ws if w not in cache}
-            if len(cache) + len(new) > self.max_words:  # start anew, with all that is needed now
-                cache.clear()
-                new = set().union(*split)
-            if new:
-                self.learn(list(new))
-            get = cache.__getitem__
+            needed = set().union(*split)
+            new = needed.difference(self.cache)
+            if len(self.cache) + len(new) > self.max_words:
+                self.old_cache, self.cache = self.cache, {}
+                new = needed
+            again = self.old_cache.keys() & new
+            self.cache.update(zip(again, map(self.old_cache.__getitem__, again), strict=True))
+            if new := list(new - again):
+                self.learn(new)
+            get = self.cache.__getitem__
             out += [b"".join(map(get, w)) for w in split]
         return out
 
