@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +119,9 @@ class Packer:
         return out
 
 
+@lru_cache(maxsize=4)
 def sentence_ends(tokenizer_path: str) -> np.ndarray:
-    """For every id, whether it is end-of-sentence punctuation."""
+    """For every id, whether it is end-of-sentence punctuation; read once a Python worker."""
     import re
 
     from tokenizers import Tokenizer
