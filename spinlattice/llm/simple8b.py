@@ -44,17 +44,23 @@ def pack(ids: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     limit = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
     # the word that would start at each place: the widest packing whose ids all fit
-    step, kind = np.ones(n, np.int64), np.full(n, ESCAPE, np.uint64)
-    narrow, widest = np.arange(n), int(ids.max()) if n else 0
+    step, kind = np.ones(n, np.int32), np.full(n, ESCAPE, np.uint8)
+    narrow, widest = np.arange(n, dtype=np.int32), int(ids.max()) if n else 0
+    room = np.minimum(BLOCK - (narrow & BLOCK - 1), n - narrow)  # ids left in the block
+    small = ids.astype(np.uint32) if widest < 1 << 32 else ids
     for s in reversed(range(len(COUNTS))):
         count, bits = COUNTS[s], BITS[s]
         if widest >> bits:
-            narrow = narrow[ids[narrow] >> np.uint64(bits) == 0]
+            narrow = narrow[small[narrow] < 1 << bits]
         if len(narrow) < count:
             break
-        first = narrow[: len(narrow) - count + 1]
-        fits = (narrow[count - 1 :] - first == count - 1) & (first // BLOCK == (first + count - 1) // BLOCK)
-        step[first[fits]], kind[first[fits]] = count, s
+        if len(narrow) == n:
+            first = np.flatnonzero(room >= count)
+        else:
+            first = narrow[: len(narrow) - count + 1]
+            first = first[narrow[count - 1 :] - first == count - 1]
+            first = first[room[first] >= count]
+        step[first], kind[first] = count, s
     at, live = np.arange(blocks) * BLOCK, np.arange(blocks)
     rows_block, rows_at = [], []
     while len(live):
@@ -67,12 +73,15 @@ def pack(ids: np.ndarray) -> bytes:
     start = np.concatenate(rows_at) if rows_at else np.zeros(0, np.int64)
     order = np.argsort(start, kind="stable")  # block order and place order are the same
     block, start = block[order], start[order]
-    sel = kind[start] if n else np.zeros(0, np.uint64)
-    word = sel << np.uint64(60)
+    sel = kind[start] if n else np.zeros(0, np.uint8)
+    word = sel.astype(np.uint64) << np.uint64(60)
     for s, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True)):
         rows = np.flatnonzero(sel == s)
-        for k in range(count if len(rows) else 0):
-            word[rows] |= ids[start[rows] + k] << np.uint64(k * bits)
+        if len(rows):
+            first, packed = start[rows], word[rows]
+            for k in range(count):
+                packed |= ids[first + k] << np.uint64(k * bits)
+            word[rows] = packed
     rows = np.flatnonzero(sel == ESCAPE)
     word[rows] |= np.arange(len(rows), dtype=np.uint64)
     escapes = ids[start[rows]] if n else np.zeros(0, np.uint64)
