@@ -58,7 +58,10 @@ def cut_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
 def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[list, list]:
     n = len(stream)
     sentence = np.flatnonzero(ends_sentence[np.minimum(stream, len(ends_sentence) - 1)]) + 1
-    places = np.unique(np.concatenate([[0], np.arange(STRIDE, n, STRIDE), sentence, doc_ends, [n]]))
+    marked = np.zeros(n + 1, bool)
+    marked[::STRIDE] = True
+    marked[sentence] = marked[doc_ends] = marked[n] = True
+    places = np.flatnonzero(marked)
     cost = np.full(len(places), INSIDE)
     cost[np.searchsorted(places, sentence)] = SENTENCE
     cost[np.searchsorted(places, doc_ends)] = 0
