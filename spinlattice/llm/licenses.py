@@ -3,8 +3,9 @@
 Texts are cut into overlapping windows of eight words at every word. A window's four five-word
 shingles give 16 MinHash values, each a band of its own (one row a band), so two
 windows of shingle similarity s meet with probability 1 - (1 - s)**16: 0.99 at a quarter, over
-1 - 1e-11 at 0.8. Templates are a parameter of checked size; their band keys are literals of
-the scan, so a window is tested where it is made and only retrieved ones leave the task.
+1 - 1e-11 at 0.8. Templates are a parameter of checked size; their shingles are literals of the scan, their band keys the small side of
+the retrieval. A band value is the hash of a shingle, so windows that share no shingle with any
+template are left out where they are made, without loss, and only the others' bands are joined.
 A template is reported where the text holds at least 0.8 of its distinct shingles.
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, materialize, table
 
 K = 5
 SHINGLES = 4
@@ -56,19 +57,24 @@ def _windows(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     rows = hashed.where(F.size("_w") >= K).select(*keep, zipped.alias("_z")).select(*keep, F.inline("_z"))
     rows = rows.toDF(*keep, *(f"w{k}" for k in range(n))).where(F.col(f"w{K - 1}").isNotNull())
     shingle = lambda j: F.xxhash64(*(F.col(f"w{j + k}") for k in range(K)))
-    return rows.select(*keep, *((F.when(F.col(f"w{j + K - 1}").isNotNull(), shingle(j)) if j else shingle(0)).alias(f"s{j}") for j in range(SHINGLES)))
+    each = ((F.when(F.col(f"w{j + K - 1}").isNotNull(), shingle(j)) if j else shingle(0)).alias(f"s{j}") for j in range(SHINGLES))
+    # a generator keeps filters on s0.. from being rewritten to hash the words again for each use
+    return rows.select(*keep, F.inline(F.array(F.struct(*each))))
 
 
-def _band(k: int) -> Column:
-    """MinHash value k of a window: the least of its shingles' hashes under seed k."""
-    return F.least(*(F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(F.col(f"s{j}"), F.lit(k))) for j in range(SHINGLES)))
+def _bands() -> Column:
+    """k, b of every band of a window: the least of its shingles' hashes under seed k. Small code that runs
+    on few windows, in place of large generated methods."""
+    shingles = F.array(*(f"s{j}" for j in range(SHINGLES)))
+    least = lambda k: F.array_min(F.transform(shingles, lambda s: F.when(s.isNotNull(), F.xxhash64(s, k))))
+    return F.transform(F.array(*map(F.lit, range(BANDS))), lambda k: F.struct(k.alias("k"), least(k).alias("b")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """name, s0.., and the bands b0.. of every template window."""
     given = spark.createDataFrame([*templates.items()], "name string, body string")
     every = _windows(given, ["name"], "body")
-    return every.select("name", *(f"s{j}" for j in range(SHINGLES)), *(_band(k).alias(f"b{k}") for k in range(BANDS)))
+    return every.select("name", *(f"s{j}" for j in range(SHINGLES)), *(_bands()[k]["b"].alias(f"b{k}") for k in range(BANDS)))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,15 +102,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
 def _hits(docs: DataFrame, known: list, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     windows = _windows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")), ["doc_id"], "body")
-    bands = windows.select("doc_id", "s0", *(_band(k).alias(f"b{k}") for k in range(BANDS)))
     among = lambda c, values: F.expr(f"{c} in ({', '.join(f'{v}L' for v in sorted(values))})")
-    met = reduce(lambda a, b: a | b, (among(f"b{k}", {r[f"b{k}"] for r in known}) for k in range(BANDS)))
     shingles = {(r["name"], r[f"s{j}"]) for r in known for j in range(SHINGLES) if r[f"s{j}"] is not None}
-    held = among("s0", {s for _, s in shingles})
-    few = bands.where(met | held).select("doc_id", "s0", held.alias("held"), F.when(met, F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("b")) for k in range(BANDS)))).alias("bands"))
+    held = lambda j: F.coalesce(among(f"s{j}", {s for _, s in shingles}), F.lit(False))
+    # a band is the hash of one of its window's shingles: windows without a template's shingle meet no band
+    touched = windows.where(reduce(lambda a, b: a | b, map(held, range(SHINGLES))))
+    few = materialize(touched.select("doc_id", "s0", held(0).alias("held"), _bands().alias("bands")), "license-windows")
     band_names = spark.createDataFrame(sorted({(r["name"], k, r[f"b{k}"]) for r in known for k in range(BANDS)}), "name string, k int, b long")
     shingle_names = spark.createDataFrame(sorted(shingles), "name string, s0 long")
-    retrieved = few.where("bands is not null").select("doc_id", F.inline("bands")).join(F.broadcast(band_names), ["k", "b"]).select("doc_id", "name")
+    retrieved = few.select("doc_id", F.inline("bands")).join(F.broadcast(band_names), ["k", "b"]).select("doc_id", "name")
     exact = few.where("held").select("doc_id", "s0").join(F.broadcast(shingle_names), "s0").select("doc_id", "name", "s0")
     both = retrieved.select("doc_id", "name", F.lit(None).cast("long").alias("s0")).unionByName(exact).distinct()
     total = spark.createDataFrame([(n, sum(m == n for m, _ in shingles)) for n in sorted({n for n, _ in shingles})], "name string, total long")
