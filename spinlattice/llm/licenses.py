@@ -3,42 +3,30 @@
 Texts are cut into overlapping windows of eight words at every word. A window's four five-word
 shingles give 16 MinHash values, each a band of its own (one row a band), so two
 windows of shingle similarity s meet with probability 1 - (1 - s)**16: 0.99 at a quarter, over
-1 - 1e-11 at 0.8. Templates are a parameter of checked size; their shingles are literals of the scan, their band keys the small side of
-the retrieval. A band value is the hash of a shingle, so windows that share no shingle with any
+1 - 1e-11 at 0.8. A template of fewer shingles than a window also meets document windows of its own
+length, so that an exact short notice has similarity 1 and always meets. Templates are a parameter of
+checked size; their shingles are literals of the scan, their band keys the small side of the retrieval. A band value is the hash of a shingle, so windows that share no shingle with any
 template are left out where they are made, without loss, and only the others' bands are joined.
 A template is reported where the text holds at least 0.8 of its distinct shingles.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, table
+from .license_templates import TEMPLATES
 
 K = 5
 SHINGLES = 4
 BANDS = 16
 CONTAINMENT = 0.8
 #: Literals that a scan may carry; larger template sets are scanned in several passes.
-MOST_WINDOWS = 4000
-
-# fixed values: public license notices
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
+MOST_WINDOWS = 40_000
 
 
 def _words(text: Column) -> Column:
@@ -62,19 +50,26 @@ def _windows(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(F.struct(*each))))
 
 
-def _bands() -> Column:
-    """k, b of every band of a window: the least of its shingles' hashes under seed k. Small code that runs
-    on few windows, in place of large generated methods."""
-    shingles = F.array(*(f"s{j}" for j in range(SHINGLES)))
+def _bands(n: int = SHINGLES) -> Column:
+    """k, b of every band of a window's first n shingles: the least of their hashes under seed k. Small code that
+    runs on few windows, in place of large generated methods."""
+    shingles = F.array(*(f"s{j}" for j in range(n)))
     least = lambda k: F.array_min(F.transform(shingles, lambda s: F.when(s.isNotNull(), F.xxhash64(s, k))))
     return F.transform(F.array(*map(F.lit, range(BANDS))), lambda k: F.struct(k.alias("k"), least(k).alias("b")))
 
 
+def _own_bands(short: dict[int, set[int]], among) -> Column:
+    """The bands of whole windows, and of windows as long as the templates of few shingles (``short``: their
+    shingles by number) where the first shingle is one of theirs."""
+    none = F.expr("array()").cast("array<struct<k:int,b:bigint>>")
+    own = (F.when(among("s0", held), _bands(n)).otherwise(none) for n, held in sorted(short.items()))
+    return F.array_distinct(F.concat(_bands(), *own)) if short else _bands()
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """name, s0.., and the bands b0.. of every template window."""
-    given = spark.createDataFrame([*templates.items()], "name string, body string")
-    every = _windows(given, ["name"], "body")
-    return every.select("name", *(f"s{j}" for j in range(SHINGLES)), *(_bands()[k]["b"].alias(f"b{k}") for k in range(BANDS)))
+    """name, s0 and bands (k, b) of every template window."""
+    given = spark.createDataFrame([*templates.items()], "name string, body string").repartition(8)
+    return materialize(_windows(given, ["name"], "body").select("name", "s0", _bands().alias("bands")), "license-templates")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,37 +78,43 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     A row for each distinct key. Null and empty texts have none; texts of fewer than five
     words hold no shingle and match nothing; repeated keys are one document; no rows give no rows."""
     spark = docs.sparkSession
-    names = [*(templates or TEMPLATES).items()]
-    known = template_table(spark, dict(names)).collect()  # the parameter's own windows, not corpus data
-    parts, size = [[]], 0
-    for name, _ in names:
-        own = [r for r in known if r["name"] == name]
+    given = templates or TEMPLATES
+    known = template_table(spark, given)
+    shingles: dict[str, list[int]] = {}  # the parameter's own, not corpus data; one at each window's start
+    for r in known.select("name", "s0").collect():
+        shingles.setdefault(r["name"], []).append(r["s0"])
+    parts, size = [{}], 0
+    for name in given:
+        own = shingles.get(name, [])
         if size + len(own) > MOST_WINDOWS and parts[-1]:
-            parts.append([])
+            parts.append({})
             size = 0
-        parts[-1] += own
+        parts[-1][name] = own
         size += len(own)
-    hits = reduce(DataFrame.unionByName, (_hits(docs, p, key, text) for p in parts))
+    hits = reduce(DataFrame.unionByName, (_hits(docs, known.where(F.col("name").isin(*p)) if len(parts) > 1 else known, p, key, text) for p in parts))
     ids = docs.select(F.col(key).alias("doc_id")).distinct()
-    told = hits.groupBy("doc_id").agg(F.count("*").alias("n_licenses"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.format_string("%.3f", "share")))), ",").alias("licenses"))
+    told = hits.groupBy("doc_id").agg(F.count("*").alias("n_licenses"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "share"))), lambda x: F.concat_ws(":", x["name"], F.format_string("%.3f", x["share"]))), ",").alias("licenses"))
     return ids.join(told, ids["doc_id"].eqNullSafe(told["doc_id"]), "left").select(ids["doc_id"], F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
-def _hits(docs: DataFrame, known: list, key: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
+def _hits(docs: DataFrame, known: DataFrame, shingles: dict[str, list[int]], key: str, text: str) -> DataFrame:
     windows = _windows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")), ["doc_id"], "body")
-    among = lambda c, values: F.expr(f"{c} in ({', '.join(f'{v}L' for v in sorted(values))})")
-    shingles = {(r["name"], r[f"s{j}"]) for r in known for j in range(SHINGLES) if r[f"s{j}"] is not None}
-    held = lambda j: F.coalesce(among(f"s{j}", {s for _, s in shingles}), F.lit(False))
+    among = lambda c, values: F.expr(f"{c} in ({', '.join(f'{v}L' for v in sorted(values)) or 'null'})")
+    every = {s for own in shingles.values() for s in own}
+    held = lambda j: F.coalesce(among(f"s{j}", every), F.lit(False))
     # a band is the hash of one of its window's shingles: windows without a template's shingle meet no band
     touched = windows.where(reduce(lambda a, b: a | b, map(held, range(SHINGLES))))
-    few = materialize(touched.select("doc_id", "s0", held(0).alias("held"), _bands().alias("bands")), "license-windows")
-    band_names = spark.createDataFrame(sorted({(r["name"], k, r[f"b{k}"]) for r in known for k in range(BANDS)}), "name string, k int, b long")
-    shingle_names = spark.createDataFrame(sorted(shingles), "name string, s0 long")
+    short: dict[int, set[int]] = {}
+    for own in shingles.values():
+        if 0 < len(own) < SHINGLES:
+            short.setdefault(len(own), set()).update(own)
+    few = materialize(touched.select("doc_id", "s0", held(0).alias("held"), _own_bands(short, among).alias("bands")), "license-windows")
+    band_names = known.select("name", F.inline("bands")).distinct()
+    shingle_names = known.select("name", "s0").distinct()
     retrieved = few.select("doc_id", F.inline("bands")).join(F.broadcast(band_names), ["k", "b"]).select("doc_id", "name")
     exact = few.where("held").select("doc_id", "s0").join(F.broadcast(shingle_names), "s0").select("doc_id", "name", "s0")
     both = retrieved.select("doc_id", "name", F.lit(None).cast("long").alias("s0")).unionByName(exact).distinct()
-    total = spark.createDataFrame([(n, sum(m == n for m, _ in shingles)) for n in sorted({n for n, _ in shingles})], "name string, total long")
+    total = shingle_names.groupBy("name").agg(F.count("*").alias("total"))
     counted = both.groupBy("doc_id", "name").agg(F.count("s0").alias("n"), F.count_if(F.col("s0").isNull()).alias("met"))
     share = F.col("n") / F.col("total")
     return counted.where("met > 0").join(F.broadcast(total), "name").select("doc_id", "name", share.alias("share")).where(F.col("share") >= CONTAINMENT)

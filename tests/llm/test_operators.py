@@ -528,3 +528,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("abcdefghijklmnop" not in t for t in last.values())
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == set(last)
+
+
+def test_license_notices_of_the_table_and_short_windows(spark):
+    from spinlattice.llm.licenses import scan_licenses
+
+    given = {
+        1: ("Some prose goes here. Licensed under CC BY-NC 4.0. And more prose follows it.", ["cc-by-nc-4.0-notice"]),
+        2: ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0-notice"]),
+        3: ("a GNU Affero General Public License, version 3 work", ["agpl-3.0-title"]),
+        4: ("the GNU Lesser General Public License, version 2.1, of", ["lgpl-2.1-title"]),
+        5: ("under the GNU General Public License, version 2.", ["gpl-2.0-title"]),
+        6: ('x THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', ["mit-disclaimer"]),
+        7: ("Licensed under nothing at all, since no license was given here.", []),
+    }
+    got = rows_of(scan_licenses(spark.createDataFrame([(d, t) for d, (t, _) in given.items()], "doc_id long, text string")))
+    assert {d: [x.split(":")[0] for x in got[d]["licenses"].split(",") if x] for d in given} == {d: w for d, (_, w) in given.items()}
+
+
+def test_short_license_notices_always_meet(spark):
+    """One-shingle templates in the midst of other words: no window of four shingles is more than a quarter like them."""
+    from spinlattice.llm.licenses import scan_licenses
+
+    # 200 notices: by bands of whole windows alone some of them would meet nothing
+    templates = {f"n{i:03d}": f"notice{i} of{i} five{i} words{i} only{i}" for i in range(200)}
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} {t} e{i} f{i} g{i} h{i}") for i, t in enumerate(templates.values())], "doc_id long, text string")
+    got = rows_of(scan_licenses(docs, templates))
+    assert [got[i]["licenses"] for i in range(200)] == [f"n{i:03d}:1.000" for i in range(200)]
