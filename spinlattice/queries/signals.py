@@ -76,14 +76,24 @@ GRID = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER
 BEATS = f"SELECT track_id, source, CAST(beat AS INT) AS beat, first_beat_ms + beat * (60000.0 / bpm) AS ms, CAST(floor((beat - downbeat_offset_beats) / CAST(meter_numerator AS DOUBLE)) AS INT) AS bar, CAST((beat - downbeat_offset_beats + meter_numerator) % meter_numerator AS INT) AS beat_in_bar FROM (SELECT *, unnest(range(0, CAST(floor((60000 - first_beat_ms) / (60000.0 / bpm)) AS BIGINT) + 1)) AS beat FROM ({GRID}) g) h"
 
 
-def beats(v):
+def beats(v, some="true"):
     from ..operators.catalog import newest
 
-    grid = newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")]).where("track_id % 20 = 0")
+    grid = newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")]).where(some)
     return sg.expand_grid(grid, F.lit(60000))
 
 
-query("i24_beat_grid", f"SELECT track_id, source, beat, round(ms, 6) AS ms, bar, beat_in_bar, beat_in_bar = 0 AS is_downbeat FROM ({BEATS}) b")(lambda v: beats(v).withColumn("ms", r6(c("ms"))))
+def in_force(v, some="true"):
+    tempos = v("v_beat_grids").where(some).groupBy("track_id", (c("first_beat_ms").cast("double") * 40).alias("start_ms")).agg(F.max("bpm").alias("bpm"))
+    return sg.tempo_in_force(beats(v, some), tempos).select("track_id", "beat", r6(c("bpm")).alias("bpm"))
+
+
+#: The tracks that the SQL of i24_beat_grid and d13_tempo_in_force keeps; their _all forms expand every active grid.
+SOME = "track_id % 20 = 0"
+
+
+query("i24_beat_grid", f"SELECT track_id, source, beat, round(ms, 6) AS ms, bar, beat_in_bar, beat_in_bar = 0 AS is_downbeat FROM ({BEATS}) b")(lambda v: beats(v, SOME).withColumn("ms", r6(c("ms"))))
+query("i24_beat_grid_all")(lambda v: beats(v).withColumn("ms", r6(c("ms"))))
 on_beats = lambda v: onset(v).where("frame % 12 = 0").select("track_id", (c("frame") / 12).cast("int").alias("beat"), "frame")
 query("i25_snap_beats", f"SELECT b.track_id, CAST(b.frame / 12 AS INT) AS beat, coalesce((SELECT o.frame FROM ({O}) o WHERE o.track_id = b.track_id AND o.frame BETWEEN b.frame - 3 AND b.frame + 3 AND o.onset > 0 ORDER BY o.onset DESC, o.frame LIMIT 1), b.frame) AS frame FROM ({O}) b WHERE b.frame % 12 = 0")(lambda v: sg.snap(on_beats(v), onset(v)))
 query("d12_beat_onset_window", f"SELECT b.track_id, b.frame AS at, max(o.onset) AS top FROM ({O}) b JOIN ({O}) o ON o.track_id = b.track_id AND o.frame BETWEEN b.frame - 3 AND b.frame + 3 WHERE b.frame % 12 = 0 GROUP BY 1, 2")(
@@ -98,6 +108,5 @@ query("i30_waveform", f"SELECT track_id, col AS \"column\", round(low / t, 6) AS
 query("i31_feature_matrix")(lambda v: sg.feature_matrix(chroma(v), "c12", 40))
 query("i32_augment")(lambda v: sg.augment(chroma(v).withColumn("label", (c("track_id") % 24).cast("int")), "c12", [-1, 1]))
 MAP = "SELECT track_id, CAST(first_beat_ms AS DOUBLE) * 40 AS start_ms, bpm FROM v_beat_grids WHERE track_id % 20 = 0"
-query("d13_tempo_in_force", f"SELECT b.track_id, b.beat, round((SELECT m.bpm FROM (SELECT track_id, start_ms, max(bpm) AS bpm FROM ({MAP}) q GROUP BY 1, 2) m WHERE m.track_id = b.track_id AND m.start_ms <= b.ms ORDER BY m.start_ms DESC LIMIT 1), 6) AS bpm FROM ({BEATS}) b")(
-    lambda v: sg.tempo_in_force(beats(v), v("v_beat_grids").where("track_id % 20 = 0").groupBy("track_id", (c("first_beat_ms").cast("double") * 40).alias("start_ms")).agg(F.max("bpm").alias("bpm"))).select("track_id", "beat", r6(c("bpm")).alias("bpm"))
-)
+query("d13_tempo_in_force", f"SELECT b.track_id, b.beat, round((SELECT m.bpm FROM (SELECT track_id, start_ms, max(bpm) AS bpm FROM ({MAP}) q GROUP BY 1, 2) m WHERE m.track_id = b.track_id AND m.start_ms <= b.ms ORDER BY m.start_ms DESC LIMIT 1), 6) AS bpm FROM ({BEATS}) b")(lambda v: in_force(v, SOME))
+query("d13_tempo_in_force_all")(in_force)
