@@ -71,6 +71,10 @@ SELECT l_partkey AS track_id, CASE l_suppkey % 3 WHEN 0 THEN 'engine' WHEN 1 THE
 """,
     "v_setlist": """
 SELECT p.playlist_id AS set_id, p.position, t.artist, concat(upper(t.filename), ' (Live!)') AS title FROM v_playlist_tracks p JOIN v_tracks t ON t.track_id = p.track_id WHERE p.playlist_id % 50 = 0
+""",
+    # the same of every playlist; v_setlist is the queries of the fuzzy search
+    "v_setlist_all": """
+SELECT p.playlist_id AS set_id, p.position, t.artist, concat(upper(t.filename), ' (Live!)') AS title FROM v_playlist_tracks p JOIN v_tracks t ON t.track_id = p.track_id
 """,
     "v_progress": """
 SELECT ts, user_id AS worker_id, event_id AS track_id, event_type = 'error' AS failed, CAST(floor(value * 10) AS BIGINT) AS elapsed_ms FROM events

@@ -1,5 +1,7 @@
 """Catalog, harmony, consensus, evaluation and set-list queries (A, B, D to H, L)."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -145,15 +147,27 @@ query("e13_status_counts", f"SELECT status, count(*) AS n FROM ({STATUS}) x GROU
 LINES = "SELECT s.set_id, s.position, s.position % 5 <> 4 AS matched, CASE WHEN s.position % 5 <> 4 THEN t.key_camelot END AS key_camelot, CASE WHEN s.position % 5 <> 4 THEN t.bpm END AS bpm, CASE WHEN s.position % 5 <> 4 THEN t.energy_level END AS energy_level FROM v_setlist s JOIN v_playlist_tracks p ON p.playlist_id = s.set_id AND p.position = s.position JOIN v_tracks t ON t.track_id = p.track_id"
 
 
-def lines(v):
+ALL = lambda sql: re.sub(r"\bv_setlist\b", "v_setlist_all", sql)
+
+
+def lines(v, some="true"):
     hit = c("position") % 5 != 4
-    own = v("v_playlist_tracks").where("playlist_id % 50 = 0").join(v("v_tracks"), "track_id")
+    own = v("v_playlist_tracks").where(some).join(v("v_tracks"), "track_id")
     return own.select(c("playlist_id").alias("set_id"), "position", hit.alias("matched"), *(F.when(hit, c(x)).alias(x) for x in ("key_camelot", "bpm", "energy_level")))
 
 
-query("e15_setlist_summary", f"SELECT set_id, count(*) AS total, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS unmatched, coalesce(string_agg(key_camelot, '>' ORDER BY position), '') AS key_flow, min(bpm) AS bpm_min, max(bpm) AS bpm_max, coalesce(string_agg(CAST(energy_level AS STRING), '>' ORDER BY position), '') AS energy_arc FROM ({LINES}) x GROUP BY set_id")(
-    lambda v: sets.set_summary(lines(v)).withColumn("key_flow", F.array_join("key_flow", ">")).withColumn("energy_arc", F.array_join(F.transform("energy_arc", lambda x: x.cast("string")), ">"))
-)
+SET_SUMMARY = f"SELECT set_id, count(*) AS total, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS unmatched, coalesce(string_agg(key_camelot, '>' ORDER BY position), '') AS key_flow, min(bpm) AS bpm_min, max(bpm) AS bpm_max, coalesce(string_agg(CAST(energy_level AS STRING), '>' ORDER BY position), '') AS energy_arc FROM ({LINES}) x GROUP BY set_id"
+
+
+def summary(v, some="true"):
+    got = sets.set_summary(lines(v, some))
+    return got.withColumn("key_flow", F.array_join("key_flow", ">")).withColumn("energy_arc", F.array_join(F.transform("energy_arc", lambda x: x.cast("string")), ">"))
+
+
+#: The playlists of v_setlist; the _all forms read every one.
+SOME = "playlist_id % 50 = 0"
+query("e15_setlist_summary", SET_SUMMARY)(lambda v: summary(v, SOME))
+query("e15_setlist_summary_all", ALL(SET_SUMMARY))(summary)
 query("e16_label_distribution", "SELECT tt + CASE WHEN tm THEN 0 ELSE 12 END AS label, count(*) AS n FROM v_scored WHERE tt IS NOT NULL GROUP BY 1")(lambda v: evaluation.label_distribution(evaluation.score(v("v_predictions"))))
 query("e17_filtered_count", "SELECT count(*) AS n FROM v_tracks WHERE bpm >= 100 AND bpm <= 120")(lambda v: catalog.library_filter(v("v_tracks"), bpm_min=100, bpm_max=120).agg(F.count("*").alias("n")))
 query("e19_by_source", "SELECT track_id, engine, tagcsv, djxml, fingerprint, n = 1 AS agree FROM (SELECT track_id, max(key_camelot) FILTER (WHERE source = 'engine') AS engine, max(key_camelot) FILTER (WHERE source = 'tagcsv') AS tagcsv, max(key_camelot) FILTER (WHERE source = 'djxml') AS djxml, max(key_camelot) FILTER (WHERE source = 'fingerprint') AS fingerprint, count(DISTINCT key_camelot) AS n FROM v_opinions GROUP BY track_id) x")(lambda v: consensus.by_source(v("v_opinions")))
@@ -166,7 +180,9 @@ query("l02_recalibration", "SELECT o.source, count(*) AS n, round(avg(CASE WHEN
 # F: windows
 
 query("f01_transitions", f"SELECT playlist_id, position, a_id AS track_id, b_id AS next_id, {REL} AS relation, {SCORE} AS score, {LABEL} AS label, {RISK} AS risk, round(delta, 6) AS delta_pct FROM v_moves")(lambda v: harmony.transitions(ordered(v)).select("playlist_id", "position", "track_id", "next_id", "relation", "score", "label", "risk", r6(c("delta_pct")).alias("delta_pct")))
-query("f02_setlist_flow", f"SELECT set_id, position, CASE WHEN rn = 1 AND key_camelot IS NOT NULL THEN concat('Opening: ', key_camelot) WHEN rn = 1 THEN 'Opening (unmatched)' ELSE concat(coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END AS flow, CASE WHEN rn = 1 THEN NULL WHEN matched AND pm THEN concat('Track ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?'), ': ', CASE WHEN coalesce(pk, '?') = coalesce(key_camelot, '?') THEN concat('Same key (', coalesce(pk, '?'), ')') ELSE concat('Key shift ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END, ', BPM ', coalesce(CAST(CAST(round_even(pb, 0) AS INT) AS STRING), '?'), ' → ', coalesce(CAST(CAST(round_even(bpm, 0) AS INT) AS STRING), '?')) ELSE 'Transition (unmatched tracks)' END AS transition FROM (SELECT *, lag(key_camelot) OVER w AS pk, lag(matched) OVER w AS pm, lag(bpm) OVER w AS pb, row_number() OVER w AS rn FROM ({LINES}) l WINDOW w AS (PARTITION BY set_id ORDER BY position)) x")(lambda v: sets.flow(lines(v)))
+FLOW = f"SELECT set_id, position, CASE WHEN rn = 1 AND key_camelot IS NOT NULL THEN concat('Opening: ', key_camelot) WHEN rn = 1 THEN 'Opening (unmatched)' ELSE concat(coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END AS flow, CASE WHEN rn = 1 THEN NULL WHEN matched AND pm THEN concat('Track ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?'), ': ', CASE WHEN coalesce(pk, '?') = coalesce(key_camelot, '?') THEN concat('Same key (', coalesce(pk, '?'), ')') ELSE concat('Key shift ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END, ', BPM ', coalesce(CAST(CAST(round_even(pb, 0) AS INT) AS STRING), '?'), ' → ', coalesce(CAST(CAST(round_even(bpm, 0) AS INT) AS STRING), '?')) ELSE 'Transition (unmatched tracks)' END AS transition FROM (SELECT *, lag(key_camelot) OVER w AS pk, lag(matched) OVER w AS pm, lag(bpm) OVER w AS pb, row_number() OVER w AS rn FROM ({LINES}) l WINDOW w AS (PARTITION BY set_id ORDER BY position)) x"
+query("f02_setlist_flow", FLOW)(lambda v: sets.flow(lines(v, SOME)))
+query("f02_setlist_flow_all", ALL(FLOW))(lambda v: sets.flow(lines(v)))
 GRID = "SELECT track_id, source, bpm, row_number() OVER (PARTITION BY track_id ORDER BY is_override DESC, created_at DESC, source) AS rn FROM v_beat_grids"
 active = lambda v: catalog.newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")])
 query("f03_active_grid", f"SELECT track_id, source, bpm FROM ({GRID}) x WHERE rn = 1")(lambda v: active(v).select("track_id", "source", "bpm"))
@@ -207,7 +223,10 @@ query("h05_update_columns", "SELECT track_id, CASE WHEN track_id % 3 = 0 THEN NU
 query("h06_append", "SELECT track_id, tonic_pc, key_mode FROM v_gold UNION ALL SELECT track_id, NULL, 'major' FROM v_tracks")(lambda v: catalog.append(v("v_gold").select("track_id", "tonic_pc", "key_mode"), v("v_tracks").select("track_id", F.lit("major").alias("key_mode"))))
 query("a15_schema_evolution", "SELECT track_id, title, NULL AS genre FROM v_tracks UNION ALL SELECT track_id, NULL, genre_raw FROM v_genres")(lambda v: catalog.append(v("v_tracks").select("track_id", "title"), v("v_genres").select("track_id", c("genre_raw").alias("genre"))))
 query("h07_merge_pages", "SELECT track_id, CAST(CASE WHEN track_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS page_no FROM v_tracks")(lambda v: (lambda t: catalog.merge_pages(t.select("track_id", F.lit(1).alias("page_no")).unionByName(t.where("track_id % 2 = 0").select("track_id", F.lit(2).alias("page_no")))))(v("v_tracks")))
-query("h08_token_sets", f"SELECT set_id, position, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS every FROM (SELECT set_id, position, {TOK('title')} AS a, {TOK('artist')} AS b FROM v_setlist) x")(lambda v: v("v_setlist").select("set_id", "position", text.tokens(c("title")).alias("a"), text.tokens(c("artist")).alias("b")).select("set_id", "position", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("every")))
+TOKEN_SETS = f"SELECT set_id, position, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS every FROM (SELECT set_id, position, {TOK('title')} AS a, {TOK('artist')} AS b FROM v_setlist) x"
+token_sets = lambda rows: rows.select("set_id", "position", text.tokens(c("title")).alias("a"), text.tokens(c("artist")).alias("b")).select("set_id", "position", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("every"))
+query("h08_token_sets", TOKEN_SETS)(lambda v: token_sets(v("v_setlist")))
+query("h08_token_sets_all", ALL(TOKEN_SETS))(lambda v: token_sets(v("v_setlist_all")))
 query("h09_mix_load", "SELECT playlist_id, position, track_id, CASE WHEN playlist_id % 2 = 0 AND position = 0 THEN 'first' END AS notes FROM v_playlist_tracks")(
     lambda v: catalog.load_mix(v("v_playlist_tracks").select("playlist_id").distinct().withColumn("rules", F.when(c("playlist_id") % 2 == 0, '{"type":"mix","clipNotes":[{"position":0,"notes":"first"}]}').otherwise("not json")), v("v_playlist_tracks"))
 )

@@ -2,7 +2,7 @@
 
 import math
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -44,3 +44,11 @@ def test_beats_of_all_tracks(spark):
     assert len({t for t, _ in got}) == len(active) > 20 * len({t for t, _ in got if t % 20 == 0}) * 0.9
     got = {(r["track_id"], r["beat"]): r["bpm"] and round(r["bpm"], 4) for r in rows(spark, "d13_tempo_in_force_all")}
     assert got == force
+
+
+def test_lines_of_all_playlists(spark):
+    every = {(r["playlist_id"], r["position"]) for r in table(spark, "v_playlist_tracks")}
+    for name in ("f02_setlist_flow_all", "h08_token_sets_all"):
+        got = [(r["set_id"], r["position"]) for r in rows(spark, name)]
+        assert set(got) == every and len(got) == len(every)
+    assert {r["set_id"]: r["total"] for r in rows(spark, "e15_setlist_summary_all")} == Counter(p for p, _ in every)
