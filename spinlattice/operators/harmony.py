@@ -50,11 +50,21 @@ def next_candidates(pairs: DataFrame, used: DataFrame | None = None, n: int = 20
     return flagged.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
 
 
+def _dealt(library: DataFrame, seeds: DataFrame, *on: str, blocks: int = 16) -> DataFrame:
+    """Library by seeds, on equal ``on``: seeds grow with the library and keys are few, so neither is broadcast and no
+    key is one task. Each of ``blocks`` squared cells holds its share of both, sorted and spilled as needed."""
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    a = library.select("*", part("track_id").alias("_row")).select("*", every.alias("_block"))
+    b = seeds.select("*", part("seed_id").alias("_block")).select("*", every.alias("_row"))
+    return a.join(b.hint("merge"), [*on, "_row", "_block"]).drop("_row", "_block")
+
+
 def score_seed(library: DataFrame, seeds: DataFrame, rules: keys.Rules = keys.Rules()) -> DataFrame:
-    """Every seed (track_id, key_camelot, bpm; a handful of requested rows) against the library:
-    0.7 compatibility and 0.3 tempo nearness. Null tempos count as the seed's, a null seed tempo as 128."""
+    """Every seed (track_id, key_camelot, bpm) against the library, in blocks of seeds: 0.7 compatibility and 0.3
+    tempo nearness. Null tempos count as the seed's, a null seed tempo as 128."""
     s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"), F.coalesce("bpm", F.lit(128.0)).alias("seed_bpm"))
-    both = library.crossJoin(F.broadcast(s)).where(c("track_id") != c("seed_id"))
+    both = _dealt(library, s).where(c("track_id") != c("seed_id"))
     gap = F.least(F.abs(F.coalesce("bpm", "seed_bpm") - c("seed_bpm")), F.lit(20.0))
     fit = F.coalesce(keys.compatibility(c("seed_key"), F.coalesce("key_camelot", F.lit("")), rules), F.lit(0.0))
     return both.withColumn("compat", fit).withColumn("total", c("compat") * 0.7 + (1 - gap / 20) * 0.3)
@@ -71,8 +81,11 @@ def generate_playlist(library: DataFrame, seeds: DataFrame, n: int = 10, rules:
 def same_key_playlist(library: DataFrame, seeds: DataFrame, same_key: bool = True, n: int = 20) -> DataFrame:
     """By tempo nearness alone, of the seed's key if the rule asks for it."""
     s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"), c("bpm").alias("seed_bpm"))
-    both = library.crossJoin(F.broadcast(s)).where(c("track_id") != c("seed_id"))
-    both = both.where(c("key_camelot") == c("seed_key")) if same_key else both
+    if same_key:
+        both = _dealt(library, s.withColumn("key_camelot", c("seed_key")), "key_camelot")
+    else:
+        both = _dealt(library, s)
+    both = both.where(c("track_id") != c("seed_id"))
     w = Window.partitionBy("seed_id").orderBy(F.abs(c("bpm") - c("seed_bpm")).asc_nulls_last(), "track_id")
     return both.withColumn("place", F.row_number().over(w)).where(c("place") < n).select("seed_id", "track_id", "place")
 
@@ -82,7 +95,7 @@ def compatible_tracks(library: DataFrame, seeds: DataFrame, rules: keys.Rules =
     dim = keys.dim_key(library.sparkSession)
     matrix = dim.select(c("code").alias("seed_key")).crossJoin(dim.select(c("code").alias("key_camelot"))).withColumn("score", keys.compatibility(c("seed_key"), c("key_camelot"), rules)).where("score > 0")
     s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key")).join(F.broadcast(matrix), "seed_key")
-    return library.join(F.broadcast(s), "key_camelot").where(c("track_id") != c("seed_id")).select("seed_id", "track_id", "key_camelot", "score")
+    return _dealt(library, s, "key_camelot").where(c("track_id") != c("seed_id")).select("seed_id", "track_id", "key_camelot", "score")
 
 
 def transitions(ordered: DataFrame) -> DataFrame:
@@ -96,12 +109,13 @@ def transitions(ordered: DataFrame) -> DataFrame:
 def bucket_counts(library: DataFrame, seeds: DataFrame) -> DataFrame:
     """How many tracks stand in each relation to a focal track."""
     s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"))
-    # a library has few keys: count them first, then relate
+    # a library has few keys: count and relate those, then look every seed's key up
     counts = library.groupBy("key_camelot").agg(F.count("*").alias("n"))
     own = F.when(c("seed_key").eqNullSafe(c("key_camelot")), 1).otherwise(0)  # the seed itself
     rel = keys.relation(c("seed_key"), c("key_camelot"))
-    each = counts.crossJoin(F.broadcast(s))
-    return each.groupBy("seed_id", rel.alias("relation")).agg(F.sum(c("n") - own).alias("n")).where("n > 0")
+    by_key = s.select("seed_key").distinct().crossJoin(F.broadcast(counts)).groupBy("seed_key", rel.alias("relation")).agg(F.sum(c("n") - own).alias("n")).where("n > 0")
+    at = by_key.withColumnRenamed("seed_key", "at_key")
+    return s.join(F.broadcast(at), s["seed_key"].eqNullSafe(at["at_key"])).select("seed_id", "relation", "n")
 
 
 def wheel_counts(library: DataFrame, selected: str | None = None) -> DataFrame:

@@ -42,9 +42,16 @@ def corpus(v):
 query("b07_corpus_status", STATUS)(lambda v: corpus(v).select("location", "status"))
 SEEDS = "SELECT track_id AS seed_id, key_camelot AS seed_key, bpm AS seed_bpm FROM v_tracks WHERE track_id % 100 = 7"
 seeds = lambda v: v("v_tracks").where("track_id % 100 = 7")
+#: The searches' stated query set. SEEDS, which the SQL of the plain names keeps, has none of its rows.
+asked = lambda v: v("v_tracks").where("track_id % 50 = 0")
+ASKED = lambda sql: sql.replace("track_id % 100 = 7", "track_id % 50 = 0")
+EVERY = lambda sql: sql.replace(" WHERE track_id % 100 = 7", "")
 MOVES = "(bn.n - an.n + 12) % 12"
 SEEDED = f"SELECT x.*, {COMPAT} AS compat FROM (SELECT s.*, t.track_id, t.key_camelot, t.bpm, (bn.n - an.n + 12) % 12 AS d, an.c = bn.c AS same, an.c AS ac FROM ({SEEDS}) s JOIN v_tracks t ON t.track_id <> s.seed_id LEFT JOIN v_dim an ON an.code = s.seed_key LEFT JOIN v_dim bn ON bn.code = t.key_camelot) x"
-query("b08_compatible_tracks", f"SELECT seed_id, track_id, key_camelot, CAST(compat AS DOUBLE) AS score FROM ({SEEDED}) y WHERE compat > 0")(lambda v: harmony.compatible_tracks(v("v_tracks"), seeds(v)))
+COMPATIBLE = f"SELECT seed_id, track_id, key_camelot, CAST(compat AS DOUBLE) AS score FROM ({SEEDED}) y WHERE compat > 0"
+compatible = lambda v, s: harmony.compatible_tracks(v("v_tracks"), s(v))
+query("b08_compatible_tracks", COMPATIBLE)(lambda v: compatible(v, seeds))
+query("b08_compatible_tracks_asked", ASKED(COMPATIBLE))(lambda v: compatible(v, asked))
 PLAYLISTS = "SELECT DISTINCT playlist_id, CASE WHEN playlist_id % 3 = 0 THEN '{\"type\":\"mix\"}' WHEN playlist_id % 3 = 1 THEN 'broken {' END AS rules FROM v_playlist_tracks"
 
 
@@ -80,7 +87,10 @@ def imports(v):
 
 query("d02_import_match", "SELECT track_id AS row_id, CASE WHEN track_id % 4 < 3 THEN track_id END AS track_id, CASE WHEN track_id % 4 < 3 THEN CAST(track_id % 4 AS INT) END AS match_rank FROM v_tracks")(lambda v: catalog.match_imports(imports(v), v("v_tracks")).select("row_id", "track_id", "match_rank"))
 query("e18_import_report", "SELECT count(*) AS total, count(*) FILTER (WHERE track_id % 4 < 3) AS matched, count(*) FILTER (WHERE track_id % 4 = 3) AS unmatched FROM v_tracks")(lambda v: catalog.import_report(catalog.match_imports(imports(v), v("v_tracks"))))
-query("d04_seed_scores", f"SELECT seed_id, track_id, CAST(compat AS DOUBLE) AS compat, round(compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) - coalesce(seed_bpm, 128)), 20) / 20) * 0.3, 6) AS total FROM ({SEEDED}) y")(lambda v: harmony.score_seed(v("v_tracks"), seeds(v)).select("seed_id", "track_id", "compat", r6(c("total")).alias("total")))
+SEED_SCORES = f"SELECT seed_id, track_id, CAST(compat AS DOUBLE) AS compat, round(compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) - coalesce(seed_bpm, 128)), 20) / 20) * 0.3, 6) AS total FROM ({SEEDED}) y"
+seed_scores = lambda v, s: harmony.score_seed(v("v_tracks"), s(v)).select("seed_id", "track_id", "compat", r6(c("total")).alias("total"))
+query("d04_seed_scores", SEED_SCORES)(lambda v: seed_scores(v, seeds))
+query("d04_seed_scores_asked", ASKED(SEED_SCORES))(lambda v: seed_scores(v, asked))
 PAIRS = "SELECT x.*, CASE WHEN d = 0 AND same THEN 'same-key' WHEN d = 0 THEN 'mood-shift' WHEN d IN (1, 11) THEN 'neighbor' WHEN d = 2 THEN 'energy-boost' ELSE 'energy-drop' END AS relation FROM (SELECT a.track_id, b.track_id AS other_id, (b.bpm - a.bpm) / a.bpm * 100 AS delta, (b.n - a.n + 12) % 12 AS d, a.c = b.c AS same FROM v_keys a JOIN v_keys b ON a.track_id <> b.track_id AND abs(b.bpm - a.bpm) / a.bpm <= 0.06 AND ((a.c = b.c AND (b.n - a.n + 12) % 12 IN (0, 1, 2, 10, 11)) OR (a.c <> b.c AND a.n = b.n))) x"
 near = lambda v: harmony.neighbours(v("v_tracks"))
 BASES = "CASE relation WHEN 'same-key' THEN 95 WHEN 'neighbor' THEN 85 WHEN 'mood-shift' THEN 80 WHEN 'energy-boost' THEN 75 ELSE 70 END"
@@ -171,7 +181,10 @@ query("e15_setlist_summary_all", ALL(SET_SUMMARY))(summary)
 query("e16_label_distribution", "SELECT tt + CASE WHEN tm THEN 0 ELSE 12 END AS label, count(*) AS n FROM v_scored WHERE tt IS NOT NULL GROUP BY 1")(lambda v: evaluation.label_distribution(evaluation.score(v("v_predictions"))))
 query("e17_filtered_count", "SELECT count(*) AS n FROM v_tracks WHERE bpm >= 100 AND bpm <= 120")(lambda v: catalog.library_filter(v("v_tracks"), bpm_min=100, bpm_max=120).agg(F.count("*").alias("n")))
 query("e19_by_source", "SELECT track_id, engine, tagcsv, djxml, fingerprint, n = 1 AS agree FROM (SELECT track_id, max(key_camelot) FILTER (WHERE source = 'engine') AS engine, max(key_camelot) FILTER (WHERE source = 'tagcsv') AS tagcsv, max(key_camelot) FILTER (WHERE source = 'djxml') AS djxml, max(key_camelot) FILTER (WHERE source = 'fingerprint') AS fingerprint, count(DISTINCT key_camelot) AS n FROM v_opinions GROUP BY track_id) x")(lambda v: consensus.by_source(v("v_opinions")))
-query("e20_relation_counts", f"SELECT seed_id, {REL} AS relation, count(*) AS n FROM (SELECT s.seed_id, (bn.n - an.n + 12) % 12 AS d, an.c = bn.c AS same FROM ({SEEDS}) s JOIN v_tracks t ON t.track_id <> s.seed_id LEFT JOIN v_dim an ON an.code = s.seed_key LEFT JOIN v_dim bn ON bn.code = t.key_camelot) x GROUP BY 1, 2")(lambda v: harmony.bucket_counts(v("v_tracks"), seeds(v)))
+RELATION_COUNTS = f"SELECT seed_id, {REL} AS relation, count(*) AS n FROM (SELECT s.seed_id, (bn.n - an.n + 12) % 12 AS d, an.c = bn.c AS same FROM ({SEEDS}) s JOIN v_tracks t ON t.track_id <> s.seed_id LEFT JOIN v_dim an ON an.code = s.seed_key LEFT JOIN v_dim bn ON bn.code = t.key_camelot) x GROUP BY 1, 2"
+relation_counts = lambda v, s: harmony.bucket_counts(v("v_tracks"), s(v))
+query("e20_relation_counts", RELATION_COUNTS)(lambda v: relation_counts(v, seeds))
+query("e20_relation_counts_all", EVERY(RELATION_COUNTS))(lambda v: relation_counts(v, lambda v: v("v_tracks")))
 query("l01_validation", "SELECT count(*) AS n, count(*) FILTER (WHERE a.key_camelot = b.key_camelot) AS agree, round(avg(CASE WHEN a.key_camelot = b.key_camelot THEN 100.0 ELSE 0.0 END), 6) AS percent FROM v_opinions a JOIN v_opinions b ON a.track_id = b.track_id AND a.source = 'engine' AND b.source = 'tagcsv' WHERE a.key_camelot IS NOT NULL AND b.key_camelot IS NOT NULL")(lambda v: consensus.validation(v("v_opinions")).withColumn("percent", r6(c("percent"))))
 query("l02_recalibration", "SELECT o.source, count(*) AS n, round(avg(CASE WHEN o.key_camelot = t.key_camelot THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(pow(avg(CASE WHEN o.key_camelot = t.key_camelot THEN 1.0 ELSE 0.0 END), 2), 6) AS weight FROM v_opinions o JOIN v_tracks t ON t.track_id = o.track_id WHERE o.key_camelot IS NOT NULL AND t.key_camelot IS NOT NULL GROUP BY o.source")(
     lambda v: consensus.recalibrate(v("v_opinions"), v("v_tracks").select("track_id", c("key_camelot").alias("truth"))).withColumn("accuracy", r6(c("accuracy"))).withColumn("weight", r6(c("weight")))
@@ -199,12 +212,18 @@ query("f10_tap_tempo", "SELECT worker_id, ts, CASE WHEN m > 0 THEN CAST(floor(le
 query("g01_library_page", f"SELECT track_id, filename, bpm FROM v_tracks ORDER BY bpm DESC NULLS LAST, track_id LIMIT 50 OFFSET 100")(lambda v: catalog.page(v("v_tracks"), "bpm", True, 50, 100).select("track_id", "filename", "bpm"))
 query("g01_keyset_page", f"SELECT track_id, filename FROM v_tracks WHERE filename > 'm' ORDER BY filename, track_id LIMIT 50")(lambda v: catalog.page_after(v("v_tracks"), "filename", "m", 1 << 60, 50).select("track_id", "filename"))
 TOTAL = "compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) - coalesce(seed_bpm, 128)), 20) / 20) * 0.3"
-query("g02_generate_playlist", f"SELECT seed_id, track_id, place FROM (SELECT seed_id, track_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round({TOTAL}, 9) DESC, track_id) AS INT) AS place FROM ({SEEDED}) y WHERE {TOTAL} > 0) z WHERE place < 10 UNION ALL SELECT seed_id, seed_id, 0 FROM ({SEEDS}) s")(lambda v: harmony.generate_playlist(v("v_tracks"), seeds(v)).select("seed_id", "track_id", "place"))
+GENERATED = f"SELECT seed_id, track_id, place FROM (SELECT seed_id, track_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round({TOTAL}, 9) DESC, track_id) AS INT) AS place FROM ({SEEDED}) y WHERE {TOTAL} > 0) z WHERE place < 10 UNION ALL SELECT seed_id, seed_id, 0 FROM ({SEEDS}) s"
+generated = lambda v, s: harmony.generate_playlist(v("v_tracks"), s(v)).select("seed_id", "track_id", "place")
+query("g02_generate_playlist", GENERATED)(lambda v: generated(v, seeds))
+query("g02_generate_playlist_asked", ASKED(GENERATED))(lambda v: generated(v, asked))
 RANKED = "row_number() OVER (PARTITION BY track_id ORDER BY n DESC, best DESC, key_camelot)"
 query("g04_top5_keys", f"SELECT track_id, key_camelot, n, rn AS rnk FROM ({MODAL}) m WHERE rn <= 5")(
     lambda v: (lambda k: k.withColumn("rnk", F.row_number().over(Window.partitionBy("track_id").orderBy(c("n").desc(), c("best").desc(), "key_camelot"))).where("rnk <= 5").select("track_id", "key_camelot", "n", "rnk"))(v("v_opinions").where("key_camelot is not null").groupBy("track_id", "key_camelot").agg(F.count("*").alias("n"), F.max("confidence").alias("best")))
 )
-query("g05_same_key_playlist", f"SELECT seed_id, track_id, place FROM (SELECT s.seed_id, t.track_id, row_number() OVER (PARTITION BY s.seed_id ORDER BY abs(t.bpm - s.seed_bpm) NULLS LAST, t.track_id) AS place FROM ({SEEDS}) s JOIN v_tracks t ON t.key_camelot = s.seed_key AND t.track_id <> s.seed_id) x WHERE place < 20")(lambda v: harmony.same_key_playlist(v("v_tracks"), seeds(v)))
+SAME_KEY = f"SELECT seed_id, track_id, place FROM (SELECT s.seed_id, t.track_id, row_number() OVER (PARTITION BY s.seed_id ORDER BY abs(t.bpm - s.seed_bpm) NULLS LAST, t.track_id) AS place FROM ({SEEDS}) s JOIN v_tracks t ON t.key_camelot = s.seed_key AND t.track_id <> s.seed_id) x WHERE place < 20"
+same_key = lambda v, s: harmony.same_key_playlist(v("v_tracks"), s(v))
+query("g05_same_key_playlist", SAME_KEY)(lambda v: same_key(v, seeds))
+query("g05_same_key_playlist_asked", ASKED(SAME_KEY))(lambda v: same_key(v, asked))
 query("g06_newest_first", f"SELECT annotation_id, created_at FROM v_gold ORDER BY created_at DESC, annotation_id DESC, track_id LIMIT 200")(lambda v: v("v_gold").orderBy(c("created_at").desc(), c("annotation_id").desc(), "track_id").limit(200).select("annotation_id", "created_at"))
 
 # H: table maintenance
@@ -236,4 +255,4 @@ query("i33_split", "SELECT track_id, (row_number() OVER (PARTITION BY key_camelo
 @query("l04_greedy_paths")
 def _(v):
     best = harmony.next_candidates(near(v), n=5)
-    return harmony.paths(best, seeds(v), 6)
+    return harmony.paths(best, v("v_tracks"), 6)

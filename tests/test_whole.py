@@ -52,3 +52,27 @@ def test_lines_of_all_playlists(spark):
         got = [(r["set_id"], r["position"]) for r in rows(spark, name)]
         assert set(got) == every and len(got) == len(every)
     assert {r["set_id"]: r["total"] for r in rows(spark, "e15_setlist_summary_all")} == Counter(p for p, _ in every)
+
+
+def test_seeds_of_the_stated_set(spark):
+    tracks = {r["track_id"]: r["key_camelot"] for r in table(spark, "v_tracks")}
+    asked = {t for t in tracks if t % 50 == 0}
+    for name in ("d04_seed_scores_asked", "g02_generate_playlist_asked"):
+        assert {r["seed_id"] for r in rows(spark, name)} == asked
+    keyed = {t for t in asked if tracks[t]}
+    for name in ("b08_compatible_tracks_asked", "g05_same_key_playlist_asked"):
+        assert {r["seed_id"] for r in rows(spark, name)} == keyed
+    assert len(rows(spark, "d04_seed_scores_asked")) == len(asked) * (len(tracks) - 1)
+    counted = Counter()
+    for r in rows(spark, "e20_relation_counts_all"):
+        counted[r["seed_id"]] += r["n"]
+    assert counted == dict.fromkeys(tracks, len(tracks) - 1)
+    assert {r["seed_id"] for r in rows(spark, "l04_greedy_paths")} == set(tracks)
+
+
+def test_joins_with_seeds_broadcast_no_seeds(spark, capsys):
+    from spinlattice.catalog_queries import QUERIES
+
+    for name in ("d04_seed_scores_asked", "g05_same_key_playlist_asked"):
+        QUERIES[name](spark, SF).explain()
+        assert "BroadcastNestedLoopJoin" not in (plan := capsys.readouterr().out) and "SortMergeJoin" in plan
