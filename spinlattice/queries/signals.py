@@ -54,7 +54,7 @@ query("i08_mean_chroma", f"SELECT track_id, i, round(v, 6) AS v FROM ({MEAN}) b"
 SEG = f"SELECT track_id, segment, i, m / sqrt(sum(m * m) OVER (PARTITION BY track_id, segment)) AS v FROM (SELECT track_id, CAST(least(floor(frame / floor(n / 8.0)), 7) AS INT) AS segment, bin AS i, avg(mag) AS m FROM (SELECT *, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM ({SPEC}) s) t WHERE bin < 12 GROUP BY 1, 2, 3) a"
 seg = lambda v: sg.segment_means(chroma(v), 8)
 query("i09_segment_means", f"SELECT track_id, segment, i, round(v, 6) AS v FROM ({SEG}) b")(lambda v: seg(v).select("track_id", "segment", F.posexplode("c12").alias("i", "v")).withColumn("v", r6(c("v"))))
-query("i10_templates")(lambda v: sg.template_scores(seg(v), sg.templates(v.spark, bands=12)).select("family", "mode", "tonic").distinct())
+query("i10_templates")(lambda v: sg.template_scores(seg(v), sg.templates(v.spark, bands=12)).withColumn("score", r6(c("score"))))
 BANK = "SELECT f, mode, tonic, i, p[(i - tonic + 12) % 12 + 1] AS w FROM (VALUES " + ", ".join(f"('{f}', '{m}', {sg.PROFILES[f][k]})" for f in sg.WEIGHTS for k, m in enumerate(("major", "minor"))) + ") AS b(f, mode, p) CROSS JOIN (SELECT unnest(range(0, 12)) AS tonic) t CROSS JOIN (SELECT unnest(range(0, 12)) AS i) x"
 TS = f"SELECT s.track_id, s.segment, k.f AS family, k.mode, CAST(k.tonic AS INT) AS tonic, sum(ln(1 + 5 * s.v) * k.w) / (sqrt(sum(pow(ln(1 + 5 * s.v), 2))) * sqrt(sum(k.w * k.w))) AS score FROM ({SEG}) s JOIN ({BANK}) k ON k.i = s.i GROUP BY 1, 2, 3, 4, 5"
 ts = lambda v: sg.template_scores(seg(v), sg.templates(v.spark))

@@ -76,3 +76,9 @@ def test_joins_with_seeds_broadcast_no_seeds(spark, capsys):
     for name in ("d04_seed_scores_asked", "g05_same_key_playlist_asked"):
         QUERIES[name](spark, SF).explain()
         assert "BroadcastNestedLoopJoin" not in (plan := capsys.readouterr().out) and "SortMergeJoin" in plan
+
+
+def test_templates_are_applied_to_every_segment(spark):
+    got = [(r["track_id"], r["segment"], r["family"], r["mode"], r["tonic"]) for r in rows(spark, "i10_templates")]
+    assert set(got) == {(r["track_id"], r["segment"], r["family"], r["mode"], r["tonic"]) for r in rows(spark, "i11_template_scores")}
+    assert len(got) == len(set(got)) and len({x[:2] for x in got}) > 1
