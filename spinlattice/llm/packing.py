@@ -146,34 +146,35 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     """
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         from .word_tokens import encoder
 
-        encode_all = encoder(tokenizer).ids
+        encode_all = encoder(tokenizer).encode
         packer = Packer(sentence_ends(tokenizer), size, TaskContext.get().partitionId() << 40)
-        tail = int(end_id).to_bytes(4, "little")
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-        def frame(rows: list) -> "pd.DataFrame":
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            return out
-
-        for pdf in batches:
-            rows: list = []
-            texts = [None if pd.isna(t) else t for t in pdf["t"]]
-            for k in range(0, len(texts), 512):
-                for key_, raw in zip(pdf["k"].iloc[k : k + 512], encode_all(texts[k : k + 512]), strict=True):
-                    rows += packer.add(None if pd.isna(key_) else int(key_), np.frombuffer(raw + tail, "<u4"))
-            if rows:
-                yield frame(rows)
+        def frame(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+        for batch in batches:
+            keys, done = batch.column("k").to_pylist(), 0
+            for flat, lengths in encode_all(batch.column("t")):
+                ends = np.cumsum(lengths)
+                flat = np.insert(flat.astype("<u4"), ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                rows: list = []
+                for key_, a, b in zip(keys[done : done + len(ends)], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    rows += packer.add(key_, flat[a:b])
+                done += len(ends)
+                if rows:
+                    yield frame(rows)
         if rows := packer.flush(True):
             yield frame(rows)
 
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(F.col("k").asc_nulls_first())
-    return ordered.sortWithinPartitions(F.col("k").asc_nulls_first()).mapInPandas(run, SCHEMA)
+    return ordered.sortWithinPartitions(F.col("k").asc_nulls_first()).mapInArrow(run, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = 15
 BLOCK = 1024
+#: Ids that a segment has, about; a document is never split.
+SEGMENT = 1 << 19
 
 SCHEMA = "shard int, segment long, start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary"
 
@@ -124,34 +126,52 @@ def unpack_block(payload: bytes, block: int) -> np.ndarray:
     return unpack(head + payload[at - 8 * n_escapes : at] + payload[at + 8 * a : at + 8 * b])
 
 
+def _segments(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts consecutive documents, given where their ids end, into runs of about SEGMENT ids (at least a document)."""
+    a = 0
+    while a < len(ends):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + SEGMENT, "right")))
+        yield a, b
+        a = b
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> None:
     """Encode whole texts and write them in ascending key order.
 
     One range shuffle puts the documents in order; encoding and packing then run on each
-    partition as a stream, a segment for each Arrow batch. Null texts are empty, null keys
+    partition as a stream, in segments of about SEGMENT ids. Null texts are empty, null keys
     come first, repeated keys keep all their rows, a table without rows gives no segment.
     """
 
     def encode(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         from .word_tokens import encoder
 
-        encode_all, shard, start, segment = encoder(tokenizer).ids, TaskContext.get().partitionId(), 0, 0
-        tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf.iloc[k : k + 512]
-                raw = [x + tail for x in encode_all([None if pd.isna(t) else t for t in part["t"]])]
-                ids = np.frombuffer(b"".join(raw), "<u4")
-                row = {"shard": shard, "segment": segment, "start": start, "n_ids": len(ids)}
-                row |= {"doc_ids": [None if pd.isna(i) else int(i) for i in part["k"]], "doc_lengths": [len(x) // 4 for x in raw], "payload": pack(ids)}
-                yield pd.DataFrame([row])
-                start, segment = start + len(ids), segment + 1
+        encode_all, shard, start, segment = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
+        tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+        for batch in batches:
+            keys, done = batch.column("k"), 0
+            for ids, lengths in encode_all(batch.column("t")):
+                ends = np.cumsum(lengths)
+                ids = np.insert(ids.astype(np.uint32), ends, tail[0]) if len(tail) else ids
+                lengths, ends = lengths + len(tail), ends + len(tail) * np.arange(1, len(lengths) + 1)
+                for a, b in _segments(ends):
+                    first = ends[a - 1] if a else 0
+                    part = ids[first : ends[b - 1]]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "shard": pa.array([shard], pa.int32()), "segment": [segment], "start": [start], "n_ids": [len(part)],
+                            "doc_ids": pa.array([keys[done + a : done + b].to_pylist()], pa.list_(pa.int64())), "doc_lengths": pa.array([lengths[a:b]], pa.list_(pa.int64())), "payload": pa.array([pack(part)], pa.binary()),
+                        }
+                    )
+                    start, segment = start + len(part), segment + 1
+                done += len(lengths)
 
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(F.col("k").asc_nulls_first())
-    ordered.sortWithinPartitions(F.col("k").asc_nulls_first()).mapInPandas(encode, SCHEMA).write.mode("errorifexists").parquet(path)
+    ordered.sortWithinPartitions(F.col("k").asc_nulls_first()).mapInArrow(encode, SCHEMA).write.mode("errorifexists").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
