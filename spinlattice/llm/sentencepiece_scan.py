@@ -6,18 +6,20 @@ the best merge of the two neighbours alone as well. So encoding is a best-path p
 pieces with edge weights 0 (compatible) and minus infinity, and a path's weight after that is its
 number of pieces. Its max-plus form is associative, which is what giant documents need:
 
-1. a giant text is split into chunks, at a border that no piece can cross if the chunk has one;
+1. a giant text is split into chunks of equal length, inside words or not;
 2. each chunk yields its transfer matrix: from every piece that can cover its left border to every piece
    that can cover its right border, the pieces between (minus infinity: no path);
-3. the matrices of a document are combined from left to right, a few rows a chunk;
+3. matrices are combined in groups of FAN neighbours, the groups' matrices again, and so on, and the states
+   that the whole document's path passes are handed down the same tree: no task sees more than FAN matrices of a document;
 4. each chunk, told its entry and exit states, traces its own pieces back.
 
-Steps 2 and 4 are maps over chunks. Smaller texts take the same scan in one go, a distinct word at a time.
+Steps 2 and 4 are maps over chunks. Where no piece can cross (no piece holds the two characters in a row), every path
+starts anew: there a chunk's matrix is a column, the pieces of the stretches between, and a row. Such
+stretches repeat, and their paths are found once a batch for all new ones together. Smaller texts are made of them alone.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,13 +30,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .word_tokens import Cache, ragged
 
-#: Characters from which a text counts as giant, and about how many a chunk of it has.
+#: Characters from which a text counts as giant, and how many a chunk of it has.
 GIANT, CHUNK = 32_768, 8_192
+#: Matrices that are combined at once, and how often: FAN**LEVELS chunks are more than a Spark string can hold.
+FAN, LEVELS = 64, 3
+#: Characters of text that are worked on at a time.
+STEP = 4 << 20
 SPACE = "▁"
 START = -1
-_BITS = 22
 _PRIME = np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS, _PAIRS = 18, 20
+#: Characters below it have places of their own in the table of neighbours; the last two stand for the space mark and for all others.
+_CHARS = 1024
 
 
 class PieceScan:
@@ -43,7 +53,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, max_words: int = 700_000, max_pairs: int = 2_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,29 +63,74 @@ class PieceScan:
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids))
-        self.lengths = [*map(len, self.text)]
+        self.lengths = np.array([*map(len, self.text)], np.int64)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_fallback = sp.is_byte(self.bytes[0])
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece of this model crosses word borders")
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.memo: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.max_words, self.max_pairs = max_words, max_pairs
-        hashes = np.array([int(self._hash(np.array([[ord(c) for c in p]], np.uint32))[0, -1]) for p in self.ids], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.by_hash = hashes[order], np.array([*self.ids.values()], np.int64)[order]
+        self.memo: dict[tuple[int, int], bool] = {}
+        # codes of pairs that were asked for, with the answer in the lowest bit
+        self.pairs = np.full(1 << _PAIRS, -1, np.int64)
+        self.cache = Cache(most, self._learn)
+        self._tables(plain)
+
+    def _tables(self, plain: list[int]) -> None:
+        """By piece: hash, place in the order of merging (-1: a single character), the two parts of its last
+        merge, whether it encodes to itself; a hash table of pieces; which neighbours a piece can hold."""
+        size, single = self.size, {i for i in plain if len(self.text[i]) == 1}
+        self.hashes, self.rank = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+        self.left, self.right, self.sound = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+        order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.power = np.array([pow(int(_PRIME), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.slots, self.slot_ids = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int64)
+        cross = np.zeros((_CHARS, _CHARS), bool)
+        cross[_CHARS - 1, :] = cross[:, _CHARS - 1] = True
+        for i in plain:
+            s = self.text[i]
+            codes = np.array([*map(ord, s)], np.uint32)
+            self.hashes[i] = self._prefixes(codes[None, :])[0, -1]
+            classes = self._classes(codes)
+            cross[classes[:-1], classes[1:]] = True
+            steps = self.merged(s, last_two=True)
+            self.sound[i] = i in single or len(steps) == 2
+            if i not in single and self.sound[i]:
+                self.rank[i] = order[self.score[s]]
+                self.left[i], self.right[i] = (self.ids.get(x, size + ord(x[0])) for x in steps)
+            at = (int(self.hashes[i]) * int(_MIX) & (1 << 64) - 1) >> 64 - _SLOTS
+            while self.slot_ids[at] >= 0:
+                at = (at + 1) % (1 << _SLOTS)
+            self.slots[at], self.slot_ids[at] = self.hashes[i], i
+        self.apart = ~cross.ravel()
 
     @staticmethod
-    def _hash(chars: np.ndarray) -> np.ndarray:
+    def _classes(codes: np.ndarray) -> np.ndarray:
+        out = np.minimum(codes, _CHARS - 1).astype(np.int64)
+        out[codes == _CHARS - 2] = _CHARS - 1
+        out[codes == ord(SPACE)] = _CHARS - 2
+        return out
+
+    @staticmethod
+    def _prefixes(chars: np.ndarray) -> np.ndarray:
         """Polynomial hashes of the prefixes of each row, the empty one first."""
         out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
         for j in range(chars.shape[1]):
             out[:, j + 1] = out[:, j] * _PRIME + chars[:, j].astype(np.uint64) + np.uint64(1)
         return out
 
-    def merged(self, s: str) -> list[str]:
-        """The library's merging of a short string: the best-scored pair, the leftmost of equals."""
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of pieces by hash, -1 for none."""
+        at = (h * _MIX >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        ids, same = self.slot_ids[at], self.slots[at] == h
+        out = np.where(same, ids, -1)
+        left = np.flatnonzero(~same & (ids >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) % (1 << _SLOTS)
+            ids, same = self.slot_ids[at[left]], self.slots[at[left]] == h[left]
+            out[left[same]] = ids[same]
+            left = left[~same & (ids >= 0)]
+        return out
+
+    def merged(self, s: str, last_two: bool = False) -> list[str]:
+        """The library's merging of a short string: the best-scored pair, the leftmost of equals. ``last_two``:
+        the two parts before the last merge, if there is one."""
         parts, get = [*s], self.score.get
         while len(parts) > 1:
             best, at = None, 0
@@ -84,7 +139,9 @@ class PieceScan:
                 if x is not None and (best is None or x > best):
                     best, at = x, i
             if best is None:
-                break
+                return [] if last_two else parts
+            if last_two and len(parts) == 2:
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
@@ -93,15 +150,55 @@ class PieceScan:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether piece b can follow piece a (START: begin a text)."""
-        key = (a + 1) << _BITS | b
-        got = self.memo.get(key)
+        got = self.memo.get((a, b))
         if got is None:
-            if len(self.memo) >= self.max_pairs:
+            if len(self.memo) >= 200_000:
                 self.memo.clear()
             pair = [self.piece(b)] if a == START else [self.piece(a), self.piece(b)]
-            got = self.memo[key] = self.merged("".join(pair)) == pair
+            got = self.memo[a, b] = self.merged("".join(pair)) == pair
         return got
 
+    def _of(self, values: np.ndarray, ids: np.ndarray, other) -> np.ndarray:
+        return np.where(ids < self.size, values[np.minimum(ids, self.size - 1)], other)
+
+    def compatible_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() for arrays, START not among them: the two pieces' merges are undone from the last one on; if what then
+        meets at the border merges before the merge undone, it would have merged across."""
+        good = self._of(self.sound, a, True) & self._of(self.sound, b, True)
+        live = np.flatnonzero(good)
+        a, b = a[live], b[live]
+        limit = np.full(len(live), np.iinfo(np.int64).max)
+        while len(live):
+            length = self._of(self.lengths, b, 1)
+            short = (self._of(self.lengths, a, 1) + length) <= self.longest
+            h = self._of(self.hashes, a, (a - self.size + 1).astype(np.uint64)) * self.power[length] + self._of(self.hashes, b, (b - self.size + 1).astype(np.uint64))
+            both = np.where(short, self.find(h), -1)
+            bad = (both >= 0) & (np.where(both >= 0, self._order(both), 0) < limit)
+            good[live[bad]] = False
+            ra, rb = self._of(self.rank, a, -1), self._of(self.rank, b, -1)
+            go = ~bad & (np.maximum(ra, rb) >= 0)
+            live, a, b, ra, rb = live[go], a[go], b[go], ra[go], rb[go]
+            first = ra > rb
+            limit = np.where(first, ra, rb + 1)
+            a, b = np.where(first, self.right[np.minimum(a, self.size - 1)], a), np.where(first, b, self.left[np.minimum(b, self.size - 1)])
+        return good
+
+    def _compatible_known(self, pairs: np.ndarray) -> np.ndarray:
+        """compatible_pairs() of codes (first << 22 | second), looked up in a table where a pair has one place, which the last one holds."""
+        at = ((pairs.view(np.uint64) * _MIX) >> np.uint64(64 - _PAIRS)).astype(np.int64)
+        held = self.pairs[at]
+        ok = (held & 1).astype(bool)
+        missing = np.flatnonzero(held >> 1 != pairs)
+        if len(missing):
+            new, first, back = np.unique(pairs[missing], return_index=True, return_inverse=True)
+            got = self.compatible_pairs(new >> 22, new & (1 << 22) - 1)
+            self.pairs[at[missing[first]]] = new << 1 | got
+            ok[missing] = got[back]
+        return ok
+
+    def _order(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(self.sound[ids], self.rank[ids], np.iinfo(np.int64).max)
+
     def at(self, s: str, a: int, b: int) -> int | None:
         """Id of the piece s[a:b], if it is one."""
         got = self.ids.get(s[a:b])
@@ -134,97 +231,153 @@ class PieceScan:
         while end > at:
             i = last[end]
             out.append(i)
-            end -= lengths[i] if i < size else 1
+            end -= int(lengths[i]) if i < size else 1
         out.reverse()
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Paths of short words, all words of a length at once; longer ones singly."""
-        if len(self.cache) + len(new) > self.max_words:
-            self.cache.clear()
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for n, ws in by_length.items():
-            if n > 24 or len(ws) < 8:
-                for w in ws:
-                    self.cache[w] = self.final(self.trace(self.forward(w, START, 0), 0, n))
-                continue
-            for k in range(0, len(ws), 16384):
-                self._learn_equal(ws[k : k + 16384], n)
-
-    def _learn_equal(self, ws: list[str], n: int) -> None:
-        chars = np.array(ws).view(np.uint32).reshape(len(ws), n)
-        prefix, power = self._hash(chars), np.array([pow(int(_PRIME), k, 1 << 64) for k in range(n + 1)], np.uint64)
-        last = np.full((len(ws), n + 1), -2, np.int64)
+    # stretches between places where no piece can cross
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of stretches (UTF-32), all of a length at once; few or very long ones singly."""
+        size = np.fromiter(map(len, new), np.int64, len(new)) >> 2
+        ids: list[np.ndarray] = []
+        lengths, order = np.zeros(len(new), np.int64), []
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            some = [new[i] for i in rows.tolist()]
+            if len(rows) < 8 or n > 64:
+                got = [self.trace(self.forward(s, START, 0), 0, n) for s in (x.decode("utf-32-le") for x in some)]
+                parts = [(np.array([i for g in got for i in g], np.int64), np.array([*map(len, got)], np.int64))]
+            else:
+                parts = [self._paths(np.frombuffer(b"".join(some[k : k + 8192]), "<u4").reshape(-1, n)) for k in range(0, len(some), 8192)]
+            ids += [p for p, _ in parts]
+            lengths[rows] = np.concatenate([m for _, m in parts])
+            order.append(rows)
+        at = np.concatenate(order)
+        flat, lengths[at] = self._final(np.concatenate(ids), lengths[at])
+        starts = np.zeros(len(new), np.int64)
+        starts[at] = np.cumsum(lengths[at]) - lengths[at]
+        return ragged(flat, starts, lengths), lengths
+
+    def _paths(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of every row in a row, and the rows' numbers of them."""
+        count, n = chars.shape
+        prefix, longest = self._prefixes(chars), min(n, self.longest)
+        pieces = [self.find((prefix[:, k:] - prefix[:, :-k] * self.power[k]).ravel()).reshape(count, -1) for k in range(1, longest + 1)]
+        pieces[0] = np.where(pieces[0] < 0, self.size + chars.astype(np.int64), pieces[0])
+        last = np.full((count, n + 1), -2, np.int64)
         last[:, 0] = START
         for j in range(1, n + 1):
-            for a in range(j - 1, max(0, j - self.longest) - 1, -1):
-                rows = np.flatnonzero((last[:, a] != -2) & (last[:, j] == -2))
+            for k in range(min(j, longest), 0, -1):
+                a = j - k
+                rows = np.flatnonzero((pieces[k - 1][:, a] >= 0) & (last[:, a] != -2) & (last[:, j] == -2))
                 if not len(rows):
                     continue
-                h = prefix[rows, j] - prefix[rows, a] * power[j - a]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                piece = np.where(hit, self.by_hash[at], self.size + chars[rows, a].astype(np.int64) if a == j - 1 else -2)
-                rows, piece = rows[piece >= 0], piece[piece >= 0]
-                pairs, back = np.unique(last[rows, a] + 1 << _BITS | piece, return_inverse=True)
-                good = np.array([self.compatible((p >> _BITS) - 1, p & (1 << _BITS) - 1) for p in pairs.tolist()], bool)
-                ok = good[back] if len(pairs) else np.zeros(0, bool)
-                last[rows[ok], j] = piece[ok]
-        for w, row in zip(ws, last.tolist(), strict=True):
-            self.cache[w] = self.final(self.trace(row, 0, n))
-
-    def final(self, ids: list[int]) -> bytes:
-        """Little-endian unsigned 32-bit ids, characters without a piece as bytes or unknown."""
-        if max(ids, default=0) >= self.size:
-            ids = [x for i in ids for x in ([i] if i < self.size else [self.bytes[b] for b in chr(i - self.size).encode()] if self.byte_fallback else [self.sp.unk_id()])]
-        return array("I", ids).tobytes()
+                here = pieces[k - 1][rows, a]
+                if not a:
+                    ok = self._of(self.sound, here, True)
+                else:
+                    ok = self._compatible_known(last[rows, a] << 22 | here)
+                last[rows[ok], j] = here[ok]
+        out = np.full((count, n), -2, np.int64)
+        to, every = np.full(count, n), np.arange(count)
+        for k in range(n - 1, -1, -1):
+            live = every[to > 0]
+            if not len(live):
+                break
+            i = last[live, to[live]]
+            out[live, k] = i
+            to[live] -= self._of(self.lengths, i, 1)
+        return out[out != -2], (out != -2).sum(axis=1)
+
+    def _final(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as bytes or unknown; ids in a row and their numbers."""
+        odd = np.flatnonzero(ids >= self.size)
+        if not len(odd):
+            return ids.astype(np.uint32), lengths
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        long = np.ones(len(ids), np.int64)
+        long[odd] = [len(chr(i).encode()) if self.byte_fallback else 1 for i in (ids[odd] - self.size).tolist()]
+        out = np.repeat(np.where(ids < self.size, ids, 0), long)
+        places = np.cumsum(long) - long
+        for k, i in zip(places[odd].tolist(), (ids[odd] - self.size).tolist(), strict=True):
+            raw = [self.bytes[b] for b in chr(i).encode()] if self.byte_fallback else [self.sp.unk_id()]
+            out[k : k + len(raw)] = raw
+        return out.astype(np.uint32), np.bincount(of, long, len(lengths)).astype(np.int64)
+
+    def borders(self, codes: np.ndarray) -> np.ndarray:
+        """Whether no piece can cross from each character to the next one."""
+        classes = self._classes(codes)
+        return self.apart[classes[:-1] * _CHARS + classes[1:]]
+
+    def encode_normalized(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in the library's normal form, in a row, and each text's number of them."""
+        import pyarrow as pa
+
+        raw = "".join(texts).encode("utf-32-le")
+        codes = np.frombuffer(raw, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        cut = np.zeros(len(codes) + 1, bool)
+        cut[1:-1] = self.borders(codes)
+        cut[0] = cut[-1] = True
+        cut[ends] = True
+        places = np.flatnonzero(cut)
+        stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer((4 * places).astype(np.int64)), pa.py_buffer(raw)])
+        numbered = stretches.dictionary_encode()
+        numbers = self.cache.numbers(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())[numbered.indices.to_numpy()]
+        ids, lengths = self.cache.young.ids(numbers)
+        before = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=before[1:])
+        return ids, np.diff(before[np.searchsorted(places, ends)], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 1024):
-            split = [self.cut(self.sp.normalize(t)) for t in texts[k : k + 1024]]
-            every = set().union(*split)
-            if new := every.difference(self.cache):
-                self.learn([*new])
-                if lost := every.difference(self.cache):  # the cache started anew
-                    keep, self.max_words = self.max_words, 2 * self.max_words + len(lost)
-                    self.learn([*lost])
-                    self.max_words = keep
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+        """Little-endian unsigned 32-bit ids of texts, a few megabytes at a time."""
+        out, k = [], 0
+        while k < len(texts):
+            to, size = k, 0
+            while to < len(texts) and (to == k or size + len(texts[to]) <= STEP):
+                size += len(texts[to])
+                to += 1
+            ids, lengths = self.encode_normalized([self.sp.normalize(t) for t in texts[k:to]])
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            k = to
         return out
 
-    def decode(self, raw: bytes) -> str:
-        """Text of ids: bytes from byte pieces, spaces from the space mark, the prefix space dropped."""
+    def final(self, ids: list[int]) -> bytes:
+        """Little-endian unsigned 32-bit ids, characters without a piece as bytes or unknown."""
+        flat, _ = self._final(np.array(ids, np.int64), np.array([len(ids)]))
+        return array("I", flat.tolist()).tobytes()
+
+    def decode(self, raws: list[bytes]) -> list[str]:
+        """Texts of ids: bytes from byte pieces, spaces from the space mark, the prefix space dropped."""
         if not hasattr(self, "_spelled"):
-            self._spelled = [p.encode() for p in self.text]
+            spelled = [p.replace(SPACE, " ").encode() for p in self.text]
             for b, i in enumerate(self.bytes if self.byte_fallback else []):
-                self._spelled[i] = bytes([b])
-        spelled = self._spelled
-        joined = b"".join(map(spelled.__getitem__, np.frombuffer(raw, "<u4").tolist())).decode("utf-8", "replace")
-        return joined.replace(SPACE, " ").removeprefix(" ")
+                spelled[i] = bytes([b])
+            self._spelled = np.frombuffer(b"".join(spelled), np.uint8)
+            self._spelled_length = np.array([*map(len, spelled)], np.int64)
+            self._spelled_start = np.cumsum(self._spelled_length) - self._spelled_length
+        out = []
+        for k in range(0, len(raws), 256):
+            ids = np.frombuffer(b"".join(raws[k : k + 256]), "<u4")
+            lengths = self._spelled_length[ids]
+            size = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(lengths, out=size[1:])
+            blob = ragged(self._spelled, self._spelled_start[ids], lengths).tobytes()
+            ends = size[np.cumsum([len(r) // 4 for r in raws[k : k + 256]])].tolist()
+            out += [blob[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     # chunks of giant texts
 
-    def borders(self, s: str, chunk: int) -> list[int]:
-        """Where to cut a normalized text: a word border if the chunk has one, else anywhere."""
-        out, at, n = [], 0, len(s)
-        while n - at > chunk + self.longest:
-            to = at + chunk
-            back = to
-            while back > at and not (s[back] == SPACE and s[back - 1] != SPACE):
-                back -= 1
-            at = back if back > at else to
-            out.append(at)
-        return out
-
     def states(self, around: str, border: int) -> list[tuple[int, int]]:
         """Pieces over or up to a border inside ``around``: (id, places its end is behind the border).
 
-        At a word border only the end of the word before counts, whatever its last piece: START."""
-        if border == 0 or border == len(around) or around[border] == SPACE and around[border - 1] != SPACE:
+        Where no piece can cross, only that a path ends there counts, whatever its last piece: START."""
+        if border == 0 or border == len(around) or self.borders(np.array([*map(ord, around[border - 1 : border + 1])], np.uint32))[0]:
             return [(START, 0)]
         out = []
         for a in range(max(0, border - self.longest), border):
@@ -234,42 +387,30 @@ class PieceScan:
                     out.append((i, b - border))
         return out
 
-    def walk(self, s: str, n: int, entries: list[tuple[int, int]], exits: list[tuple[int, int]]) -> np.ndarray:
-        """Transfer matrix of the chunk s[:n]; s goes on for up to ``longest`` characters behind it."""
-        out = np.full((len(entries), len(exits)), -np.inf)
-        known: list = []
-        for x, (entry, at) in enumerate(entries):
-            last = self._run(s, n, entry, at, exits, known)
-            for y, (i, over) in enumerate(exits):
-                end = n + over
-                got = last[end] if i != START else last[n]
-                if got is not None and (i == START or got == i):
-                    if end == at and entry == i:
-                        out[x, y] = 0
-                    elif end - len(self.piece(got)) >= at:
-                        out[x, y] = len(self.trace(last, at, end))
-            known.append(last)
+    def cut(self, s: str, n: int) -> tuple[int, int]:
+        """The first and last place of s[:n] behind its start where no piece can cross (-1: none)."""
+        if n == 0:
+            return -1, -1
+        free = np.flatnonzero(self.borders(np.array([*map(ord, s)], np.uint32))) + 1
+        free = free[free <= n].tolist()
+        if len(s) == n:
+            free.append(n)
+        return (free[0], free[-1]) if free else (-1, -1)
+
+    def ends_at(self, last: list, at: int, exits: list[tuple[int, int]], n: int, entry: int) -> list[list[int] | None]:
+        """Pieces behind place ``at`` on the path to each exit of a border at ``n``; None: it does not lead there."""
+        out = []
+        for i, over in exits:
+            end = n + over
+            got = last[end] if end < len(last) else None
+            if got is None or (i != START and got != i):
+                out.append(None)
+            elif end == at:
+                out.append([] if i in (START, entry) else None)
+            else:
+                out.append(self.trace(last, at, end) if end - len(self.piece(got)) >= at else None)
         return out
 
-    def _run(self, s: str, n: int, entry: int, at: int, exits: list, known: list) -> list:
-        """As forward(), word by word: at word borders inside the chunk every path starts anew."""
-        part = s[: n if exits == [(START, 0)] else len(s)]
-        cuts = [m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", part) if m.start() > at]
-        last: list = [None] * (len(part) + 1)
-        bounds = [at, *(c for c in cuts if c <= n), len(part)]
-        state = entry
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if a == b:
-                continue
-            short = [k[a : b + 1] for k in known if len(k) == len(last)] if state != START and b - a > 64 else None
-            got = self.forward(part[a:b], state, 0, [k for k in short if k[0] is not None] if short else None)
-            last[a + 1 : b + 1] = got[1:]
-            if last[b] is None and b <= n:
-                return last
-            state = START
-        last[at] = entry
-        return last
-
 
 @lru_cache(maxsize=4)
 def scan_of(path: str) -> PieceScan:
@@ -277,103 +418,166 @@ def scan_of(path: str) -> PieceScan:
     return PieceScan(path)
 
 
-def _chunks(scan_path: str, size: int):
+def _chunks(model: str, size: int):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = scan_of(scan_path)
+        scan = scan_of(model)
         for pdf in batches:
             for rid, t in zip(pdf["rid"], pdf["t"], strict=True):
                 s = scan.sp.normalize(t)
-                cuts = [0, *scan.borders(s, size), len(s)]
+                cuts = [*range(0, max(1, len(s) - scan.longest), size), len(s)]
                 rows = [(rid, k, s[max(0, a - scan.longest) : a], s[a:b], s[b : b + scan.longest]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["rid", "k", "before", "body", "after"])
+                for k in range(0, len(rows), 256):
+                    yield pd.DataFrame(rows[k : k + 256], columns=["rid", "k", "before", "body", "after"])
 
     return run
 
 
-def _states(scan: PieceScan, row) -> tuple[list, list]:
-    s = row.before + row.body + row.after
-    a = len(row.before)
-    return scan.states(s, a), scan.states(s, a + len(row.body))
+class _Chunk:
+    """A chunk with its states and the parts that its paths have: a head for each entry, stretches, a tail for each exit."""
+
+    def __init__(self, scan: PieceScan, before: str, body: str, after: str):
+        self.scan, self.s, self.n = scan, body + after, len(body)
+        whole, a = before + self.s, len(before)
+        self.entries, self.exits = scan.states(whole, a), scan.states(whole, a + self.n)
+        self.first, self.last = scan.cut(self.s, self.n)
+        if self.entries == [(START, 0)]:
+            self.first = 0
+            self.last = max(self.last, 0)
+        self.middle = self.s[self.first : self.last] if self.first >= 0 else ""
+
+    def heads(self) -> list[list[int] | None]:
+        """Of each entry the pieces up to the first free place."""
+        out = []
+        for i, at in self.entries:
+            last = self.scan.forward(self.s[: self.first], i, at) if at <= self.first else None
+            out.append(None if last is None or last[self.first] is None else self.scan.trace(last, at, self.first))
+        return out
+
+    def tails(self) -> list[list[int] | None]:
+        """Of each exit the pieces from the last free place."""
+        last = self.scan.forward(self.s[self.last :], START, 0)
+        return self.scan.ends_at(last, 0, self.exits, self.n - self.last, START)
+
+    def through(self) -> list[list[list[int] | None]]:
+        """Without a free place: the pieces from each entry to each exit."""
+        out, known = [], []
+        for i, at in self.entries:
+            last = self.scan.forward(self.s, i, at, known)
+            out.append(self.scan.ends_at(last, at, self.exits, self.n, i))
+            known.append(last)
+        return out
+
+    def matrix(self, between: int) -> np.ndarray:
+        weigh = lambda parts: np.array([-np.inf if p is None else len(p) for p in parts])
+        if self.first < 0:
+            return np.stack([weigh(row) for row in self.through()])
+        return weigh(self.heads())[:, None] + between + weigh(self.tails())[None, :]
+
+    def ids(self, entry: int, exit_: int, between: bytes) -> bytes:
+        if self.first < 0:
+            return self.scan.final(self.through()[entry][exit_])
+        return self.scan.final(self.heads()[entry]) + between + self.scan.final(self.tails()[exit_])
+
 
+def _batch_chunks(scan: PieceScan, pdf) -> Iterator[tuple]:
+    """Chunks of a batch, each with its row and its stretches' ids; those of some chunks are looked up together."""
+    for k in range(0, len(pdf), 256):
+        part = pdf.iloc[k : k + 256]
+        chunks = [_Chunk(scan, *x) for x in zip(part["before"], part["body"], part["after"], strict=True)]
+        ids, lengths = scan.encode_normalized([c.middle for c in chunks])
+        yield from zip(part.itertuples(), chunks, np.split(ids, np.cumsum(lengths)[:-1]), strict=True)
 
-def _matrices(scan_path: str):
+
+def _matrices(model: str):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = scan_of(scan_path)
+        scan = scan_of(model)
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                entries, exits = _states(scan, row)
-                word = [entries, exits] == [[(START, 0)]] * 2  # one path: no need to walk it yet
-                m = np.zeros((1, 1)) if word else scan.walk(row.body + row.after, len(row.body), entries, exits)
-                out.append((row.rid, row.k, m.shape[1], m.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["rid", "k", "width", "cells"])
+            made = [(row.rid, row.k, chunk.matrix(len(ids))) for row, chunk, ids in _batch_chunks(scan, pdf)]
+            yield pd.DataFrame([(r, k, m.shape[1], m.ravel().tolist()) for r, k, m in made], columns=["rid", "k", "width", "cells"])
 
     return run
 
 
-def _combine(pdf):
-    """Entry and exit state of every chunk of one document: products from the left, then the
+def _unpacked(pdf) -> list[np.ndarray]:
+    return [np.array(c).reshape(-1, w) for c, w in zip(pdf["cells"], pdf["width"], strict=True)]
+
+
+def _product(pdf):
+    """The max-plus product of up to FAN neighbouring matrices of one document."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("k")
+    first, *rest = _unpacked(pdf)
+    for m in rest:
+        first = (first[:, :, None] + m[None, :, :]).max(axis=1)
+    return pd.DataFrame({"rid": pdf["rid"].iloc[:1], "k": pdf["up"].iloc[:1], "width": [first.shape[1]], "cells": [first.ravel().tolist()]})
+
+
+def _handed_down(pdf):
+    """Entry and exit state of each of up to FAN neighbours, given those of them together: products from the left, then the
     only finite path back from the right."""
     pdf = pdf.sort_values("k")
-    mats = [np.array(c).reshape(-1, w) for c, w in zip(pdf["cells"], pdf["width"], strict=True)]
-    reach = [np.zeros(1)]
+    mats = _unpacked(pdf)
+    reach = [np.full(len(mats[0]), -np.inf)]
+    reach[0][int(pdf["entry"].iloc[0])] = 0
     for m in mats:
         reach.append((reach[-1][:, None] + m).max(axis=0))
-    state, path = 0, [0]
+    path = [int(pdf["exit"].iloc[0])]
     for m, before in zip(mats[::-1], reach[-2::-1], strict=True):
-        state = int((before + m[:, state]).argmax())
-        path.append(state)
+        path.append(int((before + m[:, path[-1]]).argmax()))
     path = path[::-1]
     return pdf[["rid", "k"]].assign(entry=path[:-1], exit=path[1:])
 
 
-def _pieces(scan_path: str):
+def _told_states(mats: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """rid, k, entry, exit of every chunk: matrices are combined up a tree of fixed height, states handed down it."""
+    up = lambda top: F.floor(F.col("k") / fan).cast("int") if not top else F.lit(0)
+    tree = [mats]
+    for level in range(1, levels):
+        made = tree[-1].withColumn("up", up(False)).groupBy("rid", "up").applyInPandas(_product, "rid long, k int, width int, cells array<double>")
+        tree.append(materialize(made, f"scan-level-{level}"))
+    told = tree[-1].select("rid", F.lit(0).alias("up")).distinct().withColumns({"entry": F.lit(0), "exit": F.lit(0)})
+    for level in reversed(range(levels)):
+        below = tree[level].withColumn("up", up(level == levels - 1))
+        told = below.join(told, ["rid", "up"]).groupBy("rid", "up").applyInPandas(_handed_down, "rid long, k int, entry int, exit int")
+        told = told.withColumnRenamed("k", "up") if level else told
+    return told
+
+
+def _pieces(model: str):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        scan = scan_of(scan_path)
+        scan = scan_of(model)
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                entries, exits = _states(scan, row)
-                (entry, at), (i, over) = entries[row.entry], exits[row.exit]
-                if entry == START and i == START and at == 0:
-                    words = scan.cut(row.body)
-                    if new := set(words).difference(scan.cache):
-                        scan.max_words = max(scan.max_words, 2 * len(new))
-                        scan.learn([*new])
-                        if lost := set(words).difference(scan.cache):
-                            scan.learn([*lost])
-                    raw = b"".join(scan.cache[w] for w in words)
-                else:
-                    last = scan._run(row.body + row.after, len(row.body), entry, at, [(i, over)], [])
-                    raw = scan.final(scan.trace(last, at, len(row.body) + over))
-                out.append((row.rid, row.k, raw))
+            out = [(row.rid, row.k, chunk.ids(row.entry, row.exit, ids.astype("<u4").tobytes())) for row, chunk, ids in _batch_chunks(scan, pdf)]
             yield pd.DataFrame(out, columns=["rid", "k", "ids"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) for each row of ``docs``; as the library's encode().
 
-    Null texts are empty and have no ids; repeated rows and keys stay rows of their own; no rows give no rows."""
+    Null texts are empty and have no ids; repeated rows and keys stay rows of their own; an empty table gives none. Other columns
+    of ``docs`` are never read, so their names cannot clash; texts may be as long as a Spark string."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = F.char_length("t")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     small = rows.where(n < giant).mapInPandas(_small_keyed(model), "doc_id long, ids binary")
     large = materialize(rows.where(n >= giant), "giant-texts")
-    chunks = materialize(large.select("rid", "t").mapInPandas(_chunks(model, chunk), "rid long, k int, before string, body string, after string").repartition("rid", "k"), "giant-chunks")
-    mats = chunks.mapInPandas(_matrices(model), "rid long, k int, width int, cells array<double>")
-    paths = mats.groupBy("rid").applyInPandas(_combine, "rid long, k int, entry int, exit int")
-    told = chunks.join(paths, ["rid", "k"])
-    parts = told.mapInPandas(_pieces(model), "rid long, k int, ids binary")
+    cut = large.select("rid", "t").mapInPandas(_chunks(model, chunk), "rid long, k int, before string, body string, after string")
+    chunks = materialize(cut.repartition(parts, "rid", "k"), "giant-chunks")
+    mats = materialize(chunks.mapInPandas(_matrices(model), "rid long, k int, width int, cells array<double>"), "scan-level-0")
+    told = chunks.join(_told_states(mats, fan), ["rid", "k"])
+    pieces = told.mapInPandas(_pieces(model), "rid long, k int, ids binary")
     # a document is a row in any case, so its parts may meet in one
-    whole = parts.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("parts"))
+    whole = pieces.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("parts"))
     joined = whole.select("rid", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
     return small.unionByName(large.select("rid", "doc_id").join(joined, "rid").select("doc_id", "ids"))
 
@@ -384,15 +588,15 @@ def _small_keyed(model: str):
 
         scan = scan_of(model)
         for pdf in batches:
-            for k in range(0, len(pdf), 1024):
-                part = pdf.iloc[k : k + 1024]
+            for k in range(0, len(pdf), 2048):
+                part = pdf.iloc[k : k + 2048]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": scan.encode(part["t"].tolist())})
 
     return run
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, text of rows of :func:`encode_documents`."""
+    """doc_id, n_tokens, ids_crc32, text of rows of :func:`encode_documents`; no rows give none."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -402,7 +606,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
                 raw = [bytes(x) for x in part["ids"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in raw], "ids_crc32": [zlib.crc32(x) for x in raw], "text": [scan.decode(x) for x in raw]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in raw], "ids_crc32": [zlib.crc32(x) for x in raw], "text": scan.decode(raw)})
 
     return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, text string")
 

@@ -555,3 +555,23 @@ def test_short_license_notices_always_meet(spark):
     docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} {t} e{i} f{i} g{i} h{i}") for i, t in enumerate(templates.values())], "doc_id long, text string")
     got = rows_of(scan_licenses(docs, templates))
     assert [got[i]["licenses"] for i in range(200)] == [f"n{i:03d}:1.000" for i in range(200)]
+
+
+def test_scan_of_long_runs_and_many_levels(spark):
+    """Chunks whose borders lie inside runs that hold no free place, and a tree of more than one level."""
+    import sentencepiece
+
+    from spinlattice.llm.sentencepiece_scan import encode_documents, scan_of
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=model), random.Random(11)
+    run = "".join(rng.choice("aeioustrnlthing") for _ in range(3000))
+    texts = [run, run + " " + run[:700] + ", " + run[5:900], "the quick brown fox " * 400, "日本語" * 300 + run[:50], "  x  " * 200, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (40, 333):
+        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in encode_documents(docs, model, giant=100, chunk=chunk, fan=6).collect()}
+        assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+    scan = scan_of(model)
+    ids = [i for i in scan.ids.values() if scan.sound[i]] + [scan.size + 0x4E00]
+    a, b = (np.array([rng.choice(ids) for _ in range(4000)]) for _ in range(2))
+    assert scan.compatible_pairs(a, b).tolist() == [scan.compatible(int(x), int(y)) for x, y in zip(a, b, strict=True)]
