@@ -37,7 +37,7 @@ GIANT, CHUNK = 32_768, 8_192
 #: Matrices that are combined at once, and how often: FAN**LEVELS chunks are more than a Spark string can hold.
 FAN, LEVELS = 64, 3
 #: Characters of text that are worked on at a time.
-STEP = 4 << 20
+STEP = 3 << 19
 SPACE = "▁"
 START = -1
 _PRIME = np.uint64(0x100000001B3)
@@ -53,7 +53,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -102,7 +102,7 @@ class PieceScan:
 
     @staticmethod
     def _classes(codes: np.ndarray) -> np.ndarray:
-        out = np.minimum(codes, _CHARS - 1).astype(np.int64)
+        out = np.minimum(codes, _CHARS - 1).astype(np.int32)
         out[codes == _CHARS - 2] = _CHARS - 1
         out[codes == ord(SPACE)] = _CHARS - 2
         return out
@@ -536,14 +536,17 @@ def _handed_down(pdf):
 def _told_states(mats: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     """rid, k, entry, exit of every chunk: matrices are combined up a tree of fixed height, states handed down it."""
     up = lambda top: F.floor(F.col("k") / fan).cast("int") if not top else F.lit(0)
+    # small rows, much work: an explicit number of partitions keeps Spark from putting them together by size
+    parts = int(mats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, "rid", "up")
     tree = [mats]
     for level in range(1, levels):
-        made = tree[-1].withColumn("up", up(False)).groupBy("rid", "up").applyInPandas(_product, "rid long, k int, width int, cells array<double>")
+        made = dealt(tree[-1].withColumn("up", up(False))).groupBy("rid", "up").applyInPandas(_product, "rid long, k int, width int, cells array<double>")
         tree.append(materialize(made, f"scan-level-{level}"))
     told = tree[-1].select("rid", F.lit(0).alias("up")).distinct().withColumns({"entry": F.lit(0), "exit": F.lit(0)})
     for level in reversed(range(levels)):
         below = tree[level].withColumn("up", up(level == levels - 1))
-        told = below.join(told, ["rid", "up"]).groupBy("rid", "up").applyInPandas(_handed_down, "rid long, k int, entry int, exit int")
+        told = dealt(below.join(told, ["rid", "up"])).groupBy("rid", "up").applyInPandas(_handed_down, "rid long, k int, entry int, exit int")
         told = told.withColumnRenamed("k", "up") if level else told
     return told
 
@@ -588,8 +591,8 @@ def _small_keyed(model: str):
 
         scan = scan_of(model)
         for pdf in batches:
-            for k in range(0, len(pdf), 2048):
-                part = pdf.iloc[k : k + 2048]
+            for k in range(0, len(pdf), 1024):
+                part = pdf.iloc[k : k + 1024]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": scan.encode(part["t"].tolist())})
 
     return run
