@@ -1,14 +1,13 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
-k-mers are five words in a row, numbered by occurrence so that repeats count. Each hashes
-once; the top six bits deal it to one of 64 components (one-permutation hashing), and
-each component selects its two k-mers of least hash, puts them back in text order and
-hashes that tuple. Equal components therefore mean equal k-mers in equal order: moving
-blocks of text, which plain MinHash does not see, changes them.
-
-Everything is array arithmetic inside a row. A k-mer is packed into one long with its place
-in the low 24 bits, so both sorts (by k-mer to number occurrences, by hash to select) run
-on primitive arrays.
+k-mers are five words in a row, numbered by occurrence so that repeats count. Component j of COMPONENTS has an order of its own on
+hashed k-mers: along the ring of all hashes from its anchor j / COMPONENTS on. It selects the two k-mers of least order,
+puts them back in text order and hashes that tuple. Every component of a text of two k-mers or more so holds an order, and
+equal components mean equal k-mers in equal order: moving blocks of text, which plain MinHash does not see, changes them.
+
+Everything is array arithmetic inside a row. A k-mer is packed into one long with its place in as many low bits as the text
+needs, so both sorts (by k-mer to number occurrences, by hash to select) run on primitive arrays. A Spark string holds fewer than
+2**PLACE words; a k-mer's identity in a fingerprint is the 64 - PLACE bits of its hash that no place can take, in texts of all lengths.
 """
 
 from __future__ import annotations
@@ -20,58 +19,68 @@ from .common import let, range_bounds, range_bucket, table, words
 
 K = 5
 COMPONENTS = 64
-#: Bits of a place; texts of more k-mers than 2**24 share the last place among the rest.
-PLACE = 24
-_LOW = (1 << PLACE) - 1
+#: Bits that a place takes at most.
+PLACE = 30
 EMPTY = "...."
 
 
-def _pack(hashed: Column, place: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.least(place, F.lit(_LOW)).cast("long"))
+def _mask(n: Column) -> Column:
+    """The low bits that the places of n k-mers take."""
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
 
-def _edges(packed: Column, same_bits: int) -> Column:
-    """Places in a sorted array where the part above ``same_bits`` begins anew."""
-    top = lambda j: F.shiftright(F.get(packed, j), same_bits)
-    return F.filter(F.sequence(F.lit(0), F.size(packed) - 1), lambda j: (j == 0) | (top(j) != top(j - 1)))
+def _identity(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(-1 << PLACE))
+
+
+def _pack(hashed: Column, mask: Column, place: Column) -> Column:
+    return hashed.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(place.cast("long"))
 
 
 def fingerprint_columns(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` and column ``name``: COMPONENTS times four hex digits, or EMPTY where no k-mer fell.
+    """``df`` and column ``name``: COMPONENTS times four hex digits.
 
-    Shorter texts are one k-mer; null texts and those without words have only EMPTY. Each
-    step is a projection of its own that later steps read more than once, so none is evaluated again for every element.
+    Texts of one to five words are one k-mer, which every component hashes alone; null texts and those without words have only EMPTY. Ties
+    of hashes go by place. Each step is a projection of its own that later steps read more than once, so none is evaluated again for every element.
     """
     keep = df.columns
-    w, h, p, e, q, s, b = (f"_{name}_{x}" for x in "whpeqsb")
+    w, h, p, e, q, s = (f"_{name}_{x}" for x in "whpeqs")
     df = df.select(*keep, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias(w))
     n = F.size(w) - (K - 1)
     kmer = lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(K)))
-    many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pack(kmer(i), i))
-    one = F.array(_pack(F.xxhash64(F.col(w)), F.lit(0)))
+    many = let(_mask(n), lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pack(kmer(i), m, i)))
+    one = F.array(_pack(F.xxhash64(F.col(w)), F.lit(1).cast("long"), F.lit(0)))
     df = df.select(*keep, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(n < 1, one).otherwise(many).alias(h))
     df = df.select(*keep, F.sort_array(h).alias(p))
-    df = df.select(*keep, p, F.when(F.size(p) > 0, _edges(F.col(p), PLACE)).otherwise(F.array().cast("array<int>")).alias(e))
+    # places in the sorted array where another k-mer begins
+    top = lambda m, j: F.get(F.col(p), j).bitwiseAND(F.bitwise_not(m))
+    edges = let(_mask(F.size(p)), lambda m: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: (j == 0) | (top(m, j) != top(m, j - 1))))
+    df = df.select(*keep, p, F.when(F.size(p) > 0, edges).otherwise(F.array().cast("array<int>")).alias(e))
     # occurrence numbers, aligned with the sorted k-mers: 1, 2, ... within each run
     runs = F.transform(e, lambda a, k: F.sequence(F.lit(1), F.coalesce(F.get(F.col(e), k + 1), F.size(p)) - a))
-    numbered = F.zip_with(p, F.flatten(runs), lambda x, o: _pack(F.xxhash64(F.shiftright(x, PLACE), o), x.bitwiseAND(F.lit(_LOW))))
+    numbered = let(_mask(F.size(p)), lambda m: F.zip_with(p, F.flatten(runs), lambda x, o: _pack(F.xxhash64(_identity(x), o), m, x.bitwiseAND(m))))
     df = df.select(*keep, numbered.alias(q))
     df = df.select(*keep, F.sort_array(q).alias(s))
-    df = df.select(*keep, s, F.when(F.size(s) > 0, _edges(F.col(s), 58)).otherwise(F.array().cast("array<int>")).alias(b))
+    size, mask = F.size(s), _mask(F.size(s))
+
+    def component(m: Column, steps: Column, anchor: Column) -> Column:
+        # how many hashes are below the anchor: a binary search, each step half as wide
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(F.col(s), at + step - 1) < anchor), at + step).otherwise(at))
 
-    def component(j: Column) -> Column:
-        x, y = F.get(F.col(s), j), F.get(F.col(s), j + 1)
-        paired = y.isNotNull() & (F.shiftright(y, 58) == F.shiftright(x, 58))
-        place, rank = (lambda v: v.bitwiseAND(F.lit(_LOW))), (lambda v: F.shiftright(v, PLACE))
-        pair = F.when(place(x) <= place(y), F.xxhash64(rank(x), rank(y))).otherwise(F.xxhash64(rank(y), rank(x)))
-        return F.when(paired, pair).otherwise(F.xxhash64(rank(x)))
+        def chosen(at: Column) -> Column:
+            x, y = F.get(F.col(s), at % size), F.get(F.col(s), (at + 1) % size)
+            first = x.bitwiseAND(m) <= y.bitwiseAND(m)
+            pair = F.when(first, F.xxhash64(_identity(x), _identity(y))).otherwise(F.xxhash64(_identity(y), _identity(x)))
+            return F.when(size == 1, F.xxhash64(_identity(x))).otherwise(pair)
+
+        return let(below, chosen)
 
     digits = lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
-    found = F.map_from_arrays(F.transform(b, lambda j: F.shiftrightunsigned(F.get(F.col(s), j), 58)), F.transform(b, lambda j: digits(component(j))))
-    # bound by let(): inlined into the lambda, the map would be built again for every component
-    every = let(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("long")), F.lit(EMPTY))))
-    text_ = F.when(F.size(b) == 0, F.lit(EMPTY * COMPONENTS)).otherwise(F.array_join(every, ""))
-    return df.select(*keep, text_.alias(name))
+    anchors = F.array(*(F.lit((j << 58) - (1 << 63)) for j in range(COMPONENTS)))
+    halves = F.transform(F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0)), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    every = let(F.struct(mask.alias("m"), halves.alias("steps")), lambda t: F.transform(anchors, lambda a: digits(component(t["m"], t["steps"], a))))
+    return df.select(*keep, F.when(size == 0, F.lit(EMPTY * COMPONENTS)).otherwise(F.array_join(every, "")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,7 +121,10 @@ def with_next(df: DataFrame, key: str, columns: list[str], first: list[str]) ->
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of op6_order_minhash for each row of ``docs``. Null texts are empty."""
+    """The columns of op6_order_minhash for each row of ``docs``.
+
+    Null texts are empty; the row after a row is the next in ascending key order, null keys first, tied keys by text (repeated rows follow each
+    other); a single row follows itself; no rows give no rows. Other columns of ``docs`` are never read, so their names cannot clash."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     marked = fingerprint_columns(rows, "body", "fingerprint")
     both = with_next(marked, "doc_id", ["body", "fingerprint"], ["body"])
