@@ -5,8 +5,9 @@ is the format's record terminator, so a finished job leaves whole archives and a
 none. Records of equal payload after the first are ``revisit`` records without payload.
 
 Index: reading an archive gives a run of captures sorted by URL key and time. The
-key space is cut into ranges, and each range's parts of the runs meet in a k-way merge by a tree of losers: one comparison a level for each capture, in order of
-(URL key, timestamp, page_id) over the whole archive.
+key space is cut into ranges of about RANGE captures, so their number grows with the index and their size does not, and each range's parts of the runs
+meet in a k-way merge by a tree of losers: one comparison a level for each capture, in order of
+(URL key, timestamp, page_id) over the whole archive. A merge holds its range's captures once, as they came, and yields as it merges.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from .common import materialize, new_path, table
 END = "\r\n\r\n"
 #: Bytes that an archive file has, about; a file is read by one task.
 FILE_BYTES = 8 << 20
+#: Captures that a range of the merged index has, about.
+RANGE = 50_000
+#: Parts that copies of one payload are told their response in.
+SALTS = 8
 #: Captures take their time from the page's number unless a column gives it.
 FIRST_CAPTURE = 1_704_067_200  # 2024-01-01T00:00:00Z
 
@@ -80,18 +86,23 @@ class LoserTree:
             self._play(w)
 
 
-def records(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """page_id and the text of its WARC record (without the terminator).
+def records(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html", time: str | None = None) -> DataFrame:
+    """The text of every page's WARC record (without the terminator).
 
-    Null payloads are empty. Of equal payloads of ``least_bytes`` or more, the smallest page_id is
-    the response. Grouping is by SHA-1 and length, pre-aggregated; only digests travel to a hot group.
+    Null payloads and URLs are empty, a null page_id is an empty record number; repeated pages are records of their own. Of equal payloads of
+    ``least_bytes`` or more, the smallest page_id is the response (of rows that tie there, all are). ``time`` names the captures' timestamps;
+    without it, or where it is null, a time is made from the page's number. Grouping is by SHA-1 and length, pre-aggregated, and copies learn
+    their response in SALTS parts, so no payload is one task. No rows give no records; other columns are never read.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
+    when = F.unix_timestamp(F.col(time).cast("timestamp")) if time else F.lit(None).cast("long")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"), when.alias("seconds"))
     rows = rows.withColumn("sha", F.sha1("body")).withColumn("size", F.octet_length("body").cast("long"))
     first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
     # only pages whose payload occurs again need to be told their response
-    again = rows.where(F.col("size") >= least_bytes).select("page_id", "sha", "size").join(first.where("copies > 1"), ["sha", "size"]).where("page_id <> first")
+    dealt = rows.where(F.col("size") >= least_bytes).select("page_id", "sha", "size", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copied = first.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = dealt.join(copied, ["sha", "size", "salt"]).where("page_id <> first")
     told = again.groupBy("page_id", "sha", "size").agg(F.min("first").alias("refers_to"))
     both = rows.join(told, ["page_id", "sha", "size"], "left")
 
@@ -105,7 +116,8 @@ def records(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: s
             for r in pdf.itertuples():
                 number = "" if pd.isna(r.page_id) else int(r.page_id)
                 digest = base64.b32encode(bytes.fromhex(r.sha)).decode()
-                date = datetime.fromtimestamp(FIRST_CAPTURE + (number or 0) % (1 << 32), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+                seconds = FIRST_CAPTURE + (number or 0) % (1 << 32) if pd.isna(r.seconds) else int(r.seconds)
+                date = datetime.fromtimestamp(seconds, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
                 revisit = not pd.isna(r.refers_to)
                 target = " ".join(r.url.split())
                 http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -115,7 +127,7 @@ def records(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: s
                 out.append(head + block)
             yield pd.DataFrame({"value": out})
 
-    return both.select("page_id", "url", "body", "sha", "size", "refers_to").mapInPandas(run, "value string")
+    return both.select("page_id", "url", "body", "sha", "size", "refers_to", "seconds").mapInPandas(run, "value string")
 
 
 def write_warc(pages: DataFrame, path: str, **names) -> None:
@@ -160,7 +172,7 @@ def parse(content: bytes, file: str) -> Iterator[tuple]:
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """A row for each capture: run (the archive's name), place in the run, and CAPTURE's columns.
 
-    Runs are sorted by (url_key, timestamp, page_id)."""
+    Runs are sorted by (url_key, timestamp, page_id), each in memory: an archive is FILE_BYTES or one record."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -177,27 +189,34 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, f"place long, {CAPTURE}")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The global index in order of part, position: CAPTURE's columns with those two.
+def merge_runs(runs: DataFrame, captures: int = RANGE) -> DataFrame:
+    """The global index in order of part, position: CAPTURE's columns with those two. Repeated captures stay, in order of their file.
 
-    Parts are ranges of (url_key, timestamp, page_id), so captures of one URL can be split."""
+    Parts are ranges of (url_key, timestamp, page_id) of about ``captures``, so the history of one URL can be split."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
         from pyspark import TaskContext
 
+        def rows_of(parts: list) -> Iterator[tuple]:
+            for part in parts:
+                yield from part.itertuples(index=False, name=None)
+
         by_run: dict[str, list] = {}
         for pdf in batches:  # sorted by (file, place): each run's part comes in its own order
-            for row in pdf[_FIELDS].itertuples(index=False, name=None):
-                by_run.setdefault(row[7], []).append(row)
-        merged = list(LoserTree([*map(iter, by_run.values())])) if by_run else []
-        for k in range(0, len(merged), 20_000):
-            out = pd.DataFrame(merged[k : k + 20_000], columns=_FIELDS)
+            for file, part in pdf[_FIELDS].groupby("file", sort=False):
+                by_run.setdefault(file, []).append(part)
+        merged, at = iter(LoserTree([rows_of(parts) for parts in by_run.values()])), 0
+        while rows := list(islice(merged, 20_000)):
+            out = pd.DataFrame(rows, columns=_FIELDS)
             out.insert(0, "part", TaskContext.get().partitionId())
-            out["position"] = range(k, k + len(out))
+            out["position"] = range(at, at + len(out))
+            at += len(out)
             yield out
 
-    dealt = runs.repartitionByRange("url_key", "timestamp", "page_id").sortWithinPartitions("file", "place")
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // captures))
+    # the shuffle into ranges mixes the runs' rows; sorting by run and place puts each run's part back in the order it was sorted in
+    dealt = runs.repartitionByRange(parts, "url_key", "timestamp", "page_id").sortWithinPartitions("file", "place")
     return dealt.mapInPandas(run, f"part int, {CAPTURE}, position long")
 
 
