@@ -63,9 +63,9 @@ def profile_weights(genre: Column) -> Column:
 
 
 def normalize_text(s: Column) -> Column:
-    """Lower case, letters, digits and single spaces only."""
-    kept = F.regexp_replace(F.lower(F.trim(s)), r"[^\p{L}\p{N}\s]", "")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    """Lower case, letters, digits and single spaces only; other white space separates no words."""
+    kept = F.regexp_replace(F.lower(s), r"[^\p{IsAlphabetic}\p{N} ]", "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
 
 
 def tokens(s: Column) -> Column:

@@ -174,9 +174,9 @@ def newest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def progress(tracks: DataFrame, queued: int, elapsed_s: float) -> DataFrame:
-    """Analysis progress with rate and time to go."""
-    done = F.count_if(c("status") == "analyzed")
-    got = tracks.agg(F.count("*").alias("total"), done.alias("completed"))
-    rate = c("completed") / F.lit(elapsed_s)
-    return got.select("total", "completed", F.least(c("total") - c("completed"), F.lit(queued)).alias("in_progress"), rate.alias("per_second"), F.when(rate > 0, (c("total") - c("completed")) / rate).alias("eta_s"))
+def progress(tracks: DataFrame, queued: int, elapsed_s: float, finished: int) -> DataFrame:
+    """Analysis progress; the rate is that of the queue (``finished`` tracks in ``elapsed_s``), the time to go 0 without a rate."""
+    got = tracks.agg(F.count("*").alias("total"), F.count_if(c("status") == "analyzed").alias("completed"))
+    rate = finished / elapsed_s if elapsed_s > 0 and finished > 0 else 0.0
+    left = c("total") - c("completed")
+    return got.select("total", "completed", F.least(left, F.lit(queued)).alias("in_progress"), F.lit(rate).alias("per_second"), (left / F.lit(rate) if rate else F.lit(0.0)).alias("eta_s"))

@@ -9,8 +9,8 @@ from ..functions import keys, scoring, text
 
 c = F.col
 LARGE = 150 * 1024 * 1024
-#: fixed values: file extensions that an analysis reads
-EXTENSIONS = ["mp3", "wav", "flac", "aac", "m4a", "aiff", "aif", "ogg", "opus", "wma"]
+# fixed values: file extensions that an analysis reads
+EXTENSIONS = ["mp3", "wav", "flac", "ogg", "oga", "opus", "aiff", "aif", "m4a", "aac", "wma", "alac", "mkv", "mp4", "mov", "webm", "m4v", "avi", "flv", "mpg", "mpeg", "ts", "3gp"]
 
 
 def classify(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,13 +41,21 @@ def stratified_sample(rows: DataFrame, seed: int, limit: int, stratum: str = "ge
 
 def score(predictions: DataFrame) -> DataFrame:
     """Predictions with mirex, error, exact, tonic_ok, compatible, bpm_exact, bpm_octave, ratio; null where a truth or prediction lacks."""
-    t, q = c("truth_camelot"), c("pred_camelot")
-    tt, tm, pt, pm = keys.tonic(t), keys.is_major(t), keys.tonic(q), keys.is_major(q)
+    dim = keys.dim_key(predictions.sparkSession).select("code", "tonic", "is_major")
+    columns = predictions.columns
+
+    def told(df: DataFrame, code: str, at: str) -> DataFrame:
+        """A code's tonic and mode as columns, from the 24 keys: expressions would be spelled out again in every score."""
+        own = F.concat(keys.number(c(code)).cast("string"), F.when(keys.is_major(c(code)), "B").otherwise("A"))
+        return df.withColumn("_c", own).join(F.broadcast(dim.toDF("_c", f"{at}t", f"{at}m")), "_c", "left").drop("_c")
+
+    predictions = told(told(predictions, "truth_camelot", "_t"), "pred_camelot", "_p")
+    tt, tm, pt, pm = c("_tt"), c("_tm"), c("_pt"), c("_pm")
     both = tt.isNotNull() & pt.isNotNull()
     mirex = F.when(both, scoring.mirex(pt, pm, tt, tm))
     tempo = c("pred_bpm").isNotNull() & c("truth_bpm").isNotNull()
     return predictions.select(
-        "*", text.normalize_genre(c("genre_raw")).alias("genre"), mirex.alias("mirex"), F.when(both, scoring.error_class(pt, pm, tt, tm)).alias("error"), F.when(both, (pt == tt) & (pm == tm)).alias("exact"),
+        *columns, text.normalize_genre(c("genre_raw")).alias("genre"), mirex.alias("mirex"), F.when(both, scoring.error_class(pt, pm, tt, tm)).alias("error"), F.when(both, (pt == tt) & (pm == tm)).alias("exact"),
         F.when(both, pt == tt).alias("tonic_ok"), (mirex > 0).alias("compatible"), F.when(tempo, scoring.within_one(c("pred_bpm"), c("truth_bpm"), False)).alias("bpm_exact"),
         F.when(tempo, scoring.within_one(c("pred_bpm"), c("truth_bpm"), True)).alias("bpm_octave"), F.when(tempo, scoring.bpm_ratio(c("pred_bpm"), c("truth_bpm"))).alias("ratio"),
         F.when(both, scoring.mirex_one_sided(pt, pm, tt, tm)).alias("mirex_one_sided"), keys.label24(tt, tm).alias("label"), keys.label24(pt, pm).alias("pred_label"),

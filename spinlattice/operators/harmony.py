@@ -2,52 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
 
 c = F.col
-#: Relations that an equi-join on partner codes can find.
-JOINABLE = ["same-key", "neighbor", "mood-shift", "energy-boost", "energy-drop"]
+# fixed values: why a relation is suggested
+REASONS = {
+    "same-key": "Same key — seamless blend", "neighbor": "Smooth harmonic step", "mood-shift": "Major/minor mood change", "energy-boost": "Classic energy lift",
+    "energy-drop": "Cooldown move", "tension": "Creative risk", "bridge-needed": "Far apart — use with care",
+}
+
+
+def _parsed(tracks: DataFrame) -> DataFrame:
+    """track_id, n, major, bpm of tracks with a wheel code: codes are parsed once a track, never once a pair."""
+    got = tracks.select("track_id", keys.number(c("key_camelot")).alias("n"), keys.is_major(c("key_camelot")).alias("major"), c("bpm").cast("double").alias("bpm"))
+    return got.where("n is not null")
+
+
+def _partners(moves: dict[str, tuple[int, bool]]) -> Column:
+    """Array of (relation, n, major) of a parsed track's partners; a move is steps around the wheel and whether the letter stays."""
+    at = lambda k: (F.pmod(c("n") + (k - 1), F.lit(12)) + 1).cast("int")
+    return F.array(*(F.struct(F.lit(rel.split("/")[0]).alias("relation"), at(k).alias("to_n"), (c("major") if same else ~c("major")).alias("to_major")) for rel, (k, same) in moves.items()))
+
+
+#: Moves of usable relations; names behind a slash tell two directions of one relation apart.
+USABLE = {"same-key": (0, True), "neighbor/up": (1, True), "neighbor/down": (-1, True), "energy-boost": (2, True), "energy-drop": (-2, True), "mood-shift": (0, False)}
+#: Moves of the directed position relations that are shown around a track.
+POSITIONS = {"same": (0, True), "plus_one": (1, True), "minus_one": (-1, True), "plus_two": (2, True), "minus_two": (-2, True), "mood_shift": (0, False)}
+#: Moves to all other codes. Their best score, 40, is below the worst of a usable relation, 50.
+RISKY = {f"tension/{k}": (k, True) for k in range(3, 10)} | {f"bridge-needed/{k}": (k, False) for k in range(1, 12)}
 
 
 def neighbours(tracks: DataFrame, percent: float = 6.0, salts: int = 4) -> DataFrame:
     """All ordered pairs of tracks with a usable relation and tempos within ``percent`` of the first's.
 
-    Each track looks its six partner codes up; tempo is cut into logarithmic buckets a ``percent``
+    Each track looks its six partner codes up, relation and all; tempo is cut into logarithmic buckets a ``percent``
     step wide, so that every partner is one bucket above, in the same, or up to two below, and the work
     of a pair of buckets does not depend on the tempo. The 24 codes by tempo buckets are few values
     for many tracks, so one side is dealt to ``salts`` parts and the other copied to
-    each: a hot cell is ``salts`` tasks. Tracks without a code or tempo have no neighbours.
+    each: a hot cell is ``salts`` tasks. Tracks without a code or tempo have no neighbours. All pairs grow with the square
+    of the library: to rank partners use :func:`top_per_relation` or :func:`next_candidates`, which make none but those they return.
     """
     width = F.log(F.lit(1 + percent / 100))
-    known = tracks.where(keys.number(c("key_camelot")).isNotNull() & (c("bpm") > 0)).select("track_id", "key_camelot", "bpm", F.floor(F.log("bpm") / width).alias("cell"))
+    known = _parsed(tracks).where("bpm > 0").withColumn("cell", F.floor(F.log("bpm") / width))
     salt = F.pmod(F.xxhash64("track_id"), F.lit(salts))
-    seeds = known.select(c("track_id"), c("key_camelot").alias("from_key"), c("bpm").alias("from_bpm"), c("cell"), salt.alias("salt"))
-    seeds = seeds.select("*", F.explode(keys.compatible_positions(c("from_key"))).alias("code"))
+    seeds = known.select("track_id", c("bpm").alias("from_bpm"), "cell", salt.alias("salt"), F.inline(_partners(USABLE)))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     # the lower side of the range reaches 1/(1 - p), a little over one step
-    others = known.select(c("track_id").alias("other_id"), c("key_camelot").alias("code"), c("bpm").alias("to_bpm"), c("cell").alias("at")).select("*", F.explode(F.array(c("at") - 1, c("at"), c("at") + 1, c("at") + 2)).alias("cell")).select("*", spread.alias("salt"))
-    code = F.concat(keys.number(c("code")).cast("string"), F.when(keys.is_major(c("code")), "B").otherwise("A"))
-    pairs = seeds.join(others.withColumn("code", code), ["code", "cell", "salt"])
-    near = (c("track_id") != c("other_id")) & (F.abs(c("to_bpm") - c("from_bpm")) / c("from_bpm") <= percent / 100)
-    pairs = pairs.where(near).withColumn("relation", keys.relation(c("from_key"), c("code")))
+    others = known.select(c("track_id").alias("other_id"), c("n").alias("to_n"), c("major").alias("to_major"), c("bpm").alias("to_bpm"), F.explode(F.array(c("cell") - 1, c("cell"), c("cell") + 1, c("cell") + 2)).alias("cell")).select("*", spread.alias("salt"))
+    pairs = seeds.join(others, ["to_n", "to_major", "cell", "salt"])
+    pairs = pairs.where((c("track_id") != c("other_id")) & (F.abs(c("to_bpm") - c("from_bpm")) / c("from_bpm") <= percent / 100))
     delta = keys.delta_percent(c("from_bpm"), c("to_bpm"))
     return pairs.select("track_id", "other_id", "relation", delta.alias("delta_pct"), keys.transition_score(c("relation"), delta).alias("score"), keys.base_score(c("relation")).alias("base"))
 
 
-def top_per_relation(pairs: DataFrame, n: int = 8) -> DataFrame:
-    """of each track and relation the ``n`` partners of nearest tempo, ties by partner id."""
-    w = Window.partitionBy("track_id", "relation").orderBy(F.abs("delta_pct").asc_nulls_last(), "other_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
-
+def _nearest(known: DataFrame, moves: dict[str, tuple[int, bool]], m: int, nulls_first: bool, asked: DataFrame | None = None) -> DataFrame:
+    """n, major, bpm, relation, near: for every distinct (code, tempo) of ``known`` and every move the ``m`` partners of nearest tempo,
+    ties by id, as an array of (id, bpm). Tracks without a tempo stand before or after all others; to a tempo that is null
+    all partners are equally near.
 
-def next_candidates(pairs: DataFrame, used: DataFrame | None = None, n: int = 20) -> DataFrame:
-    """The ``n`` best partners: score, then those not in ``used`` (track_id, other_id), then tempo, then id."""
-    flagged = pairs.withColumn("used", F.lit(False)) if used is None else pairs.join(used.select("track_id", "other_id", F.lit(True).alias("used")), ["track_id", "other_id"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
-    w = Window.partitionBy("track_id").orderBy(c("score").desc(), "used", F.abs("delta_pct"), "other_id")
-    return flagged.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
+    Tracks of one code and tempo are one class, of which only the first ``m`` can be among the nearest. Classes of a code
+    in order of tempo know ``m`` classes to either side; a wanted tempo finds the class at or below it by one pass over
+    the code's classes and wanted tempos in order. No step makes more rows than classes by moves. ``asked`` (n, major) leaves only
+    the wanted classes of some codes.
+    """
+    by_id = Window.partitionBy("n", "major", "bpm").orderBy("track_id")
+    first = known.withColumn("r", F.row_number().over(by_id)).where(c("r") <= m)
+    classes = first.groupBy("n", "major", "bpm").agg(F.sort_array(F.collect_list("track_id")).alias("ids"))
+    along = Window.partitionBy("n", "major").orderBy("bpm")
+    held = F.collect_list(F.struct("bpm", "ids")).over(along.rowsBetween(-m, m))
+    ranked = classes.where("bpm is not null").select(c("n").alias("to_n"), c("major").alias("to_major"), "bpm", F.row_number().over(along).alias("rank"), held.alias("around"))
+    wanted = (classes if asked is None else classes.join(F.broadcast(asked), ["n", "major"], "left_semi")).select("n", "major", "bpm", F.inline(_partners(moves)))
+    marks = ranked.select("to_n", "to_major", "bpm", "rank", F.lit(0).alias("asks")).unionByName(wanted.where("bpm is not null").select("to_n", "to_major", "bpm", F.lit(None).cast("int").alias("rank"), F.lit(1).alias("asks")).distinct())
+    before = F.last("rank", True).over(Window.partitionBy("to_n", "to_major").orderBy("bpm", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.withColumn("rank", F.coalesce(before, F.lit(1))).where("asks = 1").drop("asks")
+    around = found.join(ranked.drop("bpm"), ["to_n", "to_major", "rank"], "left").select("to_n", "to_major", c("bpm").alias("at"), "around")
+    # of a code at most m tracks without a tempo, and at most m of all: 24 rows
+    some = lambda df, name: df.groupBy(c("n").alias("to_n"), c("major").alias("to_major")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, m).alias(name))
+    few = Window.partitionBy("n", "major").orderBy("track_id")
+    least = known.withColumn("r", F.row_number().over(few)).where(c("r") <= m).select("n", "major", F.array(F.struct("track_id", "bpm")).alias("few"))
+    blank = classes.where("bpm is null").select("n", "major", F.transform("ids", lambda i: F.struct(i.alias("track_id"), F.lit(None).cast("double").alias("bpm"))).alias("few"))
+    both = wanted.join(around, (wanted["to_n"] == around["to_n"]) & (wanted["to_major"] == around["to_major"]) & (c("bpm") == c("at")), "left").select(wanted["*"], "around")
+    both = both.join(F.broadcast(some(least, "every")), ["to_n", "to_major"], "left").join(F.broadcast(some(blank, "blank")), ["to_n", "to_major"], "left")
+    far, none = F.lit(float("-inf") if nulls_first else float("inf")), F.array().cast("array<struct<gap:double,id:bigint,bpm:double>>")
+    timed = F.flatten(F.transform("around", lambda x: F.transform(x["ids"], lambda i: F.struct(F.abs(x["bpm"] - c("bpm")).alias("gap"), i.alias("id"), x["bpm"].alias("bpm")))))
+    untimed = lambda a: F.transform(a, lambda x: F.struct(far.alias("gap"), x["track_id"].alias("id"), x["bpm"].alias("bpm")))
+    listed = F.when(c("bpm").isNull(), F.coalesce(untimed("every"), none)).otherwise(F.array_sort(F.concat(F.coalesce(timed, none), F.coalesce(untimed("blank"), none))))
+    return both.select("n", "major", "bpm", "relation", F.transform(F.slice(listed, 1, m), lambda x: F.struct(x["id"].alias("id"), x["bpm"].alias("bpm"))).alias("near"))
+
+
+def _told(known: DataFrame, near: DataFrame) -> DataFrame:
+    """The near partners of every track's class, each in a row of (track, move)."""
+    return known.join(near.withColumnsRenamed({"n": "_n", "major": "_m", "bpm": "_b"}), (c("n") == c("_n")) & (c("major") == c("_m")) & c("bpm").eqNullSafe(c("_b"))).drop("_n", "_m", "_b")
+
+
+def top_per_relation(tracks: DataFrame, n: int = 8) -> DataFrame:
+    """around each track, of each directed position relation the ``n`` tracks of nearest tempo: track_id, other_id, relation, gap (beats a
+    minute, null where either tempo is), rank. Unknown tempos come last, ties by id. Tracks without a code have none and are none."""
+    known = _parsed(tracks)
+    near = _told(known, _nearest(known, POSITIONS, n + 1, nulls_first=False))
+    others = F.slice(F.filter("near", lambda x: x["id"] != c("track_id")), 1, n)
+    rows = near.select("track_id", "bpm", "relation", F.posexplode(others).alias("at", "other"))
+    return rows.select("track_id", c("other.id").alias("other_id"), "relation", F.abs(c("other.bpm") - c("bpm")).alias("gap"), (c("at") + 1).alias("rank"))
+
+
+def next_candidates(tracks: DataFrame, used: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """The ``n`` best partners of each track over all relations but unknown: track_id, other_id, relation, score, delta_pct, used, reason, rank.
+
+    By score, then those not in ``used`` (track_id, other_id), then tempo, then id. In each relation and code the score never rises
+    with the tempo's distance, so the nearest ones suffice: ``n`` and as many as the fullest mix in ``used`` can push back.
+    """
+    known, most = _parsed(tracks), 0
+    if used is not None:
+        used = used.select("track_id", "other_id").distinct()
+        most = used.groupBy("track_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    depth = n + most + 1
+    # tracks with n usable partners need no other relation; whether they have is a matter of their code, so at most 24 rows
+    counts = known.groupBy(c("n").alias("to_n"), c("major").alias("to_major")).agg(F.count("*").alias("there"))
+    codes = known.select("n", "major").distinct().select("n", "major", F.inline(_partners(USABLE)))
+    poor = codes.join(F.broadcast(counts), ["to_n", "to_major"]).groupBy("n", "major").agg(F.sum("there").alias("there")).where(c("there") <= n).select("n", "major")
+    near = _told(known, _nearest(known, USABLE, depth, True).unionByName(_nearest(known, RISKY, depth, True, poor)))
+    # without a tempo of its own a track is at the same distance from all, so is one without a tempo from every track
+    rows = near.select("track_id", "bpm", "relation", F.explode("near").alias("other")).select("track_id", c("other.id").alias("other_id"), "relation", keys.delta_percent(c("bpm"), c("other.bpm")).alias("delta_pct")).where("track_id <> other_id")
+    rows = rows.withColumn("score", keys.transition_score(c("relation"), c("delta_pct")))
+    rows = rows.withColumn("used", F.lit(False)) if used is None else rows.join(used.withColumn("_u", F.lit(True)), ["track_id", "other_id"], "left").withColumn("used", F.coalesce("_u", F.lit(False))).drop("_u")
+    best = Window.partitionBy("track_id").orderBy(c("score").desc(), "used", F.abs("delta_pct"), "other_id")
+    reason = F.concat_ws(". ", F.element_at(F.create_map(*(F.lit(x) for p in REASONS.items() for x in p)), c("relation")), F.when(c("used"), "Already in mix"))
+    return rows.withColumn("rank", F.row_number().over(best)).where(c("rank") <= n).withColumn("reason", reason)
 
 
 def _dealt(library: DataFrame, seeds: DataFrame, *on: str, blocks: int = 16) -> DataFrame:

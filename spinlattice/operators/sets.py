@@ -15,29 +15,32 @@ def match_setlist(lines: DataFrame, library: DataFrame, keys: list[str]) -> Data
     """The library track of each line (title, artist): 0.6 max(title, file name similarity) + 0.4 artist similarity
     over 0.5, the best, the first by file name.
 
-    The artist part gives at most 0.4, so title or file name must reach 1/6 alone: they share a token.
-    Tokens are ordered by rarity (then text), and a line's and a track's first tokens of that order already meet
-    if the similarity can: of n tokens all but the first n - ceil(n/6) + 1 may be left out on both sides, which
-    keeps common words out of the join where it can and loses nothing.
+    Without a common artist token the title or file name must be similar by over 5/6, so of n tokens, ordered by rarity (then text), the
+    first n - ceil(5n/6) + 1 of both sides hold a common one. With a common artist token they must have any token in common:
+    those pairs meet on (artist token, title token). Both ways are lossless. Equal lines are matched once.
     """
-    want = lines.select(*keys, text.tokens(F.coalesce("title", F.lit(""))).alias("lt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("la"))
-    have = library.select("track_id", "filename", text.tokens(F.coalesce("title", F.lit(""))).alias("tt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("ta"), text.tokens(c("filename")).alias("tf"))
-    words = have.select(F.explode(F.array_distinct(F.concat("tt", "tf"))).alias("token"))
-    rarity = words.groupBy("token").agg(F.count("*").alias("n"))
+    told = lines.select(*keys, F.coalesce("title", F.lit("")).alias("_t"), F.coalesce("artist", F.lit("")).alias("_a"))
+    want = told.select("_t", "_a").distinct().select("_t", "_a", text.tokens(c("_t")).alias("lt"), text.tokens(c("_a")).alias("la"))
+    have = library.select("track_id", "filename", text.tokens(F.coalesce("title", F.lit(""))).alias("tt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("ta"), text.tokens(F.coalesce("filename", F.lit(""))).alias("tf"))
+    rarity = have.select(F.explode(F.array_distinct(F.concat("tt", "tf"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, ids: list[str], array: str) -> DataFrame:
-        each = df.select(*ids, F.size(array).alias("len"), F.explode(array).alias("token")).join(rarity, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        at = F.row_number().over(Window.partitionBy(*ids).orderBy("n", "token"))
-        return each.withColumn("at", at).where(c("at") <= c("len") - F.ceil(c("len") / 6) + 1).select(*ids, "token")
-
-    left = prefix(want, keys, "lt")
-    right = prefix(have, ["track_id"], "tt").unionByName(prefix(have, ["track_id"], "tf")).distinct()
-    pairs = left.join(right, "token").select(*keys, "track_id").distinct()
-    both = pairs.join(want, keys).join(have, "track_id")
+        """ids, token: the rarest tokens of an array that a common one must be among."""
+        each = df.select(*ids, F.explode(array).alias("token")).join(rarity, "token", "left")
+        sorted_ = each.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("s"))
+        size = F.size("s")
+        return sorted_.select(*ids, F.explode(F.slice("s", F.lit(1), size - F.ceil(size * 5 / 6).cast("int") + 1)).alias("x")).select(*ids, "x.token")
+
+    alike = prefix(want, ["_t", "_a"], "lt").join(prefix(have, ["track_id"], "tt").unionByName(prefix(have, ["track_id"], "tf")), "token").select("_t", "_a", "track_id")
+    left = want.select("_t", "_a", F.explode("la").alias("artist"), "lt").select("_t", "_a", "artist", F.explode("lt").alias("token"))
+    right = have.select("track_id", F.explode("ta").alias("artist"), F.array_union("tt", "tf").alias("tokens")).select("track_id", "artist", F.explode("tokens").alias("token"))
+    by_artist = left.join(right, ["artist", "token"]).select("_t", "_a", "track_id")
+    both = alike.unionByName(by_artist).distinct().join(want, ["_t", "_a"]).join(have, "track_id")
     total = 0.6 * F.greatest(text.jaccard(c("lt"), c("tt")), text.jaccard(c("lt"), c("tf"))) + 0.4 * text.jaccard(c("la"), c("ta"))
-    best = Window.partitionBy(*keys).orderBy(c("similarity").desc(), "filename", "track_id")
-    hits = both.withColumn("similarity", total).where("similarity > 0.5").withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    return hits.select(*keys, "track_id", "similarity")
+    # the best, then the first by file name, then the least id
+    order = F.struct((-c("similarity")).alias("s"), "filename", "track_id")
+    hits = both.withColumn("similarity", total).where("similarity > 0.5").groupBy("_t", "_a").agg(F.min(order).alias("m"))
+    return told.join(hits, ["_t", "_a"]).select(*keys, c("m.track_id").alias("track_id"), (-c("m.s")).alias("similarity"))
 
 
 def flow(ordered: DataFrame) -> DataFrame:

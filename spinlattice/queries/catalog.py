@@ -17,7 +17,7 @@ ordered = lambda v: catalog.ordered_tracks(v("v_playlist_tracks"), v("v_tracks")
 
 # B: filters
 
-query("b01_library_filter", "SELECT track_id FROM v_tracks WHERE (lower(coalesce(filename, '')) LIKE '%red%' OR lower(coalesce(title, '')) LIKE '%red%' OR lower(artist) LIKE '%red%' OR true AND lower(filename) LIKE '%1%') AND bpm >= 100 AND bpm <= 150 AND status = 'analyzed'")(
+query("b01_library_filter", "SELECT track_id FROM v_tracks WHERE (lower(coalesce(filename, '')) LIKE '%red%' OR lower(coalesce(title, '')) LIKE '%red%' OR lower(artist) LIKE '%red%' OR filename LIKE '%1%') AND bpm >= 100 AND bpm <= 150 AND status = 'analyzed'")(
     lambda v: catalog.library_filter(v("v_tracks"), bpm_min=100, bpm_max=150, status="analyzed").where(F.coalesce(c("filename").ilike("%red%") | c("title").ilike("%red%") | c("artist").ilike("%red%"), F.lit(False)) | c("filename").contains("1")).select("track_id")
 )
 query("b01_library_search", "SELECT track_id FROM v_tracks WHERE (lower(filename) LIKE '%brand#1%' OR coalesce(lower(title) LIKE '%brand#1%', false) OR lower(artist) LIKE '%brand#1%') AND key_camelot = '8A'")(lambda v: catalog.library_filter(v("v_tracks"), search="brand#1", key="8A").select("track_id"))
@@ -28,13 +28,14 @@ query("b03_drawer_search", "SELECT track_id FROM v_tracks WHERE strpos(lower(coa
 query("b04_lookup", "SELECT min(t.track_id) AS track_id, lower(t.artist) AS artist FROM v_tracks t WHERE lower(t.artist) IN (SELECT lower(artist) FROM v_setlist) GROUP BY lower(t.artist)")(lambda v: catalog.lookup(v("v_tracks"), v("v_setlist"), "artist", ignore_case=True).select("track_id", F.lower("artist").alias("artist")))
 query("b05_pending", f"SELECT track_id, status FROM v_tracks WHERE status IN ('pending', 'metadata_ready') ORDER BY track_id {N} LIMIT 100")(lambda v: catalog.pending(v("v_tracks"), 100).select("track_id", "status"))
 query("b06_needs_repair", "SELECT t.track_id FROM v_tracks t JOIN v_genres g ON g.track_id = t.track_id WHERE coalesce(t.artist, '') IN ('', 'Unknown Artist') OR coalesce(t.title, '') = '' OR coalesce(g.genre_raw, '') = ''")(lambda v: v("v_tracks").join(v("v_genres").select("track_id", c("genre_raw").alias("genre")), "track_id").where(catalog.needs_repair()).select("track_id"))
-LISTING = "SELECT location, extension, CASE WHEN track_id % 10 = 9 THEN NULL WHEN track_id % 10 = 8 THEN 200000000 ELSE 5000000 END AS length, CASE WHEN track_id % 29 = 0 THEN 'All' ELSE truth_camelot END AS key FROM v_predictions"
-STATUS = f"SELECT location, CASE WHEN length IS NULL THEN 'missing_file' WHEN length > 157286400 THEN 'large_mix' WHEN extension = 'flac' AND false THEN 'unsupported' WHEN coalesce(key, '') = '' THEN 'no_key_label' WHEN key = 'All' THEN 'atonal' ELSE 'ready' END AS status FROM ({LISTING}) x"
+LISTING = "SELECT location, CASE WHEN track_id % 7 = 3 THEN 'ape' WHEN track_id % 7 = 5 THEN '3gp' ELSE extension END AS extension, CASE WHEN track_id % 10 = 9 THEN NULL WHEN track_id % 10 = 8 THEN 200000000 ELSE 5000000 END AS length, CASE WHEN track_id % 29 = 0 THEN 'All' ELSE truth_camelot END AS key FROM v_predictions"
+STATUS = f"SELECT location, CASE WHEN length IS NULL THEN 'missing_file' WHEN length > 157286400 THEN 'large_mix' WHEN extension NOT IN ('mp3', 'wav', 'flac', 'ogg', 'oga', 'opus', 'aiff', 'aif', 'm4a', 'aac', 'wma', 'alac', 'mkv', 'mp4', 'mov', 'webm', 'm4v', 'avi', 'flv', 'mpg', 'mpeg', 'ts', '3gp') THEN 'unsupported' WHEN coalesce(key, '') = '' THEN 'no_key_label' WHEN key = 'All' THEN 'atonal' ELSE 'ready' END AS status FROM ({LISTING}) x"
 
 
 def corpus(v):
     p = v("v_predictions")
-    rows = p.select("location", "extension", "track_id", F.when(c("track_id") % 29 == 0, "All").otherwise(c("truth_camelot")).alias("key"))
+    kind = F.when(c("track_id") % 7 == 3, "ape").when(c("track_id") % 7 == 5, "3gp").otherwise(c("extension"))
+    rows = p.select("location", kind.alias("extension"), "track_id", F.when(c("track_id") % 29 == 0, "All").otherwise(c("truth_camelot")).alias("key"))
     files = p.where("track_id % 10 <> 9").select(c("location").alias("path"), F.when(c("track_id") % 10 == 8, 200000000).otherwise(5000000).alias("length"))
     return evaluation.classify(rows, files)
 
@@ -95,9 +96,33 @@ PAIRS = "SELECT x.*, CASE WHEN d = 0 AND same THEN 'same-key' WHEN d = 0 THEN 'm
 near = lambda v: harmony.neighbours(v("v_tracks"))
 BASES = "CASE relation WHEN 'same-key' THEN 95 WHEN 'neighbor' THEN 85 WHEN 'mood-shift' THEN 80 WHEN 'energy-boost' THEN 75 ELSE 70 END"
 query("d05_neighbours", f"SELECT track_id, other_id, relation, round(delta, 6) AS delta_pct, {BASES} AS score FROM ({PAIRS}) p")(lambda v: near(v).select("track_id", "other_id", "relation", r6(c("delta_pct")).alias("delta_pct"), "score"))
-TOPN = f"SELECT *, row_number() OVER (PARTITION BY track_id, relation ORDER BY abs(delta), other_id) AS rnk FROM ({PAIRS}) p"
-query("f05_top_per_relation", f"SELECT track_id, other_id, relation, round(delta, 6) AS delta_pct, rnk FROM ({TOPN}) z WHERE rnk <= 8")(lambda v: harmony.top_per_relation(near(v)).select("track_id", "other_id", "relation", r6(c("delta_pct")).alias("delta_pct"), c("rank").alias("rnk")))
-query("g03_next_candidates", f"SELECT track_id, other_id, score, rnk FROM (SELECT track_id, other_id, {BASES} AS score, row_number() OVER (PARTITION BY track_id ORDER BY {BASES} DESC, abs(delta), other_id) AS rnk FROM ({PAIRS}) p) z WHERE rnk <= 20")(lambda v: harmony.next_candidates(near(v)).select("track_id", "other_id", "score", c("rank").alias("rnk")))
+POSITIONED = """SELECT track_id, other_id, gap, CASE WHEN d = 0 AND same THEN 'same' WHEN d = 0 THEN 'mood_shift' WHEN d = 1 THEN 'plus_one' WHEN d = 11 THEN 'minus_one' WHEN d = 2 THEN 'plus_two' ELSE 'minus_two' END AS relation
+FROM (SELECT a.track_id, b.track_id AS other_id, abs(b.bpm - a.bpm) AS gap, (b.n - a.n + 12) % 12 AS d, a.c = b.c AS same
+ FROM v_keys a JOIN v_keys b ON a.track_id <> b.track_id AND ((a.c = b.c AND (b.n - a.n + 12) % 12 IN (0, 1, 2, 10, 11)) OR (a.c <> b.c AND a.n = b.n))) x"""
+TOPN = f"SELECT *, row_number() OVER (PARTITION BY track_id, relation ORDER BY gap NULLS LAST, other_id) AS rnk FROM ({POSITIONED}) p"
+
+
+@query("f05_top_per_relation", f"SELECT track_id, other_id, relation, round(gap, 6) AS gap, rnk FROM ({TOPN}) z WHERE rnk <= 8")
+def _(v):
+    return harmony.top_per_relation(v("v_tracks")).select("track_id", "other_id", "relation", r6(c("gap")).alias("gap"), c("rank").alias("rnk"))
+
+
+#: What counts as already in the mix: the pairs that open a playlist.
+USED = "SELECT DISTINCT a_id AS track_id, b_id AS other_id FROM v_pairs WHERE position = 0"
+CANDIDATES = f"""SELECT x.track_id, x.other_id, relation, CAST(greatest(0, least(100, CASE relation WHEN 'same-key' THEN 95 WHEN 'neighbor' THEN 85 WHEN 'mood-shift' THEN 80 WHEN 'energy-boost' THEN 75 WHEN 'energy-drop' THEN 70 WHEN 'tension' THEN 40 ELSE 20 END
+ - CASE WHEN abs(delta) > 6 THEN least(20, floor((abs(delta) - 6) * 2 + 0.5)) ELSE 0 END)) AS INT) AS score, delta, u.other_id IS NOT NULL AS used
+FROM (SELECT y.*, CASE WHEN d = 0 AND same THEN 'same-key' WHEN d = 0 THEN 'mood-shift' WHEN NOT same THEN 'bridge-needed' WHEN d IN (1, 11) THEN 'neighbor' WHEN d = 2 THEN 'energy-boost' WHEN d = 10 THEN 'energy-drop' ELSE 'tension' END AS relation
+ FROM (SELECT a.track_id, b.track_id AS other_id, CASE WHEN a.bpm > 0 AND b.bpm IS NOT NULL THEN (b.bpm - a.bpm) / a.bpm * 100 ELSE 0 END AS delta, (b.n - a.n + 12) % 12 AS d, a.c = b.c AS same FROM v_keys a JOIN v_keys b ON a.track_id <> b.track_id) y) x
+LEFT JOIN ({USED}) u ON u.track_id = x.track_id AND u.other_id = x.other_id"""
+WHY = "CASE relation WHEN 'same-key' THEN 'Same key — seamless blend' WHEN 'neighbor' THEN 'Smooth harmonic step' WHEN 'mood-shift' THEN 'Major/minor mood change' WHEN 'energy-boost' THEN 'Classic energy lift' WHEN 'energy-drop' THEN 'Cooldown move' WHEN 'tension' THEN 'Creative risk' ELSE 'Far apart — use with care' END"
+
+
+@query("g03_next_candidates", f"SELECT track_id, other_id, relation, score, used, concat({WHY}, CASE WHEN used THEN '. Already in mix' ELSE '' END) AS reason, rnk FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, used, abs(delta), other_id) AS rnk FROM ({CANDIDATES}) p) z WHERE rnk <= 20")
+def _(v):
+    opened = v("v_pairs").where("position = 0").select(c("a_id").alias("track_id"), c("b_id").alias("other_id"))
+    return harmony.next_candidates(v("v_tracks"), opened).select("track_id", "other_id", "relation", "score", "used", "reason", c("rank").alias("rnk"))
+
+
 SIM = lambda a, b: f"(CASE WHEN len(list_concat({a}, {b})) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END)"
 query("d06_fuzzy_setlist", f"""SELECT set_id, position, track_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY set_id, position ORDER BY s DESC, filename, track_id) AS rn FROM (
 SELECT set_id, position, track_id, filename, 0.6 * greatest({SIM('lt', 'tt')}, {SIM('lt', 'tf')}) + 0.4 * {SIM('la', 'ta')} AS s FROM (SELECT set_id, position, {TOK('title')} AS lt, {TOK('artist')} AS la FROM v_setlist WHERE set_id % 250 = 0) l
@@ -131,7 +156,10 @@ query("e03_gold_summary", "SELECT count(*) AS annotations, count(DISTINCT track_
 query("e04_self_agreement", "SELECT count(*) AS tracks, round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM (SELECT track_id, count(DISTINCT concat(CAST(tonic_pc AS STRING), '|', key_mode)) AS k FROM v_gold WHERE annotator_id = 'self' GROUP BY track_id HAVING count(*) >= 2) x")(lambda v: consensus.self_agreement(v("v_gold")).select("tracks", r6(c("agreement")).alias("agreement")))
 query("e05_mode_distribution", "SELECT key_mode, count(*) AS n FROM v_gold GROUP BY key_mode")(lambda v: consensus.mode_distribution(v("v_gold")))
 query("e06_training_stats", "SELECT session_type, count(*) AS total, count(*) FILTER (WHERE correct) AS correct, round(count(*) FILTER (WHERE correct) * 100.0 / count(*), 6) AS percent FROM v_training GROUP BY ROLLUP (session_type)")(lambda v: consensus.training_stats(v("v_training")).withColumn("percent", r6(c("percent"))))
-query("e07_progress", "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'analyzed') AS completed, least(count(*) FILTER (WHERE status <> 'analyzed'), 50) AS in_progress, round(count(*) FILTER (WHERE status = 'analyzed') / 120.0, 6) AS per_second, round(count(*) FILTER (WHERE status <> 'analyzed') / (count(*) FILTER (WHERE status = 'analyzed') / 120.0), 6) AS eta_s FROM v_tracks")(lambda v: catalog.progress(v("v_tracks"), 50, 120.0).withColumn("per_second", r6(c("per_second"))).withColumn("eta_s", r6(c("eta_s"))))
+#: A queue that has finished 90 tracks in two minutes and holds 50 more.
+query("e07_progress", "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'analyzed') AS completed, least(count(*) FILTER (WHERE status <> 'analyzed'), 50) AS in_progress, CAST(0.75 AS DOUBLE) AS per_second, round(count(*) FILTER (WHERE status <> 'analyzed') / CAST(0.75 AS DOUBLE), 6) AS eta_s FROM v_tracks")(
+    lambda v: catalog.progress(v("v_tracks"), 50, 120.0, 90).withColumn("eta_s", r6(c("eta_s")))
+)
 OK = f"SELECT s.*, {GENRE} AS genre, CASE WHEN tt IS NOT NULL AND pt IS NOT NULL THEN {MIREX} END AS mirex, CASE WHEN tt IS NOT NULL AND pt IS NOT NULL THEN {ERR} END AS error FROM (SELECT x.*, lower(trim(coalesce(genre_raw, ''))) AS g, CAST(pred_bpm AS DOUBLE) AS pb, CAST(truth_bpm AS DOUBLE) AS tb FROM v_scored x) s"
 _pct = lambda x: f"round(count(*) FILTER (WHERE {x}) * 100.0 / count(*), 6)"
 _tpct = lambda x: f"round(count(*) FILTER (WHERE {x}) * 100.0 / nullif(count(*) FILTER (WHERE pb IS NOT NULL AND tb IS NOT NULL), 0), 6)"
@@ -141,8 +169,8 @@ query("e08_accuracy_partitions", f"SELECT genre, extension, CAST(grouping(genre,
 query("e09_error_map", f"SELECT genre, error, count(*) AS n FROM ({OK}) o WHERE failure IS NULL AND error IS NOT NULL GROUP BY genre, error")(lambda v: evaluation.error_map(evaluation.score(v("v_predictions"))).select("genre", F.explode("errors").alias("error", "n")))
 LAB = "SELECT tt + CASE WHEN tm THEN 0 ELSE 12 END AS label, pt + CASE WHEN pm THEN 0 ELSE 12 END AS pred_label FROM v_scored WHERE tt IS NOT NULL AND pt IS NOT NULL"
 query("e10_confusion", f"SELECT label, pred_label, count(*) AS n FROM ({LAB}) x GROUP BY label, pred_label")(lambda v: evaluation.confusion(evaluation.score(v("v_predictions"))))
-query("e10_class_report", f"SELECT label, support, round(coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0), 6) AS recall FROM (SELECT l.label, (SELECT count(*) FROM ({LAB}) x WHERE x.label = l.label) AS support, (SELECT count(*) FROM ({LAB}) x WHERE x.pred_label = l.label) AS predicted, (SELECT count(*) FROM ({LAB}) x WHERE x.label = l.label AND x.pred_label = l.label) AS tp FROM (SELECT label FROM ({LAB}) a UNION SELECT pred_label FROM ({LAB}) b) l) z")(
-    lambda v: evaluation.class_report(evaluation.score(v("v_predictions"))).select("label", "support", r6(c("precision")).alias("precision"), r6(c("recall")).alias("recall"))
+query("e10_class_report", f"SELECT label, support, round(coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(support + predicted, 0), 0), 6) AS f1 FROM (SELECT l.label, (SELECT count(*) FROM ({LAB}) x WHERE x.label = l.label) AS support, (SELECT count(*) FROM ({LAB}) x WHERE x.pred_label = l.label) AS predicted, (SELECT count(*) FROM ({LAB}) x WHERE x.label = l.label AND x.pred_label = l.label) AS tp FROM (SELECT label FROM ({LAB}) a UNION SELECT pred_label FROM ({LAB}) b) l) z")(
+    lambda v: evaluation.class_report(evaluation.score(v("v_predictions"))).select("label", "support", r6(c("precision")).alias("precision"), r6(c("recall")).alias("recall"), r6(c("f1")).alias("f1"))
 )
 query("e11_evaluation_summary", f"SELECT count(*) AS n, round(avg(CASE WHEN error = 'correct' THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN error = 'fifth' AND (pt - tt + 12) % 12 = 5 THEN 0 ELSE mirex END), 6) AS mirex, round(avg(CASE WHEN error = 'relative' THEN 1.0 ELSE 0.0 END), 6) AS relative, round(avg(CASE WHEN error = 'parallel' THEN 1.0 ELSE 0.0 END), 6) AS parallel FROM ({OK}) o WHERE error IS NOT NULL")(
     lambda v: (lambda d: d.select("n", *(r6(c(x)).alias(x) for x in ("accuracy", "mirex", "relative", "parallel"))))(evaluation.summary(evaluation.score(v("v_predictions"))))
@@ -254,5 +282,5 @@ query("i33_split", "SELECT track_id, (row_number() OVER (PARTITION BY key_camelo
 
 @query("l04_greedy_paths")
 def _(v):
-    best = harmony.next_candidates(near(v), n=5)
+    best = harmony.next_candidates(v("v_tracks"), n=5)
     return harmony.paths(best, v("v_tracks"), 6)

@@ -9,7 +9,7 @@ from ..functions import keys
 
 c = F.col
 # fixed values: media file extensions
-MEDIA = ["mp3", "flac", "wav", "aac", "m4a", "aiff", "aif", "ogg", "opus", "wma", "alac", "ape", "wv", "mp4", "m4v", "mov", "mkv", "avi", "webm", "mpg", "mpeg", "wmv", "flv"]
+MEDIA = ["mp3", "wav", "flac", "ogg", "oga", "opus", "aiff", "aif", "m4a", "aac", "wma", "alac", "mkv", "mp4", "mov", "webm", "m4v", "avi", "flv", "mpg", "mpeg", "ts", "3gp"]
 LABELS = "Title string, Artist string, Key string, Tempo string, Genre string, Album string, Grouping string, `Date Added` string, Location string, Comment string, Year string, `Overall Volume` string, Energy string, CuePoints string, ClippedPeaks string"
 ENTRY = "_TITLE string, _ARTIST string, LOCATION struct<_FILE:string,_DIR:string>, MUSICAL_KEY struct<_VALUE:int>, TEMPO struct<_BPM:double>"
 JAMS = "annotations array<struct<namespace:string,data:array<struct<time:double,duration:double,confidence:double,value:string>>>>, file_metadata struct<title:string,duration:double>"
