@@ -53,7 +53,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -351,26 +351,6 @@ class PieceScan:
         flat, _ = self._final(np.array(ids, np.int64), np.array([len(ids)]))
         return array("I", flat.tolist()).tobytes()
 
-    def decode(self, raws: list[bytes]) -> list[str]:
-        """Texts of ids: bytes from byte pieces, spaces from the space mark, the prefix space dropped."""
-        if not hasattr(self, "_spelled"):
-            spelled = [p.replace(SPACE, " ").encode() for p in self.text]
-            for b, i in enumerate(self.bytes if self.byte_fallback else []):
-                spelled[i] = bytes([b])
-            self._spelled = np.frombuffer(b"".join(spelled), np.uint8)
-            self._spelled_length = np.array([*map(len, spelled)], np.int64)
-            self._spelled_start = np.cumsum(self._spelled_length) - self._spelled_length
-        out = []
-        for k in range(0, len(raws), 256):
-            ids = np.frombuffer(b"".join(raws[k : k + 256]), "<u4")
-            lengths = self._spelled_length[ids]
-            size = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(lengths, out=size[1:])
-            blob = ragged(self._spelled, self._spelled_start[ids], lengths).tobytes()
-            ends = size[np.cumsum([len(r) // 4 for r in raws[k : k + 256]])].tolist()
-            out += [blob[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *ends], ends, strict=False)]
-        return out
-
     # chunks of giant texts
 
     def states(self, around: str, border: int) -> list[tuple[int, int]]:
@@ -412,6 +392,44 @@ class PieceScan:
         return out
 
 
+class Spelling:
+    """The bytes of every piece: from byte pieces as they are, the space mark as a space."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        spelled = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
+        for b in range(256):
+            if sp.is_byte(i := sp.piece_to_id(f"<0x{b:02X}>")):
+                spelled[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+        self.length = np.array([*map(len, spelled)], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, raws: list[bytes]) -> list[str]:
+        """Texts of ids (little-endian unsigned 32-bit); the prefix space goes."""
+        out, k = [], 0
+        while k < len(raws):
+            to, size = k, 0
+            while to < len(raws) and (to == k or size + len(raws[to]) <= STEP):
+                size += len(raws[to])
+                to += 1
+            ids = np.frombuffer(b"".join(raws[k:to]), "<u4")
+            ends = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.length[ids], out=ends[1:])
+            blob = ragged(self.flat, self.start[ids], self.length[ids]).tobytes()
+            cut = ends[np.cumsum([len(r) // 4 for r in raws[k:to]])].tolist()
+            out += [blob[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *cut], cut, strict=False)]
+            k = to
+        return out
+
+
+@lru_cache(maxsize=4)
+def spelling_of(path: str) -> Spelling:
+    return Spelling(path)
+
+
 @lru_cache(maxsize=4)
 def scan_of(path: str) -> PieceScan:
     """One scan a Python worker, kept from task to task."""
@@ -572,7 +590,7 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
     n = F.char_length("t")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    small = rows.where(n < giant).mapInPandas(_small_keyed(model), "doc_id long, ids binary")
+    small = rows.where(n < giant).select(F.col("doc_id").cast("long").alias("doc_id"), "t").mapInArrow(_small_keyed(model), "doc_id long, ids binary")
     large = materialize(rows.where(n >= giant), "giant-texts")
     cut = large.select("rid", "t").mapInPandas(_chunks(model, chunk), "rid long, k int, before string, body string, after string")
     chunks = materialize(cut.repartition(parts, "rid", "k"), "giant-chunks")
@@ -587,13 +605,14 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
 
 def _small_keyed(model: str):
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         scan = scan_of(model)
-        for pdf in batches:
-            for k in range(0, len(pdf), 1024):
-                part = pdf.iloc[k : k + 1024]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": scan.encode(part["t"].tolist())})
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = scan.encode(part.column("t").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -602,16 +621,17 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, text of rows of :func:`encode_documents`; no rows give none."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        scan = scan_of(model)
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf.iloc[k : k + 512]
-                raw = [bytes(x) for x in part["ids"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in raw], "ids_crc32": [zlib.crc32(x) for x in raw], "text": scan.decode(raw)})
+        spelling = spelling_of(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                raw = part.column("ids").to_pylist()
+                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(spelling.decode(raw), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text"])
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
