@@ -63,9 +63,9 @@ def recalibrate(opinions: DataFrame, truth: DataFrame) -> DataFrame:
     return got.withColumn("weight", F.pow("accuracy", F.lit(2.0)))
 
 
-def gold_summary(gold: DataFrame) -> DataFrame:
-    """Annotations and annotated tracks."""
-    return gold.agg(F.count("*").alias("annotations"), F.count_distinct("track_id").alias("tracks"))
+def gold_summary(gold: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Tracks of the library, annotations and annotated tracks."""
+    return gold.agg(F.count("*").alias("annotations"), F.count_distinct("track_id").alias("tracks")).crossJoin(tracks.agg(F.count("*").alias("total_tracks")))
 
 
 def self_agreement(gold: DataFrame) -> DataFrame:

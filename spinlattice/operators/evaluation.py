@@ -121,7 +121,15 @@ def label_distribution(rows: DataFrame, by: str = "label") -> DataFrame:
     return rows.where(c(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
 
 
-def split(rows: DataFrame, label: str, by: str, seed: int, folds: int) -> DataFrame:
-    """A fold for each row, dealt in hash order inside its label, so that folds are stratified and repeatable."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(str(seed)), c(by).cast("string"))), by)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+def split(rows: DataFrame, label: str, by: str, seed: int, folds: int, ranges: int = 64) -> DataFrame:
+    """A fold for each row, dealt in hash order inside its label, so that folds are stratified to the row and repeatable.
+
+    A label can hold most rows, so rows are numbered within ``ranges`` of the hash first, and each range starts where those before
+    it end: no task has more than a range of a label."""
+    h = F.md5(F.concat(F.lit(str(seed)), c(by).cast("string")))
+    dealt = rows.withColumn("_h", h).withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * ranges / 65536).cast("int"))
+    sizes = dealt.groupBy(label, "_range").agg(F.count("*").alias("n"))
+    before = sizes.select(c(label).alias("_label"), c("_range").alias("_at"), (F.sum("n").over(Window.partitionBy(label).orderBy("_range")) - c("n")).alias("_before"))
+    w = Window.partitionBy(label, "_range").orderBy("_h", by)
+    ranked = dealt.withColumn("_r", F.row_number().over(w) - 1).join(before, c(label).eqNullSafe(c("_label")) & (c("_range") == c("_at")))
+    return ranked.withColumn("fold", F.pmod(c("_r") + c("_before"), F.lit(folds)).cast("int")).select(*rows.columns, "fold")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions.scoring import tempo_preference, upper_median
 
 c = F.col
@@ -57,7 +58,7 @@ def spectrum(frames: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for n, part in pdf.groupby(pdf["samples"].map(len)):
-                w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / max(n - 1, 1)))
+                w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / n))
                 mags = np.abs(np.fft.rfft(np.stack(part["samples"].to_list()) * w, axis=1))
                 out.append(pd.DataFrame({"track_id": part["track_id"], "frame": part["frame"], "mags": list(mags)}))
             if out:
@@ -158,6 +159,14 @@ def ensemble(scores: DataFrame, weights: dict[str, float] | None = None) -> Data
     return scores.groupBy(*keep).agg((F.sum(w * c("score")) / F.sum(w)).alias("score"))
 
 
+def dual_scores(chroma: DataFrame, segments: int = 8, weights: dict[str, float] | None = None) -> DataFrame:
+    """I11, I12 as an analysis uses them: segment scores of 24 keys, krumhansl and temperley on the 12 pitch classes, shaath on the 72 bands."""
+    spark = chroma.sparkSession
+    by12 = template_scores(segment_means(chroma, segments), templates(spark, ["krumhansl", "temperley"]))
+    by72 = template_scores(segment_means(chroma, segments, "c72", 72), templates(spark, ["shaath"], 72), "c72", 3.0)
+    return ensemble(by12.unionByName(by72), weights)
+
+
 def soft_vote(scores: DataFrame) -> DataFrame:
     """Min-max in each segment, summed over segments; confidence is the share of a track's total; 24 ranked keys."""
     seg = Window.partitionBy(*BY, "segment")
@@ -175,34 +184,67 @@ def segment_winners(scores: DataFrame) -> DataFrame:
 
 
 def hard_vote(scores: DataFrame) -> DataFrame:
-    """Keys ranked by the segments they win, then by mean score; confidence .6 agreement + .4 score."""
+    """Keys ranked by confidence (.6 agreement + .4 mean score, cut to 0 and 1), then the segments they win, then the mean score."""
     won = segment_winners(scores).groupBy(*BY, "mode", "tonic").agg(F.count("*").alias("wins"), F.avg("score").alias("score"))
     agree = c("wins") / F.sum("wins").over(Window.partitionBy(*BY))
     got = won.withColumn("agreement", agree).withColumn("confidence", c("agreement") * 0.6 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("score"))) * 0.4)
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy(*BY).orderBy(c("wins").desc(), F.round("score", 9).desc(), "mode", "tonic")))
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy(*BY).orderBy(F.round("confidence", 9).desc(), c("wins").desc(), F.round("score", 9).desc(), "mode", "tonic")))
 
 
 def amodal(scores: DataFrame) -> DataFrame:
-    """36 scores to 24: a minor key takes the better of its minor and amodal template."""
+    """36 scores to 24: a minor key takes the better of its minor and amodal template. Before that scores are spread from 0 to 1 over a
+    segment's 36, so the vote is :func:`amodal_vote`."""
     keep = [x for x in scores.columns if x not in ("mode", "score")]
     mode = F.when(c("mode") == "other", "minor").otherwise(c("mode"))
     return scores.groupBy(*keep, mode.alias("mode")).agg(F.max("score").alias("score"))
 
 
+def amodal_vote(scores: DataFrame) -> DataFrame:
+    """The soft vote of one family with 36 templates: min-max over a segment's 36 scores, then the 24 keys, summed over segments."""
+    seg = Window.partitionBy(*BY, "segment")
+    low, high = F.min("score").over(seg), F.max("score").over(seg)
+    spread = scores.withColumn("score", (c("score") - low) / F.greatest(high - low, F.lit(1e-10))).drop("family")
+    total = amodal(spread).groupBy(*BY, "mode", "tonic").agg(F.sum("score").alias("total"))
+    share = total.withColumn("confidence", F.try_divide("total", F.sum("total").over(Window.partitionBy(*BY))))
+    return share.withColumn("rank", F.row_number().over(Window.partitionBy(*BY).orderBy(F.round("total", 9).desc(), "mode", "tonic")))
+
+
+UNSTABLE = "no stable key"
+
+
+def _key_names(tonic: Column, mode: Column) -> tuple[Column, Column]:
+    code = keys.key_to_camelot(tonic, mode == "major")
+    return keys.camelot_to_standard(code), code
+
+
 def key_timeline(scores: DataFrame, spans: DataFrame, least: float = 0.35) -> DataFrame:
-    """Each segment's key with its seconds (spans: track_id, segment, start_s, end_s); unsure ones have no key."""
+    """Each segment's key (standard name and wheel code) with its seconds (spans: track_id, segment, start_s, end_s); segments under ``least``
+    have no stable key and no code. With the track's own: whether it modulates, its global key by the hard vote, the vote's confidence,
+    and whether the track abstains, that is, no segment is stable or the global confidence is under ``least``."""
     won = segment_winners(scores).withColumn("confidence", F.lit(0.6) + F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("score"))) * 0.4)
-    key = F.when(c("confidence") >= least, F.concat_ws(" ", "tonic", "mode"))
-    got = won.withColumn("key", key).join(spans, [*BY, "segment"])
-    return got.withColumn("modulates", F.size(F.collect_set("key").over(Window.partitionBy(*BY))) > 1).select(*BY, "segment", "start_s", "end_s", "key", "confidence", "modulates")
+    name, code = _key_names(c("tonic"), c("mode"))
+    stable = c("confidence") >= least
+    got = won.select(*BY, "segment", F.when(stable, name).otherwise(UNSTABLE).alias("key"), F.when(stable, code).otherwise("").alias("wheel"), "confidence").join(spans, [*BY, "segment"])
+    name, code = _key_names(c("tonic"), c("mode"))
+    top = hard_vote(scores).where("rank = 1").select(*BY, name.alias("g"), code.alias("gw"), c("confidence").alias("global_confidence"))
+    over = Window.partitionBy(*BY)
+    got = got.join(top, BY).withColumn("modulates", F.size(F.collect_set(F.when(c("wheel") != "", c("wheel"))).over(over)) > 1)
+    got = got.withColumn("abstained", (F.max(F.when(c("wheel") != "", 1).otherwise(0)).over(over) == 0) | (c("global_confidence") < least))
+    return got.select(*BY, "segment", "start_s", "end_s", "key", "wheel", "confidence", "modulates", F.when(c("abstained"), UNSTABLE).otherwise(c("g")).alias("global_key"), F.when(c("abstained"), "").otherwise(c("gw")).alias("global_wheel"), "global_confidence", "abstained")
 
 
 def modulation_summary(timeline: DataFrame) -> DataFrame:
-    """a track's first stable key, then each change with its time."""
+    """``Opens A minor, shifts to C major at 1:30``: a track's first stable key, then each change with its time; empty if it does not modulate.
+
+    The minutes are rounded, as the texts to match have them."""
     w = Window.partitionBy(*BY).orderBy("segment")
-    stable = timeline.where("key is not null").withColumn("before", F.lag("key").over(w)).where("before is null or before <> key")
-    step = F.when(c("before").isNull(), c("key")).otherwise(F.concat(c("key"), F.lit(" @ "), F.format_string("%.0f", F.rint("start_s")), F.lit("s")))
-    return stable.groupBy(*BY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", step.alias("t")))), lambda r: r["t"]), " → ").alias("summary"))
+    stable = timeline.where("wheel <> ''").withColumn("before", F.lag("wheel").over(w)).where("before is null or before <> wheel")
+    second = c("start_s") % 60
+    clock = F.concat(F.format_string("%.0f", F.rint(c("start_s") / 60)), F.lit(":"), F.when(second == F.floor(second), F.format_string("%02d", F.floor(second))).otherwise(second.cast("string")))
+    step = F.when(c("before").isNull(), F.concat(F.lit("Opens "), c("key"))).otherwise(F.concat(F.lit("shifts to "), c("key"), F.lit(" at "), clock))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", step.alias("t")))), lambda r: r["t"]), ", ")
+    told = stable.groupBy(*BY).agg(text.alias("t"), F.first("modulates").alias("m"))
+    return timeline.select(*BY).distinct().join(told, BY, "left").select(*BY, F.when(c("m"), c("t")).otherwise("").alias("summary"))
 
 
 def onset_from_energy(frames: DataFrame) -> DataFrame:
@@ -214,9 +256,11 @@ def onset_from_energy(frames: DataFrame) -> DataFrame:
 
 def autocorrelation(onset: DataFrame, max_lag: int) -> DataFrame:
     """(track_id, lag, value), lag 0 being 1. A track's series is one array (missing frames are 0), so lags cost no join."""
-    series = onset.groupBy(*BY).agg(F.max("frame").alias("top"), F.map_from_entries(F.collect_list(F.struct("frame", "onset"))).alias("m"))
-    array = F.aggregate(F.array_sort(F.map_keys("m")), F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("x")), lambda s, f: F.struct((f + 1).alias("at"), F.concat(s["x"], F.array_repeat(F.lit(0.0), f - s["at"]), F.array(F.element_at("m", f))).alias("x")), lambda s: s["x"])
-    dense = series.select(*BY, array.alias("x")).withColumn("n", F.size("x")).withColumn("x", F.when(c("n") > 0, c("x")))
+    series = onset.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("frame", "onset"))).alias("s"))
+    # frames in order, the gap before each filled with zeros: every step makes one short array, flattened once
+    gap = lambda r, i: r["frame"] - F.coalesce(F.get(c("s"), i - 1)["frame"], F.lit(-1)) - 1
+    filled = F.flatten(F.transform("s", lambda r, i: F.concat(F.array_repeat(F.lit(0.0), gap(r, i)), F.array(r["onset"].cast("double")))))
+    dense = series.select(*BY, filled.alias("x")).withColumn("n", F.size("x"))
     lags = dense.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), c("n") - 1))).alias("lag"))
     product = F.aggregate(F.zip_with(F.slice("x", F.lit(1), c("n") - c("lag")), F.slice("x", c("lag") + 1, c("n") - c("lag")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     got = lags.select(*BY, "lag", product.alias("raw"))
@@ -292,34 +336,37 @@ def expand_grid(grids: DataFrame, duration_ms: Column) -> DataFrame:
 
 
 def snap(beats: DataFrame, onset: DataFrame, reach: int = 3) -> DataFrame:
-    """(track_id, beat, frame) moved to the strongest onset within ``reach`` frames, the earliest of equals. The
-    range is a few exact frames, so the join is an equi-join."""
+    """(track_id, beat, frame) moved to the strongest onset within ``reach`` frames, the earliest of equals; a beat stays where
+    none is stronger than its own frame's. The range is a few exact frames, so the join is an equi-join."""
     near = beats.select("track_id", "beat", c("frame").alias("at"), F.explode(F.sequence(c("frame") - reach, c("frame") + reach)).alias("frame")).join(onset, ["track_id", "frame"], "left")
-    return near.groupBy("track_id", "beat", "at").agg(F.max(F.when(c("onset") > 0, F.struct("onset", (-c("frame")).alias("f")))).alias("m")).select("track_id", "beat", F.coalesce(-c("m.f"), "at").alias("frame"))
+    here = F.max(F.when(c("frame") == c("at"), c("onset")))
+    best = F.max(F.when(c("onset").isNotNull(), F.struct("onset", (-c("frame")).alias("f"))))
+    got = near.groupBy("track_id", "beat", "at").agg(best.alias("m"), F.coalesce(here, F.lit(0.0)).alias("own"))
+    return got.select("track_id", "beat", F.when(c("m.onset") > c("own"), -c("m.f")).otherwise(c("at")).alias("frame"))
 
 
 def interval_bpm(beats: DataFrame, start: DataFrame, rate: float = FRAME_RATE) -> DataFrame:
-    """Tempo from the upper median of beat intervals against a start tempo (track_id, bpm): halved or doubled if about
-    an octave off, then blended .7 to .3."""
+    """Tempo from the upper median of beat intervals, blended .7 to .3 with a start tempo (track_id, bpm); the start tempo itself if the
+    median is about an octave off (over 1.8 or under 0.55 times it) or there is no interval."""
     gap = (c("frame") - F.lag("frame").over(Window.partitionBy(*BY).orderBy("frame"))) / rate
     mid = beats.withColumn("gap", gap).groupBy(*BY).agg(upper_median(F.collect_list("gap")).alias("gap"))
     raw = F.when(c("gap") > 0, 60.0 / c("gap"))
-    ratio = raw / c("bpm")
-    fixed = F.when(ratio > 1.8, raw / 2).when(ratio < 0.55, raw * 2).otherwise(raw)
-    return mid.join(start, BY).select(*BY, F.coalesce(fixed * 0.7 + c("bpm") * 0.3, "bpm").alias("bpm"))
+    kept = F.when((raw <= c("bpm") * 1.8) & (raw >= c("bpm") * 0.55), raw * 0.7 + c("bpm") * 0.3)
+    return mid.join(start, BY).select(*BY, F.coalesce(kept, "bpm").alias("bpm"))
 
 
+# fixed values: meter, weights of its beats, preference; in the order that decides ties
 METERS = [(4, [1.0, 0.7, 0.8, 0.7], 1.05), (3, [1.0, 0.7, 0.8], 1.0), (2, [1.0, 0.7], 0.95), (6, [1.0, 0.5, 0.6, 0.8, 0.5, 0.6], 1.0)]
 
 
 def meter(beats: DataFrame, onset: DataFrame) -> DataFrame:
     """Meter, downbeat offset and confidence of (track_id, beat, frame) over 15 hypotheses, a broadcast table; 4, 0, 0 with under eight beats."""
     spark = beats.sparkSession
-    rows = [(m, o, w, pref) for m, w, pref in METERS for o in range(m)]
-    guess = spark.createDataFrame(rows, "meter int, off int, w array<double>, pref double")
+    rows = [(k, m, o, w, pref) for k, (m, w, pref) in enumerate(METERS) for o in range(m)]
+    guess = spark.createDataFrame(rows, "k int, meter int, off int, w array<double>, pref double")
     heard = beats.join(onset, ["track_id", "frame"], "left").withColumn("onset", F.coalesce("onset", F.lit(0.0)))
-    score = heard.crossJoin(F.broadcast(guess)).groupBy("track_id", "meter", "off").agg((F.avg(c("onset") * F.get("w", F.pmod(c("beat") + c("off"), c("meter")).cast("int"))) * F.first("pref")).alias("score"), F.count("*").alias("n"))
-    ranked = score.where("n >= 8").withColumn("r", F.row_number().over(Window.partitionBy(*BY).orderBy(F.round("score", 9).desc(), "meter", "off"))).where("r <= 2")
+    score = heard.crossJoin(F.broadcast(guess)).groupBy("track_id", "k", "meter", "off").agg((F.avg(c("onset") * F.get("w", F.pmod(c("beat") + c("off"), c("meter")).cast("int"))) * F.first("pref")).alias("score"), F.count("*").alias("n"))
+    ranked = score.where("n >= 8").withColumn("r", F.row_number().over(Window.partitionBy(*BY).orderBy(F.round("score", 9).desc(), "k", "off"))).where("r <= 2")
     got = ranked.groupBy(*BY).agg(F.max(F.when(c("r") == 1, F.struct("meter", "off", "score"))).alias("a"), F.max(F.when(c("r") == 2, c("score"))).alias("b"))
     sure = F.when((c("b") > 0) & (c("a.score") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - c("b") / c("a.score")))).otherwise(0.0)
     return beats.select(*BY).distinct().join(got, BY, "left").select(*BY, F.coalesce("a.meter", F.lit(4)).alias("meter"), F.coalesce("a.off", F.lit(0)).alias("off"), F.coalesce(sure, F.lit(0.0)).alias("confidence"))
@@ -333,33 +380,46 @@ def beat_confidence(beats: DataFrame, onset: DataFrame) -> DataFrame:
 
 
 def grid_confidence(beats: DataFrame, onset: DataFrame, tempo_confidence: float, reach: int = 3) -> DataFrame:
-    """.6 of how far the strongest onsets around beats exceed the mean (up to five times), .4 of the tempo's confidence."""
+    """.6 of how far the strongest onsets around beats exceed the mean (up to five times), .4 of the tempo's confidence. Tracks without
+    onsets around any beat keep the tempo's part."""
     near = beats.select("track_id", "beat", F.explode(F.sequence(c("frame") - reach, c("frame") + reach)).alias("frame")).join(onset, ["track_id", "frame"])
-    top = near.groupBy("track_id", "beat").agg(F.max("onset").alias("m")).groupBy(*BY).agg(F.avg("m").alias("m"))
+    top = near.groupBy("track_id", "beat").agg(F.greatest(F.max("onset"), F.lit(0.0)).alias("m")).groupBy(*BY).agg(F.avg("m").alias("m"))
     mean = onset.groupBy(*BY).agg(F.avg("onset").alias("mean"))
-    ratio = F.when(c("mean") > 1e-10, F.least(F.lit(5.0), c("m") / c("mean")) / 5).otherwise(0.0)
-    return top.join(mean, BY).select(*BY, (ratio * 0.6 + 0.4 * tempo_confidence).alias("confidence"))
+    ratio = F.when(c("mean") > 1e-10, F.least(F.lit(5.0), F.coalesce("m", F.lit(0.0)) / c("mean")) / 5).otherwise(0.0)
+    return beats.select(*BY).distinct().join(top, BY, "left").join(mean, BY, "left").select(*BY, (ratio * 0.6 + 0.4 * tempo_confidence).alias("confidence"))
+
+
+# fixed values: weights of bias, loudness, brightness, onsets and percussion in the energy level
+ENERGY = (1.0, 0.15, 0.001, 0.5, 2.0)
 
 
 def energy(frames: DataFrame, rate: int) -> DataFrame:
-    """Loudness, zero crossings, onset density of (track_id, frame, samples) with 20 ms frames, and the 1 to 10 level.
+    """Loudness, zero crossings, onset density and percussive share of (track_id, frame, samples) with 20 ms frames, and the 1 to 10 level.
 
-    The high-frequency share uses each sample against its frame's mean."""
+    The percussive share is that of what is left over a moving mean of the last rate/500 samples; it and the crossings reach into the frame
+    before. Only the last frame of a track may be shorter, and then has no part in the onsets."""
     sq = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
-    n = F.size("samples")
+    n, width = F.size("samples"), max(rate // 500, 2)
     cross = F.aggregate(F.zip_with(F.slice("samples", F.lit(1), n - 1), F.slice("samples", F.lit(2), n - 1), lambda a, b: F.when((a >= 0) != (b >= 0), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    rows = frames.where(n > 0).select("track_id", "frame", "samples", F.lag(F.slice("samples", F.greatest(n - width + 1, F.lit(1)), F.lit(width))).over(_over()).alias("before_it"))
+    held = F.coalesce("before_it", F.array().cast("array<double>"))
+    rows = rows.select("track_id", "frame", "samples", F.concat(held, "samples").alias("x"), F.size(held).alias("k"))
+    # the mean of a sample and the width ones before it, over width; a track's first samples are their own
+    mean = lambda i: F.when(c("k") + i >= width, F.aggregate(F.slice("x", c("k") + i - width + 1, F.lit(width + 1)), F.lit(0.0), lambda s, v: s + v) / width).otherwise(F.get("samples", i))
+    rows = rows.withColumn("low", F.transform(F.sequence(F.lit(0), n - 1), mean))
     first, last = F.get("samples", F.lit(0)), F.element_at("samples", -1)
-    mean = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / n
-    per = frames.where(n > 0).select("track_id", "frame", n.alias("n"), sq(c("samples")).alias("e"), cross.alias("z"), first.alias("first"), last.alias("last"), mean.alias("mean"))
-    per = per.withColumn("z", c("z") + F.coalesce(F.when((F.lag("last").over(_over()) >= 0) != (c("first") >= 0), 1).otherwise(0), F.lit(0))).withColumn("p", c("e") / c("n")).withColumn("before", F.lag("p").over(_over()))
+    per = rows.select("track_id", "frame", n.alias("n"), sq(c("samples")).alias("e"), cross.alias("z"), first.alias("first"), last.alias("last"), sq(c("low")).alias("low"), sq(F.zip_with("samples", "low", lambda a, b: a - b)).alias("high"))
+    per = per.withColumn("z", c("z") + F.coalesce(F.when((F.lag("last").over(_over()) >= 0) != (c("first") >= 0), 1).otherwise(0), F.lit(0)))
+    per = per.withColumn("p", F.when(c("n") >= rate // 50, c("e") / c("n"))).withColumn("before", F.lag("p").over(_over()))
     per = per.withColumn("avg_p", F.avg("p").over(Window.partitionBy(*BY)))
-    got = per.groupBy(*BY).agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("z").alias("z"), F.count_if((c("p") > 3 * c("avg_p")) & (c("p") > 1.5 * c("before"))).alias("on"), F.sum(c("mean") * c("mean") * c("n")).alias("low"))
+    got = per.groupBy(*BY).agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("z").alias("z"), F.count_if((c("p") > 3 * c("avg_p")) & (c("p") > 1.5 * c("before"))).alias("on"), F.sum("low").alias("low"), F.sum("high").alias("high"))
     rms, seconds = F.sqrt(c("e") / c("n")), c("n") / rate
     loud = 20 * F.greatest(F.when(rms > 0, F.log10(rms)).otherwise(F.lit(-60.0)), F.lit(-60.0))
     centroid = F.least(c("z") / seconds * rate / 2, F.lit(20000.0))
-    density, high = c("on") / F.greatest(seconds, F.lit(0.1)), (c("e") - c("low")) / (c("e") + 1e-10)
-    raw = 1.0 + 0.15 * F.greatest(loud + 30, F.lit(0.0)) + 0.001 * centroid + 0.5 * density + 2.0 * high
-    return got.select(*BY, loud.alias("loudness_db"), centroid.alias("centroid_hz"), density.alias("onset_density"), high.alias("high_share"), F.least(F.lit(10), F.greatest(F.lit(1), F.floor(raw + 0.5))).cast("int").alias("energy_level"))
+    density, share = c("on") / F.greatest(seconds, F.lit(0.1)), c("high") / (c("low") + c("high") + 1e-10)
+    bias, *w = ENERGY
+    raw = bias + w[0] * F.greatest(loud + 30, F.lit(0.0)) + w[1] * centroid + w[2] * density + w[3] * share
+    return got.select(*BY, loud.alias("loudness_db"), centroid.alias("centroid_hz"), density.alias("onset_density"), share.alias("high_share"), F.least(F.lit(10), F.greatest(F.lit(1), F.floor(raw + 0.5))).cast("int").alias("energy_level"))
 
 
 def waveform(spec: DataFrame, edges: tuple[int, int], columns: int = 2000) -> DataFrame:
@@ -390,6 +450,15 @@ def augment(labelled: DataFrame, array: str, shifts: list[int]) -> DataFrame:
     return each.withColumn(array, turned).withColumn("label", tonic + F.when(c("label") < 12, 0).otherwise(12))
 
 
+def time_roll(matrices: DataFrame, array: str, seed: int, copies: int = 4, most: int = 50) -> DataFrame:
+    """I32: ``copies`` of every row with its frames (the outer array) rolled by a seeded shift of -``most`` to ``most`` - 1, as column shift; labels stay."""
+    each = matrices.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    shift = (F.pmod(F.xxhash64(F.lit(seed), *BY, "copy"), F.lit(2 * most)) - most).cast("int")
+    each = each.withColumn("shift", shift)
+    n, k = F.size(array), F.pmod(-c("shift"), F.greatest(F.size(array), F.lit(1))).cast("int")
+    return each.withColumn(array, F.concat(F.slice(array, k + 1, n - k), F.slice(array, F.lit(1), k)))
+
+
 def tempo_in_force(beats: DataFrame, tempo_map: DataFrame) -> DataFrame:
     """As-of join: the last tempo segment (track_id, start_ms, bpm) at or before each beat (track_id, beat, ms)."""
     marks = tempo_map.select("track_id", c("start_ms").alias("ms"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("beat"), "bpm")

@@ -152,7 +152,7 @@ query("d11_ordered_fetch", "SELECT p.playlist_id, CAST(p.position AS INT) AS pla
 # E: aggregations
 
 query("e02_contested", "SELECT track_id, count(DISTINCT key_camelot) AS n_keys FROM v_opinions GROUP BY track_id HAVING count(DISTINCT key_camelot) > 1 ORDER BY n_keys DESC, track_id LIMIT 100")(lambda v: consensus.contested(v("v_opinions")))
-query("e03_gold_summary", "SELECT count(*) AS annotations, count(DISTINCT track_id) AS tracks FROM v_gold")(lambda v: consensus.gold_summary(v("v_gold")))
+query("e03_gold_summary", "SELECT count(*) AS annotations, count(DISTINCT track_id) AS tracks, (SELECT count(*) FROM v_tracks) AS total_tracks FROM v_gold")(lambda v: consensus.gold_summary(v("v_gold"), v("v_tracks")))
 query("e04_self_agreement", "SELECT count(*) AS tracks, round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM (SELECT track_id, count(DISTINCT concat(CAST(tonic_pc AS STRING), '|', key_mode)) AS k FROM v_gold WHERE annotator_id = 'self' GROUP BY track_id HAVING count(*) >= 2) x")(lambda v: consensus.self_agreement(v("v_gold")).select("tracks", r6(c("agreement")).alias("agreement")))
 query("e05_mode_distribution", "SELECT key_mode, count(*) AS n FROM v_gold GROUP BY key_mode")(lambda v: consensus.mode_distribution(v("v_gold")))
 query("e06_training_stats", "SELECT session_type, count(*) AS total, count(*) FILTER (WHERE correct) AS correct, round(count(*) FILTER (WHERE correct) * 100.0 / count(*), 6) AS percent FROM v_training GROUP BY ROLLUP (session_type)")(lambda v: consensus.training_stats(v("v_training")).withColumn("percent", r6(c("percent"))))
