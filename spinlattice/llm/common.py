@@ -19,9 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is used only where the setting is absent, as in local tests.
+    Where the setting is absent, a folder of our own is used in a single process alone, as in tests: on a cluster it would be another one on
+    every machine.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or "/tmp/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +44,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Occurrences from which a key is dealt to SALTS tasks.
+HOT, SALTS = 10_000, 16
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (a row for each ``key``, which ``n`` of rows have) that leaves no key to one task.
+
+    Keys of HOT rows or more, of which there are at most one in HOT, are dealt by ``spread`` to SALTS tasks each, the others joined as they are.
+    Columns of the two sides must not share names but the key."""
+    salted = facts.where(F.col(n) >= HOT).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_hot", F.lit(True))
+    both = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left")
+    hot = both.where("_hot").drop("_salt", "_hot")
+    cold = both.where("_hot is null").select(*rows.columns).join(facts.where(F.col(n) < HOT), key)
+    return hot.unionByName(cold)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``: a lambda variable is never inlined
     again for every element, a projected column might be."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_hot, new_path
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,11 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u moves to the least of u and its neighbours."""
+    """Every larger neighbour of u moves to the least of u and its neighbours. A component's root ends with all its nodes as
+    neighbours, so hubs are joined in parts."""
     both = _both(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+    return join_hot(both.where("v > u"), least, "u", "degree", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,15 +31,23 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b): node, component (least node reachable), for nodes with an edge.
 
     Rounds grow with the logarithm of a component's diameter. Each round's edges are
-    written to the shared folder; only their number and a checksum come to the driver.
+    written to the shared folder, those of the round before removed; only their number and a checksum come to the driver. Loops and repeated edges
+    change nothing, no edges give no rows.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, seen = materialize(now, "cc"), None
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        df.write.parquet(path := new_path(spark, "cc"))
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    start = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct()
+    (now, path), seen = written(start), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
-        seen = mark
-        now = materialize(_small_star(_large_star(now)), "cc")
+        seen, before = mark, path
+        now, path = written(_small_star(_large_star(now)))
+        discard(spark, before)  # the new table is whole, so nothing reads the old one again
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -2,8 +2,8 @@
 
 A scan finds candidate spans with regular expressions on whole texts. Candidate values are
 aggregated over the corpus by distinct repositories and owners: a value that
-several owners have is a widely copied example, one that a single owner or two have looks
-live. Pattern kinds always report their spans and carry the verdict; the opaque kind (long
+several owners have, or many repositories of one or two owners, is a widely copied example; one that few repositories of a single
+owner or two have looks live. Pattern kinds always report their spans and carry the verdict; the opaque kind (long
 mixed-case strings with digits) reports only values that look live.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_hot, materialize, table
 
 # fixed values: the base kinds' patterns
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +27,8 @@ KINDS = (
     ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}", 0, 24),
 )
 BASE = ("assign", "access", "hex")
-#: A value that so many owners have is a widely copied example.
-SHARED_OWNERS = 3
+#: A value that so many owners, or repositories of whatever owners, have is a widely copied example.
+SHARED_OWNERS, SHARED_REPOS = 3, 4
 _STEP = 256
 
 
@@ -78,24 +78,26 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``candidates`` (digest, owner, repo): digest, owners, repos, live. Null owners count as one owner.
+    """``candidates`` (digest, owner, repo): digest, owners, repos, found (occurrences), live. Null owners count as one owner.
 
     Distinct triples, then two sums: each step combines within tasks before it shuffles, so a value in
     a third of all rows is a few rows by the time it moves."""
-    named = candidates.select("digest", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
-    by_owner = named.groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repos")).withColumn("live", F.col("owners") < SHARED_OWNERS)
+    named = candidates.select("digest", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
+    by_repo = named.groupBy("digest", "owner", "repo").agg(F.count("*").alias("found"))
+    by_owner = by_repo.groupBy("digest", "owner").agg(F.count("*").alias("n"), F.sum("found").alias("found"))
+    got = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"), F.sum("found").alias("found"))
+    return got.withColumn("live", (F.col("owners") < SHARED_OWNERS) & (F.col("repos") < SHARED_REPOS))
 
 
 def judged(scanned: DataFrame, owner: Column, repo: Column) -> DataFrame:
-    """rid, spans with their verdicts (array of start, rank, finish, kind, live), for rows that have any.
+    """rid, spans with their verdicts (array of start, rank, finish, kind, live, owners, repos), for rows that have any.
 
     Opaque candidates that are widely copied are left out."""
     each = scanned.select("rid", owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.explode("spans").alias("s"))
     each = each.select("rid", "owner", "repo", F.md5("s.value").alias("digest"), "s.start", "s.rank", "s.finish", "s.kind")
     verdicts = ownership(each)
-    told = each.join(verdicts.select("digest", "live"), "digest").where((F.col("kind") != "opaque") | F.col("live"))
-    return told.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "finish", "kind", "live"))).alias("told"))
+    told = join_hot(each.drop("owner", "repo"), verdicts, "digest", "found", F.col("rid")).where((F.col("kind") != "opaque") | F.col("live"))
+    return told.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "finish", "kind", "live", "owners", "repos"))).alias("told"))
 
 
 def _text_of(spans: Column) -> Column:
@@ -103,7 +105,8 @@ def _text_of(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """Counts, digests and spans for each row of ``docs``; the columns as op4_secrets returns them.
+    """Counts, digests and spans for each row of ``docs``; the columns as op4_secrets returns them, with the distinct owners and repositories
+    of every span's value (owners_repos, owners:repositories by span). The tables at hand name no repository: source and language stand for one.
 
     Null and empty texts have no spans; repeated rows are rows of their own (and one owner);
     no rows give no rows; other columns of ``docs`` are never read."""
@@ -112,12 +115,13 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     place = F.concat_ws("/", *(F.coalesce(F.col(f"c{2 + i}").cast("string"), F.lit("")) for i in range(len(repo))))
     told = judged(scanned, F.col("c1"), place)
     base = scanned.select("rid", F.col("c0").alias("doc_id"), F.filter("spans", lambda s: s["kind"].isin(*BASE)).alias("base"))
-    both = base.join(told, "rid", "left").withColumn("told", F.coalesce("told", F.expr("cast(array() as array<struct<start:int,rank:int,finish:int,kind:string,live:boolean>>)")))
+    both = base.join(told, "rid", "left").withColumn("told", F.coalesce("told", F.expr("cast(array() as array<struct<start:int,rank:int,finish:int,kind:string,live:boolean,owners:bigint,repos:bigint>>)")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return both.select(
         "doc_id", *map(count, BASE), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("told")).alias("spans"),
         F.size(F.filter("told", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("told", lambda s: ~s["live"])).cast("long").alias("n_shared"),
         _text_of(F.filter("told", lambda s: s["live"])).alias("live_spans"),
+        F.array_join(F.transform("told", lambda s: F.concat_ws(":", s["owners"], s["repos"])), ",").alias("owners_repos"),
     )
 
 

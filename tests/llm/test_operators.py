@@ -734,3 +734,28 @@ def test_scan_of_long_runs_and_many_levels(spark):
     ids = [i for i in scan.ids.values() if scan.sound[i]] + [scan.size + 0x4E00]
     a, b = (np.array([rng.choice(ids) for _ in range(4000)]) for _ in range(2))
     assert scan.compatible_pairs(a, b).tolist() == [scan.compatible(int(x), int(y)) for x, y in zip(a, b, strict=True)]
+
+
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    from spinlattice.llm import common
+    from spinlattice.llm.components import components
+
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 100), ("c", 101), (None, 102)], "k string, i long")
+    facts = spark.createDataFrame([("a", 40, "x"), ("b", 1, "y"), ("z", 1, "z")], "k string, n long, f string")
+    got = common.join_hot(rows, facts, "k", "n", rows["i"])
+    assert sorted((r["i"], r["f"]) for r in got.collect()) == [*((i, "x") for i in range(40)), (100, "y")] and got.columns == ["k", "i", "n", "f"]
+    # a hub, a chain, a loop and a repeated edge
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (0, 1)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(31)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repositories_decide_as_owners_do(spark):
+    from spinlattice.llm.secrets import find_secrets
+
+    texts = {"many owners": [("o%d" % (i % 3), "en") for i in range(6)], "many repositories": [("o1", x) for x in ("en", "de", "fr", "es")], "one owner": [("o1", "en")] * 9}
+    rows = [(100 * k + i, f"password = {k}abcdefghijklmnop", owner, lang) for k, places in enumerate(texts.values()) for i, (owner, lang) in enumerate(places)]
+    got = rows_of(find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")))
+    assert [(got[100 * k]["n_live"], got[100 * k]["n_shared"], got[100 * k]["owners_repos"]) for k in range(3)] == [(0, 1, "3:3"), (0, 1, "1:4"), (1, 0, "1:1")]
