@@ -108,9 +108,14 @@ def match_imports(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     return rows.join(best, "row_id", "left").select(*rows.columns, c("m.track_id").alias("track_id"), c("m.rank").alias("match_rank"))
 
 
-def import_report(matched: DataFrame) -> DataFrame:
-    """Total, matched and unmatched rows of an import, and what could not be read."""
-    return matched.agg(F.count("*").alias("total"), F.count_if(c("track_id").isNotNull()).alias("matched"), F.count_if(c("track_id").isNull()).alias("unmatched"))
+def import_report(matched: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """Total, matched and unmatched rows of an import, and a message for each row that could not be read (``unread``: column record),
+    sorted; such rows count as unmatched. The messages are the report, so they are kept whole."""
+    got = matched.agg(F.count("*").alias("total"), F.count_if(c("track_id").isNotNull()).alias("matched"), F.count_if(c("track_id").isNull()).alias("unmatched"))
+    if unread is None:
+        return got.withColumn("errors", F.array().cast("array<string>"))
+    bad = unread.agg(F.count("*").alias("bad"), F.array_sort(F.collect_list(F.concat(F.lit("parse error: "), c("record")))).alias("errors"))
+    return got.crossJoin(bad).select((c("total") + c("bad")).alias("total"), "matched", (c("unmatched") + c("bad")).alias("unmatched"), "errors")
 
 
 def upsert(table: DataFrame, updates: DataFrame, by: list[str], newest: str, keep: list[str] | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators import catalog
 
 c = F.col
 # fixed values: media file extensions
 MEDIA = ["mp3", "wav", "flac", "ogg", "oga", "opus", "aiff", "aif", "m4a", "aac", "wma", "alac", "mkv", "mp4", "mov", "webm", "m4v", "avi", "flv", "mpg", "mpeg", "ts", "3gp"]
+UNREAD = "_unread"
 LABELS = "Title string, Artist string, Key string, Tempo string, Genre string, Album string, Grouping string, `Date Added` string, Location string, Comment string, Year string, `Overall Volume` string, Energy string, CuePoints string, ClippedPeaks string"
 ENTRY = "_TITLE string, _ARTIST string, LOCATION struct<_FILE:string,_DIR:string>, MUSICAL_KEY struct<_VALUE:int>, TEMPO struct<_BPM:double>"
 JAMS = "annotations array<struct<namespace:string,data:array<struct<time:double,duration:double,confidence:double,value:string>>>>, file_metadata struct<title:string,duration:double>"
@@ -29,9 +31,15 @@ def label_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.trim(F.coalesce("Location", F.lit(""))) != "").select(c("Title").alias("title"), c("Artist").alias("artist"), F.trim("Key").alias("key"), F.when(bpm > 0, bpm).alias("bpm"), c("Genre").alias("genre_raw"), c("Energy").try_cast("int").alias("energy"), c("Location").alias("location"), F.lower(F.regexp_extract("Location", r"\.([^.\\/]+)$", 1)).alias("extension"))
 
 
-def tag_opinions(matched: DataFrame, source: str) -> DataFrame:
-    """A4, A5: opinions of matched import rows (track_id, key_camelot, bpm)."""
-    return matched.where("track_id is not null").select("track_id", F.lit(source).alias("source"), "key_camelot", "bpm")
+def unread_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A3, A4: record: title and text of the rows of a label file that have too many or too few fields."""
+    raw = spark.read.schema(f"{LABELS}, {UNREAD} string").csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"', columnNameOfCorruptRecord=UNREAD)
+    return raw.where(c(UNREAD).isNotNull()).select(F.concat_ws(": ", "Title", UNREAD).alias("record"))
+
+
+def tag_opinions(matched: DataFrame, source: str, *more: str) -> DataFrame:
+    """A4, A5: opinions of matched import rows (track_id, key_camelot, bpm), with the columns ``more``."""
+    return matched.where("track_id is not null").select("track_id", F.lit(source).alias("source"), "key_camelot", "bpm", *more)
 
 
 def collection_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +49,33 @@ def collection_xml(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("LOCATION._FILE is not null").select(c("_TITLE").alias("title"), c("_ARTIST").alias("artist"), F.concat(folder, c("LOCATION._FILE")).alias("location"), keys.xml_key(c("MUSICAL_KEY._VALUE")).alias("key_camelot"), F.when(c("TEMPO._BPM") > 0, c("TEMPO._BPM")).alias("bpm"))
 
 
+def _imported(entries: DataFrame, tracks: DataFrame, opinions: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """The entries (location, key_camelot, bpm) with their tracks, and the opinions after the import. Of several entries of one track that with the
+    greatest location counts; opinions of other sources stay."""
+    numbered = entries.withColumn("row_id", F.xxhash64("location"))
+    matched = catalog.match_imports(numbered, tracks)
+    new = tag_opinions(matched, source, "location").withColumnRenamed("location", "at").withColumn("confidence", F.lit(1.0))
+    state = opinions.select("track_id", "source", "key_camelot", "bpm", "confidence", F.lit(None).cast("string").alias("at"))
+    return matched, catalog.upsert(state, new, ["track_id", "source"], "at").drop("at")
+
+
+def import_labels(spark: SparkSession, path: str, tracks: DataFrame, opinions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A4: a tag CSV into the catalog: the tracks with key, energy and genre of the tags (tag_key, tag_energy, genre), the opinions with source
+    tagcsv, and the report. Tags that are null leave what was there."""
+    rows = label_csv(spark, path).dropDuplicates(["location"])
+    matched, state = _imported(rows.withColumn("key_camelot", F.nullif(c("key"), F.lit(""))), tracks, opinions, "tagcsv")
+    tags = matched.where("track_id is not null").groupBy("track_id").agg(F.max_by(F.struct(c("key").alias("tag_key"), c("energy").alias("tag_energy"), c("genre_raw").alias("genre")), "location").alias("t")).select("track_id", "t.*")
+    known = tracks.columns
+    state_of = tracks.select("*", *(F.lit(None).cast(t).alias(x) for x, t in (("tag_key", "string"), ("tag_energy", "int"), ("genre", "string")) if x not in known))
+    return catalog.update_columns(state_of, tags, ["tag_key", "tag_energy", "genre"]), state, catalog.import_report(matched, unread_labels(spark, path))
+
+
+def import_collection(spark: SparkSession, path: str, tracks: DataFrame, opinions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A5: a collection XML into the catalog: the opinions with source djxml, and the report."""
+    matched, state = _imported(collection_xml(spark, path).dropDuplicates(["location"]), tracks, opinions, "djxml")
+    return state, catalog.import_report(matched)
+
+
 def _whole(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     got = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select("value", c("_metadata.file_name").alias("f"))
     return got.select(F.expr(f"substring(f, 1, length(f) - {len(suffix)})").alias("stem"), F.trim("value").alias("value"))

@@ -35,8 +35,9 @@ def throughput(events: DataFrame, total: int, late: str = "10 minutes") -> DataF
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """The newest row of each track, for update mode."""
-    return events.groupBy("track_id").agg(F.max_by(F.struct(*[x for x in events.columns if x != "track_id"]), "ts").alias("r")).select("track_id", "r.*")
+    """The newest row of each track, for update mode; of rows of one time that with the greatest other values."""
+    rest = F.struct("ts", *[x for x in events.columns if x not in ("track_id", "ts")])
+    return events.groupBy("track_id").agg(F.max(rest).alias("r")).select("track_id", "r.*")
 
 
 def tap_tempo(taps: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def tap_tempo(taps: DataFrame) -> DataFrame:
         for t in times:
             held = [*held[-3:], t]
             gap = (held[-1] - held[0]) / (len(held) - 1) if len(held) > 1 else 0
-            rows.append((key[0], pd.Timestamp(t, unit="s"), int(min(300.0, max(20.0, 60.0 / gap)) + 0.5) if gap > 0 else None))
+            rows.append((key[0], pd.Timestamp(round(t * 1e6), unit="us"), int(min(300.0, max(20.0, 60.0 / gap)) + 0.5) if gap > 0 else None))
         state.update((held,))
         out = pd.DataFrame(rows, columns=["session_id", "ts", "bpm"])
         yield out.astype({"bpm": "Int64"})

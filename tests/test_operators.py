@@ -172,3 +172,75 @@ def test_streams(spark, tmp_path):
     t2, o2 = jobs.apply_results(t, o, results)
     assert sorted(map(tuple, t2.collect())) == sorted(map(tuple, t.collect())) == [(1, "9A", 121.0, "analyzed"), (2, None, None, "pending")]
     assert o2.count() == 1
+
+
+def test_next_candidates_with_used_partners_and_few_codes(spark):
+    """All relations, used partners last within a score, tempos that are null, against pairs by hand."""
+    import random
+
+    rng = random.Random(3)
+    for codes in (["8A", "8A", "9A", "3B"], ["1A", "5B"], [f"{n}{x}" for n in range(1, 13) for x in "AB"]):
+        rows = [(i, rng.choice(codes), None if rng.random() < 0.1 else rng.choice([100.0, 102.5, 120.0, rng.uniform(60, 180)])) for i in range(90)] + [(500, None, 100.0)]
+        df = spark.createDataFrame(rows, "track_id long, key_camelot string, bpm double")
+        used = {(i, rng.randrange(90)) for i in range(90) for _ in range(rng.choice([0, 0, 5]))}
+        got = harmony.next_candidates(df, spark.createDataFrame([*used, (1, 2), (1, 2)], "track_id long, other_id long"), 7)
+        pairs = df.alias("a").join(df.alias("b"), c("a.track_id") != c("b.track_id"))
+        delta = keys.delta_percent(c("a.bpm"), c("b.bpm"))
+        rel = keys.relation(c("a.key_camelot"), c("b.key_camelot"))
+        every = pairs.select(c("a.track_id").alias("t"), c("b.track_id").alias("o"), keys.transition_score(rel, delta).alias("s"), delta.alias("d"), rel.alias("r")).where("r <> 'unknown'").collect()
+        want, both = {}, used | {(1, 2)}
+        for t in range(90):
+            best = sorted((-r["s"], (t, r["o"]) in both, abs(r["d"]), r["o"]) for r in every if r["t"] == t)[:7]
+            want |= {(t, k + 1): (o, -s, u) for k, (s, u, _, o) in enumerate(best)}
+        assert {(r["track_id"], r["rank"]): (r["other_id"], r["score"], r["used"]) for r in got.collect()} == want
+
+
+def test_nearest_by_relation_with_ties_and_unknown_tempos(spark):
+    rows = [(i, "8A", 120.0) for i in range(12)] + [(20, "8A", None), (21, "8A", 119.0), (22, "9A", None), (23, "9A", 121.0), (24, "8B", 300.0), (25, "x", 120.0), (26, None, 1.0)]
+    got = harmony.top_per_relation(spark.createDataFrame(rows, "track_id long, key_camelot string, bpm double"), 3)
+    by = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        by.setdefault((r["track_id"], r["relation"]), []).append((r["other_id"], r["gap"]))
+    assert by[0, "same"] == [(1, 0.0), (2, 0.0), (3, 0.0)] and by[1, "same"] == [(0, 0.0), (2, 0.0), (3, 0.0)]
+    assert by[0, "plus_one"] == [(23, 1.0), (22, None)] and by[0, "mood_shift"] == [(24, 180.0)]
+    assert by[20, "same"] == [(0, None), (1, None), (2, None)] and by[21, "same"][0] == (0, 1.0) and by[22, "minus_one"] == [(0, None), (1, None), (2, None)]
+    assert not {25, 26} & {k[0] for k in by}
+
+
+def test_fuzzy_match_is_lossless(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["red", "blue", "sky", "sea", "sun", "moon", "live", "mix", "dub", "one"]
+    name = lambda k: " ".join(rng.choice(words) for _ in range(rng.randint(0, k)))
+    lib = [(i, name(7) + ".mp3", name(7) or None, name(3) or None) for i in range(80)]
+    lines = [(i, name(8) or None, name(3) or None) for i in range(80)] + [(90 + i, x[2], None) for i, x in enumerate(lib[:10])]
+    tok = lambda s: set("".join(ch for ch in (s or "").lower() if ch.isalnum() or ch == " ").split())
+    sim = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = {}
+    for k, title, artist in lines:
+        scored = [(-(0.6 * max(sim(tok(title), tok(t)), sim(tok(title), tok(f))) + 0.4 * sim(tok(artist), tok(a))), f, i) for i, f, t, a in lib]
+        best = min((x for x in scored if -x[0] > 0.5), default=None)
+        if best:
+            want[k] = (best[2], round(-best[0], 9))
+    got = sets.match_setlist(spark.createDataFrame(lines, "id long, title string, artist string"), spark.createDataFrame(lib, "track_id long, filename string, title string, artist string"), ["id"])
+    assert {r["id"]: (r["track_id"], round(r["similarity"], 9)) for r in got.collect()} == want and len(want) > 20
+
+
+def test_vectors_of_the_beat_rules(spark):
+    beats = spark.createDataFrame([(1, k, 10 * k) for k in range(5)], "track_id long, beat int, frame int")
+    onset = spark.createDataFrame([(1, f, v) for f, v in {0: 0.5, 2: 0.5, 10: 0.2, 8: 0.9, 12: 0.9, 20: 0.0, 31: 0.1}.items()], "track_id long, frame int, onset double")
+    # equal strengths do not move a beat, of two stronger ones the earlier wins
+    assert {r["beat"]: r["frame"] for r in signal.snap(beats, onset).collect()} == {0: 0, 1: 8, 2: 20, 3: 31, 4: 40}
+    for start, want in ((100.0, 0.7 * 6 * 16 + 30), (50.0, 50.0), (200.0, 200.0)):
+        got = signal.interval_bpm(beats, spark.createDataFrame([(1, start)], "track_id long, bpm double"), rate=16.0).first()["bpm"]
+        assert abs(got - want) < 1e-9
+    rolled = signal.time_roll(spark.createDataFrame([(1, [[float(k)] for k in range(7)])], "track_id long, m array<array<double>>"), "m", 3).collect()
+    assert len(rolled) == 4 and all([x[0] for x in r["m"]] == [float((k - r["shift"]) % 7) for k in range(7)] and -50 <= r["shift"] < 50 for r in rolled)
+
+
+def test_folds_are_stratified(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 900 else None if i < 950 else "b") for i in range(1000)], "id long, label string")
+    got = evaluation.split(rows, "label", "id", 7, 5, ranges=8)
+    counts = {(r["label"], r["fold"]): r["n"] for r in got.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("a", f): 180 for f in range(5)} | {(None, f): 10 for f in range(5)} | {("b", f): 10 for f in range(5)}
