@@ -99,10 +99,18 @@ _e = lambda m: f"(pred_bpm * {m} - truth_bpm)"
 query("c18_bpm_agreement", f"SELECT track_id, abs({_e('1.0')}) <= 1 AS raw, abs({_e('0.5')}) <= 1 OR abs({_e('1.0')}) <= 1 OR abs({_e('2.0')}) <= 1 AS octave, round(CASE WHEN abs({_e('0.5')}) <= abs({_e('1.0')}) AND abs({_e('0.5')}) <= abs({_e('2.0')}) THEN {_e('0.5')} WHEN abs({_e('1.0')}) <= abs({_e('2.0')}) THEN {_e('1.0')} ELSE {_e('2.0')} END, 6) AS error, round(pred_bpm / truth_bpm, 6) AS ratio FROM (SELECT track_id, CAST(pred_bpm AS DOUBLE) AS pred_bpm, CAST(truth_bpm AS DOUBLE) AS truth_bpm FROM v_predictions) p WHERE pred_bpm IS NOT NULL AND truth_bpm IS NOT NULL")(
     lambda v: v("v_predictions").where("pred_bpm is not null and truth_bpm is not null").select("track_id", scoring.within_one(c("pred_bpm"), c("truth_bpm"), False).alias("raw"), scoring.within_one(c("pred_bpm"), c("truth_bpm"), True).alias("octave"), r6(scoring.best_octave_error(c("pred_bpm"), c("truth_bpm"))).alias("error"), r6(scoring.bpm_ratio(c("pred_bpm"), c("truth_bpm"))).alias("ratio"))
 )
-_has = lambda parts: "(" + " OR ".join(f"strpos(g, '{p.replace(chr(39), chr(39) * 2)}') > 0" for p in parts) + ")"
-GENRE = "CASE WHEN g IN (" + ", ".join(f"'{x}'" for x in text.UNKNOWN_GENRES) + ") THEN 'unknown' " + " ".join(f"WHEN {_has(p)} THEN '{n}'" for n, p in text.GENRES) + " ELSE 'other' END"
+# fixed values, written out once more so that the SQL knows nothing of the library's tables
+GENRE = """CASE WHEN g IN ('', 'unknown', 'unknown genre', 'unclassifiable', 'various') THEN 'unknown' WHEN regexp_matches(g, 'electr|edm|dance') THEN 'electronic' WHEN regexp_matches(g, 'house') THEN 'house'
+WHEN regexp_matches(g, 'techno') THEN 'techno' WHEN regexp_matches(g, 'trance|psy') THEN 'trance' WHEN regexp_matches(g, 'dubstep|drum|bass|riddim') THEN 'bass' WHEN regexp_matches(g, 'hip|hop|rap|trap') THEN 'hip-hop'
+WHEN regexp_matches(g, 'r&b|r''n''b|r-n-b|soul|funk') THEN 'r&b' WHEN regexp_matches(g, 'rock|punk|metal|guitar') THEN 'rock' WHEN regexp_matches(g, 'pop|top 40|top40') THEN 'pop'
+WHEN regexp_matches(g, 'reggae|dancehall|shatta|salsa|latin|ragga') THEN 'reggae-latin' WHEN regexp_matches(g, 'classical|orchestr|soundtrack|score|theme|anime') THEN 'classical' WHEN regexp_matches(g, 'jazz|blues|swing') THEN 'jazz'
+WHEN regexp_matches(g, 'chill|ambient|lounge') THEN 'ambient' WHEN regexp_matches(g, 'world|folk|acoustic|country') THEN 'world' ELSE 'other' END"""
 query("c19_normalize_genre", f"SELECT track_id, {GENRE} AS genre FROM (SELECT track_id, lower(trim(coalesce(genre_raw, ''))) AS g FROM v_genres) x")(lambda v: v("v_genres").select("track_id", text.normalize_genre(c("genre_raw")).alias("genre")))
-_w = lambda i: "CASE WHEN g = '' THEN " + str(text.DEFAULT_WEIGHTS[i]) + " " + " ".join(f"WHEN {_has(p)} THEN {w[i]}" for p, w in text.FAMILIES) + f" ELSE {text.DEFAULT_WEIGHTS[i]} END"
+# fixed values: krumhansl, temperley, shaath
+WEIGHED = """CASE WHEN g = '' THEN [0.15, 0.25, 1.0] WHEN regexp_matches(g, 'electronic|edm|house|techno|trance|dubstep|drum & bass|dnb|garage|bass|disco|synth|ambient|idm|breakbeat|electro|minimal') THEN [0.3, 0.4, 0.6]
+WHEN regexp_matches(g, 'classical|orchestral|symphony|baroque|chamber|opera|piano|string quartet|concerto') THEN [0.6, 0.5, 0.3] WHEN regexp_matches(g, 'rock|pop|indie|alternative|punk|metal|folk|country|blues') THEN [0.3, 0.6, 0.4]
+WHEN regexp_matches(g, 'hip|hop|rap|r&b|rnb|soul|trap|funk') THEN [0.2, 0.4, 0.5] WHEN regexp_matches(g, 'jazz|swing|bebop|fusion|smooth jazz') THEN [0.5, 0.5, 0.3] ELSE [0.15, 0.25, 1.0] END"""
+_w = lambda i: f"({WEIGHED})[{i + 1}]"
 query("c20_genre_weights", f"SELECT track_id, CAST({_w(0)} AS DOUBLE) AS krumhansl, CAST({_w(1)} AS DOUBLE) AS temperley, CAST({_w(2)} AS DOUBLE) AS shaath FROM (SELECT track_id, lower(coalesce(genre_raw, '')) AS g FROM v_genres) x")(
     lambda v: v("v_genres").select("track_id", text.profile_weights(c("genre_raw")).alias("w")).select("track_id", "w.*")
 )
@@ -122,7 +130,7 @@ def _(v):
 
 
 query("c24_path_normalize", "SELECT track_id, replace(file_path, '/', chr(92)) AS path, filename AS base FROM v_tracks")(lambda v: v("v_tracks").select("track_id", text.normalize_path(c("file_path")).alias("path"), text.basename(c("file_path")).alias("base")))
-LABEL = f"CASE {REL} " + " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in keys.RELATIONS) + " END"
+LABEL = f"CASE {REL} WHEN 'same-key' THEN 'Same key' WHEN 'neighbor' THEN 'Neighbor move' WHEN 'mood-shift' THEN 'Mood shift' WHEN 'energy-boost' THEN 'Energy boost' WHEN 'energy-drop' THEN 'Energy drop' WHEN 'tension' THEN 'Tension jump' WHEN 'bridge-needed' THEN 'Bridge needed' ELSE 'Unknown' END"
 query("c25_transition_sentence", f"SELECT playlist_id, position, concat({LABEL}, CASE WHEN dd IS NULL THEN ' BPM unknown.' WHEN dd < 2 THEN ' BPM is nearly matched.' WHEN dd < 8 THEN concat(' BPM shifts ', CAST(CAST(round_even(dd, 0) AS INT) AS STRING), '% — manageable.') ELSE concat(' BPM jumps ', CAST(CAST(round_even(dd, 0) AS INT) AS STRING), '% — risky without pitch adjustment.') END) AS sentence FROM (SELECT *, abs((bbpm - abpm) / abpm * 100) AS dd FROM v_moves) x")(
     lambda v: v("v_pairs").select(*PAIR, text.transition_sentence(c("ak"), c("bk"), c("abpm"), c("bbpm")).alias("sentence"))
 )

@@ -244,3 +244,43 @@ def test_folds_are_stratified(spark):
     got = evaluation.split(rows, "label", "id", 7, 5, ranges=8)
     counts = {(r["label"], r["fold"]): r["n"] for r in got.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
     assert counts == {("a", f): 180 for f in range(5)} | {(None, f): 10 for f in range(5)} | {("b", f): 10 for f in range(5)}
+
+
+def test_greedy_paths_by_hand(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(a, b, rng.choice([70, 85, 95]), float(rng.choice([-3, 1, 2]))) for a in range(15) for b in rng.sample(range(15), 4) if a != b]
+    got = {r["seed_id"]: r["path"] for r in harmony.paths(spark.createDataFrame(edges, "track_id long, other_id long, score int, delta_pct double"), spark.range(20).withColumnRenamed("id", "track_id"), 6).collect()}
+    for seed in range(20):
+        path = [seed]
+        for _ in range(5):
+            free = [(-s, abs(d), b) for a, b, s, d in edges if a == path[-1] and b not in path]
+            path += [min(free)[2]] if free else []
+            if not free:
+                break
+        assert got[seed] == path
+
+
+def test_peaks_by_hand(spark):
+    import random
+
+    rng = random.Random(12)
+    values = {k: rng.choice([-0.1, 0.1, 0.2, 0.3, 0.5, 0.9]) for k in range(64)}
+    ac = spark.createDataFrame([(1, k, x) for k, x in values.items()], "track_id long, lag int, value double")
+    found = []
+    for k in range(4, 61):
+        a, b, z = values[k - 1], values[k], values[k + 1]
+        if b > 0 and a < b > z:
+            bend = a - 2 * b + z
+            found.append((k, b, k + 0.5 * (a - z) / bend if abs(bend) >= 1e-10 else float(k)))
+    kept = []
+    for peak in found:
+        if kept and peak[0] - kept[-1][0] <= 3:
+            if peak[1] > kept[-1][1]:
+                kept[-1] = peak
+        else:
+            kept.append(peak)
+    best = sorted(kept, key=lambda x: (-x[1], x[0]))[:5]
+    got = signal.peaks(ac, 4, 60, top=5).orderBy("rank").collect()
+    assert [(r["lag"], r["strength"], round(r["place"], 9)) for r in got] == [(k, b, round(p, 9)) for k, b, p in best]
