@@ -25,7 +25,7 @@ query("b02_presets", "SELECT 'unanalyzed' AS preset, track_id FROM v_tracks WHER
     lambda v: (lambda t: catalog.preset(t, "unanalyzed").select(F.lit("unanalyzed").alias("preset"), "track_id").unionByName(catalog.preset(t, "low_confidence").select(F.lit("low_confidence").alias("preset"), "track_id")).unionByName(catalog.preset(t, "high_confidence").select(F.lit("high_confidence").alias("preset"), "track_id")))(v("v_tracks"))
 )
 query("b03_drawer_search", "SELECT track_id FROM v_tracks WHERE strpos(lower(coalesce(title, '')), '12') > 0 OR strpos(lower(coalesce(artist, '')), '12') > 0 OR strpos(lower(filename), '12') > 0 OR strpos(lower(coalesce(key_camelot, '')), '12') > 0")(lambda v: catalog.drawer_search(v("v_tracks"), "12").select("track_id"))
-query("b04_lookup", "SELECT min(t.track_id) AS track_id, lower(t.artist) AS artist FROM v_tracks t WHERE lower(t.artist) IN (SELECT lower(artist) FROM v_setlist) GROUP BY lower(t.artist)")(lambda v: catalog.lookup(v("v_tracks"), v("v_setlist"), "artist", ignore_case=True).select("track_id", F.lower("artist").alias("artist")))
+query("b04_lookup", "SELECT min(t.track_id) AS track_id, lower(t.artist) AS artist FROM v_tracks t WHERE lower(t.artist) IN (SELECT lower(artist) FROM v_setlist_all) GROUP BY lower(t.artist)")(lambda v: catalog.lookup(v("v_tracks"), v("v_setlist_all"), "artist", ignore_case=True).select("track_id", F.lower("artist").alias("artist")))
 query("b05_pending", f"SELECT track_id, status FROM v_tracks WHERE status IN ('pending', 'metadata_ready') ORDER BY track_id {N} LIMIT 100")(lambda v: catalog.pending(v("v_tracks"), 100).select("track_id", "status"))
 query("b06_needs_repair", "SELECT t.track_id FROM v_tracks t JOIN v_genres g ON g.track_id = t.track_id WHERE coalesce(t.artist, '') IN ('', 'Unknown Artist') OR coalesce(t.title, '') = '' OR coalesce(g.genre_raw, '') = ''")(lambda v: v("v_tracks").join(v("v_genres").select("track_id", c("genre_raw").alias("genre")), "track_id").where(catalog.needs_repair()).select("track_id"))
 LISTING = "SELECT location, CASE WHEN track_id % 7 = 3 THEN 'ape' WHEN track_id % 7 = 5 THEN '3gp' ELSE extension END AS extension, CASE WHEN track_id % 10 = 9 THEN NULL WHEN track_id % 10 = 8 THEN 200000000 ELSE 5000000 END AS length, CASE WHEN track_id % 29 = 0 THEN 'All' ELSE truth_camelot END AS key FROM v_predictions"
@@ -41,18 +41,15 @@ def corpus(v):
 
 
 query("b07_corpus_status", STATUS)(lambda v: corpus(v).select("location", "status"))
-SEEDS = "SELECT track_id AS seed_id, key_camelot AS seed_key, bpm AS seed_bpm FROM v_tracks WHERE track_id % 100 = 7"
-seeds = lambda v: v("v_tracks").where("track_id % 100 = 7")
-#: The searches' stated query set. SEEDS, which the SQL of the plain names keeps, has none of its rows.
-asked = lambda v: v("v_tracks").where("track_id % 50 = 0")
-ASKED = lambda sql: sql.replace("track_id % 100 = 7", "track_id % 50 = 0")
-EVERY = lambda sql: sql.replace(" WHERE track_id % 100 = 7", "")
+#: The searches' stated query set: every row whose id is divisible by 50, against all rows.
+SEEDS = "SELECT track_id AS seed_id, key_camelot AS seed_key, bpm AS seed_bpm FROM v_tracks WHERE track_id % 50 = 0"
+seeds = lambda v: v("v_tracks").where("track_id % 50 = 0")
+EVERY = lambda sql: sql.replace(" WHERE track_id % 50 = 0", "")
 MOVES = "(bn.n - an.n + 12) % 12"
 SEEDED = f"SELECT x.*, {COMPAT} AS compat FROM (SELECT s.*, t.track_id, t.key_camelot, t.bpm, (bn.n - an.n + 12) % 12 AS d, an.c = bn.c AS same, an.c AS ac FROM ({SEEDS}) s JOIN v_tracks t ON t.track_id <> s.seed_id LEFT JOIN v_dim an ON an.code = s.seed_key LEFT JOIN v_dim bn ON bn.code = t.key_camelot) x"
 COMPATIBLE = f"SELECT seed_id, track_id, key_camelot, CAST(compat AS DOUBLE) AS score FROM ({SEEDED}) y WHERE compat > 0"
 compatible = lambda v, s: harmony.compatible_tracks(v("v_tracks"), s(v))
 query("b08_compatible_tracks", COMPATIBLE)(lambda v: compatible(v, seeds))
-query("b08_compatible_tracks_asked", ASKED(COMPATIBLE))(lambda v: compatible(v, asked))
 PLAYLISTS = "SELECT DISTINCT playlist_id, CASE WHEN playlist_id % 3 = 0 THEN '{\"type\":\"mix\"}' WHEN playlist_id % 3 = 1 THEN 'broken {' END AS rules FROM v_playlist_tracks"
 
 
@@ -91,7 +88,6 @@ query("e18_import_report", "SELECT count(*) AS total, count(*) FILTER (WHERE tra
 SEED_SCORES = f"SELECT seed_id, track_id, CAST(compat AS DOUBLE) AS compat, round(compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) - coalesce(seed_bpm, 128)), 20) / 20) * 0.3, 6) AS total FROM ({SEEDED}) y"
 seed_scores = lambda v, s: harmony.score_seed(v("v_tracks"), s(v)).select("seed_id", "track_id", "compat", r6(c("total")).alias("total"))
 query("d04_seed_scores", SEED_SCORES)(lambda v: seed_scores(v, seeds))
-query("d04_seed_scores_asked", ASKED(SEED_SCORES))(lambda v: seed_scores(v, asked))
 PAIRS = "SELECT x.*, CASE WHEN d = 0 AND same THEN 'same-key' WHEN d = 0 THEN 'mood-shift' WHEN d IN (1, 11) THEN 'neighbor' WHEN d = 2 THEN 'energy-boost' ELSE 'energy-drop' END AS relation FROM (SELECT a.track_id, b.track_id AS other_id, (b.bpm - a.bpm) / a.bpm * 100 AS delta, (b.n - a.n + 12) % 12 AS d, a.c = b.c AS same FROM v_keys a JOIN v_keys b ON a.track_id <> b.track_id AND abs(b.bpm - a.bpm) / a.bpm <= 0.06 AND ((a.c = b.c AND (b.n - a.n + 12) % 12 IN (0, 1, 2, 10, 11)) OR (a.c <> b.c AND a.n = b.n))) x"
 near = lambda v: harmony.neighbours(v("v_tracks"))
 BASES = "CASE relation WHEN 'same-key' THEN 95 WHEN 'neighbor' THEN 85 WHEN 'mood-shift' THEN 80 WHEN 'energy-boost' THEN 75 ELSE 70 END"
@@ -188,31 +184,27 @@ LINES = "SELECT s.set_id, s.position, s.position % 5 <> 4 AS matched, CASE WHEN
 ALL = lambda sql: re.sub(r"\bv_setlist\b", "v_setlist_all", sql)
 
 
-def lines(v, some="true"):
+def lines(v):
     hit = c("position") % 5 != 4
-    own = v("v_playlist_tracks").where(some).join(v("v_tracks"), "track_id")
+    own = v("v_playlist_tracks").join(v("v_tracks"), "track_id")
     return own.select(c("playlist_id").alias("set_id"), "position", hit.alias("matched"), *(F.when(hit, c(x)).alias(x) for x in ("key_camelot", "bpm", "energy_level")))
 
 
 SET_SUMMARY = f"SELECT set_id, count(*) AS total, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS unmatched, coalesce(string_agg(key_camelot, '>' ORDER BY position), '') AS key_flow, min(bpm) AS bpm_min, max(bpm) AS bpm_max, coalesce(string_agg(CAST(energy_level AS STRING), '>' ORDER BY position), '') AS energy_arc FROM ({LINES}) x GROUP BY set_id"
 
 
-def summary(v, some="true"):
-    got = sets.set_summary(lines(v, some))
+def summary(v):
+    got = sets.set_summary(lines(v))
     return got.withColumn("key_flow", F.array_join("key_flow", ">")).withColumn("energy_arc", F.array_join(F.transform("energy_arc", lambda x: x.cast("string")), ">"))
 
 
-#: The playlists of v_setlist; the _all forms read every one.
-SOME = "playlist_id % 50 = 0"
-query("e15_setlist_summary", SET_SUMMARY)(lambda v: summary(v, SOME))
-query("e15_setlist_summary_all", ALL(SET_SUMMARY))(summary)
+query("e15_setlist_summary", ALL(SET_SUMMARY))(summary)
 query("e16_label_distribution", "SELECT tt + CASE WHEN tm THEN 0 ELSE 12 END AS label, count(*) AS n FROM v_scored WHERE tt IS NOT NULL GROUP BY 1")(lambda v: evaluation.label_distribution(evaluation.score(v("v_predictions"))))
 query("e17_filtered_count", "SELECT count(*) AS n FROM v_tracks WHERE bpm >= 100 AND bpm <= 120")(lambda v: catalog.library_filter(v("v_tracks"), bpm_min=100, bpm_max=120).agg(F.count("*").alias("n")))
 query("e19_by_source", "SELECT track_id, engine, tagcsv, djxml, fingerprint, n = 1 AS agree FROM (SELECT track_id, max(key_camelot) FILTER (WHERE source = 'engine') AS engine, max(key_camelot) FILTER (WHERE source = 'tagcsv') AS tagcsv, max(key_camelot) FILTER (WHERE source = 'djxml') AS djxml, max(key_camelot) FILTER (WHERE source = 'fingerprint') AS fingerprint, count(DISTINCT key_camelot) AS n FROM v_opinions GROUP BY track_id) x")(lambda v: consensus.by_source(v("v_opinions")))
 RELATION_COUNTS = f"SELECT seed_id, {REL} AS relation, count(*) AS n FROM (SELECT s.seed_id, (bn.n - an.n + 12) % 12 AS d, an.c = bn.c AS same FROM ({SEEDS}) s JOIN v_tracks t ON t.track_id <> s.seed_id LEFT JOIN v_dim an ON an.code = s.seed_key LEFT JOIN v_dim bn ON bn.code = t.key_camelot) x GROUP BY 1, 2"
 relation_counts = lambda v, s: harmony.bucket_counts(v("v_tracks"), s(v))
-query("e20_relation_counts", RELATION_COUNTS)(lambda v: relation_counts(v, seeds))
-query("e20_relation_counts_all", EVERY(RELATION_COUNTS))(lambda v: relation_counts(v, lambda v: v("v_tracks")))
+query("e20_relation_counts", EVERY(RELATION_COUNTS))(lambda v: relation_counts(v, lambda v: v("v_tracks")))
 query("l01_validation", "SELECT count(*) AS n, count(*) FILTER (WHERE a.key_camelot = b.key_camelot) AS agree, round(avg(CASE WHEN a.key_camelot = b.key_camelot THEN 100.0 ELSE 0.0 END), 6) AS percent FROM v_opinions a JOIN v_opinions b ON a.track_id = b.track_id AND a.source = 'engine' AND b.source = 'tagcsv' WHERE a.key_camelot IS NOT NULL AND b.key_camelot IS NOT NULL")(lambda v: consensus.validation(v("v_opinions")).withColumn("percent", r6(c("percent"))))
 query("l02_recalibration", "SELECT o.source, count(*) AS n, round(avg(CASE WHEN o.key_camelot = t.key_camelot THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(pow(avg(CASE WHEN o.key_camelot = t.key_camelot THEN 1.0 ELSE 0.0 END), 2), 6) AS weight FROM v_opinions o JOIN v_tracks t ON t.track_id = o.track_id WHERE o.key_camelot IS NOT NULL AND t.key_camelot IS NOT NULL GROUP BY o.source")(
     lambda v: consensus.recalibrate(v("v_opinions"), v("v_tracks").select("track_id", c("key_camelot").alias("truth"))).withColumn("accuracy", r6(c("accuracy"))).withColumn("weight", r6(c("weight")))
@@ -222,8 +214,7 @@ query("l02_recalibration", "SELECT o.source, count(*) AS n, round(avg(CASE WHEN
 
 query("f01_transitions", f"SELECT playlist_id, position, a_id AS track_id, b_id AS next_id, {REL} AS relation, {SCORE} AS score, {LABEL} AS label, {RISK} AS risk, round(delta, 6) AS delta_pct FROM v_moves")(lambda v: harmony.transitions(ordered(v)).select("playlist_id", "position", "track_id", "next_id", "relation", "score", "label", "risk", r6(c("delta_pct")).alias("delta_pct")))
 FLOW = f"SELECT set_id, position, CASE WHEN rn = 1 AND key_camelot IS NOT NULL THEN concat('Opening: ', key_camelot) WHEN rn = 1 THEN 'Opening (unmatched)' ELSE concat(coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END AS flow, CASE WHEN rn = 1 THEN NULL WHEN matched AND pm THEN concat('Track ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?'), ': ', CASE WHEN coalesce(pk, '?') = coalesce(key_camelot, '?') THEN concat('Same key (', coalesce(pk, '?'), ')') ELSE concat('Key shift ', coalesce(pk, '?'), ' → ', coalesce(key_camelot, '?')) END, ', BPM ', coalesce(CAST(CAST(round_even(pb, 0) AS INT) AS STRING), '?'), ' → ', coalesce(CAST(CAST(round_even(bpm, 0) AS INT) AS STRING), '?')) ELSE 'Transition (unmatched tracks)' END AS transition FROM (SELECT *, lag(key_camelot) OVER w AS pk, lag(matched) OVER w AS pm, lag(bpm) OVER w AS pb, row_number() OVER w AS rn FROM ({LINES}) l WINDOW w AS (PARTITION BY set_id ORDER BY position)) x"
-query("f02_setlist_flow", FLOW)(lambda v: sets.flow(lines(v, SOME)))
-query("f02_setlist_flow_all", ALL(FLOW))(lambda v: sets.flow(lines(v)))
+query("f02_setlist_flow", ALL(FLOW))(lambda v: sets.flow(lines(v)))
 GRID = "SELECT track_id, source, bpm, row_number() OVER (PARTITION BY track_id ORDER BY is_override DESC, created_at DESC, source) AS rn FROM v_beat_grids"
 active = lambda v: catalog.newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")])
 query("f03_active_grid", f"SELECT track_id, source, bpm FROM ({GRID}) x WHERE rn = 1")(lambda v: active(v).select("track_id", "source", "bpm"))
@@ -243,7 +234,6 @@ TOTAL = "compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) -
 GENERATED = f"SELECT seed_id, track_id, place FROM (SELECT seed_id, track_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round({TOTAL}, 9) DESC, track_id) AS INT) AS place FROM ({SEEDED}) y WHERE {TOTAL} > 0) z WHERE place < 10 UNION ALL SELECT seed_id, seed_id, 0 FROM ({SEEDS}) s"
 generated = lambda v, s: harmony.generate_playlist(v("v_tracks"), s(v)).select("seed_id", "track_id", "place")
 query("g02_generate_playlist", GENERATED)(lambda v: generated(v, seeds))
-query("g02_generate_playlist_asked", ASKED(GENERATED))(lambda v: generated(v, asked))
 RANKED = "row_number() OVER (PARTITION BY track_id ORDER BY n DESC, best DESC, key_camelot)"
 query("g04_top5_keys", f"SELECT track_id, key_camelot, n, rn AS rnk FROM ({MODAL}) m WHERE rn <= 5")(
     lambda v: (lambda k: k.withColumn("rnk", F.row_number().over(Window.partitionBy("track_id").orderBy(c("n").desc(), c("best").desc(), "key_camelot"))).where("rnk <= 5").select("track_id", "key_camelot", "n", "rnk"))(v("v_opinions").where("key_camelot is not null").groupBy("track_id", "key_camelot").agg(F.count("*").alias("n"), F.max("confidence").alias("best")))
@@ -251,7 +241,6 @@ query("g04_top5_keys", f"SELECT track_id, key_camelot, n, rn AS rnk FROM ({MODAL
 SAME_KEY = f"SELECT seed_id, track_id, place FROM (SELECT s.seed_id, t.track_id, row_number() OVER (PARTITION BY s.seed_id ORDER BY abs(t.bpm - s.seed_bpm) NULLS LAST, t.track_id) AS place FROM ({SEEDS}) s JOIN v_tracks t ON t.key_camelot = s.seed_key AND t.track_id <> s.seed_id) x WHERE place < 20"
 same_key = lambda v, s: harmony.same_key_playlist(v("v_tracks"), s(v))
 query("g05_same_key_playlist", SAME_KEY)(lambda v: same_key(v, seeds))
-query("g05_same_key_playlist_asked", ASKED(SAME_KEY))(lambda v: same_key(v, asked))
 query("g06_newest_first", f"SELECT annotation_id, created_at FROM v_gold ORDER BY created_at DESC, annotation_id DESC, track_id LIMIT 200")(lambda v: v("v_gold").orderBy(c("created_at").desc(), c("annotation_id").desc(), "track_id").limit(200).select("annotation_id", "created_at"))
 
 # H: table maintenance
@@ -272,8 +261,7 @@ query("a15_schema_evolution", "SELECT track_id, title, NULL AS genre FROM v_trac
 query("h07_merge_pages", "SELECT track_id, CAST(CASE WHEN track_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS page_no FROM v_tracks")(lambda v: (lambda t: catalog.merge_pages(t.select("track_id", F.lit(1).alias("page_no")).unionByName(t.where("track_id % 2 = 0").select("track_id", F.lit(2).alias("page_no")))))(v("v_tracks")))
 TOKEN_SETS = f"SELECT set_id, position, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS every FROM (SELECT set_id, position, {TOK('title')} AS a, {TOK('artist')} AS b FROM v_setlist) x"
 token_sets = lambda rows: rows.select("set_id", "position", text.tokens(c("title")).alias("a"), text.tokens(c("artist")).alias("b")).select("set_id", "position", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("every"))
-query("h08_token_sets", TOKEN_SETS)(lambda v: token_sets(v("v_setlist")))
-query("h08_token_sets_all", ALL(TOKEN_SETS))(lambda v: token_sets(v("v_setlist_all")))
+query("h08_token_sets", ALL(TOKEN_SETS))(lambda v: token_sets(v("v_setlist_all")))
 query("h09_mix_load", "SELECT playlist_id, position, track_id, CASE WHEN playlist_id % 2 = 0 AND position = 0 THEN 'first' END AS notes FROM v_playlist_tracks")(
     lambda v: catalog.load_mix(v("v_playlist_tracks").select("playlist_id").distinct().withColumn("rules", F.when(c("playlist_id") % 2 == 0, '{"type":"mix","clipNotes":[{"position":0,"notes":"first"}]}').otherwise("not json")), v("v_playlist_tracks"))
 )

@@ -115,10 +115,10 @@ query("c20_genre_weights", f"SELECT track_id, CAST({_w(0)} AS DOUBLE) AS krumhan
     lambda v: v("v_genres").select("track_id", text.profile_weights(c("genre_raw")).alias("w")).select("track_id", "w.*")
 )
 NORM = lambda x: f"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-query("c21_normalize_text", f"SELECT set_id, position, {NORM('title')} AS norm FROM v_setlist")(lambda v: v("v_setlist").select("set_id", "position", text.normalize_text(c("title")).alias("norm")))
+query("c21_normalize_text", f"SELECT set_id, position, {NORM('title')} AS norm FROM v_setlist_all")(lambda v: v("v_setlist_all").select("set_id", "position", text.normalize_text(c("title")).alias("norm")))
 TOK = lambda x: f"list_distinct(string_split({NORM(x)}, ' '))"
-query("c22_token_jaccard", f"SELECT set_id, position, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS sim FROM (SELECT set_id, position, {TOK('title')} AS a, {TOK('artist')} AS b FROM v_setlist) x")(
-    lambda v: v("v_setlist").select("set_id", "position", r6(text.jaccard(text.tokens(c("title")), text.tokens(c("artist")))).alias("sim"))
+query("c22_token_jaccard", f"SELECT set_id, position, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS sim FROM (SELECT set_id, position, {TOK('title')} AS a, {TOK('artist')} AS b FROM v_setlist_all) x")(
+    lambda v: v("v_setlist_all").select("set_id", "position", r6(text.jaccard(text.tokens(c("title")), text.tokens(c("artist")))).alias("sim"))
 )
 
 

@@ -167,28 +167,23 @@ BANDED = f"SELECT track_id, frame, flux / max(flux) OVER (PARTITION BY track_id,
 query("i23_spectral_flux", f"SELECT track_id, frame, round(avg(y) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS onset FROM (SELECT track_id, frame, t / max(t) OVER (PARTITION BY track_id) AS y FROM (SELECT track_id, frame, sum(x) AS t FROM ({BANDED}) b GROUP BY 1, 2) d) e")(
     lambda v: sg.spectral_flux(spectrogram(v), [8, 32]).withColumn("onset", r6(c("onset")))
 )
-GRID = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY is_override DESC, created_at DESC, source) AS rn FROM v_beat_grids) x WHERE rn = 1 AND track_id % 20 = 0"
+GRID = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY is_override DESC, created_at DESC, source) AS rn FROM v_beat_grids) x WHERE rn = 1"
 BEATS = f"SELECT track_id, source, CAST(beat AS INT) AS beat, first_beat_ms + beat * (60000.0 / bpm) AS ms, CAST(floor((beat - downbeat_offset_beats) / CAST(meter_numerator AS DOUBLE)) AS INT) AS bar, CAST((beat - downbeat_offset_beats + meter_numerator) % meter_numerator AS INT) AS beat_in_bar FROM (SELECT *, unnest(range(0, CAST(floor((60000 - first_beat_ms) / (60000.0 / bpm)) AS BIGINT) + 1)) AS beat FROM ({GRID}) g) h"
 
 
-def beats(v, some="true"):
+def beats(v):
     from ..operators.catalog import newest
 
-    grid = newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")]).where(some)
+    grid = newest(v("v_beat_grids"), ["track_id"], [c("is_override").desc(), c("created_at").desc(), c("source")])
     return sg.expand_grid(grid, F.lit(60000))
 
 
-def in_force(v, some="true"):
-    tempos = v("v_beat_grids").where(some).groupBy("track_id", (c("first_beat_ms").cast("double") * 40).alias("start_ms")).agg(F.max("bpm").alias("bpm"))
-    return sg.tempo_in_force(beats(v, some), tempos).select("track_id", "beat", r6(c("bpm")).alias("bpm"))
+def in_force(v):
+    tempos = v("v_beat_grids").groupBy("track_id", (c("first_beat_ms").cast("double") * 40).alias("start_ms")).agg(F.max("bpm").alias("bpm"))
+    return sg.tempo_in_force(beats(v), tempos).select("track_id", "beat", r6(c("bpm")).alias("bpm"))
 
 
-#: The tracks that the SQL of i24_beat_grid and d13_tempo_in_force keeps; their _all forms expand every active grid.
-SOME = "track_id % 20 = 0"
-
-
-query("i24_beat_grid", f"SELECT track_id, source, beat, round(ms, 6) AS ms, bar, beat_in_bar, beat_in_bar = 0 AS is_downbeat FROM ({BEATS}) b")(lambda v: beats(v, SOME).withColumn("ms", r6(c("ms"))))
-query("i24_beat_grid_all")(lambda v: beats(v).withColumn("ms", r6(c("ms"))))
+query("i24_beat_grid", f"SELECT track_id, source, beat, round(ms, 6) AS ms, bar, beat_in_bar, beat_in_bar = 0 AS is_downbeat FROM ({BEATS}) b")(lambda v: beats(v).withColumn("ms", r6(c("ms"))))
 on_beats = lambda v: onset(v).where("frame % 12 = 0").select("track_id", (c("frame") / 12).cast("int").alias("beat"), "frame")
 query("i25_snap_beats", f"SELECT b.track_id, CAST(b.frame / 12 AS INT) AS beat, coalesce((SELECT o.frame FROM ({O}) o WHERE o.track_id = b.track_id AND o.frame BETWEEN b.frame - 3 AND b.frame + 3 AND o.onset > b.onset ORDER BY o.onset DESC, o.frame LIMIT 1), b.frame) AS frame FROM ({O}) b WHERE b.frame % 12 = 0")(
     lambda v: sg.snap(on_beats(v), onset(v))
@@ -226,6 +221,5 @@ query("i32_time_roll")(lambda v: sg.time_roll(sg.feature_matrix(chroma(v), "c12"
 query("i32_augment", f"SELECT s.track_id, frame, CAST(h AS INT) AS shift, CAST((s.track_id % 24 % 12 + h + 12) % 12 + CASE WHEN s.track_id % 24 < 12 THEN 0 ELSE 12 END AS INT) AS label, CAST((bin + h + 12) % 12 AS INT) AS i, round(mag, 6) AS v FROM ({SPEC}) s CROSS JOIN (VALUES (-1), (1)) AS x(h) WHERE bin < 12")(
     lambda v: sg.augment(chroma(v).withColumn("label", (c("track_id") % 24).cast("int")), "c12", [-1, 1]).select("track_id", "frame", "shift", c("label").cast("int").alias("label"), F.posexplode("c12").alias("i", "v")).withColumn("v", r6(c("v")))
 )
-MAP = "SELECT track_id, CAST(first_beat_ms AS DOUBLE) * 40 AS start_ms, bpm FROM v_beat_grids WHERE track_id % 20 = 0"
-query("d13_tempo_in_force", f"SELECT b.track_id, b.beat, round((SELECT m.bpm FROM (SELECT track_id, start_ms, max(bpm) AS bpm FROM ({MAP}) q GROUP BY 1, 2) m WHERE m.track_id = b.track_id AND m.start_ms <= b.ms ORDER BY m.start_ms DESC LIMIT 1), 6) AS bpm FROM ({BEATS}) b")(lambda v: in_force(v, SOME))
-query("d13_tempo_in_force_all")(in_force)
+MAP = "SELECT track_id, CAST(first_beat_ms AS DOUBLE) * 40 AS start_ms, max(bpm) AS bpm FROM v_beat_grids GROUP BY 1, 2"
+query("d13_tempo_in_force", f"SELECT b.track_id, b.beat, round(m.bpm, 6) AS bpm FROM ({BEATS}) b ASOF LEFT JOIN ({MAP}) m ON m.track_id = b.track_id AND m.start_ms <= b.ms")(in_force)

@@ -1,4 +1,4 @@
-"""The _all queries hold every row of the tables, against versions by hand on the smallest tables."""
+"""Queries hold every row of the tables, against versions by hand on the smallest tables."""
 
 import math
 import os
@@ -38,33 +38,33 @@ def test_beats_of_all_tracks(spark):
             beats[t, b] = (ms, g["source"], at // g["meter_numerator"], at % g["meter_numerator"], at % g["meter_numerator"] == 0)
             held = [x for x in tempos[t].items() if x[0] <= ms]
             force[t, b] = round(max(held)[1], 4) if held else None
-    got = {(r["track_id"], r["beat"]): (r["ms"], r["source"], r["bar"], r["beat_in_bar"], r["is_downbeat"]) for r in rows(spark, "i24_beat_grid_all")}
+    got = {(r["track_id"], r["beat"]): (r["ms"], r["source"], r["bar"], r["beat_in_bar"], r["is_downbeat"]) for r in rows(spark, "i24_beat_grid")}
     assert {k: x[1:] for k, x in got.items()} == {k: x[1:] for k, x in beats.items()}
     assert all(abs(x[0] - beats[k][0]) < 1e-5 for k, x in got.items())
     assert len({t for t, _ in got}) == len(active) > 20 * len({t for t, _ in got if t % 20 == 0}) * 0.9
-    got = {(r["track_id"], r["beat"]): r["bpm"] and round(r["bpm"], 4) for r in rows(spark, "d13_tempo_in_force_all")}
+    got = {(r["track_id"], r["beat"]): r["bpm"] and round(r["bpm"], 4) for r in rows(spark, "d13_tempo_in_force")}
     assert got == force
 
 
 def test_lines_of_all_playlists(spark):
     every = {(r["playlist_id"], r["position"]) for r in table(spark, "v_playlist_tracks")}
-    for name in ("f02_setlist_flow_all", "h08_token_sets_all"):
+    for name in ("f02_setlist_flow", "h08_token_sets"):
         got = [(r["set_id"], r["position"]) for r in rows(spark, name)]
         assert set(got) == every and len(got) == len(every)
-    assert {r["set_id"]: r["total"] for r in rows(spark, "e15_setlist_summary_all")} == Counter(p for p, _ in every)
+    assert {r["set_id"]: r["total"] for r in rows(spark, "e15_setlist_summary")} == Counter(p for p, _ in every)
 
 
 def test_seeds_of_the_stated_set(spark):
     tracks = {r["track_id"]: r["key_camelot"] for r in table(spark, "v_tracks")}
     asked = {t for t in tracks if t % 50 == 0}
-    for name in ("d04_seed_scores_asked", "g02_generate_playlist_asked"):
+    for name in ("d04_seed_scores", "g02_generate_playlist"):
         assert {r["seed_id"] for r in rows(spark, name)} == asked
     keyed = {t for t in asked if tracks[t]}
-    for name in ("b08_compatible_tracks_asked", "g05_same_key_playlist_asked"):
+    for name in ("b08_compatible_tracks", "g05_same_key_playlist"):
         assert {r["seed_id"] for r in rows(spark, name)} == keyed
-    assert len(rows(spark, "d04_seed_scores_asked")) == len(asked) * (len(tracks) - 1)
+    assert len(rows(spark, "d04_seed_scores")) == len(asked) * (len(tracks) - 1)
     counted = Counter()
-    for r in rows(spark, "e20_relation_counts_all"):
+    for r in rows(spark, "e20_relation_counts"):
         counted[r["seed_id"]] += r["n"]
     assert counted == dict.fromkeys(tracks, len(tracks) - 1)
     assert {r["seed_id"] for r in rows(spark, "l04_greedy_paths")} == set(tracks)
@@ -73,7 +73,7 @@ def test_seeds_of_the_stated_set(spark):
 def test_joins_with_seeds_broadcast_no_seeds(spark, capsys):
     from spinlattice.catalog_queries import QUERIES
 
-    for name in ("d04_seed_scores_asked", "g05_same_key_playlist_asked"):
+    for name in ("d04_seed_scores", "g05_same_key_playlist"):
         QUERIES[name](spark, SF).explain()
         assert "BroadcastNestedLoopJoin" not in (plan := capsys.readouterr().out) and "SortMergeJoin" in plan
 
