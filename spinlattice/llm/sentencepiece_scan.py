@@ -37,7 +37,7 @@ GIANT, CHUNK = 32_768, 8_192
 #: Matrices that are combined at once, and how often: FAN**LEVELS chunks are more than a Spark string can hold.
 FAN, LEVELS = 64, 3
 #: Characters of text that are worked on at a time.
-STEP = 3 << 19
+STEP = 1 << 20
 SPACE = "▁"
 START = -1
 _PRIME = np.uint64(0x100000001B3)
@@ -53,7 +53,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -581,17 +581,41 @@ def _pieces(model: str):
     return run
 
 
+IDS = "doc_id long, ids binary"
+DECODED = "doc_id long, n_tokens long, ids_crc32 long, text string"
+
+
 def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) for each row of ``docs``; as the library's encode().
 
     Null texts are empty and have no ids; repeated rows and keys stay rows of their own; an empty table gives none. Other columns
     of ``docs`` are never read, so their names cannot clash; texts may be as long as a Spark string."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    small, large = _split(docs, key, text, giant)
+    return small.mapInArrow(_encode(model), IDS).unionByName(_encode_large(large, model, chunk, fan))
+
+
+def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """decode_documents() of encode_documents(); one Python worker a task does both to smaller texts, so that no more than one is alive at a time."""
+    small, large = _split(docs, key, text, giant)
+    encode, decode = _encode(model), _decode(model)
+    both = small.mapInArrow(lambda batches: decode(encode(batches)), DECODED)
+    return both.unionByName(decode_documents(_encode_large(large, model, chunk, fan), model))
+
+
+def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, text of rows of :func:`encode_documents`; no rows give none."""
+    return encoded.mapInArrow(_decode(model), DECODED)
+
+
+def _split(docs: DataFrame, key: str, text: str, giant: int) -> tuple[DataFrame, DataFrame]:
+    """rid, doc_id, t of the texts below ``giant`` characters, and of the others."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = F.char_length("t")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.where(n < giant).select("doc_id", "t"), materialize(rows.where(n >= giant), "giant-texts")
+
 
-    small = rows.where(n < giant).select(F.col("doc_id").cast("long").alias("doc_id"), "t").mapInArrow(_small_keyed(model), "doc_id long, ids binary")
-    large = materialize(rows.where(n >= giant), "giant-texts")
+def _encode_large(large: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = large.select("rid", "t").mapInPandas(_chunks(model, chunk), "rid long, k int, before string, body string, after string")
     chunks = materialize(cut.repartition(parts, "rid", "k"), "giant-chunks")
     mats = materialize(chunks.mapInPandas(_matrices(model), "rid long, k int, width int, cells array<double>"), "scan-level-0")
@@ -600,26 +624,24 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
     # a document is a row in any case, so its parts may meet in one
     whole = pieces.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("parts"))
     joined = whole.select("rid", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
-    return small.unionByName(large.select("rid", "doc_id").join(joined, "rid").select("doc_id", "ids"))
+    return large.select("rid", "doc_id").join(joined, "rid").select("doc_id", "ids")
 
 
-def _small_keyed(model: str):
+def _encode(model: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         scan = scan_of(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 ids = scan.encode(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, text of rows of :func:`encode_documents`; no rows give none."""
-
+def _decode(model: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -631,7 +653,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(spelling.decode(raw), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    return run
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,5 +662,5 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    got = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    got = round_trip(table(spark, sf_dir, "documents"), model)
     return got.select("doc_id", "n_tokens", "ids_crc32", F.char_length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))

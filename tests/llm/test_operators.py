@@ -578,7 +578,7 @@ def test_licenses(spark, docs, texts, empty):
 def test_sentencepiece(spark, docs, texts, empty):
     import sentencepiece
 
-    from spinlattice.llm.sentencepiece_scan import decode_documents, encode_documents
+    from spinlattice.llm.sentencepiece_scan import decode_documents, encode_documents, round_trip
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -591,6 +591,8 @@ def test_sentencepiece(spark, docs, texts, empty):
     for d, ids in want.items():
         assert (back[d]["n_tokens"], back[d]["ids_crc32"], back[d]["text"]) == (len(ids), crc(ids), sp.decode(ids)), d
     assert encode_documents(empty, model).count() == 0
+    both = round_trip(docs, model, giant=200, chunk=64)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, back.values()), key=str) and round_trip(empty, model).count() == 0
 
 
 def test_warc(spark):
