@@ -7,6 +7,11 @@ reread as the next one's docs. Every stage works on all that its predecessor kep
 * ``near_duplicates``: of each SimHash group the document with the least doc_id stays;
 * ``secrets``: secret spans are replaced in the text; rows and other columns stay;
 * ``packing``: the documents become pieces of packed sequences.
+
+Null and empty texts have no words and go in the first stage; null languages are one language of their own, null sources one owner; rows without
+a doc_id stay through all stages and are packed first; rows that repeat a doc_id are judged by their own texts in the first stage, and stay or
+go together in the second. An empty table stays empty through all
+stages. Extra columns come along up to the packing, whatever their names.
 """
 
 from __future__ import annotations
