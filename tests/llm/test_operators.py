@@ -761,3 +761,16 @@ def test_repositories_decide_as_owners_do(spark):
     rows = [(100 * k + i, f"password = {k}abcdefghijklmnop", owner, lang) for k, places in enumerate(texts.values()) for i, (owner, lang) in enumerate(places)]
     got = rows_of(find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")))
     assert [(got[100 * k]["n_live"], got[100 * k]["n_shared"], got[100 * k]["owners_repos"]) for k in range(3)] == [(0, 1, "3:3"), (0, 1, "1:4"), (1, 0, "1:1")]
+
+
+def test_pipeline_of_nulls_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice(["the", "of", "stone", "river", "morning", "light", "walks", "under", "quiet", "green"]) + rng.choice(["", "s"]) for _ in range(60))
+    rows = [(i, prose(), "en", "s", 1) for i in range(12)] + [(None, prose(), "en", "s", 1), (20, None, "en", "s", 1), (21, "", None, None, None), (22, prose(), None, None, None), (3, prose(), "en", "s", 1)]
+    for name, part, want in (("some", rows, {*range(12), None, 22}), ("none", [], set())):
+        spark.createDataFrame(part, DOC).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r["doc_id"] for r in got} == want, name
+        assert sum(r["start"] == 0 for r in got) == len([x for x in part if x[1]])
