@@ -34,7 +34,7 @@ _BYTE_LEVEL[32] = 32
 #: The end-of-document id that the packing and binary outputs append.
 END_ID = 2
 #: Bytes of text that are worked on at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -147,7 +147,7 @@ class TextEncoder:
     not seen before; other new words go to the library whole, as do all texts where white space does not separate.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 220_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
