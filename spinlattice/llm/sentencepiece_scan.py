@@ -37,7 +37,7 @@ GIANT, CHUNK = 32_768, 8_192
 #: Matrices that are combined at once, and how often: FAN**LEVELS chunks are more than a Spark string can hold.
 FAN, LEVELS = 64, 3
 #: Characters of text that are worked on at a time.
-STEP = 1 << 20
+STEP = 3 << 20
 SPACE = "▁"
 START = -1
 _PRIME = np.uint64(0x100000001B3)
@@ -53,7 +53,7 @@ class PieceScan:
     Ids from ``size`` up stand for characters without a piece; they become bytes or the
     unknown id at the end."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 220_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -633,8 +633,8 @@ def _encode(model: str):
 
         scan = scan_of(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 ids = scan.encode(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -647,8 +647,8 @@ def _decode(model: str):
 
         spelling = spelling_of(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 raw = part.column("ids").to_pylist()
                 columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(spelling.decode(raw), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text"])
