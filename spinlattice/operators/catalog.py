@@ -17,7 +17,7 @@ SORTABLE = ["filename", "title", "artist", "bpm", "key_camelot", "energy_level",
 
 
 def library_filter(tracks: DataFrame, search: str | None = None, artist: str | None = None, key: str | None = None, bpm_min: float | None = None, bpm_max: float | None = None, status: str | None = None) -> DataFrame:
-    """B1: each condition is optional; search is case-insensitive over file name, title and artist."""
+    """B1: each condition is optional; search is case-insensitive over file name, title and artist, and its ``%`` and ``_`` are wildcards."""
     if search:
         tracks = tracks.where(reduce(Column.__or__, (F.coalesce(c(x).ilike(f"%{search}%"), F.lit(False)) for x in ("filename", "title", "artist"))))
     for name, value in (("artist", artist), ("key_camelot", key), ("status", status)):

@@ -75,6 +75,20 @@ def partitions(scored: DataFrame) -> DataFrame:
     )
 
 
+def report(scored: DataFrame) -> DataFrame:
+    """The accuracy report as one JSON text: overall, by_genre, by_extension (arrays in order of name) and errors (a count a class).
+
+    Its parts are bounded by genres, extensions and error classes; the records behind it are ``scored`` itself, a table of its own."""
+    shares = ["n", "exact_pct", "tonic_pct", "mirex", "compatible_pct", "bpm_exact_pct", "bpm_octave_pct"]
+    parts = partitions(scored)
+    listed = lambda gid, by: F.array_sort(F.collect_list(F.when(c("gid") == gid, F.struct(c(by).alias("name"), *shares))))
+    overall = F.max(F.when(c("gid") == 3, F.struct(*shares)))
+    got = parts.agg(overall.alias("overall"), listed(1, "genre").alias("by_genre"), listed(2, "extension").alias("by_extension"))
+    wrong = scored.where("failure is null and error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    errors = wrong.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error", "n")))).alias("errors"))
+    return got.crossJoin(errors).select(F.to_json(F.struct("overall", "by_genre", "by_extension", "errors")).alias("report"))
+
+
 def error_map(scored: DataFrame, by: str = "genre") -> DataFrame:
     """Error class counts of each part, as a map."""
     n = scored.where("failure is null and error is not null").groupBy(by, "error").agg(F.count("*").alias("n"))
