@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .byte_bpe import op13_byte_bpe
+from .importance import op11_importance
 from .licenses import op3_licenses
+from .merkle import op12_merkle
 from .order_minhash import op6_order_minhash
 from .packing import op10_packing
 from .quality import op2_quality
@@ -28,8 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_importance": op11_importance,
+    "op12_merkle": op12_merkle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
-#: None of the ten can be put in SQL over whole tables: tokenizers, hashes and fingerprints
-#: that DuckDB has no function for. tests/llm holds each against a brute-force version.
-SQL: dict[str, str] = {}
+#: The others need tokenizers, hashes or fingerprints that DuckDB has no function for; tests/llm holds each against a brute-force version.
+SQL: dict[str, str] = {"op11_importance": oracles.IMPORTANCE, "op12_merkle": oracles.MERKLE}
