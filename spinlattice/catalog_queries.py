@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import catalog, files, scalars, signals  # noqa: F401
+from .queries import catalog, files, maintenance, scalars, signals  # noqa: F401
 from .queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

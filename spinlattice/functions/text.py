@@ -99,8 +99,8 @@ def basename(p: Column) -> Column:
 
 
 def collection_dir(d: Column) -> Column:
-    """Directory of a collection entry, whose separators are written ``/:``."""
-    return F.replace(F.replace(d, F.lit("/:"), F.lit("/")), F.lit("//"), F.lit("/"))
+    """Directory of a collection entry without the local host's prefix; separators may be written ``/:``."""
+    return F.replace(F.replace(d, F.lit("file://localhost/"), F.lit("")), F.lit("/:"), F.lit("/"))
 
 
 def transition_sentence(a: Column, b: Column, a_bpm: Column, b_bpm: Column) -> Column:

@@ -99,32 +99,37 @@ def fetch_in_order(tracks: DataFrame, ids: DataFrame) -> DataFrame:
 
 def match_imports(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     """Import rows (row_id, location) with the track they mean: by path, else by path with either slash, else by
-    file name in any case. The best rank wins, then the least id; rows without a match keep a null."""
+    file name in any case. The best rank wins, then the least id; rows without a match keep a null.
+
+    The library is reduced to the least id of each path and each name first, so a name that many tracks share is one row."""
     lib = tracks.select("track_id", "file_path", "filename")
-    want = rows.select("row_id", "location")
+    got, ranks = rows, []
     ways = [(c("location"), c("file_path")), (text.normalize_path(c("location")), text.normalize_path(c("file_path"))), (F.lower(text.basename(c("location"))), F.lower("filename"))]
-    hits = [want.select("row_id", a.alias("_k")).join(lib.select("track_id", b.alias("_k")), "_k").groupBy("row_id").agg(F.min("track_id").alias("track_id")).withColumn("rank", F.lit(i)) for i, (a, b) in enumerate(ways)]
-    best = reduce(DataFrame.unionByName, hits).groupBy("row_id").agg(F.min(F.struct("rank", "track_id")).alias("m"))
-    return rows.join(best, "row_id", "left").select(*rows.columns, c("m.track_id").alias("track_id"), c("m.rank").alias("match_rank"))
+    for i, (a, b) in enumerate(ways):
+        least = lib.groupBy(b.alias(f"_k{i}")).agg(F.min("track_id").alias(f"_t{i}"))
+        alone = F.concat(F.lit("\0"), F.xxhash64("row_id"))  # rows without a location meet nothing, and not each other
+        got = got.withColumn(f"_k{i}", F.coalesce(a, alone)).join(least, f"_k{i}", "left")
+        ranks.append(F.when(c(f"_t{i}").isNotNull(), F.struct(F.lit(i).alias("rank"), c(f"_t{i}").alias("track_id"))))
+    return got.withColumn("_m", F.coalesce(*ranks)).select(*rows.columns, c("_m.track_id").alias("track_id"), c("_m.rank").alias("match_rank"))
 
 
-def import_report(matched: DataFrame, unread: DataFrame | None = None) -> DataFrame:
-    """Total, matched and unmatched rows of an import, and a message for each row that could not be read (``unread``: column record),
-    sorted; such rows count as unmatched. The messages are the report, so they are kept whole."""
-    got = matched.agg(F.count("*").alias("total"), F.count_if(c("track_id").isNotNull()).alias("matched"), F.count_if(c("track_id").isNull()).alias("unmatched"))
-    if unread is None:
-        return got.withColumn("errors", F.array().cast("array<string>"))
-    bad = unread.agg(F.count("*").alias("bad"), F.array_sort(F.collect_list(F.concat(F.lit("parse error: "), c("record")))).alias("errors"))
-    return got.crossJoin(bad).select((c("total") + c("bad")).alias("total"), "matched", (c("unmatched") + c("bad")).alias("unmatched"), "errors")
+def import_report(records: DataFrame) -> DataFrame:
+    """Total, matched and unmatched records of an import (row, matched, unread), and a message for each that could not be read, by row
+    number; such records count as unmatched. The messages are the report, so they are kept whole."""
+    bad = F.when(c("unread").isNotNull(), F.struct("row", F.concat(F.lit("Row "), c("row"), F.lit(": parse error: "), c("unread")).alias("text")))
+    got = records.agg(F.count("*").alias("total"), F.count_if("matched").alias("matched"), F.count_if(~c("matched")).alias("unmatched"), F.array_sort(F.collect_list(bad)).alias("bad"))
+    return got.select("total", "matched", "unmatched", c("bad.text").alias("errors"))
 
 
-def upsert(table: DataFrame, updates: DataFrame, by: list[str], newest: str, keep: list[str] | None = None) -> DataFrame:
+def upsert(table: DataFrame, updates: DataFrame, by: list[str], newest: str, keep: list[str] | None = None, guard: bool = False) -> DataFrame:
     """H1: new table state. Of several updates of a key the greatest ``newest`` counts; columns in ``keep`` stay as they are on conflict,
-    others are replaced. One shuffle of both sides on the key."""
+    others are replaced. With ``guard`` a row whose ``newest`` is greater than its update's stays whole. One shuffle of both sides on the key."""
     last = updates.groupBy(*by).agg(F.max_by(F.struct(*updates.columns), newest).alias("u")).select("u.*")
     a, b = table.alias("a"), last.alias("b")
     both = a.join(b, [c(f"a.{k}") == c(f"b.{k}") for k in by], "full_outer")
     hit, old = c(f"b.{by[0]}").isNotNull(), c(f"a.{by[0]}").isNotNull()
+    if guard:
+        hit = hit & F.coalesce(c(f"a.{newest}") <= c(f"b.{newest}"), F.lit(True))
     value = lambda x: F.when(old & hit & F.lit(x in (keep or [])), c(f"a.{x}")).when(hit, c(f"b.{x}")).otherwise(c(f"a.{x}")) if x in updates.columns else c(f"a.{x}")
     return both.select(*(value(x).alias(x) for x in table.columns))
 

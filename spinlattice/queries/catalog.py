@@ -83,8 +83,14 @@ def imports(v):
     return v("v_tracks").select(c("track_id").alias("row_id"), way.alias("location"))
 
 
+def import_counts(v):
+    matched = catalog.match_imports(imports(v), v("v_tracks"))
+    report = catalog.import_report(matched.select(c("row_id").alias("row"), c("track_id").isNotNull().alias("matched"), F.lit(None).cast("string").alias("unread")))
+    return report.select("total", "matched", "unmatched", F.size("errors").alias("n_errors"))
+
+
 query("d02_import_match", "SELECT track_id AS row_id, CASE WHEN track_id % 4 < 3 THEN track_id END AS track_id, CASE WHEN track_id % 4 < 3 THEN CAST(track_id % 4 AS INT) END AS match_rank FROM v_tracks")(lambda v: catalog.match_imports(imports(v), v("v_tracks")).select("row_id", "track_id", "match_rank"))
-query("e18_import_report", "SELECT count(*) AS total, count(*) FILTER (WHERE track_id % 4 < 3) AS matched, count(*) FILTER (WHERE track_id % 4 = 3) AS unmatched FROM v_tracks")(lambda v: catalog.import_report(catalog.match_imports(imports(v), v("v_tracks"))).select("total", "matched", "unmatched"))
+query("e18_import_report", "SELECT count(*) AS total, count(*) FILTER (WHERE track_id % 4 < 3) AS matched, count(*) FILTER (WHERE track_id % 4 = 3) AS unmatched, CAST(0 AS INT) AS n_errors FROM v_tracks")(lambda v: import_counts(v))
 SEED_SCORES = f"SELECT seed_id, track_id, CAST(compat AS DOUBLE) AS compat, round(compat * 0.7 + (1 - least(abs(coalesce(bpm, coalesce(seed_bpm, 128)) - coalesce(seed_bpm, 128)), 20) / 20) * 0.3, 6) AS total FROM ({SEEDED}) y"
 seed_scores = lambda v, s: harmony.score_seed(v("v_tracks"), s(v)).select("seed_id", "track_id", "compat", r6(c("total")).alias("total"))
 query("d04_seed_scores", SEED_SCORES)(lambda v: seed_scores(v, seeds))

@@ -1,10 +1,12 @@
 """Sources and streams (A, J) over the given tables: written to the shared folder, read back by the library, compared with SQL on the tables."""
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from ..shared import materialize, new_path
 from ..sources import files
+from ..sources.tables import KeyedTable
 from ..streaming import jobs
 from .registry import query, r6
 
@@ -12,75 +14,112 @@ c = F.col
 
 
 def work(v, name):
-    """A new folder that driver and executors share (spark.checkpoint.dir)."""
-    return f"{(v.spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return new_path(v.spark, name)
+
+
+#: What a tag export holds for each track, as (condition, place among its records, location, key, energy, genre, file). Every 31st has no location,
+#: every third is named by file name alone, every third with backslashes; some are repeated with other tags, in this file or the last.
+RECORDS = [
+    ("true", 0, "CASE WHEN track_id % 31 = 0 THEN ' ' WHEN track_id % 3 = 0 THEN concat('D:/else/', filename) WHEN track_id % 3 = 1 THEN replace(file_path, '/', '\\') ELSE file_path END",
+     "CASE WHEN track_id % 8 = 0 THEN '' ELSE key_camelot END", "CASE WHEN track_id % 5 = 0 THEN 'n/a' ELSE CAST(energy_level AS STRING) END", "CASE WHEN track_id % 6 = 0 THEN ' ' ELSE genre_raw END", "track_id % 4"),
+    ("track_id % 5 = 1", 1, "file_path", "'1A'", "'3'", "'again'", "track_id % 4"),
+    ("track_id % 10 = 3", 2, "concat('/none/', CAST(track_id AS STRING), '.mp3')", "'5A'", "'4'", "'none'", "track_id % 4"),
+    ("track_id % 40 = 7", 3, "concat('X:\\other\\', upper(filename))", "'2B'", "' 5 '", "'by name'", "track_id % 4"),
+    ("track_id % 50 = 9", 4, "file_path", "'3B'", "''", "''", "3"),
+]
+
+
+def records(dialect):
+    """The export's records as SQL: p (its file), ord (its order there), and the fields; ``short`` ones hold two fields only."""
+    fix = (lambda x: x.replace("\\", "\\\\")) if dialect == "spark" else (lambda x: x)
+    parts = [
+        f"SELECT CAST({file} AS INT) AS p, track_id * 10 + {k} AS ord, track_id, {k} AS kind, title, artist, {fix(place)} AS location, {key} AS key, "
+        f"CASE WHEN track_id % 7 = 0 THEN '0' ELSE CAST(bpm AS STRING) END AS tempo, {energy} AS energy, {genre} AS genre FROM v_tracks WHERE {where}"
+        for where, k, place, key, energy, genre, file in RECORDS
+    ]
+    none = "CAST(NULL AS STRING)"
+    parts.append(f"SELECT CAST(track_id % 4 AS INT), track_id * 10 + 5, track_id, 5, concat('short,', CAST(track_id AS STRING)), {none}, {none}, {none}, {none}, {none}, {none} FROM v_tracks WHERE track_id % 25 = 4")
+    return "\nUNION ALL ".join(parts)
 
 
 def labels(v):
-    """A tag export of the library: every 31st row without a location, every fifth with an energy that is no number, tempo 0 for every seventh."""
-    t = v("v_tracks")
-    some = lambda name: F.lit(None).cast("string").alias(name)
-    tempo = F.when(c("track_id") % 7 == 0, "0").otherwise(c("bpm").cast("string"))
-    energy = F.when(c("track_id") % 5 == 0, "n/a").otherwise(c("energy_level").cast("string"))
-    where = F.when(c("track_id") % 31 == 0, " ").when(c("track_id") % 3 == 0, F.concat(F.lit("D:/else/"), "filename")).otherwise(c("file_path"))
-    out = t.select(
-        c("title").alias("Title"), c("artist").alias("Artist"), c("key_camelot").alias("Key"), tempo.alias("Tempo"), c("genre_raw").alias("Genre"), some("Album"), some("Grouping"), some("Date Added"),
-        where.alias("Location"), some("Comment"), some("Year"), some("Overall Volume"), energy.alias("Energy"), some("CuePoints"), some("ClippedPeaks"),
-    )
-    out.write.csv(path := work(v, "labels"), header=True, escape='"')
+    """The export as files of lines, p=0 to p=3, each with its header."""
+    some = F.lit(None).cast("string")
+    fields = [c(x) for x in ("title", "artist", "key", "tempo", "genre")] + [some] * 3 + [c("location")] + [some] * 3 + [c("energy"), some, some]
+    line = F.to_csv(F.struct(*(x.alias(f"f{i}") for i, x in enumerate(fields))), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    got = v.spark.sql(records("spark").replace("v_tracks", "{t}"), t=v("v_tracks")).select("p", "ord", F.when(c("kind") == 5, c("title")).otherwise(line).alias("value"))
+    head = v.spark.range(4).select(c("id").cast("int").alias("p"), F.lit(-1).cast("long").alias("ord"), F.lit(",".join(v.spark.createDataFrame([], files.LABELS).columns)).alias("value"))
+    got.unionByName(head).repartition(4, "p").sortWithinPartitions("p", "ord").select("p", "value").write.partitionBy("p").text(path := work(v, "labels"))
     return path
 
 
-LABELLED = """SELECT track_id, title, artist, key_camelot AS key, CASE WHEN track_id % 7 <> 0 AND bpm > 0 THEN bpm END AS bpm, genre_raw, CASE WHEN track_id % 5 <> 0 THEN energy_level END AS energy,
-CASE WHEN track_id % 3 = 0 THEN concat('D:/else/', filename) ELSE file_path END AS location, 'mp3' AS extension FROM v_tracks WHERE track_id % 31 <> 0"""
+# the SQL side, from the rules: rows are numbered a file, a record means its path's track or else its file name's, the last counts
+NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY p ORDER BY ord) AS nr, CASE WHEN kind NOT IN (2, 5) AND trim(location) <> '' THEN track_id END AS means FROM ({records('duckdb')}) r"
+LAST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY means ORDER BY p DESC, nr DESC) AS latest FROM ({NUMBERED}) n WHERE means IS NOT NULL) l WHERE latest = 1"
+TAGS = f"SELECT means AS track_id, nullif(trim(key), '') AS tag_key, TRY_CAST(trim(energy) AS INT) AS tag_energy, nullif(trim(genre), '') AS genre FROM ({LAST}) t"
 
 
-@query("a03_label_csv", f"SELECT title, artist, key, bpm, genre_raw, energy, location, extension FROM ({LABELLED}) x")
+@query("a03_label_csv", f"""SELECT title, artist, nullif(trim(key), '') AS key, CASE WHEN TRY_CAST(tempo AS DOUBLE) > 0 THEN TRY_CAST(tempo AS DOUBLE) END AS bpm, nullif(genre, '') AS genre_raw, TRY_CAST(trim(energy) AS INT) AS energy, location, 'mp3' AS extension
+FROM ({records('duckdb')}) r WHERE trim(location) <> '' AND kind <> 5""")
 def _(v):
     return files.label_csv(v.spark, labels(v))
 
 
 def told(v):
-    return v("v_opinions").select("track_id", "source", "key_camelot", "bpm", "confidence")
+    return v("v_opinions").select("track_id", "source", "key_camelot", "bpm", "energy", c("confidence").cast("double").alias("confidence"))
 
 
-#: Keys of the tags; a track whose location names another folder is found by its file name.
-IMPORTED = """SELECT track_id, source, key_camelot, bpm, CAST(confidence AS DOUBLE) AS confidence FROM v_opinions o WHERE NOT (source = 'tagcsv' AND track_id % 31 <> 0)
-UNION ALL SELECT track_id, 'tagcsv', key, bpm, CAST(1 AS DOUBLE) FROM ({}) x"""
+KEPT = "SELECT track_id, source, key_camelot, round(bpm, 6) AS bpm, CAST(energy AS INT) AS energy, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM v_opinions o WHERE NOT (source = '{0}' AND EXISTS (SELECT 1 FROM ({1}) t WHERE t.track_id = o.track_id))"
 
 
-@query("a04_tag_import", f"SELECT track_id, source, key_camelot, round(bpm, 6) AS bpm, round(confidence, 6) AS confidence FROM ({IMPORTED.format(LABELLED)}) y")
+@query("a04_tag_import", f"{KEPT.format('tagcsv', TAGS)} UNION ALL SELECT track_id, 'tagcsv', tag_key, NULL, tag_energy, 1.0 FROM ({TAGS}) x")
 def _(v):
     _, opinions, _ = files.import_labels(v.spark, labels(v), v("v_tracks"), told(v))
-    return opinions.withColumn("bpm", r6(c("bpm"))).withColumn("confidence", r6(c("confidence").cast("double")))
+    return opinions.withColumn("bpm", r6(c("bpm"))).withColumn("confidence", r6(c("confidence")))
 
 
-@query("a04_tag_columns", f"SELECT t.track_id, x.key AS tag_key, x.energy AS tag_energy, x.genre_raw AS genre FROM v_tracks t LEFT JOIN ({LABELLED}) x ON x.track_id = t.track_id")
+@query("a04_tag_columns", f"SELECT t.track_id, x.tag_key, x.tag_energy, x.genre FROM v_tracks t LEFT JOIN ({TAGS}) x ON x.track_id = t.track_id")
 def _(v):
     tracks, _, _ = files.import_labels(v.spark, labels(v), v("v_tracks"), told(v))
     return tracks.select("track_id", "tag_key", "tag_energy", "genre")
 
 
-@query("a04_tag_report", f"SELECT count(*) AS total, count(*) AS matched, 0 AS unmatched, 0 AS n_errors FROM ({LABELLED}) x")
+@query("a04_tag_report", f"""SELECT count(*) AS total, count(means) AS matched, count(*) - count(means) AS unmatched,
+coalesce(string_agg(concat('Row ', CAST(nr AS STRING), ': parse error: ', title), '; ' ORDER BY nr, title) FILTER (kind = 5), '') AS errors FROM ({NUMBERED}) x""")
 def _(v):
     _, _, report = files.import_labels(v.spark, labels(v), v("v_tracks"), told(v))
-    return report.select("total", "matched", "unmatched", F.size("errors").alias("n_errors"))
+    return report.select("total", "matched", "unmatched", F.array_join("errors", "; ").alias("errors"))
 
 
 XML_CODES = ["8B", "9B", "10B", "11B", "12B", "1B", "2B", "3B", "4B", "5B", "6B", "7B", "5A", "6A", "7A", "8A", "9A", "10A", "11A", "12A", "1A", "2A", "3A", "4A"]
-COLLECTED = f"SELECT track_id, {XML_CODES}[CAST(track_id % 24 AS INT) + 1] AS key_camelot, CASE WHEN bpm > 0 THEN bpm END AS bpm FROM v_tracks"
+#: Entries: every 13th names no file, every seventh comes twice, the second with the next code.
+COLLECTED = f"SELECT track_id, {XML_CODES}[CAST((track_id + CASE WHEN track_id % 7 = 0 THEN 1 ELSE 0 END) % 24 AS INT) + 1] AS key_camelot, bpm FROM v_tracks WHERE track_id % 13 <> 0"
 
 
-@query("a05_collection_import", f"SELECT track_id, source, key_camelot, round(bpm, 6) AS bpm FROM v_opinions WHERE source <> 'djxml' UNION ALL SELECT track_id, 'djxml', key_camelot, round(bpm, 6) FROM ({COLLECTED}) x")
-def _(v):
+def collection(v):
     folder = F.regexp_extract("file_path", "^(.*/)[^/]*$", 1)
-    rows = v("v_tracks").select(
-        c("title").alias("_TITLE"), c("artist").alias("_ARTIST"), F.struct(c("filename").alias("_FILE"), F.replace(folder, F.lit("/"), F.lit("/:")).alias("_DIR")).alias("LOCATION"),
-        F.struct((c("track_id") % 24).cast("int").alias("_VALUE")).alias("MUSICAL_KEY"), F.struct(c("bpm").alias("_BPM")).alias("TEMPO"),
+    where = F.when(c("track_id") % 3 == 0, F.concat(F.lit("file://localhost/"), folder)).when(c("track_id") % 3 == 1, F.replace(folder, F.lit("/"), F.lit("/:")))
+    twice = F.explode(F.when(c("track_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = v("v_tracks").select("*", twice.alias("again")).repartitionByRange(4, "track_id").sortWithinPartitions("track_id", "again").select(
+        c("title").alias("_TITLE"), c("artist").alias("_ARTIST"), F.when(c("track_id") % 13 != 0, F.struct(c("filename").alias("_FILE"), where.alias("_DIR"))).alias("LOCATION"),
+        F.struct(((c("track_id") + c("again")) % 24).cast("int").alias("_VALUE")).alias("MUSICAL_KEY"), F.struct(c("bpm").alias("_BPM")).alias("TEMPO"),
     )
     rows.write.format("xml").option("rowTag", "ENTRY").option("rootTag", "COLLECTION").save(path := work(v, "collection"))
-    opinions, _ = files.import_collection(v.spark, path, v("v_tracks"), told(v))
-    return opinions.select("track_id", "source", "key_camelot", r6(c("bpm")).alias("bpm"))
+    return path
+
+
+@query("a05_collection_import", f"{KEPT.format('djxml', COLLECTED)} UNION ALL SELECT track_id, 'djxml', key_camelot, round(bpm, 6), NULL, 1.0 FROM ({COLLECTED}) x")
+def _(v):
+    opinions, _ = files.import_collection(v.spark, collection(v), v("v_tracks"), told(v))
+    return opinions.withColumn("bpm", r6(c("bpm"))).withColumn("confidence", r6(c("confidence")))
+
+
+@query("a05_collection_report", """SELECT count(*) AS total, count(*) FILTER (WHERE track_id % 13 <> 0) AS matched, count(*) FILTER (WHERE track_id % 13 = 0) AS unmatched
+FROM (SELECT track_id FROM v_tracks UNION ALL SELECT track_id FROM v_tracks WHERE track_id % 7 = 0) x""")
+def _(v):
+    _, report = files.import_collection(v.spark, collection(v), v("v_tracks"), told(v))
+    return report.select("total", "matched", "unmatched")
 
 
 #: Two alternatives for every fourth track, none for every ninth.
@@ -100,49 +139,113 @@ def _(v):
     return files.annotation_tsv(v.spark, path).select("id", "confidence", "ordinal", "tonic", "is_major")
 
 
-def streamed(v, rows, job, mode="update", schema=None):
-    """The result of a streaming job over ``rows``, which are written as files and read as a stream to its end; every batch is written, then all are read."""
-    rows.write.parquet(source := work(v, "stream"))
-    out = work(v, "batches")
-    stream = v.spark.readStream.schema(rows.schema).parquet(source)
+def dealt(v, rows, order, parts=4):
+    """``rows`` as that many files or fewer, in order of time of writing, for a stream that takes one file a batch."""
+    source, schema = work(v, "stream"), rows.schema
+    rows = materialize(rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts))), "stream-rows")
+    for k in range(parts):
+        rows.where(c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(source)
+    return v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+#: Folders of media files made of the tracks: two kinds of file and one that is no media file, four of each.
+KINDS = [("mp3", 0), ("wav", 1), ("txt", 2)]
+LISTED = "SELECT CASE track_id % 3 WHEN 0 THEN 'mp3' WHEN 1 THEN 'wav' ELSE 'txt' END AS extension, CAST(track_id % 4 AS INT) AS part, track_id, concat(filename, chr(10)) AS line FROM v_tracks"
+
+
+def media_folder(v):
+    """``part=0`` to ``part=3`` below a folder, each with a file of lines for each kind."""
+    path = work(v, "media")
+    for kind, k in KINDS:
+        rows = v("v_tracks").where(c("track_id") % 3 == k).select((c("track_id") % 4).cast("int").alias("part"), "filename").repartition(4, "part")
+        rows.write.mode("append").partitionBy("part").option("extension", kind).option("quote", "").csv(path)
+    return path
 
-    job(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", work(v, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(out).drop("batch")
 
+def part_of(path):
+    return F.regexp_extract(path, "/part=([0-9]+)/", 1).cast("int").alias("part")
 
-@query("j02_apply_results", "SELECT track_id, source, key_camelot, round(bpm, 6) AS bpm FROM v_opinions o WHERE NOT (source = 'engine' AND EXISTS (SELECT 1 FROM v_opinions r WHERE r.source = 'tagcsv' AND r.track_id = o.track_id)) UNION ALL SELECT track_id, 'engine', key_camelot, round(bpm, 6) FROM v_opinions WHERE source = 'tagcsv'")
+
+@query("a01_media_scan", f"SELECT extension, part, CAST(sum(strlen(line)) AS BIGINT) AS file_size FROM ({LISTED}) f WHERE extension <> 'txt' GROUP BY extension, part")
+def _(v):
+    return files.media_files(v.spark, media_folder(v)).select("extension", part_of(c("path")), "file_size")
+
+
+@query("j01_discover", f"SELECT extension, part, CAST(sum(strlen(line)) AS BIGINT) AS file_size, CASE WHEN extension = 'wav' THEN 'analyzed' ELSE 'pending' END AS status FROM ({LISTED}) f WHERE extension <> 'txt' GROUP BY extension, part")
+def _(v):
+    folder = media_folder(v)
+    known = files.media_files(v.spark, folder).where("extension = 'wav'").select(c("path").alias("file_path"), F.lit("old").alias("filename"), F.lit(0).cast("long").alias("file_size"), F.lit("analyzed").alias("status"))
+    catalog = KeyedTable.create(known, work(v, "catalog"), "file_path", rows_per_file=2)
+    jobs.run(jobs.listing(v.spark, folder, per_batch=1), lambda rows, n: jobs.discover(rows, catalog, "scan", n), work(v, "progress"))
+    return catalog.read().where("filename <> 'old'").select(files.media_name(c("file_path"))[1], part_of(c("file_path")), "file_size", "status")
+
+
+#: Results: all tag opinions, and for every third track a later one, dealt to batches in no order of time.
+RESULTS = """SELECT track_id, key_camelot, bpm, CAST(confidence AS DOUBLE) AS confidence, CAST(created_at AS TIMESTAMP) AS made FROM v_opinions WHERE source = 'tagcsv'
+UNION ALL SELECT track_id, '7B', 99.5, CAST(0.5 AS DOUBLE), CAST('2030-01-01' AS TIMESTAMP) FROM v_opinions WHERE source = 'tagcsv' AND track_id % 3 = 0"""
+NEWEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY made DESC) AS r FROM ({RESULTS}) x) y WHERE r = 1"
+
+
+def results_stored(v):
+    results = v.spark.sql(RESULTS.replace("v_opinions", "{o}"), o=v("v_opinions")).withColumnRenamed("made", "at")
+    stream = dealt(v, results, ["track_id", "at"])
+    opened = told(v).drop("energy").withColumn("at", F.lit(None).cast("timestamp"))
+    opinions = KeyedTable.create(opened, work(v, "opinions"), "track_id", rows_per_file=1_000_000)
+    tracks = KeyedTable.create(v("v_tracks").select("track_id", "key_camelot", "bpm", "status", F.lit(None).cast("timestamp").alias("analyzed_at")), work(v, "tracks"), "track_id")
+    jobs.run(stream, lambda rows, n: jobs.store_results(rows, tracks, opinions, "results", n), work(v, "progress"))
+    return tracks, opinions
+
+
+@query("j02_apply_results", f"SELECT track_id, source, key_camelot, round(bpm, 6) AS bpm FROM v_opinions o WHERE NOT (source = 'engine' AND EXISTS (SELECT 1 FROM v_opinions r WHERE r.source = 'tagcsv' AND r.track_id = o.track_id)) UNION ALL SELECT track_id, 'engine', key_camelot, round(bpm, 6) FROM ({NEWEST}) n")
 def _(v):
-    results = v("v_opinions").where("source = 'tagcsv'").select("track_id", "key_camelot", "bpm", c("confidence").cast("double").alias("confidence"), c("created_at").cast("timestamp").alias("at"))
-    results.write.parquet(source := work(v, "results"))
-    out = work(v, "opinions")
-    before = told(v).withColumn("confidence", c("confidence").cast("double"))
+    return results_stored(v)[1].read().select("track_id", "source", "key_camelot", r6(c("bpm")).alias("bpm"))
 
-    def apply(batch, number):
-        _, opinions = jobs.apply_results(v("v_tracks"), before, batch)
-        opinions.write.mode("overwrite").parquet(out)  # a batch applied again writes the same table
 
-    v.spark.readStream.schema(results.schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", work(v, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(out).select("track_id", "source", "key_camelot", r6(c("bpm")).alias("bpm"))
+@query("j02_tracks", f"SELECT t.track_id, CASE WHEN n.r = 1 THEN n.key_camelot ELSE t.key_camelot END AS key_camelot, round(CASE WHEN n.r = 1 THEN n.bpm ELSE t.bpm END, 6) AS bpm, CASE WHEN n.r = 1 THEN 'analyzed' ELSE t.status END AS status FROM v_tracks t LEFT JOIN ({NEWEST}) n ON n.track_id = t.track_id")
+def _(v):
+    return results_stored(v)[0].read().select("track_id", "key_camelot", r6(c("bpm")).alias("bpm"), "status")
 
 
 @query("j03_throughput", "SELECT date_trunc('minute', ts) AS start, count(*) AS n, count(*) FILTER (WHERE failed) AS failed, round(1000 / CAST(count(*) AS DOUBLE), 6) AS eta_minutes FROM v_progress GROUP BY 1")
 def _(v):
     events = v("v_progress").select(c("ts").cast("timestamp").alias("ts"), "track_id", "failed")
-    got = streamed(v, events, lambda s: jobs.throughput(s, 1000))
-    return got.withColumns({"eta_minutes": r6(c("eta_minutes")), "start": c("start").cast("timestamp_ntz")})
+    rate = jobs.throughput(dealt(v, events, ["track_id"]), 1000, late="3650 days").withColumn("minute", F.unix_seconds("start"))
+    held = KeyedTable.create(v.spark.createDataFrame([], rate.schema), work(v, "rates"), "minute")
+    jobs.run(rate, lambda rows, n: jobs.merge_updates(rows, held, "rates", n), work(v, "progress"), "update")
+    return held.read().select("n", "failed", r6(c("eta_minutes")).alias("eta_minutes"), c("start").cast("timestamp_ntz").alias("start"))
 
 
-@query("j04_latest", "SELECT track_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM (SELECT user_id AS track_id, ts, event_id FROM events) e GROUP BY track_id".replace("max_by(event_id, (ts, event_id))", "arg_max(event_id, row(ts, event_id))"))
+@query("j04_latest", "SELECT track_id, max(ts) AS ts, arg_max(event_id, row(ts, event_id)) AS event_id FROM (SELECT user_id AS track_id, ts, event_id FROM events) e GROUP BY track_id")
 def _(v):
     events = v.spark.read.parquet(f"{v.sf_dir}/events.parquet").select(c("user_id").alias("track_id"), "ts", "event_id")
-    return streamed(v, events, jobs.latest).select("track_id", "ts", "event_id")
+    newest = jobs.latest(dealt(v, events, ["event_id"]))
+    held = KeyedTable.create(v.spark.createDataFrame([], newest.schema), work(v, "latest"), "track_id")
+    jobs.run(newest, lambda rows, n: jobs.merge_updates(rows, held, "latest", n), work(v, "progress"), "update")
+    return held.read()
 
 
-@query("j05_tap_tempo", """SELECT session_id, ts, CASE WHEN m > 0 THEN CAST(floor(least(300.0, greatest(20.0, 60.0 / m)) + 0.5) AS BIGINT) END AS bpm FROM (SELECT session_id, ts, avg(gap) OVER (PARTITION BY session_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m
-FROM (SELECT session_id, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS gap FROM (SELECT DISTINCT worker_id AS session_id, ts FROM v_progress) d) g) x""")
+@query("j05_tap_tempo", """SELECT session_id, ts, CASE WHEN m > 0 THEN CAST(floor(least(300.0, greatest(20.0, 60.0 / m)) + 0.5) AS BIGINT) END AS bpm FROM (
+SELECT session_id, ts, avg(gap) OVER (PARTITION BY session_id, run ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM (
+SELECT session_id, ts, CASE WHEN gap <= 86400 THEN gap END AS gap, sum(CASE WHEN gap <= 86400 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts) AS run FROM (
+SELECT session_id, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS gap FROM (SELECT DISTINCT worker_id AS session_id, ts FROM v_progress) d) g) h) x""")
 def _(v):
-    taps = v("v_progress").select(c("worker_id").cast("long").alias("session_id"), "ts").distinct()
-    return streamed(v, taps, jobs.tap_tempo, "append").withColumn("ts", c("ts").cast("timestamp_ntz"))
+    """In batches without order of time: the watermark is wide enough for all, and a last tap of another session moves it past them."""
+    taps = v("v_progress").select(c("worker_id").cast("long").alias("session_id"), c("ts").cast("timestamp").alias("ts")).distinct()
+    stream = dealt(v, taps.unionByName(v.spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"))), ["session_id", "ts"], parts=3)
+    tempo = jobs.tap_tempo(stream, late="3650 days", idle_s=86400.0)
+    held = KeyedTable.create(v.spark.createDataFrame([], tempo.schema), work(v, "tempo"), "session_id")
+    with store(v.spark, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        jobs.run(tempo, lambda rows, n: jobs.append_rows(rows, held, "tempo", n), work(v, "progress"))
+    return held.read().where("session_id >= 0").withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+@contextmanager
+def store(spark, provider):
+    """The session's state store for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

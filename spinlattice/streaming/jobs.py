@@ -2,30 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.catalog import update_columns, upsert
+from ..sources.files import MEDIA, media_name
+from ..sources.tables import KeyedTable
 
 c = F.col
 
 
-def discover(spark: SparkSession, folder: str, on_files: Callable[[DataFrame, int], None], checkpoint: str):
-    """New files below a folder, a batch at a time, to ``on_files`` (an upsert by path, so a repeated batch changes nothing)."""
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
-    listed = stream.select(c("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("filename"), c("length").alias("file_size"))
-    return listed.writeStream.foreachBatch(on_files).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Streams of files take so many a batch; a job may be given another number.
+MOST_FILES = 1000
+
+
+def listing(spark: SparkSession, folder: str, per_batch: int = MOST_FILES) -> DataFrame:
+    """A stream of the files below a folder: file_path, filename, extension, file_size, modified. Contents are never read."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = stream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(folder)
+    return found.select(c("path").alias("file_path"), *media_name(c("path")), c("length").alias("file_size"), c("modificationTime").alias("modified"))
+
+
+def run(stream: DataFrame, apply: Callable[[DataFrame, int], object], checkpoint: str, mode: str = "append"):
+    """A stream to its end, batch by batch. ``apply`` (rows, number of the batch) must make a repeated batch change nothing, as
+    :meth:`KeyedTable.change` does under a job's name: the batch that was under way when the driver was lost comes again."""
+    started = stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return started
+
+
+def discover(files: DataFrame, catalog: KeyedTable, job: str, batch: int) -> None:
+    """A batch of listed files into a catalog keyed by file_path. Media files not yet known are inserted as pending; a known file's size and name
+    are brought up to date and the rest of its row stays; all else is no media file and left out."""
+    media = files.where(c("extension").isin(*MEDIA)).withColumn("status", F.lit("pending"))
+    columns = catalog.state().schema.names
+    known = media.select(*(c(x) if x in media.columns else F.lit(None).alias(x) for x in columns), *(["modified"] if "modified" not in columns else []))
+    catalog.change(known, lambda rows: upsert(rows, known, ["file_path"], "modified", keep=["status", *(x for x in columns if x not in media.columns)]), job=job, batch=batch)
 
 
 def apply_results(tracks: DataFrame, opinions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A batch of analysis results (track_id, key_camelot, bpm, confidence, at) into both tables; the newest of a track counts, and a batch
     applied twice gives the same tables."""
-    last = results.groupBy("track_id").agg(F.max_by(F.struct(*results.columns), "at").alias("r")).select("r.*")
-    new = last.select("track_id", F.lit("engine").alias("source"), "key_camelot", "bpm", "confidence", "at")
+    return _analyzed(tracks, results), _opined(opinions, results)
+
+
+def _last(results: DataFrame) -> DataFrame:
+    return results.groupBy("track_id").agg(F.max_by(F.struct(*results.columns), F.struct("at", "key_camelot", "bpm", "confidence")).alias("r")).select("r.*")
+
+
+def _analyzed(tracks: DataFrame, results: DataFrame) -> DataFrame:
+    """Where tracks carry analyzed_at, a result older than that changes nothing."""
+    last = _last(results).withColumnRenamed("at", "analyzed_at")
+    if "analyzed_at" not in tracks.columns:
+        return update_columns(tracks, last, ["key_camelot", "bpm"], True, "analyzed")
+    newer = last.join(tracks.select("track_id", c("analyzed_at").alias("_had")), "track_id").where("_had is null or _had <= analyzed_at").drop("_had")
+    return update_columns(tracks, newer, ["key_camelot", "bpm", "analyzed_at"], True, "analyzed")
+
+
+def _opined(opinions: DataFrame, results: DataFrame) -> DataFrame:
+    new = _last(results).select("track_id", F.lit("engine").alias("source"), "key_camelot", "bpm", "confidence", "at")
     state = opinions if "at" in opinions.columns else opinions.withColumn("at", F.lit(None).cast("timestamp"))
-    return update_columns(tracks, last, ["key_camelot", "bpm"], True, "analyzed"), upsert(state, new, ["track_id", "source"], "at")
+    return upsert(state, new, ["track_id", "source"], "at", guard=True)
+
+
+def store_results(results: DataFrame, tracks: KeyedTable, opinions: KeyedTable, job: str, batch: int) -> None:
+    """A batch of results into the stored tables, of which only the files with its tracks are written. Either table knows the job's last
+    batch, so whichever of the two was lost is made up for when the batch comes again, and the other stays as it is."""
+    ids = results.select("track_id")
+    opinions.change(ids, lambda rows: _opined(rows, results), job=job, batch=batch)
+    tracks.change(ids, lambda rows: _analyzed(rows, results), inserts=False, job=job, batch=batch)
+
+
+def merge_updates(rows: DataFrame, into: KeyedTable, job: str, batch: int) -> None:
+    """The output of an aggregation in update mode into a table with a row a key: a batch's row of a key replaces the one before."""
+    new = rows.withColumn("_batch", F.lit(batch))
+    into.change(rows, lambda held: upsert(held, new, [into.key], "_batch"), job=job, batch=batch)
+
+
+def append_rows(rows: DataFrame, into: KeyedTable, job: str, batch: int) -> None:
+    """A batch's rows beside those already there, once."""
+    into.change(rows, lambda held: held.unionByName(rows.select(*held.columns)), job=job, batch=batch)
 
 
 def throughput(events: DataFrame, total: int, late: str = "10 minutes") -> DataFrame:
@@ -40,20 +99,73 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("track_id").agg(F.max(rest).alias("r")).select("track_id", "r.*")
 
 
-def tap_tempo(taps: DataFrame) -> DataFrame:
-    """Of (session_id, ts): tempo after each tap from the last four taps, kept as state of the session."""
-    import pandas as pd
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [*state.get[0]] if state.exists else []
-        times = sorted(t.timestamp() for b in batches for t in b["ts"])
-        rows = []
-        for t in times:
-            held = [*held[-3:], t]
-            gap = (held[-1] - held[0]) / (len(held) - 1) if len(held) > 1 else 0
-            rows.append((key[0], pd.Timestamp(round(t * 1e6), unit="us"), int(min(300.0, max(20.0, 60.0 / gap)) + 0.5) if gap > 0 else None))
-        state.update((held,))
-        out = pd.DataFrame(rows, columns=["session_id", "ts", "bpm"])
-        yield out.astype({"bpm": "Int64"})
-
-    return taps.groupBy("session_id").applyInPandasWithState(run, "session_id long, ts timestamp, bpm long", "held array<double>", "append", "NoTimeout")
+def tap_tempo(taps: DataFrame, late: str = "1 minute", idle_s: float = 600.0) -> DataFrame:
+    """Of (session_id, ts): tempo after each tap from the last four taps, 20 to 300, rounded; null after a session's first.
+
+    Taps wait as state until the watermark, ``late`` behind the newest tap, has passed them, and come out in order of time, so the rows do not depend on
+    how taps are dealt to batches. Taps that come later than that are dropped. After ``idle_s`` without a tap a
+    session begins anew and its state goes, so what is held does not grow with the number of sessions ever seen. Needs the RocksDB
+    state store and append mode; taps behind the last watermark come out when later ones move it."""
+    return (
+        taps.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late).groupBy("session_id")
+        .transformWithStateInPandas(Taps(idle_s), "session_id long, ts timestamp, bpm long", "append", "EventTime")
+    )
+
+
+def tempo_of(held: list[int]) -> int | None:
+    """Of up to four tap times in microseconds."""
+    gap = (held[-1] - held[0]) / 1e6 / (len(held) - 1) if len(held) > 1 else 0
+    return int(min(300.0, max(20.0, 60.0 / gap)) + 0.5) if gap > 0 else None
+
+
+class Taps(StatefulProcessor):
+    """A session's last four taps, and those that the watermark has not passed."""
+
+    def __init__(self, idle_s: float):
+        self.idle_us = int(idle_s * 1e6)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held, self.waiting = handle.getListState("held", "us long"), handle.getListState("waiting", "us long")
+
+    @staticmethod
+    def _read(state) -> list[int]:
+        return sorted(r[0] for r in state.get()) if state.exists() else []
+
+    @staticmethod
+    def _write(state, times: list[int]) -> None:
+        if times:
+            state.put([(t,) for t in times])
+        elif state.exists():
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803
+        waiting, passed = self._read(self.waiting), timerValues.getCurrentWatermarkInMs() * 1000
+        for pdf in rows:
+            waiting += [t for t in pdf["ts"].astype("datetime64[us]").astype("int64").tolist() if t > passed]
+        self._write(self.waiting, sorted(waiting))
+        for ms in {-(-t // 1000) for t in waiting}:
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        import pandas as pd
+
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, held, rows = self._read(self.waiting), self._read(self.held), []
+        for t in [t for t in waiting if t <= passed]:
+            held = [*held[-3:], t] if held and t - held[-1] <= self.idle_us else [t]
+            rows.append((key[0], pd.Timestamp(t, unit="us"), tempo_of(held)))
+        rest = [t for t in waiting if t > passed]
+        if held and not rest and passed - held[-1] > self.idle_us:
+            held = []
+        elif held:
+            self.handle.registerTimer((held[-1] + self.idle_us) // 1000 + 1)
+        self._write(self.waiting, rest)
+        self._write(self.held, held)
+        if rows:
+            out = pd.DataFrame(rows, columns=["session_id", "ts", "bpm"])
+            yield out.astype({"bpm": "Int64"})
+
+    def close(self) -> None:
+        pass
