@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .nearest import nearest, nearest_deep
 
 c = F.col
 # fixed values: why a relation is suggested
@@ -58,38 +59,38 @@ def neighbours(tracks: DataFrame, percent: float = 6.0, salts: int = 4) -> DataF
     return pairs.select("track_id", "other_id", "relation", delta.alias("delta_pct"), keys.transition_score(c("relation"), delta).alias("score"), keys.base_score(c("relation")).alias("base"))
 
 
-def _nearest(known: DataFrame, moves: dict[str, tuple[int, bool]], m: int, nulls_first: bool, asked: DataFrame | None = None) -> DataFrame:
+def _cell(n: str, major: str) -> Column:
+    return c(n) * 2 + c(major).cast("int")
+
+
+def _items(known: DataFrame) -> DataFrame:
+    return known.select(_cell("n", "major").alias("cell"), c("track_id").alias("id"), c("bpm").alias("x"))
+
+
+def _place_of(ratio: bool) -> Column:
+    """Where a track looks for partners: with ``ratio``, to a tempo that is none or not above 0 all are at the same distance."""
+    return F.when(c("bpm") > 0, c("bpm")) if ratio else c("bpm")
+
+
+def _nearest(known: DataFrame, moves: dict[str, tuple[int, bool]], m: int, ratio: bool, asked: DataFrame | None = None) -> DataFrame:
     """n, major, bpm, relation, near: for every distinct (code, tempo) of ``known`` and every move the ``m`` partners of nearest tempo,
-    ties by id, as an array of (id, bpm). Tracks without a tempo stand before or after all others; to a tempo that is null
-    all partners are equally near.
+    ties by id, as an array of (id, bpm). Tracks without a tempo are at no distance if distances are a ``ratio``, else further than all others; to
+    a tempo that is null all partners are equally near.
 
-    Tracks of one code and tempo are one class, of which only the first ``m`` can be among the nearest. Classes of a code
-    in order of tempo know ``m`` classes to either side; a wanted tempo finds the class at or below it by one pass over
-    the code's classes and wanted tempos in order. No step makes more rows than classes by moves. ``asked`` (n, major) leaves only
+    Tracks of one code and tempo are one class and ask once; classes of different codes that look for one code and tempo ask once as well.
+    The layout behind :func:`nearest` is cut by rows, not by codes. ``asked`` (n, major) leaves only
     the wanted classes of some codes.
     """
-    by_id = Window.partitionBy("n", "major", "bpm").orderBy("track_id")
-    first = known.withColumn("r", F.row_number().over(by_id)).where(c("r") <= m)
-    classes = first.groupBy("n", "major", "bpm").agg(F.sort_array(F.collect_list("track_id")).alias("ids"))
-    along = Window.partitionBy("n", "major").orderBy("bpm")
-    held = F.collect_list(F.struct("bpm", "ids")).over(along.rowsBetween(-m, m))
-    ranked = classes.where("bpm is not null").select(c("n").alias("to_n"), c("major").alias("to_major"), "bpm", F.row_number().over(along).alias("rank"), held.alias("around"))
+    classes = known.select("n", "major", "bpm").distinct()
     wanted = (classes if asked is None else classes.join(F.broadcast(asked), ["n", "major"], "left_semi")).select("n", "major", "bpm", F.inline(_partners(moves)))
-    marks = ranked.select("to_n", "to_major", "bpm", "rank", F.lit(0).alias("asks")).unionByName(wanted.where("bpm is not null").select("to_n", "to_major", "bpm", F.lit(None).cast("int").alias("rank"), F.lit(1).alias("asks")).distinct())
-    before = F.last("rank", True).over(Window.partitionBy("to_n", "to_major").orderBy("bpm", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    found = marks.withColumn("rank", F.coalesce(before, F.lit(1))).where("asks = 1").drop("asks")
-    around = found.join(ranked.drop("bpm"), ["to_n", "to_major", "rank"], "left").select("to_n", "to_major", c("bpm").alias("at"), "around")
-    # of a code at most m tracks without a tempo, and at most m of all: 24 rows
-    some = lambda df, name: df.groupBy(c("n").alias("to_n"), c("major").alias("to_major")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, m).alias(name))
-    few = Window.partitionBy("n", "major").orderBy("track_id")
-    least = known.withColumn("r", F.row_number().over(few)).where(c("r") <= m).select("n", "major", F.array(F.struct("track_id", "bpm")).alias("few"))
-    blank = classes.where("bpm is null").select("n", "major", F.transform("ids", lambda i: F.struct(i.alias("track_id"), F.lit(None).cast("double").alias("bpm"))).alias("few"))
-    both = wanted.join(around, (wanted["to_n"] == around["to_n"]) & (wanted["to_major"] == around["to_major"]) & (c("bpm") == c("at")), "left").select(wanted["*"], "around")
-    both = both.join(F.broadcast(some(least, "every")), ["to_n", "to_major"], "left").join(F.broadcast(some(blank, "blank")), ["to_n", "to_major"], "left")
-    far, none = F.lit(float("-inf") if nulls_first else float("inf")), F.array().cast("array<struct<gap:double,id:bigint,bpm:double>>")
-    timed = F.flatten(F.transform("around", lambda x: F.transform(x["ids"], lambda i: F.struct(F.abs(x["bpm"] - c("bpm")).alias("gap"), i.alias("id"), x["bpm"].alias("bpm")))))
-    untimed = lambda a: F.transform(a, lambda x: F.struct(far.alias("gap"), x["track_id"].alias("id"), x["bpm"].alias("bpm")))
-    listed = F.when(c("bpm").isNull(), F.coalesce(untimed("every"), none)).otherwise(F.array_sort(F.concat(F.coalesce(timed, none), F.coalesce(untimed("blank"), none))))
+    wanted = wanted.select("n", "major", "bpm", "relation", _cell("to_n", "to_major").alias("to_cell"))
+    wanted = wanted.withColumn("_at", _place_of(ratio))
+    found = nearest(_items(known), wanted.select(c("to_cell").alias("cell"), c("_at").alias("x")).distinct(), m)
+    both = wanted.join(found, (c("to_cell") == c("cell")) & c("_at").eqNullSafe(c("x")))
+    none, far = F.array().cast("array<struct<gap:double,id:bigint,bpm:double>>"), F.lit(0.0 if ratio else float("inf"))
+    timed = lambda lane: F.coalesce(F.transform(lane, lambda e: F.struct(F.abs(e["x"] - c("bpm")).alias("gap"), e["id"].alias("id"), e["x"].alias("bpm"))), none)
+    untimed = lambda lane: F.coalesce(F.transform(lane, lambda e: F.struct(far.alias("gap"), e["id"].alias("id"), e["x"].alias("bpm"))), none)
+    listed = F.array_sort(F.concat(timed("up"), timed("down"), untimed("blank"), untimed("every")))
     return both.select("n", "major", "bpm", "relation", F.transform(F.slice(listed, 1, m), lambda x: F.struct(x["id"].alias("id"), x["bpm"].alias("bpm"))).alias("near"))
 
 
@@ -102,7 +103,7 @@ def top_per_relation(tracks: DataFrame, n: int = 8) -> DataFrame:
     """around each track, of each directed position relation the ``n`` tracks of nearest tempo: track_id, other_id, relation, gap (beats a
     minute, null where either tempo is), rank. Unknown tempos come last, ties by id. Tracks without a code have none and are none."""
     known = _parsed(tracks)
-    near = _told(known, _nearest(known, POSITIONS, n + 1, nulls_first=False))
+    near = _told(known, _nearest(known, POSITIONS, n + 1, ratio=False))
     others = F.slice(F.filter("near", lambda x: x["id"] != c("track_id")), 1, n)
     rows = near.select("track_id", "bpm", "relation", F.posexplode(others).alias("at", "other"))
     return rows.select("track_id", c("other.id").alias("other_id"), "relation", F.abs(c("other.bpm") - c("bpm")).alias("gap"), (c("at") + 1).alias("rank"))
@@ -112,20 +113,33 @@ def next_candidates(tracks: DataFrame, used: DataFrame | None = None, n: int = 2
     """The ``n`` best partners of each track over all relations but unknown: track_id, other_id, relation, score, delta_pct, used, reason, rank.
 
     By score, then those not in ``used`` (track_id, other_id), then tempo, then id. In each relation and code the score never rises
-    with the tempo's distance, so the nearest ones suffice: ``n`` and as many as the fullest mix in ``used`` can push back.
+    with the tempo's distance, so the nearest ones suffice: ``n`` of them, and for a track with used partners as many more as it has itself.
     """
-    known, most = _parsed(tracks), 0
-    if used is not None:
-        used = used.select("track_id", "other_id").distinct()
-        most = used.groupBy("track_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
-    depth = n + most + 1
+    known = _parsed(tracks)
     # tracks with n usable partners need no other relation; whether they have is a matter of their code, so at most 24 rows
     counts = known.groupBy(c("n").alias("to_n"), c("major").alias("to_major")).agg(F.count("*").alias("there"))
     codes = known.select("n", "major").distinct().select("n", "major", F.inline(_partners(USABLE)))
     poor = codes.join(F.broadcast(counts), ["to_n", "to_major"]).groupBy("n", "major").agg(F.sum("there").alias("there")).where(c("there") <= n).select("n", "major")
-    near = _told(known, _nearest(known, USABLE, depth, True).unionByName(_nearest(known, RISKY, depth, True, poor)))
+    few = poor.limit(1).count() > 0
+    free = known
+    if used is not None:
+        used = used.select("track_id", "other_id").distinct()
+        mixed = used.groupBy("track_id").agg(F.count("*").alias("_u"))
+        free = known.join(mixed, "track_id", "left_anti")
+    near = _nearest(known, USABLE, n + 1, True)
+    if few:
+        near = near.unionByName(_nearest(known, RISKY, n + 1, True, poor))
+    rows = _told(free, near).select("track_id", "bpm", "relation", F.explode("near").alias("other")).select("track_id", "bpm", "relation", c("other.id").alias("other_id"), c("other.bpm").alias("other_bpm"))
+    if used is not None:
+        own = known.join(mixed, "track_id")
+        asks = own.select("*", F.inline(_partners(USABLE)))
+        if few:
+            asks = asks.unionByName(own.join(F.broadcast(poor), ["n", "major"], "left_semi").select(*own.columns, F.inline(_partners(RISKY))))
+        asks = asks.select(F.struct("track_id", "relation", "bpm").alias("ask"), _cell("to_n", "to_major").alias("cell"), _place_of(True).alias("x"), (c("_u") + n + 1).alias("depth"))
+        deep = nearest_deep(_items(known), asks)
+        rows = rows.unionByName(deep.select("ask.track_id", "ask.bpm", "ask.relation", c("id").alias("other_id"), c("x").alias("other_bpm")))
     # without a tempo of its own a track is at the same distance from all, so is one without a tempo from every track
-    rows = near.select("track_id", "bpm", "relation", F.explode("near").alias("other")).select("track_id", c("other.id").alias("other_id"), "relation", keys.delta_percent(c("bpm"), c("other.bpm")).alias("delta_pct")).where("track_id <> other_id")
+    rows = rows.select("track_id", "other_id", "relation", keys.delta_percent(c("bpm"), c("other_bpm")).alias("delta_pct")).where("track_id <> other_id")
     rows = rows.withColumn("score", keys.transition_score(c("relation"), c("delta_pct")))
     rows = rows.withColumn("used", F.lit(False)) if used is None else rows.join(used.withColumn("_u", F.lit(True)), ["track_id", "other_id"], "left").withColumn("used", F.coalesce("_u", F.lit(False))).drop("_u")
     best = Window.partitionBy("track_id").orderBy(c("score").desc(), "used", F.abs("delta_pct"), "other_id")
@@ -153,24 +167,70 @@ def score_seed(library: DataFrame, seeds: DataFrame, rules: keys.Rules = keys.Ru
     return both.withColumn("compat", fit).withColumn("total", c("compat") * 0.7 + (1 - gap / 20) * 0.3)
 
 
+#: The cell of all tracks, whatever their key; keys are prefixed, so none is that.
+ANY = "*"
+
+
+def _keyed(key: str) -> Column:
+    return F.concat(F.lit("="), c(key))
+
+
 def generate_playlist(library: DataFrame, seeds: DataFrame, n: int = 10, rules: keys.Rules = keys.Rules()) -> DataFrame:
-    """Seed first, then the n - 1 best positive totals; ties by id."""
-    w = Window.partitionBy("seed_id").orderBy(F.round("total", 9).desc(), "track_id")  # equal but for rounding noise is a tie
-    best = score_seed(library, seeds, rules).where("total > 0").withColumn("place", F.row_number().over(w)).where(c("place") < n)
-    first = seeds.select(c("track_id").alias("seed_id"), "track_id", F.lit(0).alias("place"), F.lit(None).cast("double").alias("total"))
-    return best.select("seed_id", "track_id", "place", "total").unionByName(first)
+    """Seed first, then the n - 1 best positive totals (those of :func:`score_seed`); ties by id.
+
+    Within a key the total only falls with the tempo's distance up to 20 beats, beyond which all are equal and go by id. So of
+    each compatible key the 2n nearest in either direction, without a tempo and least by id hold all that can be chosen: of those further away
+    than 20 beats none counts where n are nearer, and else they are among the least 2n. Keys without a score
+    matter only where the compatible ones hold fewer than n tracks; then the nearest of all keys join in. Seeds of one key and tempo look once."""
+    depth = 2 * n + 1
+    tracks = library.select("track_id", "key_camelot", c("bpm").cast("double").alias("bpm"))
+    s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"), F.coalesce(c("bpm").cast("double"), F.lit(128.0)).alias("seed_bpm"))
+    # key texts that fit: equal ones, and those of codes that fit by the matrix of 24
+    texts = tracks.groupBy("key_camelot").agg(F.count("*").alias("there")).where("key_camelot is not null").withColumns({"n": keys.number(c("key_camelot")), "major": keys.is_major(c("key_camelot"))})
+    asked = s.select("seed_key").where("seed_key is not null").distinct().withColumns({"sn": keys.number(c("seed_key")), "sm": keys.is_major(c("seed_key"))})
+    code = lambda k, m: F.concat(c(k).cast("string"), F.when(c(m), "B").otherwise("A"))
+    dim = keys.dim_key(library.sparkSession).select("code")
+    matrix = dim.select(c("code").alias("a")).crossJoin(dim.select(c("code").alias("b"))).where(keys.compatibility(c("a"), c("b"), rules) > 0)
+    coded = asked.where("sn is not null").withColumn("a", code("sn", "sm")).join(F.broadcast(matrix), "a").join(texts.where("n is not null").withColumn("b", code("n", "major")), "b").select("seed_key", "key_camelot", "there")
+    same = asked.join(texts, c("seed_key") == c("key_camelot")).select("seed_key", "key_camelot", "there")
+    fits = coded.unionByName(same).distinct().withColumn("compat", keys.compatibility(c("seed_key"), c("key_camelot"), rules)).where("compat > 0")
+    places = s.select("seed_key", "seed_bpm").distinct()
+    looks = places.join(fits, "seed_key").select("seed_key", c("seed_bpm").alias("x"), _keyed("key_camelot").alias("cell"))
+    items = tracks.where("key_camelot is not null").select(_keyed("key_camelot").alias("cell"), c("track_id").alias("id"), c("bpm").alias("x"))
+    rich = fits.groupBy("seed_key").agg(F.sum("there").alias("there")).where(c("there") >= n)
+    poor = places.join(rich, "seed_key", "left_anti")
+    if poor.limit(1).count():
+        looks = looks.unionByName(poor.select("seed_key", c("seed_bpm").alias("x"), F.lit(ANY).alias("cell")))
+        items = items.unionByName(tracks.select(F.lit(ANY).alias("cell"), c("track_id").alias("id"), c("bpm").alias("x")))
+    found = nearest(items, looks.select("cell", "x").distinct(), depth, far=True)
+    none = F.array().cast("array<struct<id:bigint,x:double>>")
+    near = F.concat(*(F.coalesce(lane, none) for lane in ("up", "down", "blank", "every")))
+    some = looks.join(found, ["cell", "x"]).select("seed_key", "x", F.explode(near).alias("e")).select("seed_key", c("x").alias("seed_bpm"), c("e.id").alias("track_id")).distinct()
+    # the best n of each place, one more than needed for the seed itself; then the seeds of a place
+    fit = F.coalesce(keys.compatibility(c("seed_key"), F.coalesce("key_camelot", F.lit("")), rules), F.lit(0.0))
+    gap = F.least(F.abs(F.coalesce("bpm", "seed_bpm") - c("seed_bpm")), F.lit(20.0))
+    scored = some.join(tracks, "track_id").withColumn("total", fit * 0.7 + (1 - gap / 20) * 0.3).where("total > 0")
+    first = Window.partitionBy("seed_key", "seed_bpm").orderBy(F.round("total", 9).desc(), "track_id")  # equal but for rounding noise is a tie
+    best = scored.withColumn("_r", F.row_number().over(first)).where(c("_r") <= n).select(c("seed_key").alias("_k"), c("seed_bpm").alias("_b"), "track_id", "total")
+    told = s.join(best, c("seed_key").eqNullSafe(c("_k")) & (c("seed_bpm") == c("_b"))).where("track_id <> seed_id")
+    w = Window.partitionBy("seed_id").orderBy(F.round("total", 9).desc(), "track_id")
+    chosen = told.withColumn("place", F.row_number().over(w)).where(c("place") < n).select("seed_id", "track_id", "place", "total")
+    return chosen.unionByName(seeds.select(c("track_id").alias("seed_id"), "track_id", F.lit(0).alias("place"), F.lit(None).cast("double").alias("total")))
 
 
 def same_key_playlist(library: DataFrame, seeds: DataFrame, same_key: bool = True, n: int = 20) -> DataFrame:
-    """By tempo nearness alone, of the seed's key if the rule asks for it."""
-    s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"), c("bpm").alias("seed_bpm"))
-    if same_key:
-        both = _dealt(library, s.withColumn("key_camelot", c("seed_key")), "key_camelot")
-    else:
-        both = _dealt(library, s)
-    both = both.where(c("track_id") != c("seed_id"))
-    w = Window.partitionBy("seed_id").orderBy(F.abs(c("bpm") - c("seed_bpm")).asc_nulls_last(), "track_id")
-    return both.withColumn("place", F.row_number().over(w)).where(c("place") < n).select("seed_id", "track_id", "place")
+    """The n - 1 tracks of nearest tempo, those without one last, ties by id; of the seed's key if the rule asks for it. Seeds of one
+    key and tempo look once; nothing grows with seeds by tracks."""
+    cell = _keyed("key_camelot") if same_key else F.lit(ANY)
+    s = seeds.select(c("track_id").alias("seed_id"), cell.alias("cell"), c("bpm").cast("double").alias("x")).where("cell is not null")
+    items = library.select(cell.alias("cell"), c("track_id").alias("id"), c("bpm").cast("double").alias("x")).where("cell is not null")
+    found = nearest(items, s.select("cell", "x").distinct(), n)
+    none = F.array().cast("array<struct<gap:double,id:bigint>>")
+    with_gap = lambda lane: F.coalesce(F.transform(lane, lambda e: F.struct(F.coalesce(F.abs(e["x"] - c("x")), F.lit(float("inf"))).alias("gap"), e["id"].alias("id"))), none)
+    listed = found.select(c("cell").alias("_c"), c("x").alias("_x"), F.slice(F.array_sort(F.concat(*map(with_gap, ("up", "down", "blank", "every")))), 1, n).alias("near"))
+    told = s.join(listed, (c("cell") == c("_c")) & c("x").eqNullSafe(c("_x")))
+    others = F.slice(F.filter("near", lambda e: e["id"] != c("seed_id")), 1, n - 1)
+    return told.select("seed_id", F.posexplode(others).alias("_p", "_e")).select("seed_id", c("_e.id").alias("track_id"), (c("_p") + 1).alias("place"))
 
 
 def compatible_tracks(library: DataFrame, seeds: DataFrame, rules: keys.Rules = keys.Rules()) -> DataFrame:

@@ -177,7 +177,7 @@ def test_next_candidates_with_used_partners_and_few_codes(spark):
 
     rng = random.Random(3)
     for codes in (["8A", "8A", "9A", "3B"], ["1A", "5B"], [f"{n}{x}" for n in range(1, 13) for x in "AB"]):
-        rows = [(i, rng.choice(codes), None if rng.random() < 0.1 else rng.choice([100.0, 102.5, 120.0, rng.uniform(60, 180)])) for i in range(90)] + [(500, None, 100.0)]
+        rows = [(i, rng.choice(codes), None if rng.random() < 0.1 else rng.choice([0.0, 100.0, 100.0, 102.5, 120.0, rng.uniform(60, 180)])) for i in range(90)] + [(500, None, 100.0)]
         df = spark.createDataFrame(rows, "track_id long, key_camelot string, bpm double")
         used = {(i, rng.randrange(90)) for i in range(90) for _ in range(rng.choice([0, 0, 5]))}
         got = harmony.next_candidates(df, spark.createDataFrame([*used, (1, 2), (1, 2)], "track_id long, other_id long"), 7)
