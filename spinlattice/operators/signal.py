@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.scoring import tempo_preference, upper_median
+from ..shared import materialize
+from .blocks import band_flux, haloed, harmonic_split, lag_products, own, sliding_upper_median  # noqa: F401
 
 c = F.col
 # fixed values: key profiles, major and minor (and amodal)
@@ -29,6 +32,8 @@ OCTAVES = [0.3999726755, 0.556344252483, 0.524966363451, 0.608475483843, 0.59898
 WEIGHTS = {"krumhansl": 0.15, "temperley": 0.25, "shaath": 1.0}
 FRAME_RATE = 22050 / 512
 BY = ["track_id"]
+#: Frames of a block where a row a frame is averaged.
+SMOOTH = 1 << 16
 
 
 def _over(*order: str) -> Window:
@@ -67,20 +72,6 @@ def spectrum(frames: DataFrame) -> DataFrame:
     return frames.select("track_id", "frame", "samples").mapInPandas(run, "track_id long, frame int, mags array<double>")
 
 
-def sliding_upper_median(df: DataFrame, value: str, by: list[str], order: str, radius: int = 8) -> Column:
-    """upper median over +-radius rows; edges shrink."""
-    return upper_median(F.collect_list(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-radius, radius)))
-
-
-def harmonic_split(spec: DataFrame, radius: int = 8) -> DataFrame:
-    """I4: harmonic and percussive parts: medians along time and along frequency, and a soft mask."""
-    h = sliding_upper_median(spec, "mag", ["track_id", "bin"], "frame", radius)
-    p = sliding_upper_median(spec, "mag", ["track_id", "frame"], "bin", radius)
-    both = spec.withColumn("h", h).withColumn("p", p)
-    mask = c("h") * c("h") / (c("h") * c("h") + c("p") * c("p") + 1e-10)
-    return both.select("track_id", "frame", "bin", (c("mag") * mask).alias("harmonic"), (c("mag") * (1 - mask)).alias("percussive"))
-
-
 def bin_map(spark: SparkSession, bins: int, fft: int, rate: float, harmonics: bool = False) -> DataFrame:
     """Which pitch class a bin counts for, with weights; a broadcast dimension of a few rows a bin."""
     rows = []
@@ -255,15 +246,8 @@ def onset_from_energy(frames: DataFrame) -> DataFrame:
 
 
 def autocorrelation(onset: DataFrame, max_lag: int) -> DataFrame:
-    """(track_id, lag, value), lag 0 being 1. A track's series is one array (missing frames are 0), so lags cost no join."""
-    series = onset.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("frame", "onset"))).alias("s"))
-    # frames in order, the gap before each filled with zeros: every step makes one short array, flattened once
-    gap = lambda r, i: r["frame"] - F.coalesce(F.get(c("s"), i - 1)["frame"], F.lit(-1)) - 1
-    filled = F.flatten(F.transform("s", lambda r, i: F.concat(F.array_repeat(F.lit(0.0), gap(r, i)), F.array(r["onset"].cast("double")))))
-    dense = series.select(*BY, filled.alias("x")).withColumn("n", F.size("x"))
-    lags = dense.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), c("n") - 1))).alias("lag"))
-    product = F.aggregate(F.zip_with(F.slice("x", F.lit(1), c("n") - c("lag")), F.slice("x", c("lag") + 1, c("n") - c("lag")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    got = lags.select(*BY, "lag", product.alias("raw"))
+    """(track_id, lag, value), lag 0 being 1; missing frames are 0. Blocks of frames are correlated and added up."""
+    got = lag_products(onset, "onset", max_lag).where("lag < n")
     zero = F.first("raw").over(Window.partitionBy(*BY).orderBy("lag"))
     return got.select(*BY, "lag", F.when(zero > 0, c("raw") / zero).otherwise(0.0).alias("value"))
 
@@ -315,15 +299,17 @@ def whiten(onset: DataFrame, radius: int) -> DataFrame:
 
 
 def spectral_flux(spec: DataFrame, edges: list[int]) -> DataFrame:
-    """Rises of each bin, summed in bands of bins cut at ``edges``, each band and their sum over its largest, smoothed."""
-    rise = F.greatest(c("mag") - F.lag("mag").over(Window.partitionBy("track_id", "bin").orderBy("frame")), F.lit(0.0))
-    band = F.lit(0)
-    for e in edges:
-        band = band + F.when(c("bin") >= e, 1).otherwise(0)
-    by_band = spec.select("track_id", "frame", band.alias("band"), F.coalesce(rise, F.lit(0.0)).alias("rise")).groupBy("track_id", "frame", "band").agg(F.sum("rise").alias("flux"))
-    over = lambda x, *by: F.when(F.max(x).over(Window.partitionBy("track_id", *by)) > 0, c(x) / F.max(x).over(Window.partitionBy("track_id", *by))).otherwise(0.0)
-    total = by_band.withColumn("flux", over("flux", "band")).groupBy("track_id", "frame").agg(F.sum("flux").alias("onset"))
-    return moving_average(total.withColumn("onset", over("onset")), "onset")
+    """Rises of each bin, summed in bands of bins cut at ``edges``, each band and their sum over its largest, smoothed. The
+    spectrogram is shuffled once; what follows has a row a frame."""
+    flux = materialize(band_flux(spec, edges), "flux")
+    bands = [x for x in flux.columns if x.startswith("b")]
+    top = flux.groupBy(*BY).agg(*(F.max(b).alias(f"m{b}") for b in bands))
+    share = lambda x, m: F.when(m > 0, x / m).otherwise(0.0)
+    total = flux.join(top, BY).select(*BY, "frame", reduce(Column.__add__, (share(c(b), c(f"m{b}")) for b in bands)).alias("onset"))
+    over = total.join(total.groupBy(*BY).agg(F.max("onset").alias("most")), BY).select(*BY, "frame", share(c("onset"), c("most")).alias("onset"))
+    near = Window.partitionBy(*BY, "_block").orderBy("frame").rowsBetween(-3, 3)
+    smooth = haloed(over, 3, 3, SMOOTH).withColumn("onset", F.avg("onset").over(near))
+    return smooth.where(own(length=SMOOTH)).drop("_block")
 
 
 def expand_grid(grids: DataFrame, duration_ms: Column) -> DataFrame:

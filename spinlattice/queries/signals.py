@@ -33,7 +33,7 @@ SPEC = f"SELECT track_id, frame, CAST(generate_subscripts(x, 1) - 1 AS INT) AS b
 
 query("f11_moving_average", f"SELECT track_id, frame, round(avg(onset) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS onset FROM ({O}) o")(lambda v: sg.moving_average(onset(v), "onset").withColumn("onset", r6(c("onset"))))
 query("f12_whitening", f"SELECT track_id, frame, round(CASE WHEN m > 0 THEN sqrt(onset / m) ELSE 0 END, 6) AS onset FROM (SELECT *, max(onset) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM ({O}) o) x")(lambda v: sg.whiten(onset(v), 10).withColumn("onset", r6(c("onset"))))
-query("f13_sliding_upper_median", f"SELECT track_id, frame, round(list_sort(l)[len(l) // 2 + 1], 6) AS med FROM (SELECT *, list(onset) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS l FROM ({O}) o) x")(lambda v: onset(v).select("track_id", "frame", r6(sg.sliding_upper_median(None, "onset", ["track_id"], "frame")).alias("med")))
+query("f13_sliding_upper_median", f"SELECT track_id, frame, round(list_sort(l)[len(l) // 2 + 1], 6) AS med FROM (SELECT *, list(onset) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS l FROM ({O}) o) x")(lambda v: sg.sliding_upper_median(onset(v), "onset").withColumn("med", r6(c("med"))))
 query("i01_centred_window", f"SELECT track_id, frame FROM (SELECT *, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM ({O}) o) x WHERE frame >= greatest(0, floor((n - 100) / 2.0)) AND frame < greatest(0, floor((n - 100) / 2.0)) + 100")(lambda v: sg.centred_window(onset(v), 100).select("track_id", "frame"))
 AC = f"SELECT track_id, lag, round(CASE WHEN z > 0 THEN raw / z ELSE 0 END, 6) AS value FROM (SELECT *, first_value(raw) OVER (PARTITION BY track_id ORDER BY lag) AS z FROM (SELECT t.track_id, l.lag, coalesce(sum(a.onset * b.onset), 0) AS raw FROM (SELECT track_id, max(frame) + 1 AS n FROM ({O}) o GROUP BY track_id) t CROSS JOIN (SELECT CAST(unnest(range(0, 65)) AS INT) AS lag) l LEFT JOIN ({O}) a ON a.track_id = t.track_id LEFT JOIN ({O}) b ON b.track_id = a.track_id AND b.frame = a.frame + l.lag WHERE l.lag < t.n GROUP BY t.track_id, l.lag) y) x"
 ac = lambda v: sg.autocorrelation(onset(v), 64)

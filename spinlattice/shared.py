@@ -57,3 +57,17 @@ def place(key: Column, cuts: list, kind: str) -> Column:
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
     fold = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & (F.get(at, p + s - 1) <= key), p + s).otherwise(p))
     return F.when(key.isNull(), 0).otherwise(fold)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place ``at`` (0, 1, 2, ...) in the whole order, from sorted ranges in the shared folder; the driver holds
+    one number a range."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    table = materialize(dealt, name).withColumn("_part", F.shiftright("_row", 33).cast("int"))
+    offsets, before = [], 0
+    for r in sorted(table.groupBy("_part").count().collect()):
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    known = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    at = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return table.join(F.broadcast(known), "_part").withColumn("at", at).drop("_part", "_row", "_before")
