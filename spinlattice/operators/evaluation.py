@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import numbered
+
 from ..functions import keys, scoring, text
 
 c = F.col
@@ -115,19 +117,19 @@ def summary(scored: DataFrame) -> DataFrame:
     return scored.where("error is not null").agg(F.count("*").alias("n"), F.avg(F.when(c("exact"), 1.0).otherwise(0.0)).alias("accuracy"), F.avg("mirex_one_sided").alias("mirex"), F.avg(F.when(c("error") == "relative", 1.0).otherwise(0.0)).alias("relative"), F.avg(F.when(c("error") == "parallel", 1.0).otherwise(0.0)).alias("parallel"))
 
 
+def upper_median_of(values: DataFrame, column: str) -> DataFrame:
+    """One row with the upper median of a column's values, none without any: values are sorted in ranges, and the one in the middle is
+    read by its place. No task holds more than a range, whatever the number of distinct values."""
+    placed = numbered(values.where(c(column).isNotNull()).select(column), [column], "median")
+    return placed.crossJoin(placed.agg(F.floor(F.count("*") / 2).alias("_middle"))).where("at = _middle").select(column)
+
+
 def run_summary(scored: DataFrame) -> DataFrame:
-    """Upper median of the tempo ratios (1 if there are none), mean time of scored tracks, failures.
-
-    The median comes from exact counts of rounded ratios' ranks: a window over distinct ratios would
-    be one task, so the rank is found with percentile(), whose input is a map of distinct values."""
-    ok = scored.withColumn("_ok", c("failure").isNull())
-    got = ok.agg(F.count_if(~c("_ok")).alias("failed"), F.avg(F.when(c("_ok"), c("total_ms"))).alias("mean_ms"), F.count(F.when(c("_ok"), c("ratio"))).alias("m"))
-    m = got.first()["m"]
-    if not m:
-        return got.select(F.lit(1.0).alias("ratio_median"), "mean_ms", "failed")
-    at = 0.0 if m == 1 else (m // 2) / (m - 1)  # the rank m // 2 itself, so nothing is interpolated
-    med = ok.where("_ok").agg(F.percentile("ratio", F.lit(at)).alias("ratio_median"))
-    return got.crossJoin(med).select("ratio_median", "mean_ms", "failed")
+    """Upper median of the tempo ratios (1 if there are none), mean time of scored tracks, failures."""
+    fine = c("failure").isNull()
+    got = scored.agg(F.count_if(~fine).alias("failed"), F.avg(F.when(fine, c("total_ms"))).alias("mean_ms"))
+    middle = upper_median_of(scored.where(fine).select(c("ratio").cast("double").alias("ratio")), "ratio")
+    return got.join(middle, F.lit(True), "left").select(F.coalesce("ratio", F.lit(1.0)).alias("ratio_median"), "mean_ms", "failed")
 
 
 def label_distribution(rows: DataFrame, by: str = "label") -> DataFrame:

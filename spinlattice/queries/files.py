@@ -171,6 +171,56 @@ def _(v):
     return files.media_files(v.spark, media_folder(v)).select("extension", part_of(c("path")), "file_size")
 
 
+def one_file_each(v, rows, name, kind=None):
+    """``rows`` (stem, value) as a file each below ``stem=...``."""
+    path, dealt = work(v, name), rows.repartition("stem")
+    if kind is None:
+        dealt.write.partitionBy("stem").text(path)
+    else:
+        dealt.write.mode("append").partitionBy("stem").option("extension", kind).option("quote", "").option("escape", "").csv(path)
+    return path
+
+
+def stems(v):
+    """Every 20th track; a file each is what the sources read."""
+    return v("v_tracks").where("track_id % 20 = 0").select(F.concat(F.lit("s"), c("track_id").cast("string")).alias("stem"), "track_id", "genre_raw", "filename", "bpm", "key_confidence")
+
+
+STEMS = "SELECT concat('s', CAST(track_id AS STRING)) AS stem, track_id, genre_raw, filename, bpm, key_confidence FROM v_tracks WHERE track_id % 20 = 0"
+
+
+@query("a06_annotation_folder", f"""SELECT stem, {NOTES}[CAST(track_id / 20 % 12 AS INT) + 1] AS note, CASE WHEN track_id % 60 <> 0 THEN genre_raw END AS genre_raw, CAST(floor(track_id / 20) % 12 AS INT) AS tonic,
+track_id % 40 = 0 AS is_major, CASE WHEN track_id % 100 = 0 THEN 'missing_file' ELSE 'ready' END AS status FROM ({STEMS}) x""".replace("CAST(track_id / 20 % 12 AS INT)", "CAST(floor(track_id / 20) % 12 AS INT)"))
+def _(v):
+    some, note = stems(v), F.get(F.array(*map(F.lit, NOTES)), (F.floor(c("track_id") / 20) % 12).cast("int"))
+    named = F.concat(note, F.when(c("track_id") % 40 == 0, " major").otherwise(" minor"))
+    folder = work(v, "annotations")
+    for kind, rows in (("key", some.select("stem", named.alias("value"))), ("gnr", some.where("track_id % 60 <> 0").select("stem", c("genre_raw").alias("value")))):
+        rows.repartition("stem").write.mode("append").partitionBy("stem").option("extension", kind).option("quote", "").csv(folder)
+    audio = one_file_each(v, some.where("track_id % 100 <> 0").select("stem", c("filename").alias("value")), "audio", "mp3")
+    got = files.annotation_folder(v.spark, folder, files.media_files(v.spark, audio), (".key", ".gnr"))
+    return got.select("stem", F.split("key_name", " ")[0].alias("note"), "genre_raw", "tonic", "is_major", "status")
+
+
+@query("a07_jams", f"SELECT stem, round(bpm, 6) AS duration, CASE WHEN track_id % 60 <> 0 THEN concat({NOTES}[CAST(track_id % 12 AS INT) + 1], ':minor') END AS key, CASE WHEN track_id % 60 <> 0 THEN round(key_confidence, 6) END AS confidence, genre_raw FROM ({STEMS}) x")
+def _(v):
+    one = lambda ns, value, sure: F.struct(F.lit(ns).alias("namespace"), F.array(*(F.struct(F.lit(0.0).alias("time"), F.lit(1.0).alias("duration"), sure.alias("confidence"), x.alias("value")) for x in value)).alias("data"))
+    key = F.concat(F.get(F.array(*map(F.lit, NOTES)), (c("track_id") % 12).cast("int")), F.lit(":minor"))
+    both = F.array(one("tag_open", [c("genre_raw"), F.lit("second")], F.lit(None).cast("double")), one("key_mode", [key, F.lit("C:major")], c("key_confidence")))
+    rows = stems(v).select("stem", F.when(c("track_id") % 60 == 0, F.slice(both, 1, 1)).otherwise(both).alias("annotations"), F.struct(c("filename").alias("title"), c("bpm").alias("duration")).alias("file_metadata"))
+    rows.repartition("stem").write.partitionBy("stem").json(path := work(v, "jams"))
+    got = files.jams(v.spark, path)
+    return got.withColumns({"duration": r6(c("duration")), "confidence": r6(c("confidence"))})
+
+
+@query("a09_integrity", f"SELECT stem, CASE WHEN track_id % 100 = 0 THEN 'missing' WHEN track_id % 80 = 0 THEN 'extra' WHEN track_id % 60 = 0 THEN 'altered' ELSE 'intact' END AS status FROM ({STEMS}) x")
+def _(v):
+    some = stems(v)
+    audio = one_file_each(v, some.where("track_id % 100 <> 0").select("stem", F.concat("filename", F.when(c("track_id") % 60 == 0, "x").otherwise("")).alias("value")), "audio", "wav")
+    sums = one_file_each(v, some.where("track_id % 80 <> 0 or track_id % 100 = 0").select("stem", F.concat(F.md5(F.concat("filename", F.lit("\n"))), F.lit("  a.wav")).alias("value")), "sums")
+    return files.integrity(v.spark, audio, sums, ".wav")
+
+
 @query("j01_discover", f"SELECT extension, part, CAST(sum(strlen(line)) AS BIGINT) AS file_size, CASE WHEN extension = 'wav' THEN 'analyzed' ELSE 'pending' END AS status FROM ({LISTED}) f WHERE extension <> 'txt' GROUP BY extension, part")
 def _(v):
     folder = media_folder(v)

@@ -114,26 +114,32 @@ def import_collection(spark: SparkSession, path: str, tracks: DataFrame, opinion
     return _with_opinions(opinions, tag_opinions(tags, "djxml")), report
 
 
+def stem_of(path: Column) -> Column:
+    """What a file is about: its folder's value where that is ``stem=value``, as partitioned writers name folders, else its name without extension."""
+    folder = F.regexp_extract(path, "/stem=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1))
+
+
 def _whole(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    got = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select("value", c("_metadata.file_name").alias("f"))
-    return got.select(F.expr(f"substring(f, 1, length(f) - {len(suffix)})").alias("stem"), F.trim("value").alias("value"))
+    got = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    return got.select(stem_of(c("_metadata.file_path")).alias("stem"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
 
 
-def annotation_folder(spark: SparkSession, folder: str, audio: DataFrame) -> DataFrame:
-    """A row for each ``.key`` file with its genre and whether the audio listing has the stem."""
-    key, genre = _whole(spark, folder, ".key"), _whole(spark, folder, ".genre")
-    heard = audio.select(F.regexp_replace("filename", r"\.[^.]*$", "").alias("stem"), F.lit(True).alias("_a")).distinct()
+def annotation_folder(spark: SparkSession, folder: str, audio: DataFrame, suffixes: tuple[str, str] = (".key", ".genre")) -> DataFrame:
+    """A row for each key file with its genre and whether the audio listing (path) has the stem."""
+    key, genre = _whole(spark, folder, suffixes[0]), _whole(spark, folder, suffixes[1])
+    heard = audio.select(stem_of(c("path")).alias("stem"), F.lit(True).alias("_a")).distinct()
     got = key.withColumnRenamed("value", "key_name").join(genre.withColumnRenamed("value", "genre_raw"), "stem", "left").join(heard, "stem", "left")
     t, m = keys.parse_standard(c("key_name"))
     return got.select("stem", "key_name", "genre_raw", t.alias("tonic"), m.alias("is_major"), F.when(c("_a").isNull(), "missing_file").otherwise("ready").alias("status"))
 
 
 def jams(spark: SparkSession, path: str) -> DataFrame:
-    """Stem, key, genre, duration and confidence of annotation JSON files."""
-    raw = spark.read.schema(JAMS).json(path, multiLine=True).select(F.regexp_replace(c("_metadata.file_name"), r"\.jams$", "").alias("stem"), c("file_metadata.duration").alias("duration"), F.explode("annotations").alias("a"))
-    data = raw.select("stem", "duration", "a.namespace", F.explode("a.data").alias("d"))
-    pick = lambda ns, x: F.first(F.when(c("namespace") == ns, c(f"d.{x}")), True)
-    return data.groupBy("stem").agg(F.first("duration").alias("duration"), pick("key_mode", "value").alias("key"), pick("key_mode", "confidence").alias("confidence"), pick("tag_open", "value").alias("genre_raw"))
+    """Stem, key, genre, duration and confidence of annotation JSON files, one a file; the first of several values of a kind counts."""
+    raw = spark.read.schema(JAMS).option("recursiveFileLookup", True).json(path, multiLine=True)
+    raw = raw.select(stem_of(c("_metadata.file_path")).alias("stem"), c("file_metadata.duration").alias("duration"), "annotations")
+    kind = lambda ns: F.get(F.flatten(F.transform(F.filter("annotations", lambda a: a["namespace"] == ns), lambda a: a["data"])), F.lit(0))
+    return raw.select("stem", "duration", kind("key_mode")["value"].alias("key"), kind("key_mode")["confidence"].alias("confidence"), kind("tag_open")["value"].alias("genre_raw"))
 
 
 def annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -144,8 +150,12 @@ def annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     return each.select("id", "confidence", "ordinal", "key_name", t.alias("tonic"), m.alias("is_major"))
 
 
-def integrity(spark: SparkSession, audio: str, sums: str) -> DataFrame:
-    """Stem, and whether the file's MD5 is the stored one."""
-    files = spark.read.format("binaryFile").load(audio).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem"), F.md5("content").alias("actual"))
-    want = spark.read.text(sums, wholetext=True).select(F.regexp_extract(c("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("stem"), F.regexp_extract("value", "([0-9a-fA-F]{32})", 1).alias("expected"))
-    return want.join(files, "stem", "left").select("stem", (F.lower("expected") == c("actual")).alias("intact"))
+def integrity(spark: SparkSession, audio: str, sums: str, suffix: str = "") -> DataFrame:
+    """Stem and status of every stem that has a file or a stored MD5: intact, altered, missing (a sum without a file) or extra (a file without a
+    sum; nor can one be read from a sum's text without 32 hexadecimal digits). Spark passes over files of no bytes. The digest is of one file at a time in a task."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(audio)
+    files = read.select(stem_of(c("path")).alias("stem"), F.md5("content").alias("actual"))
+    text_ = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*").text(sums, wholetext=True)
+    want = text_.select(stem_of(c("_metadata.file_path")).alias("stem"), F.lower(F.nullif(F.regexp_extract("value", "([0-9a-fA-F]{32})", 1), F.lit(""))).alias("expected"))
+    status = F.when(c("actual").isNull(), "missing").when(c("expected").isNull(), "extra").when(c("actual") == c("expected"), "intact").otherwise("altered")
+    return want.join(files, "stem", "full_outer").select("stem", status.alias("status"))

@@ -119,7 +119,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "ann").mkdir()
     (tmp_path / "ann" / "s1.key").write_text("Eb minor")
     (tmp_path / "ann" / "s1.genre").write_text("house")
-    r = files.annotation_folder(spark, str(tmp_path / "ann"), listed.select(F.lit("s1.mp3").alias("filename"))).first()
+    r = files.annotation_folder(spark, str(tmp_path / "ann"), listed.select(F.lit("/x/s1.mp3").alias("path"))).first()
     assert (r["stem"], r["tonic"], r["is_major"], r["genre_raw"], r["status"]) == ("s1", 3, False, "house", "ready")
     (tmp_path / "1.jams").write_text('{"annotations":[{"namespace":"key_mode","data":[{"time":0,"duration":1,"confidence":0.5,"value":"C:minor"}]},{"namespace":"tag_open","data":[{"value":"techno"}]}],"file_metadata":{"duration":120.5}}')
     r = files.jams(spark, str(tmp_path / "1.jams")).first()
@@ -131,7 +131,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "md5" / "x.md5").write_text("900150983cd24fb0d6963f7d28e17f72  x.mp3")
     (tmp_path / "au").mkdir()
     (tmp_path / "au" / "x.mp3").write_bytes(b"abc")
-    assert files.integrity(spark, str(tmp_path / "au"), str(tmp_path / "md5")).first()["intact"]
+    (tmp_path / "au" / "y.mp3").write_bytes(b"abc")
+    for stem in "yz":
+        (tmp_path / "md5" / f"{stem}.md5").write_text("9" * 32)
+    (tmp_path / "au" / "w.mp3").write_bytes(b"q")
+    assert {r["stem"]: r["status"] for r in files.integrity(spark, str(tmp_path / "au"), str(tmp_path / "md5")).collect()} == {"x": "intact", "y": "altered", "z": "missing", "w": "extra"}
 
 
 def test_sinks(spark, tmp_path):
