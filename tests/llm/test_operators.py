@@ -278,6 +278,10 @@ def kneser_ney(sequences):
         padded = [0, 0, *seq, 0]
         return [-np.log2(prob(g)) for g in zip(padded, padded[1:], padded[2:], strict=False)]
 
+    seen = Counter()
+    for g, n in counts[3].items():
+        seen[g[2]] += n
+    bits.alone = lambda seq: [-np.log2(seen[x] / seen.total()) for x in [*seq, 0]]
     return bits
 
 
@@ -306,13 +310,14 @@ def kept_by_hand(rows):
                 n = len(ws)
                 noise = lambda x, m: np.sqrt(max(0.0, (x * x).sum() / m - (x.sum() / m) ** 2))
                 size = sum(len(w.encode()) + 1 for w in ws)
-                stats[d] = (a.sum() / (n + 1), noise(a, n + 1) * np.sqrt((n + 1) / n), b.sum() / size, noise(b, n) * n / size)
+                s = a - np.array(of_words.alone([*map(symbol, ws)]))
+                stats[d] = (a.sum() / (n + 1), noise(a, n + 1) * np.sqrt((n + 1) / n), b.sum() / size, noise(b, n) * n / size, s.sum() / (n + 1), noise(s, n + 1) * np.sqrt((n + 1) / n))
         failed = {d: (lambda base: base[0] < 10 or 100 * base[4] > 20 * base[0])(base_quality(rows[d][0])) for d in docs}
         good = sorted(d for d in docs if not failed[d])
         at = lambda xs, p: sorted(xs)[max(0, int(np.ceil(p * len(xs))) - 1)]
         for d in docs:
             inside = True
-            for k, (lower, upper) in ((0, (4.5, 10.0)), (2, (8.0, 14.0))):
+            for k, (lower, upper) in ((0, (4.5, 2.5)), (2, (8.0, 7.0)), (4, (12.0, 2.0))):
                 if good and d in stats:
                     xs = [stats[g][k] for g in good]
                     dev = max(0.05, (at(xs, 0.75) - at(xs, 0.25)) / 1.349)
@@ -360,12 +365,52 @@ def test_bands_reject_junk_and_see_word_order(spark):
     assert np.mean([b[i] > a[i] for i in b]) > 0.95
 
 
-def test_rare_languages_share_models(spark):
-    from spinlattice.llm.quality import own_languages
+def test_rounds_of_languages_change_nothing(spark):
+    from spinlattice.llm.quality import count_models, quality, rounds, score_all
 
-    docs = spark.createDataFrame([(i, "x", f"l{i % 5}" if i > 3 else "l0", "s", 0) for i in range(14)] + [(99, "x", None, "s", 0)], DOC)
-    got = {r["lang"]: r["of"] for r in docs.select("lang", own_languages(docs, most=2).alias("of")).collect()}
-    assert got == {"l0": "l0", "l1": "l1", "l2": "", "l3": "", "l4": "", None: ""}
+    rows = [(i, t, f"l{i % 7}" if i % 11 else None, "s", 0) for i, (t, _) in enumerate(junk_and_prose(3, 120))] + [(900, None, "none", "s", 0), (901, " ", "blank", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    counted = count_models(docs)[1]
+    assert len(rounds(counted, 1)) == 8 and sorted(x for r in rounds(counted, 1) for x in r) == ["", *(f"l{i}" for i in range(7))] and len(rounds(counted)) == 1
+    one, many = ({r["c0"]: tuple(r) for r in score_all(docs, most=n).collect()} for n in (10**9, 1))
+    assert one.keys() == many.keys() == {r[0] for r in rows}
+    assert all(one[d][:7] == many[d][:7] and np.allclose(one[d][8:], many[d][8:]) for d in one)
+    assert {r["doc_id"]: r["kept"] for r in quality(docs).collect()} == kept_by_hand({r[0]: (r[1], r[2]) for r in rows})
+
+
+#: Words of languages as unlike as those of labels: what is most frequent, and what words are made of.
+TONGUES = {
+    "xa": (["the", "of", "and", "to", "in", "that", "is", "for"], ["an", "er", "ing", "tion", "ou", "st", "lo", "re", "ha"]),
+    "xb": (["der", "und", "die", "zu", "von", "mit", "das", "den"], ["sch", "ung", "ei", "ch", "ver", "tz", "ge", "au", "be"]),
+    "xc": (["il", "di", "che", "la", "per", "non", "una", "con"], ["zio", "amo", "tto", "gli", "ri", "ello", "ca", "po", "ne"]),
+}
+
+
+def test_bands_by_language(spark):
+    """Shuffled words and other languages' labels are rejected, plain prose stays, in each of three languages; texts of 200 to 700 words, a fifteenth of them junk."""
+    from spinlattice.llm.quality import quality
+
+    rng = random.Random(4)
+
+    def prose(lang, n):
+        common, syllables = TONGUES[lang]
+        word = lambda: rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+        sentence = lambda: (lambda w: " ".join([w[0].capitalize(), *w[1:]]) + ".")([word() + ("," if rng.random() < 0.08 else "") for _ in range(rng.randint(4, 12))])
+        return " ".join(sentence() for _ in range(n))
+
+    rows = []
+    for lang in TONGUES:
+        for i in range(600):
+            text, kind, label = prose(lang, rng.randint(30, 90)), "prose", lang
+            if i % 30 == 1:
+                text, kind = " ".join(rng.sample(text.split(), len(text.split()))), "shuffled"
+            elif i % 30 == 2:
+                kind, label = "mislabelled", rng.choice([x for x in TONGUES if x != lang])
+            rows.append((len(rows), text, label, kind))
+    kept = {r["doc_id"]: r["kept"] for r in quality(spark.createDataFrame([(d, t, x, "s", 0) for d, t, x, _ in rows], DOC)).collect()}
+    for lang in TONGUES:
+        share = lambda kind: np.mean([kept[d] for d, _, x, k in rows if x == lang and k == kind])  # noqa: E731, B023
+        assert share("prose") >= 0.97 and share("shuffled") <= 0.1 and share("mislabelled") <= 0.1, (lang, *map(share, ("prose", "shuffled", "mislabelled")))
 
 
 def test_quality(docs, texts, empty):
