@@ -5,6 +5,10 @@ programming: the cost of a window is its padding plus a penalty for where it end
 document's end, little at a sentence's end, more elsewhere). With val[j] the least cost
 of all cuts up to place j plus j itself, val[j] = size + penalty[j] + min val[i] over the window
 of places i within ``size`` before j, which a monotone queue keeps at constant cost.
+
+Places are document ends, sentence ends and, so that there is one in reach, every STRIDE-th id of a partition's stream; among
+these the cutting of a partition is the cheapest, whatever its length: windows are given out only up to the last place that the
+cheapest cuttings of all places still in reach have in common, since whatever follows cannot change what is before it.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +32,9 @@ STRIDE = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
-    """Indices into ``places`` (ascending, first 0, gaps of ``size`` at most) where the windows
-    of a cheapest cutting end; the last is always the last place. The last window's padding is
-    free: it waits for more ids or is cut to powers of two."""
+def cheapest(places: list[int], penalty: list[int], size: int) -> tuple[list[int], list[int]]:
+    """For each of ``places`` (ascending, first 0, gaps of ``size`` at most) the least cost of windows up to it, and the place where the
+    last of these begins."""
     n = len(places)
     val, back = [0] * n, [0] * n
     queue = deque([0])
@@ -44,23 +48,52 @@ def cut_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
         while queue and val[queue[-1]] > v:
             queue.pop()
         queue.append(j)
-    cuts, j = [], n - 1
-    low = j - 1
-    while low and places[low - 1] >= places[j] - size:
-        low -= 1
-    back[j] = min(range(low, j), key=lambda i: val[i] - places[i])
+    return val, back
+
+
+def _chain(back: list[int], j: int) -> list[int]:
+    cuts = []
     while j:
         cuts.append(j)
         j = back[j]
     return cuts[::-1]
 
 
-def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[list, list]:
+def cut_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
+    """Indices into ``places`` where the windows of a cheapest cutting end; the last is always the last place. The last
+    window's padding is free: it is cut to powers of two."""
+    val, back = cheapest(places, penalty, size)
+    last = len(places) - 1
+    low = last - 1
+    while low and places[low - 1] >= places[last] - size:
+        low -= 1
+    back[last] = min(range(low, last), key=lambda i: val[i] - places[i])
+    return _chain(back, last)
+
+
+def settled_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
+    """Those windows' ends that belong to the cheapest cutting whatever ids follow: up to the last place that is on the
+    ways to all places within ``size`` of the end, from one of which the next window begins."""
+    _, back = cheapest(places, penalty, size)
+    end = places[-1]
+    far = [-j for j in range(len(places)) if places[j] > end - size]
+    heapify(far)
+    while True:  # the furthest place goes a window back until all are one
+        j = -heappop(far)
+        while far and far[0] == -j:
+            heappop(far)
+        if not far:
+            return _chain(back, j)
+        heappush(far, -back[j])
+
+
+def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, before: int = 0) -> tuple[list, list]:
+    """Places in ``stream``, which has ``before`` ids before it, and what a cut there costs."""
     n = len(stream)
     sentence = np.flatnonzero(ends_sentence[np.minimum(stream, len(ends_sentence) - 1)]) + 1
     marked = np.zeros(n + 1, bool)
-    marked[::STRIDE] = True
-    marked[sentence] = marked[doc_ends] = marked[n] = True
+    marked[-before % STRIDE :: STRIDE] = True
+    marked[0] = marked[sentence] = marked[doc_ends] = marked[n] = True
     places = np.flatnonzero(marked)
     cost = np.full(len(places), INSIDE)
     cost[np.searchsorted(places, sentence)] = SENTENCE
@@ -69,35 +102,38 @@ def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray)
 
 
 class Packer:
-    """Packs one partition's documents as they come; holds few windows at a time."""
+    """Packs one partition's documents as they come; looks for settled windows whenever ``look`` more windows have come, which
+    changes what it holds at a time and never the cutting."""
 
-    def __init__(self, ends_sentence: np.ndarray, size: int = SIZE, first_sequence: int = 0, hold: int = 96):
-        self.ends_sentence, self.size, self.hold = ends_sentence, size, hold * size
-        self.sequence = first_sequence
+    def __init__(self, ends_sentence: np.ndarray, size: int = SIZE, first_sequence: int = 0, look: int = 96):
+        self.ends_sentence, self.size, self.look = ends_sentence, size, look * size
+        self.sequence, self.due = first_sequence, look * size
         self.docs: list[tuple] = []  # key, ids, ids of it already packed
-        self.held = 0
+        self.held = self.before = 0
 
     def add(self, key, ids: np.ndarray) -> list[tuple]:
         self.docs.append((key, ids, 0))
         self.held += len(ids)
-        return self.flush(False) if self.held >= self.hold else []
+        if self.held < self.due:
+            return []
+        out = self.flush(False)
+        self.due = self.held + self.look
+        return out
 
     def flush(self, last: bool) -> list[tuple]:
-        """Cut what is held; unless ``last``, the final window waits for more ids."""
+        """Cut what is settled, at ``last`` all that is held."""
         if not self.held:
             return []
         stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
         doc_ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
-        places, cost = _places(stream, doc_ends, self.ends_sentence)
-        cuts = [places[j] for j in cut_windows(places, cost, self.size)]
+        places, cost = _places(stream, doc_ends, self.ends_sentence, self.before)
+        cuts = [places[j] for j in (cut_windows if last else settled_windows)(places, cost, self.size)]
         if last:
             # a sequence whose length is a power of two takes no padding: the rest becomes such lengths
             a, b = cuts[-2] if len(cuts) > 1 else 0, cuts.pop()
             while a < b:
                 a += 1 << ((b - a).bit_length() - 1)
                 cuts.append(a)
-        else:
-            cuts.pop()
         out, d, doc_at = [], 0, 0  # doc_at: where document d starts in the stream
         a = 0
         for b in cuts:
@@ -118,7 +154,7 @@ class Packer:
         if rest:
             key, ids, done = rest[0]
             rest[0] = (key, ids, done + a - doc_at)
-        self.docs, self.held = rest, len(stream) - a
+        self.docs, self.held, self.before = rest, len(stream) - a, self.before + a
         return out
 
 
@@ -142,7 +178,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     One range shuffle orders the documents, then each partition packs its own stream; only
     a partition's last ids can need sequences shorter than ``size``, cut to powers of two,
     which take no padding. Null texts are empty documents (the end id alone), null
-    keys come first, repeated keys are documents of their own, no rows give no rows.
+    keys come first, repeated keys are documents of their own, no rows give no rows. Other columns, whatever their names, are not read. A very
+    long text is held whole, as are the windows after the last settled one.
     """
 
     def run(batches: Iterator) -> Iterator:

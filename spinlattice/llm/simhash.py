@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_hot, materialize, table
 from .components import components
 
 SEGMENTS = (range(0, 21), range(21, 42), range(42, 64))
@@ -90,16 +90,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, fp, component_id (least doc_id of the linked group), a row for each row of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other. Null keys are
-    never a group's id unless the group has no other. No rows give no rows.
+    never a group's id unless the group has no other; repeated keys are rows of their own. Other columns, whatever their names, are
+    not read. No rows give no rows.
     """
     fps = materialize(fingerprints(docs, key, text), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-classes")
     groups = components(links(classes.select("fp")))
-    of_class = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    of_class = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     of_class = materialize(of_class, "simhash-groups")
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint that most rows have and a component of most fingerprints are joined in parts
+    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = join_hot(of_class, least, "component", "classes", F.col("fp")).select("fp", "component_id", "copies")
+    return join_hot(fps, named, "fp", "copies", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -168,6 +168,31 @@ def test_cutting_is_optimal():
         assert price(cut_windows(places, cost, size)) == min(x for c in every if (x := price(c)) is not None)
 
 
+def test_cutting_has_no_horizon():
+    """Looking for settled windows early or late gives the pieces of one cutting of the whole stream."""
+    from spinlattice.llm.packing import INSIDE, Packer, _places, cheapest, cut_windows, settled_windows
+
+    rng = np.random.default_rng(4)
+    ends = np.zeros(50, bool)
+    ends[7] = True
+    for size in (64, 100, 256):
+        docs = [rng.integers(0, 50, n).astype("<u4") for n in rng.integers(1, 3 * size, 150)]
+        made = []
+        for look in (1, 3, 10**6):
+            packer = Packer(ends, size, look=look)
+            made.append([piece for k, ids in enumerate(docs) for piece in packer.add(k, ids)] + packer.flush(True))
+        assert made[0] == made[1] == made[2]
+        stream, doc_ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        places, cost = _places(stream, doc_ends, ends)
+        whole = [places[j] for j in cut_windows(places, cost, size)]
+        lengths = {}
+        for piece in made[0]:
+            lengths[piece[5]] = lengths.get(piece[5], 0) + piece[2]
+        assert np.cumsum([n for _, n in sorted(lengths.items())]).tolist()[: len(whole) - 1] == whole[:-1]
+        some = [places[j] for j in settled_windows(places, cost, size)]
+        assert some == whole[: len(some)] and len(some) > len(whole) // 2 and max(cost) == INSIDE and len(cheapest(places, cost, size)[0]) == len(places)
+
+
 def simhash(text):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(WORD, t)
