@@ -5,9 +5,13 @@ hashed k-mers: along the ring of all hashes from its anchor j / COMPONENTS on. I
 puts them back in text order and hashes that tuple. Every component of a text of two k-mers or more so holds an order, and
 equal components mean equal k-mers in equal order: moving blocks of text, which plain MinHash does not see, changes them.
 
-Everything is array arithmetic inside a row. A k-mer is packed into one long with its place in as many low bits as the text
-needs, so both sorts (by k-mer to number occurrences, by hash to select) run on primitive arrays. A Spark string holds fewer than
-2**PLACE words; a k-mer's identity in a fingerprint is the 64 - PLACE bits of its hash that no place can take, in texts of all lengths.
+Everything is array arithmetic inside a row. For the two sorts (by k-mer to number occurrences, by hash to select) a hash is packed into one long
+with its place in as many low bits as the text needs, so that they run on primitive arrays; whatever goes into a fingerprint is read
+back by place from the whole 64-bit hashes, so texts of all lengths have the same k-mers.
+
+One ring of hashes stands for COMPONENTS permutations: in the mean that gives the likeness that independent ones give, but in a text of
+few k-mers neighbouring components often select the same pair, so the likeness of two texts of n k-mers varies as that of about
+min(n, COMPONENTS) independent components would.
 """
 
 from __future__ import annotations
@@ -15,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, range_bounds, range_bucket, table, words
+from .common import let, materialize, range_bounds, range_bucket, table, words
 
 K = 5
 COMPONENTS = 64
-#: Bits that a place takes at most.
-PLACE = 30
 EMPTY = "...."
 
 
@@ -30,10 +32,6 @@ def _mask(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
 
-def _identity(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(-1 << PLACE))
-
-
 def _pack(hashed: Column, mask: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(place.cast("long"))
 
@@ -45,23 +43,25 @@ def fingerprint_columns(df: DataFrame, text: str, name: str) -> DataFrame:
     of hashes go by place. Each step is a projection of its own that later steps read more than once, so none is evaluated again for every element.
     """
     keep = df.columns
-    w, h, p, e, q, s = (f"_{name}_{x}" for x in "whpeqs")
+    w, f, h, p, e, q, s = (f"_{name}_{x}" for x in "wfhpeqs")
     df = df.select(*keep, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias(w))
     n = F.size(w) - (K - 1)
     kmer = lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(K)))
-    many = let(_mask(n), lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pack(kmer(i), m, i)))
-    one = F.array(_pack(F.xxhash64(F.col(w)), F.lit(1).cast("long"), F.lit(0)))
-    df = df.select(*keep, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(n < 1, one).otherwise(many).alias(h))
-    df = df.select(*keep, F.sort_array(h).alias(p))
+    none = F.array().cast("array<bigint>")
+    df = df.select(*keep, F.when(F.size(w) == 0, none).when(n < 1, F.array(F.xxhash64(F.col(w)))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), kmer)).alias(f))
+    keep_f = [*keep, f]
+    whole = lambda place: F.get(F.col(f), place.cast("int"))
+    df = df.select(*keep_f, let(_mask(F.size(f)), lambda m: F.transform(f, lambda x, i: _pack(x, m, i))).alias(h))
+    df = df.select(*keep_f, F.sort_array(h).alias(p))
     # places in the sorted array where another k-mer begins
     top = lambda m, j: F.get(F.col(p), j).bitwiseAND(F.bitwise_not(m))
     edges = let(_mask(F.size(p)), lambda m: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: (j == 0) | (top(m, j) != top(m, j - 1))))
-    df = df.select(*keep, p, F.when(F.size(p) > 0, edges).otherwise(F.array().cast("array<int>")).alias(e))
+    df = df.select(*keep_f, p, F.when(F.size(p) > 0, edges).otherwise(F.array().cast("array<int>")).alias(e))
     # occurrence numbers, aligned with the sorted k-mers: 1, 2, ... within each run
     runs = F.transform(e, lambda a, k: F.sequence(F.lit(1), F.coalesce(F.get(F.col(e), k + 1), F.size(p)) - a))
-    numbered = let(_mask(F.size(p)), lambda m: F.zip_with(p, F.flatten(runs), lambda x, o: _pack(F.xxhash64(_identity(x), o), m, x.bitwiseAND(m))))
-    df = df.select(*keep, numbered.alias(q))
-    df = df.select(*keep, F.sort_array(q).alias(s))
+    numbered = let(_mask(F.size(p)), lambda m: F.zip_with(p, F.flatten(runs), lambda x, o: let(x.bitwiseAND(m), lambda at: _pack(F.xxhash64(whole(at), o), m, at))))
+    df = df.select(*keep_f, numbered.alias(q))
+    df = df.select(*keep_f, F.sort_array(q).alias(s))
     size, mask = F.size(s), _mask(F.size(s))
 
     def component(m: Column, steps: Column, anchor: Column) -> Column:
@@ -69,10 +69,9 @@ def fingerprint_columns(df: DataFrame, text: str, name: str) -> DataFrame:
         below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(F.col(s), at + step - 1) < anchor), at + step).otherwise(at))
 
         def chosen(at: Column) -> Column:
-            x, y = F.get(F.col(s), at % size), F.get(F.col(s), (at + 1) % size)
-            first = x.bitwiseAND(m) <= y.bitwiseAND(m)
-            pair = F.when(first, F.xxhash64(_identity(x), _identity(y))).otherwise(F.xxhash64(_identity(y), _identity(x)))
-            return F.when(size == 1, F.xxhash64(_identity(x))).otherwise(pair)
+            x, y = F.get(F.col(s), at % size).bitwiseAND(m), F.get(F.col(s), (at + 1) % size).bitwiseAND(m)
+            pair = F.xxhash64(whole(F.least(x, y)), whole(F.greatest(x, y)))
+            return F.when(size == 1, F.xxhash64(whole(x))).otherwise(pair)
 
         return let(below, chosen)
 
@@ -90,9 +89,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(both, F.struct(F.lit(0).alias("some"), F.lit(0).alias("same")), lambda t, x: F.struct((t["some"] + F.when(x > 0, 1).otherwise(0)).alias("some"), (t["same"] + F.when(x == 2, 1).otherwise(0)).alias("same")), lambda t: F.when(t["some"] == 0, F.lit(1.0)).otherwise(t["same"] / t["some"]))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], first: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], first: list[str], place: str | None = None) -> DataFrame:
     """``df`` with ``columns`` of the row that follows in ascending key order (after the last: the first)
-    as ``next_<column>``. Null keys come first; ties are ordered by ``first``.
+    as ``next_<column>``. Null keys come first; ties are ordered by ``first``. ``place`` names a column that ascends in that order, without ties.
 
     Rows are dealt to key ranges; each range also gets a copy of the following range's first row,
     so nothing but one row a range crosses a border and no task sees the whole order.
@@ -116,7 +115,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], first: list[str]) ->
     sent = copies.select(F.col("_to").alias("_range"), F.lit(1).alias("_copy"), *kept)
     rows = cut.withColumn("_copy", F.lit(0)).unionByName(sent, allowMissingColumns=True)
     at = Window.partitionBy("_range").orderBy("_copy", *order)
-    found = rows.select("*", *(F.lead(c).over(at).alias(f"next_{c}") for c in columns))
+    number = [(F.col("_range") * (1 << 40) + F.row_number().over(at)).alias(place)] if place else []
+    found = rows.select("*", *(F.lead(c).over(at).alias(f"next_{c}") for c in columns), *number)
     return found.where("_copy = 0").drop("_copy", "_range")
 
 
@@ -126,15 +126,16 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Null texts are empty; the row after a row is the next in ascending key order, null keys first, tied keys by text (repeated rows follow each
     other); a single row follows itself; no rows give no rows. Other columns of ``docs`` are never read, so their names cannot clash."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    marked = fingerprint_columns(rows, "body", "fingerprint")
-    both = with_next(marked, "doc_id", ["body", "fingerprint"], ["body"])
+    both = with_next(rows, "doc_id", ["body"], ["body"], "place")
     n = F.char_length("body")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("body").substr(F.lit(1), n - half), F.col("next_body").substr(F.lit(1), half))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
-    done = fingerprint_columns(both, "edited", "edited_fingerprint")
+    own = fingerprint_columns(both.select("doc_id", "place", n.cast("long").alias("n_chars"), edited.alias("edited"), "body"), "body", "fingerprint")
+    done = fingerprint_columns(own.drop("body"), "edited", "edited_fingerprint")
+    # each text is fingerprinted once; the next one's fingerprint comes from this table of a row a document
+    table_ = materialize(done.select("doc_id", "place", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "order-minhash")
     near = [likeness(F.col("fingerprint"), F.col(c)).alias(x) for c, x in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
-    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *near)
+    return with_next(table_, "place", ["fingerprint"], []).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

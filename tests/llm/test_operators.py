@@ -576,13 +576,13 @@ def omh(text):
     seen, ring = Counter(), []
     for at, g in enumerate(kmers):
         seen[g >> bits] += 1
-        ring.append((xx(42, g >> 30 << 30, seen[g >> bits].to_bytes(4, "little")), at))
+        ring.append((xx(42, g, seen[g >> bits].to_bytes(4, "little")), at))
     out = []
     for j in range(64):
         anchor = (j << 58) - (1 << 63)
         two = sorted(((h >> bits << bits) - anchor) % (1 << 64) << 30 | at for h, at in ring)[:2]
         chosen = sorted((x & (1 << 30) - 1 for x in two))
-        out.append(xx(42, *(ring[at][0] >> 30 << 30 for at in chosen)) & 0xFFFF)
+        out.append(xx(42, *(kmers[at] for at in chosen)) & 0xFFFF)
     return "".join(f"{x:04x}" for x in out)
 
 
