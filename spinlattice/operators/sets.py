@@ -11,36 +11,55 @@ from ..functions.scoring import upper_median  # noqa: F401
 c = F.col
 
 
+#: Library rows of one cell that meet a line in one task.
+CELL = 2_000
+
+
+def join_cells(left: DataFrame, right: DataFrame, on: list[str], spread: str, most: int = CELL) -> DataFrame:
+    """Inner join on ``on`` in which a cell with many rows of ``right`` is many tasks: these are dealt by ``spread`` to parts of about ``most``, and the
+    cell's rows of ``left`` go to each part. Cells below that, nearly all, are one part and copied nowhere."""
+    parts = F.ceil(F.count("*") / F.lit(most)).cast("int")
+    hot = right.groupBy(*on).agg(parts.alias("_parts")).where("_parts > 1")  # at most a row for every ``most`` rows of ``right``
+    known = lambda df: df.join(hot, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = known(right).withColumn("_part", F.pmod(F.xxhash64(spread), c("_parts")).cast("int")).drop("_parts")
+    asked = known(left).withColumn("_part", F.explode(F.sequence(F.lit(0), c("_parts") - 1))).drop("_parts")
+    return asked.join(dealt, [*on, "_part"]).drop("_part")
+
+
 def match_setlist(lines: DataFrame, library: DataFrame, keys: list[str]) -> DataFrame:
     """The library track of each line (title, artist): 0.6 max(title, file name similarity) + 0.4 artist similarity
     over 0.5, the best, the first by file name.
 
     Without a common artist token the title or file name must be similar by over 5/6, so of n tokens, ordered by rarity (then text), the
-    first n - ceil(5n/6) + 1 of both sides hold a common one. With a common artist token they must have any token in common:
-    those pairs meet on (artist token, title token). Both ways are lossless. Equal lines are matched once.
+    first n - ceil(5n/6) + 1 of both sides hold a common one, and the shorter has 5/6 of the longer's tokens. With a common artist token they
+    must have any token in common: those pairs meet on (artist token, title token). Both ways are lossless. Rows bring their
+    tokens along, so a pair is scored where it meets and only those over 0.5 go any further; cells that most of a library shares, such as an
+    unknown artist and a common word, are split. Equal lines are matched once.
     """
     told = lines.select(*keys, F.coalesce("title", F.lit("")).alias("_t"), F.coalesce("artist", F.lit("")).alias("_a"))
     want = told.select("_t", "_a").distinct().select("_t", "_a", text.tokens(c("_t")).alias("lt"), text.tokens(c("_a")).alias("la"))
     have = library.select("track_id", "filename", text.tokens(F.coalesce("title", F.lit(""))).alias("tt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("ta"), text.tokens(F.coalesce("filename", F.lit(""))).alias("tf"))
     rarity = have.select(F.explode(F.array_distinct(F.concat("tt", "tf"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-
-    def prefix(df: DataFrame, ids: list[str], array: str) -> DataFrame:
-        """ids, token: the rarest tokens of an array that a common one must be among."""
-        each = df.select(*ids, F.explode(array).alias("token")).join(rarity, "token", "left")
-        sorted_ = each.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("s"))
-        size = F.size("s")
-        return sorted_.select(*ids, F.explode(F.slice("s", F.lit(1), size - F.ceil(size * 5 / 6).cast("int") + 1)).alias("x")).select(*ids, "x.token")
-
-    alike = prefix(want, ["_t", "_a"], "lt").join(prefix(have, ["track_id"], "tt").unionByName(prefix(have, ["track_id"], "tf")), "token").select("_t", "_a", "track_id")
-    left = want.select("_t", "_a", F.explode("la").alias("artist"), "lt").select("_t", "_a", "artist", F.explode("lt").alias("token"))
-    right = have.select("track_id", F.explode("ta").alias("artist"), F.array_union("tt", "tf").alias("tokens")).select("track_id", "artist", F.explode("tokens").alias("token"))
-    by_artist = left.join(right, ["artist", "token"]).select("_t", "_a", "track_id")
-    both = alike.unionByName(by_artist).distinct().join(want, ["_t", "_a"]).join(have, "track_id")
     total = 0.6 * F.greatest(text.jaccard(c("lt"), c("tt")), text.jaccard(c("lt"), c("tf"))) + 0.4 * text.jaccard(c("la"), c("ta"))
     # the best, then the first by file name, then the least id
     order = F.struct((-c("similarity")).alias("s"), "filename", "track_id")
-    hits = both.withColumn("similarity", total).where("similarity > 0.5").groupBy("_t", "_a").agg(F.min(order).alias("m"))
-    return told.join(hits, ["_t", "_a"]).select(*keys, c("m.track_id").alias("track_id"), (-c("m.s")).alias("similarity"))
+    scored = lambda pairs: pairs.withColumn("similarity", total).where("similarity > 0.5").select("_t", "_a", order.alias("m"))
+
+    def prefix(df: DataFrame, array: str) -> DataFrame:
+        """Rows by the rarest tokens of an array that a common one must be among."""
+        each = df.select("*", F.explode(array).alias("token")).join(rarity, "token", "left")
+        first = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
+        sorted_ = each.groupBy(*df.columns).agg(first.alias("s"))
+        size = F.size("s")
+        return sorted_.select(*df.columns, F.explode(F.slice("s", F.lit(1), size - F.ceil(size * 5 / 6).cast("int") + 1)).alias("x")).select(*df.columns, "x.token")
+
+    near = lambda x, y: 6 * F.least(F.size(x), F.size(y)) >= 5 * F.greatest(F.size(x), F.size(y))
+    mine, theirs = prefix(want, "lt"), prefix(have, "tt").unionByName(prefix(have, "tf"))
+    alike = scored(join_cells(mine, theirs, ["token"], "track_id").where(near("lt", "tt") | near("lt", "tf")))
+    left = want.select("*", F.explode("la").alias("artist")).select("*", F.explode("lt").alias("token"))
+    right = have.select("*", F.explode("ta").alias("artist")).select("*", F.explode(F.array_union("tt", "tf")).alias("token"))
+    best = alike.unionByName(scored(join_cells(left, right, ["artist", "token"], "track_id"))).groupBy("_t", "_a").agg(F.min("m").alias("m"))
+    return told.join(best, ["_t", "_a"]).select(*keys, c("m.track_id").alias("track_id"), (-c("m.s")).alias("similarity"))
 
 
 def flow(ordered: DataFrame) -> DataFrame:

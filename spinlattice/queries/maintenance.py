@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance
 from ..shared import new_path
+from ..sources.pages import SortedPages
 from ..sources.tables import KeyedTable
 from .registry import query
 
@@ -58,3 +59,13 @@ def _(v):
     none = some.limit(1).withColumn("track_id", F.lit(-1).cast("long"))
     maintenance.update_columns(table, some.unionByName(none), ["title"], True, "metadata_ready")
     return table.read()
+
+
+@query("g01_indexed_page", """SELECT track_id, filename, bpm, total FROM (SELECT track_id, filename, bpm, row_number() OVER (ORDER BY bpm DESC NULLS LAST, track_id) AS r, count(*) OVER () AS total
+FROM v_tracks WHERE status = 'analyzed') x WHERE r > total // 2 AND r <= total // 2 + 50""")
+def _(v):
+    pages = SortedPages.create(v("v_tracks").select("track_id", "filename", "bpm", "status"), new_path(v.spark, "pages"), "bpm", True, block_rows=500)
+    fine = c("status") == "analyzed"
+    middle = pages.page(0, 0, fine).total // 2
+    page = pages.page(middle, 50, fine)
+    return page.rows.select("track_id", "filename", "bpm", F.lit(page.total).cast("long").alias("total"))

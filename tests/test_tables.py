@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinlattice.operators import maintenance
 from spinlattice.queries.files import store
+from spinlattice.sources.pages import SortedPages
 from spinlattice.sources.tables import Conflict, KeyedTable, State
 from spinlattice.streaming import jobs
 
@@ -146,3 +147,20 @@ def test_late_and_idle_taps(spark, tmp_path):
     got = sorted((r["session_id"], (r["ts"] - at(0)).total_seconds(), r["bpm"]) for r in held.read().collect() if r["session_id"] != 9 or r["ts"] < at(10000))
     # 2.0 and 1.5 come over a minute after newer taps and are dropped; 8990 is in time and begins a session anew
     assert got == [(1, 0.0, None), (1, 0.5, 120), (1, 1.0, 120), (1, 399.0, 20), (1, 400.0, 20), (1, 400.5, 20), (1, 8990.0, None), (2, 401.0, None), (9, 9000.0, None)]
+
+
+@pytest.mark.parametrize(("sort", "descending"), [("bpm", True), ("bpm", False), ("name", True), ("name", False)])
+def test_pages_read_only_their_blocks(spark, tmp_path, sort, descending):
+    rows = [(i, None if i % 13 == 0 else float(i % 17), None if i % 11 == 0 else f"n{i % 23}", i % 3) for i in range(500)]
+    pages = SortedPages.create(spark.createDataFrame(rows, "track_id long, bpm double, name string, kind int"), str(tmp_path / "p"), sort, descending, block_rows=40)
+    at = {"bpm": 1, "name": 2}[sort]
+    some, none = ([r for r in rows if (r[at] is None) == x] for x in (False, True))
+    some.sort(key=lambda r: r[0])
+    some.sort(key=lambda r: r[at], reverse=descending)
+    whole = some + none if descending else none + some
+    for kind in (None, 1):
+        want = [r for r in whole if kind is None or r[3] == kind]
+        for offset, limit in ((0, 7), (33, 20), (150, 30), (490, 50), (9999, 5)):
+            page = pages.page(offset, limit, None if kind is None else F.col("kind") == kind)
+            assert [tuple(r) for r in page.rows.collect()] == want[offset : offset + limit] and page.total == len(want)
+            assert kind is not None or len(page.blocks) <= 3
