@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..shared import discard, materialize, new_path
 from .nearest import nearest, nearest_deep
 
 c = F.col
@@ -270,14 +271,24 @@ def wheel_counts(library: DataFrame, selected: str | None = None) -> DataFrame:
 
 
 def paths(edges: DataFrame, seeds: DataFrame, length: int) -> DataFrame:
-    """L4: greedy paths for all seeds at once: at each step the best-scored neighbour not yet on the path.
-
-    ``edges`` (track_id, other_id, score, delta_pct) are usually top-k neighbours. A path is a row; the loop
-    has a fixed length and each step is one join and one pre-aggregated choice."""
+    """L4: greedy paths for all seeds at once: at each step the best-scored neighbour not yet on the path, of equal scores the nearest in tempo, then
+    the least id; a path without such a neighbour ends.
+
+    ``edges`` (track_id, other_id, score, delta_pct) are usually top-k neighbours. A path is a row; the loop has a fixed length, each step is
+    one join and one pre-aggregated choice, and its paths are written to the shared folder, so that neither the edges nor the
+    steps before are computed again, lost executors or not."""
+    spark = edges.sparkSession
+    edges = materialize(edges.select("track_id", "other_id", "score", "delta_pct"), "edges")
     now = seeds.select(c("track_id").alias("seed_id"), F.array("track_id").alias("path"))
+    held = None
     for _ in range(length - 1):
         at = now.withColumn("track_id", F.element_at("path", -1)).join(edges, "track_id", "left")
         free = F.when(~F.array_contains("path", c("other_id")), F.struct(c("score").alias("s"), (-F.abs("delta_pct")).alias("d"), (-c("other_id")).alias("o")))
         best = at.groupBy("seed_id").agg(F.first("path").alias("path"), F.max(free).alias("best"))
-        now = best.select("seed_id", F.when(c("best").isNull(), c("path")).otherwise(F.concat("path", F.array(-c("best.o")))).alias("path"))
+        step = best.select("seed_id", F.when(c("best").isNull(), c("path")).otherwise(F.concat("path", F.array(-c("best.o")))).alias("path"))
+        step.write.parquet(path := new_path(spark, "paths"))
+        now = spark.read.schema(step.schema).parquet(path)
+        if held:
+            discard(spark, held)
+        held = path
     return now

@@ -75,3 +75,37 @@ def test_lags_of_short_and_sparse_series(spark):
         got.setdefault(r["track_id"], {})[r["lag"]] = round(r["value"], 9)
     assert got[1] == {k: {0: 1.0, 5: round(6 / 13, 9)}.get(k, 0.0) for k in range(6)} and got[2] == {0: 0.0, 1: 0.0} and got[4] == {0: 1.0}
     assert got[3] == {k: {0: 1.0, 2: 0.5}.get(k, 0.0) for k in range(9)}
+
+
+def test_peaks_and_tempo(spark):
+    """Local maxima, merging, places and tempos of random correlations, step by step."""
+    rng = np.random.default_rng(12)
+    series = {t: np.round(rng.random(120) * (rng.random(120) > 0.3), 2) for t in range(25)} | {25: np.zeros(120), 26: np.linspace(1, 0, 120)}
+    ac = spark.createDataFrame([(t, k, float(v)) for t, x in series.items() for k, v in enumerate(x)], "track_id long, lag int, value double").repartition(4)
+    low, high, top, apart = 12, 100, 10, 3
+    got, tempos, want_tempos = {}, {}, {}
+    for r in signal.peaks(ac, low, high, top, apart).collect():
+        got.setdefault(r["track_id"], {})[r["rank"]] = (r["lag"], r["strength"], round(r["place"], 9))
+    for t, x in series.items():
+        # neighbours outside the range of lags do not count, as in a search that looks at the range alone
+        inside = {k: x[k] for k in range(low, high + 1) if x[k] > 0}
+        kept = []
+        for k, v in inside.items():
+            if (k == 0 or x[k - 1] < v) and (k + 1 >= len(x) or x[k + 1] < v):
+                if kept and k - kept[-1][0] <= apart:
+                    if v > kept[-1][1]:
+                        kept[-1] = (k, v)
+                else:
+                    kept.append((k, v))
+        ranked = sorted(kept, key=lambda p: (-p[1], p[0]))[:top]
+        place = lambda k, x=x: k + 0.5 * (x[k - 1] - x[k + 1]) / (x[k - 1] - 2 * x[k] + x[k + 1]) if abs(x[k - 1] - 2 * x[k] + x[k + 1]) >= 1e-10 else float(k)
+        want = {i + 1: (k, v, round(place(k), 9)) for i, (k, v) in enumerate(ranked)}
+        assert got.get(t, {}) == want, t
+        rate = signal.FRAME_RATE
+        each = [(v * np.exp(-0.5 * np.log2(bpm / 120) ** 2), bpm) for k, v in ranked for m in (0.5, 1, 2) if 40 <= (bpm := 60 * rate / place(k) * m) <= 220]
+        each.sort(key=lambda s: (-s[0], s[1]))
+        want_tempos[t] = (each[0][1], max(0.0, min(1.0, 1 - (each[1][0] if len(each) > 1 else 0) / each[0][0]))) if each else (120.0, 0.0)
+    peaks = signal.peaks(ac, low, high, top, apart)
+    for r in signal.tempo(peaks, ac.select("track_id").distinct()).collect():
+        tempos[r["track_id"]] = (r["bpm"], r["confidence"])
+    assert tempos.keys() == want_tempos.keys() and all(tempos[t] == pytest.approx(want_tempos[t]) for t in tempos)

@@ -76,3 +76,18 @@ def test_playlists(spark, codes):
                 ranked = sorted((gap(b), b[0]) for b in rows if b[0] != a[0] and (not same or (a[1] is not None and a[1] == b[1])))
                 want += [(a[0], k + 1, i) for k, (_, i) in enumerate(ranked[:6])]
             assert got == sorted(want)
+
+
+def test_greedy_paths(spark):
+    rng = random.Random(6)
+    edges = {(a, b): (rng.choice([50, 80, 80, 100]), rng.choice([-2.0, -1.0, 0.0, 1.0, 3.0])) for a in range(40) for b in rng.sample(range(40), 6) if a != b and a != 39}
+    df = spark.createDataFrame([(a, b, s, d) for (a, b), (s, d) in edges.items()], "track_id long, other_id long, score int, delta_pct double")
+    got = {r["seed_id"]: r["path"] for r in harmony.paths(df, spark.range(41).withColumnRenamed("id", "track_id"), 9).collect()}
+    for seed in range(41):
+        path = [seed]
+        while len(path) < 9:
+            free = [(-s, abs(d), b) for (a, b), (s, d) in edges.items() if a == path[-1] and b not in path]
+            if not free:
+                break
+            path.append(min(free)[2])
+        assert got[seed] == path
