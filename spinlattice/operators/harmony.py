@@ -251,15 +251,14 @@ def transitions(ordered: DataFrame) -> DataFrame:
 
 
 def bucket_counts(library: DataFrame, seeds: DataFrame) -> DataFrame:
-    """How many tracks stand in each relation to a focal track."""
-    s = seeds.select(c("track_id").alias("seed_id"), c("key_camelot").alias("seed_key"))
-    # a library has few keys: count and relate those, then look every seed's key up
-    counts = library.groupBy("key_camelot").agg(F.count("*").alias("n"))
-    own = F.when(c("seed_key").eqNullSafe(c("key_camelot")), 1).otherwise(0)  # the seed itself
-    rel = keys.relation(c("seed_key"), c("key_camelot"))
-    by_key = s.select("seed_key").distinct().crossJoin(F.broadcast(counts)).groupBy("seed_key", rel.alias("relation")).agg(F.sum(c("n") - own).alias("n")).where("n > 0")
-    at = by_key.withColumnRenamed("seed_key", "at_key")
-    return s.join(F.broadcast(at), s["seed_key"].eqNullSafe(at["at_key"])).select("seed_id", "relation", "n")
+    """How many other tracks stand in each relation to a focal track. Keys become one of the 24 codes or none before anything else, so what is
+    crossed and broadcast is at most 25 by 25 rows, whatever texts the key column holds."""
+    code = lambda k: F.concat(keys.number(k).cast("string"), F.when(keys.is_major(k), "B").otherwise("A"))
+    s = seeds.select(c("track_id").alias("seed_id"), code(c("key_camelot")).alias("at"))
+    counts = library.groupBy(code(c("key_camelot")).alias("code")).agg(F.count("*").alias("n"))
+    own = F.when(c("at_code").eqNullSafe(c("code")), 1).otherwise(0)  # the seed itself
+    by_code = counts.select(c("code").alias("at_code")).crossJoin(counts).groupBy("at_code", keys.relation(c("at_code"), c("code")).alias("relation")).agg(F.sum(c("n") - own).alias("n")).where("n > 0")
+    return s.join(F.broadcast(by_code), c("at").eqNullSafe(c("at_code"))).select("seed_id", "relation", "n")
 
 
 def wheel_counts(library: DataFrame, selected: str | None = None) -> DataFrame:

@@ -101,6 +101,13 @@ def kernel_map(spark: SparkSession, bins: int, fft: int, rate: float, stretch: f
     return spark.createDataFrame(rows, "bin int, pc int, w double")
 
 
+def chroma_of_bins(spec: DataFrame, bins: int) -> DataFrame:
+    """track_id, frame, c12 and c72 of (track_id, frame, bin, mag) whose bins are bands already: the first 12, and 72 that go round the ``bins``."""
+    each = spec.groupBy("track_id", "frame").agg(*(F.sum(F.when(c("bin") == b, c("mag"))).alias(f"_{b}") for b in range(bins)))
+    at = lambda n: F.array(*(F.coalesce(c(f"_{b % bins}"), F.lit(0.0)) for b in range(n)))
+    return each.select("track_id", "frame", at(12).alias("c12"), at(72).alias("c72"))
+
+
 def mean_arrays(df: DataFrame, by: list[str], array: str, n: int) -> DataFrame:
     """Mean array of each group: one average a place, so partial sums combine before the shuffle."""
     return df.groupBy(*by).agg(*(F.avg(F.get(array, F.lit(i))).alias(f"_{i}") for i in range(n))).select(*by, F.array(*(c(f"_{i}") for i in range(n))).alias(array))

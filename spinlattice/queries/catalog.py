@@ -180,20 +180,23 @@ query("e11_evaluation_summary", f"SELECT count(*) AS n, round(avg(CASE WHEN erro
 query("e12_run_summary", "SELECT round(list_sort(l)[len(l) // 2 + 1], 6) AS ratio_median, round(mean_ms, 6) AS mean_ms, failed FROM (SELECT list(CASE WHEN truth_bpm > 0 THEN CAST(pred_bpm AS DOUBLE) / CAST(truth_bpm AS DOUBLE) ELSE 1.0 END) FILTER (WHERE failure IS NULL AND pred_bpm IS NOT NULL AND truth_bpm IS NOT NULL) AS l, avg(total_ms) FILTER (WHERE failure IS NULL) AS mean_ms, count(*) FILTER (WHERE failure IS NOT NULL) AS failed FROM v_predictions) x")(
     lambda v: evaluation.run_summary(evaluation.score(v("v_predictions"))).select(r6(c("ratio_median")).alias("ratio_median"), r6(c("mean_ms")).alias("mean_ms"), "failed")
 )
-REPORTED = f"""SELECT 'overall' AS kind, NULL AS name, count(*) AS n, {_pct("error = 'correct'")} AS exact_pct FROM ({OK}) o WHERE failure IS NULL
-UNION ALL SELECT 'genre', genre, count(*), {_pct("error = 'correct'")} FROM ({OK}) o WHERE failure IS NULL GROUP BY genre
-UNION ALL SELECT 'extension', extension, count(*), {_pct("error = 'correct'")} FROM ({OK}) o WHERE failure IS NULL GROUP BY extension
-UNION ALL SELECT 'error', error, count(*), NULL FROM ({OK}) o WHERE failure IS NULL AND error IS NOT NULL GROUP BY error"""
+SHARES = f"""count(*) AS n, {_pct("error = 'correct'")} AS exact_pct, {_pct('pt = tt')} AS tonic_pct, round(sum(coalesce(mirex, 0)) / count(*), 6) AS mirex, {_pct('mirex > 0')} AS compatible_pct,
+{_tpct('abs(pb - tb) <= 1')} AS bpm_exact_pct, {_tpct('abs(pb - tb) <= 1 OR abs(pb * 0.5 - tb) <= 1 OR abs(pb * 2 - tb) <= 1')} AS bpm_octave_pct"""
+REPORTED = f"""SELECT 'overall' AS kind, NULL AS name, {SHARES} FROM ({OK}) o WHERE failure IS NULL
+UNION ALL SELECT 'genre', genre, {SHARES} FROM ({OK}) o WHERE failure IS NULL GROUP BY genre
+UNION ALL SELECT 'extension', extension, {SHARES} FROM ({OK}) o WHERE failure IS NULL GROUP BY extension
+UNION ALL SELECT 'error', error, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM ({OK}) o WHERE failure IS NULL AND error IS NOT NULL GROUP BY error"""
 
 
 @query("a14_accuracy_report", REPORTED)
 def _(v):
-    part = "struct<name:string,n:bigint,exact_pct:double>"
+    shares = ["exact_pct", "tonic_pct", "mirex", "compatible_pct", "bpm_exact_pct", "bpm_octave_pct"]
+    part = "struct<name:string,n:bigint," + ",".join(f"{x}:double" for x in shares) + ">"
     js = evaluation.report(evaluation.score(v("v_predictions"))).select(F.from_json("report", f"overall {part}, by_genre array<{part}>, by_extension array<{part}>, errors map<string,bigint>").alias("r"))
     rows = lambda kind, x: js.select(F.lit(kind).alias("kind"), F.inline(x))
-    wrong = js.select(F.lit("error").alias("kind"), F.explode("r.errors").alias("name", "n")).withColumn("exact_pct", F.lit(None).cast("double"))
+    wrong = js.select(F.lit("error").alias("kind"), F.explode("r.errors").alias("name", "n"), *(F.lit(None).cast("double").alias(x) for x in shares))
     got = rows("overall", F.array("r.overall")).unionByName(rows("genre", c("r.by_genre"))).unionByName(rows("extension", c("r.by_extension"))).unionByName(wrong)
-    return got.withColumn("exact_pct", r6(c("exact_pct")))
+    return got.withColumns({x: r6(c(x)) for x in shares})
 
 
 query("e13_status_counts", f"SELECT status, count(*) AS n FROM ({STATUS}) x GROUP BY status")(lambda v: evaluation.status_counts(corpus(v)))

@@ -1,6 +1,9 @@
 """Signal time-series queries (I, and the windows and joins that belong to them)."""
 
 from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import signal as sg
@@ -78,7 +81,9 @@ PROFILES_12 = """(VALUES ('krumhansl', 'major', [6.35, 2.23, 3.48, 2.33, 4.38, 4
 ('shaath', 'major', [7.239005026181452, 3.503511667251587, 3.584451775366494, 2.845118164786763, 5.818988921185498, 4.558650574153210, 2.447788505455065, 6.994731921468295, 3.391066136735049, 4.556142566551435, 4.073926666635236, 4.459327573788869]),
 ('shaath', 'minor', [7.002550450602844, 3.143602790159967, 4.359043197149625, 5.404181207189341, 3.672344208793061, 4.089711849177979, 3.907914359915540, 6.199602885623165, 3.634246256252774, 2.872411910798756, 5.354679997945427, 3.832420385950484])) AS b(f, mode, q)"""
 AMODAL_12 = """(VALUES ('braw', 'major', [1.0000, 0.1573, 0.4200, 0.1570, 0.5296, 0.3669, 0.1632, 0.7711, 0.1676, 0.3827, 0.2113, 0.2965]), ('braw', 'minor', [1.0000, 0.2330, 0.3615, 0.3905, 0.2925, 0.3777, 0.1961, 0.7425, 0.2701, 0.2161, 0.4228, 0.2272]),
-('braw', 'other', [1.0000, 0.2608, 0.3528, 0.2935, 0.4393, 0.3580, 0.2137, 0.7809, 0.2578, 0.2539, 0.3233, 0.2615])) AS b(f, mode, q)"""
+('braw', 'other', [1.0000, 0.2608, 0.3528, 0.2935, 0.4393, 0.3580, 0.2137, 0.7809, 0.2578, 0.2539, 0.3233, 0.2615]),
+('bgate', 'major', [1.00, 0.00, 0.42, 0.00, 0.53, 0.37, 0.00, 0.77, 0.00, 0.38, 0.21, 0.30]), ('bgate', 'minor', [1.00, 0.00, 0.36, 0.39, 0.00, 0.38, 0.00, 0.74, 0.27, 0.00, 0.42, 0.23]),
+('bgate', 'other', [1.00, 0.26, 0.35, 0.29, 0.44, 0.36, 0.21, 0.78, 0.26, 0.25, 0.32, 0.26])) AS b(f, mode, q)"""
 OCTAVES_72 = "[0.3999726755, 0.556344252483, 0.524966363451, 0.608475483843, 0.5989811568, 0.49072435318]"
 
 
@@ -132,10 +137,16 @@ query("i13_dual_soft_vote", soft_sql(DUAL))(lambda v: soft(dual(v)))
 query("i14_hard_vote", HARD(EN))(lambda v: hard(en(v)))
 query("i14_dual_hard_vote", HARD(DUAL))(lambda v: hard(dual(v)))
 
-SPREAD_36 = f"SELECT track_id, segment, CASE mode WHEN 'other' THEN 'minor' ELSE mode END AS mode, tonic, (score - min(score) OVER (PARTITION BY track_id, segment)) / (max(score) OVER (PARTITION BY track_id, segment) - min(score) OVER (PARTITION BY track_id, segment)) AS x FROM ({scored(SEG, bank(AMODAL_12), 5)}) z"
-query("i15_amodal_vote", f"SELECT track_id, mode, tonic, round(t / sum(t) OVER (PARTITION BY track_id), 6) AS confidence FROM (SELECT track_id, mode, tonic, sum(x) AS t FROM (SELECT track_id, segment, mode, tonic, max(x) AS x FROM ({SPREAD_36}) a GROUP BY 1, 2, 3, 4) b GROUP BY 1, 2, 3) d")(
-    lambda v: sg.amodal_vote(sg.template_scores(seg(v), sg.templates(v.spark, ["braw"]))).select("track_id", "mode", "tonic", r6(c("confidence")).alias("confidence"))
-)
+SPREAD_36 = f"SELECT track_id, segment, family, CASE mode WHEN 'other' THEN 'minor' ELSE mode END AS mode, tonic, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS x FROM ({scored(SEG, bank(AMODAL_12), 5)}) z WINDOW w AS (PARTITION BY track_id, segment, family)"
+
+
+@query("i15_amodal_vote", f"""SELECT track_id, family, mode, tonic, round(t / sum(t) OVER (PARTITION BY track_id, family), 6) AS confidence FROM (SELECT track_id, family, mode, tonic, sum(x) AS t FROM (
+SELECT track_id, segment, family, mode, tonic, max(x) AS x FROM ({SPREAD_36}) a GROUP BY 1, 2, 3, 4, 5) b GROUP BY 1, 2, 3, 4) d""")
+def _(v):
+    votes = [sg.amodal_vote(sg.template_scores(seg(v), sg.templates(v.spark, [f]))).withColumn("family", F.lit(f)) for f in ("braw", "bgate")]
+    return votes[0].unionByName(votes[1]).select("track_id", "family", "mode", "tonic", r6(c("confidence")).alias("confidence"))
+
+
 #: The middle 40 frames in four segments, 72 bands alone.
 MIDDLE = f"SELECT *, frame - greatest(0, floor((n - 40) / 2.0)) AS pos, least(n, 40) AS total FROM (SELECT *, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM ({SPEC}) s) t"
 SEG_MIDDLE = f"""SELECT track_id, segment, i, m / sqrt(sum(m * m) OVER (PARTITION BY track_id, segment)) AS v FROM (SELECT track_id, CAST(least(floor(pos / floor(total / 4.0)), 3) AS INT) AS segment, b.i, avg(mag) AS m
@@ -143,6 +154,42 @@ FROM ({MIDDLE}) t JOIN (SELECT unnest(range(0, 72)) AS i) b ON b.i % 64 = t.bin
 query("i16_ablation_72", soft_sql(scored(SEG_MIDDLE, ONLY(bank(PROFILES_12, 72), "f = 'shaath'"), 3)))(
     lambda v: soft(sg.ensemble(sg.template_scores(sg.segment_means(sg.centred_window(chroma(v), 40), 4, "c72", 72), sg.templates(v.spark, ["shaath"], 72), "c72", 3.0)))
 )
+
+
+def dual_sql(spec):
+    """Segment scores of an analysis over the frames in ``spec``: 12 pitch classes and 72 bands, eight segments."""
+    cut = f"SELECT *, CAST(least(floor(pos / floor(n / 8.0)), 7) AS INT) AS segment FROM ({spec}) s"
+    norm = "SELECT track_id, segment, i, m / sqrt(sum(m * m) OVER (PARTITION BY track_id, segment)) AS v FROM ({}) a"
+    by12 = norm.format(f"SELECT track_id, segment, bin AS i, avg(mag) AS m FROM ({cut}) t WHERE bin < 12 GROUP BY 1, 2, 3")
+    by72 = norm.format(f"SELECT track_id, segment, b.i, avg(mag) AS m FROM ({cut}) t JOIN (SELECT unnest(range(0, 72)) AS i) b ON b.i % 64 = t.bin GROUP BY 1, 2, 3")
+    both = ONLY(scored(by12, bank(PROFILES_12), 5), "family <> 'shaath'") + " UNION ALL " + scored(by72, ONLY(bank(PROFILES_12, 72), "f = 'shaath'"), 3)
+    return f"SELECT track_id, segment, mode, tonic, sum(score * w) / sum(w) AS score FROM (SELECT *, CASE family WHEN 'krumhansl' THEN 0.15 WHEN 'temperley' THEN 0.25 ELSE 1.0 END AS w FROM ({both}) q) r GROUP BY 1, 2, 3, 4"
+
+
+def harmonic_sql(radius):
+    """The frames with their harmonic part by medians over ``radius`` places to either side."""
+    near = f"ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING"
+    lists = f"SELECT *, list(mag) OVER (PARTITION BY track_id, bin ORDER BY frame {near}) AS hl, list(mag) OVER (PARTITION BY track_id, frame ORDER BY bin {near}) AS pl FROM ({SPEC}) s"
+    medians = f"SELECT track_id, frame, bin, mag, list_sort(hl)[len(hl) // 2 + 1] AS h, list_sort(pl)[len(pl) // 2 + 1] AS p FROM ({lists}) a"
+    return f"SELECT track_id, frame, bin, mag * (h * h / (h * h + p * p + 1e-10)) AS mag, frame AS pos, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM ({medians}) b"
+
+
+WHOLE = f"SELECT *, frame AS pos, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM ({SPEC}) s"
+WINDOW = f"SELECT track_id, frame, bin, mag, pos, total AS n FROM ({MIDDLE}) t WHERE pos >= 0 AND pos < 40"
+#: What an analysis leaves out or changes, as the votes that it then gives.
+ABLATIONS = {"twelve bins": soft_sql(EN), "no split": soft_sql(dual_sql(WHOLE)), "kernel 5": soft_sql(dual_sql(harmonic_sql(2))), "kernel 17": soft_sql(dual_sql(harmonic_sql(8))), "window": soft_sql(dual_sql(WINDOW))}
+
+
+@query("i16_ablations", " UNION ALL ".join(f"SELECT '{name}' AS variant, * FROM ({sql}) v{i}" for i, (name, sql) in enumerate(ABLATIONS.items())))
+def _(v):
+    def of_split(radius):
+        return sg.chroma_of_bins(sg.harmonic_split(spectrogram(v), radius).select("track_id", "frame", "bin", c("harmonic").alias("mag")), 64)
+
+    votes = {"twelve bins": en(v), "no split": dual(v), "kernel 5": sg.dual_scores(of_split(2), 8), "kernel 17": sg.dual_scores(of_split(8), 8), "window": sg.dual_scores(sg.centred_window(chroma(v), 40), 8)}
+    parts = [soft(scores).withColumn("variant", F.lit(name)) for name, scores in votes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 spans = lambda v: v.spark.range(8).select(c("id").cast("int").alias("segment"), (c("id") * 10.0).alias("start_s"), (c("id") * 10.0 + 10).alias("end_s")).crossJoin(chroma(v).select("track_id").distinct())
 NAMED = "concat(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][{0}.tonic + 1], ' ', {0}.mode)"
 TIMELINE = f"""SELECT w.track_id, w.segment, CAST(w.segment * 10 AS DOUBLE) AS start_s, CAST(w.segment * 10 + 10 AS DOUBLE) AS end_s, {NAMED.format('w')} AS key, d.code AS wheel, 0.6 + 0.4 * least(1.0, greatest(0.0, w.score)) AS confidence,
