@@ -3,11 +3,11 @@ tables and Column building blocks."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, materialize, new_path, shared_dir  # noqa: F401
+
 #: Words as every contract here splits them: runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -16,40 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, a folder of our own is used in a single process alone, as in tests: on a cluster it would be another one on
-    every machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (path or "/tmp/checkpoints").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
-
-    Cuts the lineage so that lost executors cost no recomputation, and lets
-    several readers prune columns instead of running the upstream job again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table of the shared folder that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: Occurrences from which a key is dealt to SALTS tasks.
 HOT, SALTS = 10_000, 16
 

@@ -80,7 +80,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     """doc_id, n_licenses, licenses (names with their containment, comma-joined by name).
 
     A row for each distinct key. Null and empty texts have none; texts of fewer than five
-    words hold no shingle and match nothing; repeated keys are one document; no rows give no rows."""
+    words hold no shingle and match nothing; repeated keys are one document; no rows give no rows. Other columns, whatever their names, are
+    not read. A very long text is cut into windows whole."""
     known = template_windows(docs.sparkSession, templates or TEMPLATES)
     sizes = {r["name"]: r["n"] for r in known.groupBy("name").agg(F.count("*").alias("n")).collect()}  # a row a template
     parts, size = [[]], 0

@@ -109,7 +109,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     of every span's value (owners_repos, owners:repositories by span). The tables at hand name no repository: source and language stand for one.
 
     Null and empty texts have no spans; repeated rows are rows of their own (and one owner);
-    no rows give no rows; other columns of ``docs`` are never read."""
+    no rows give no rows; other columns of ``docs`` are never read. Spans of different kinds may overlap and all count; of one kind they are
+    leftmost and do not. A very long text is scanned whole."""
     carry = [key, owner, *repo]
     scanned = materialize(scan(docs, text, carry), "secrets")
     place = F.concat_ws("/", *(F.coalesce(F.col(f"c{2 + i}").cast("string"), F.lit("")) for i in range(len(repo))))
@@ -127,7 +128,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), live: str = "[SECRET]", shared: str = "[EXAMPLE]") -> DataFrame:
     """``docs`` with every span replaced: those that look live by ``live``, widely copied ones by
-    ``shared``. Overlapping spans become one, live if any of them is. All columns and rows stay."""
+    ``shared``. Overlapping spans become one, live if any of them is. All columns and rows stay, whatever their names; null and empty texts stay as
+    they are, rows that repeat are redacted alike, an empty table stays empty. A very long text is scanned whole."""
     columns = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     scanned = materialize(scan(docs, text, columns), "secrets")

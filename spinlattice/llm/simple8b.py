@@ -141,7 +141,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
 
     One range shuffle puts the documents in order; encoding and packing then run on each
     partition as a stream, in segments of about SEGMENT ids. Null texts are empty, null keys
-    come first, repeated keys keep all their rows, a table without rows gives no segment.
+    come first, repeated keys keep all their rows, a table without rows gives no segment. Other columns, whatever their
+    names, are not read. A very long text is cut at white space into stretches; its ids are held whole.
     """
 
     def encode(batches: Iterator) -> Iterator:

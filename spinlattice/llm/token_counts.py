@@ -118,7 +118,8 @@ def merger_of(path: str) -> RankMerger:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of whole texts; one map over the rows, no shuffle.
 
-    Null texts are empty (0 tokens); rows with equal or null keys stay rows of their own."""
+    Null texts are empty (0 tokens); rows with equal or null keys stay rows of their own. Other columns, whatever their names, are not
+    read; an empty table gives an empty one. Texts are counted 256 at a time, a very long one whole, as its pre-tokens."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
