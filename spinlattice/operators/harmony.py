@@ -195,6 +195,7 @@ def generate_playlist(library: DataFrame, seeds: DataFrame, n: int = 10, rules:
     coded = asked.where("sn is not null").withColumn("a", code("sn", "sm")).join(F.broadcast(matrix), "a").join(texts.where("n is not null").withColumn("b", code("n", "major")), "b").select("seed_key", "key_camelot", "there")
     same = asked.join(texts, c("seed_key") == c("key_camelot")).select("seed_key", "key_camelot", "there")
     fits = coded.unionByName(same).distinct().withColumn("compat", keys.compatibility(c("seed_key"), c("key_camelot"), rules)).where("compat > 0")
+    fits = materialize(fits, "key-pairs")  # a row for two key texts that fit
     places = s.select("seed_key", "seed_bpm").distinct()
     looks = places.join(fits, "seed_key").select("seed_key", c("seed_bpm").alias("x"), _keyed("key_camelot").alias("cell"))
     items = tracks.where("key_camelot is not null").select(_keyed("key_camelot").alias("cell"), c("track_id").alias("id"), c("bpm").alias("x"))
@@ -208,9 +209,10 @@ def generate_playlist(library: DataFrame, seeds: DataFrame, n: int = 10, rules:
     near = F.concat(*(F.coalesce(lane, none) for lane in ("up", "down", "blank", "every")))
     some = looks.join(found, ["cell", "x"]).select("seed_key", "x", F.explode(near).alias("e")).select("seed_key", c("x").alias("seed_bpm"), c("e.id").alias("track_id")).distinct()
     # the best n of each place, one more than needed for the seed itself; then the seeds of a place
-    fit = F.coalesce(keys.compatibility(c("seed_key"), F.coalesce("key_camelot", F.lit("")), rules), F.lit(0.0))
+    # pairs of keys are scored once a pair of texts, in ``fits``
     gap = F.least(F.abs(F.coalesce("bpm", "seed_bpm") - c("seed_bpm")), F.lit(20.0))
-    scored = some.join(tracks, "track_id").withColumn("total", fit * 0.7 + (1 - gap / 20) * 0.3).where("total > 0")
+    both = some.join(tracks, "track_id").join(fits.select("seed_key", "key_camelot", "compat"), ["seed_key", "key_camelot"], "left")
+    scored = both.withColumn("total", F.coalesce("compat", F.lit(0.0)) * 0.7 + (1 - gap / 20) * 0.3).where("total > 0")
     first = Window.partitionBy("seed_key", "seed_bpm").orderBy(F.round("total", 9).desc(), "track_id")  # equal but for rounding noise is a tie
     best = scored.withColumn("_r", F.row_number().over(first)).where(c("_r") <= n).select(c("seed_key").alias("_k"), c("seed_bpm").alias("_b"), "track_id", "total")
     told = s.join(best, c("seed_key").eqNullSafe(c("_k")) & (c("seed_bpm") == c("_b"))).where("track_id <> seed_id")
