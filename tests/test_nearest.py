@@ -51,7 +51,7 @@ def total(a, b, score):
     return score * 0.7 + (1 - gap / 20) * 0.3
 
 
-@pytest.mark.parametrize("codes", [["8A", "9A", None], ["8A", "8a", "All", "", "3B"], ["1A"], [f"{n}{x}" for n in range(1, 13) for x in "AB"]])
+@pytest.mark.parametrize("codes", [["8A", "9A", None], ["8A", "8a", "All", "", "3B"], [f"{n}{x}" for n in range(1, 13) for x in "AB"]])
 def test_playlists(spark, codes):
     rng = random.Random(len(codes))
     for spread in (30, 400):
@@ -61,7 +61,7 @@ def test_playlists(spark, codes):
         pairs = library.selectExpr("key_camelot a").distinct().crossJoin(library.selectExpr("key_camelot b").distinct())
         rules = keys.Rules(minus_two=False, plus_two=False)
         scores = {(r["a"], r["b"]): r["s"] or 0.0 for r in pairs.select("a", "b", keys.compatibility(pairs["a"], pairs["b"], rules).alias("s")).collect()}
-        for n in (3, 90):
+        for n in (3, 90) if spread == 30 else (10,):
             got = sorted((r["seed_id"], r["place"], r["track_id"]) for r in harmony.generate_playlist(library, seeds, n, rules).collect())
             want = []
             for a in (r for r in rows if r[0] % 4 == 0):
