@@ -32,59 +32,68 @@ STRIDE = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cheapest(places: list[int], penalty: list[int], size: int) -> tuple[list[int], list[int]]:
-    """For each of ``places`` (ascending, first 0, gaps of ``size`` at most) the least cost of windows up to it, and the place where the
-    last of these begins."""
-    n = len(places)
-    val, back = [0] * n, [0] * n
-    queue = deque([0])
-    for j in range(1, n):
-        at = places[j]
-        while places[queue[0]] < at - size:
-            queue.popleft()
-        i = queue[0]
-        back[j] = i
-        v = val[j] = val[i] + size + penalty[j]
-        while queue and val[queue[-1]] > v:
-            queue.pop()
-        queue.append(j)
-    return val, back
-
-
-def _chain(back: list[int], j: int) -> list[int]:
-    cuts = []
-    while j:
-        cuts.append(j)
-        j = back[j]
-    return cuts[::-1]
-
-
-def cut_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
-    """Indices into ``places`` where the windows of a cheapest cutting end; the last is always the last place. The last
-    window's padding is free: it is cut to powers of two."""
-    val, back = cheapest(places, penalty, size)
-    last = len(places) - 1
-    low = last - 1
-    while low and places[low - 1] >= places[last] - size:
-        low -= 1
-    back[last] = min(range(low, last), key=lambda i: val[i] - places[i])
-    return _chain(back, last)
-
-
-def settled_windows(places: list[int], penalty: list[int], size: int) -> list[int]:
-    """Those windows' ends that belong to the cheapest cutting whatever ids follow: up to the last place that is on the
-    ways to all places within ``size`` of the end, from one of which the next window begins."""
-    _, back = cheapest(places, penalty, size)
-    end = places[-1]
-    far = [-j for j in range(len(places)) if places[j] > end - size]
-    heapify(far)
-    while True:  # the furthest place goes a window back until all are one
-        j = -heappop(far)
-        while far and far[0] == -j:
-            heappop(far)
-        if not far:
-            return _chain(back, j)
-        heappush(far, -back[j])
+class Cutting:
+    """The dynamic programme over a growing list of places (ascending, the first one given, gaps of ``size`` at most): for each the least
+    cost of windows up to it (val) and the number of the place where the last of these begins (back)."""
+
+    def __init__(self, size: int, first: int = 0):
+        self.size, self.places, self.val, self.back, self.queue = size, [first], [0], [0], deque([0])
+
+    def extend(self, places: list[int], penalty: list[int]) -> None:
+        have, val, back, queue, size = self.places, self.val, self.back, self.queue, self.size
+        for at, cost in zip(places, penalty, strict=True):
+            while have[queue[0]] < at - size:
+                queue.popleft()
+            i = queue[0]
+            v = val[i] + size + cost
+            while queue and val[queue[-1]] > v:
+                queue.pop()
+            queue.append(len(have))
+            have.append(at)
+            val.append(v)
+            back.append(i)
+
+    def _chain(self, j: int) -> list[int]:
+        cuts = []
+        while j:
+            cuts.append(j)
+            j = self.back[j]
+        return cuts[::-1]
+
+    def whole(self) -> list[int]:
+        """Numbers of the places where the windows of a cheapest cutting end; the last is always the last place. The last window's
+        padding is free: it is cut to powers of two."""
+        last = len(self.places) - 1
+        if not last:
+            return []
+        low = last - 1
+        while low and self.places[low - 1] >= self.places[last] - self.size:
+            low -= 1
+        begin = min(range(low, last), key=lambda i: self.val[i] - self.places[i])
+        return [*self._chain(begin), last]
+
+    def settled(self) -> list[int]:
+        """Those windows' ends that belong to the cheapest cutting whatever places follow: up to the last one that is on the
+        ways to all places within ``size`` of the end, from one of which the next window begins."""
+        j, end = len(self.places) - 1, self.places[-1]
+        far = []
+        while j >= 0 and self.places[j] > end - self.size:
+            far.append(-j)
+            j -= 1
+        heapify(far)
+        while True:  # the furthest place goes a window back until all are one
+            j = -heappop(far)
+            while far and far[0] == -j:
+                heappop(far)
+            if not far:
+                return self._chain(j)
+            heappush(far, -self.back[j])
+
+    def forget(self, j: int) -> None:
+        """Begin at place ``j``, on which all ways meet."""
+        self.places, self.val = self.places[j:], self.val[j:]
+        self.back = [max(i - j, 0) for i in self.back[j:]]
+        self.queue = deque(i - j for i in self.queue if i >= j)
 
 
 def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, before: int = 0) -> tuple[list, list]:
@@ -102,59 +111,53 @@ def _places(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray,
 
 
 class Packer:
-    """Packs one partition's documents as they come; looks for settled windows whenever ``look`` more windows have come, which
-    changes what it holds at a time and never the cutting."""
+    """Packs one partition's documents as they come. It goes on with the programme and looks for settled windows whenever ``look``
+    windows of ids have come, which changes what it holds at a time and never the cutting."""
 
     def __init__(self, ends_sentence: np.ndarray, size: int = SIZE, first_sequence: int = 0, look: int = 96):
-        self.ends_sentence, self.size, self.look = ends_sentence, size, look * size
-        self.sequence, self.due = first_sequence, look * size
-        self.docs: list[tuple] = []  # key, ids, ids of it already packed
-        self.held = self.before = 0
+        self.ends_sentence, self.size, self.look, self.sequence = ends_sentence, size, look * size, first_sequence
+        self.docs: deque[tuple] = deque()  # key, ids, where it starts in the stream
+        self.cutting, self.at = Cutting(size), 0  # at: where the next window begins
+        self.end = self.known = 0  # of the stream, and of what the programme has seen
+        self.fresh: list[np.ndarray] = []
 
     def add(self, key, ids: np.ndarray) -> list[tuple]:
-        self.docs.append((key, ids, 0))
-        self.held += len(ids)
-        if self.held < self.due:
-            return []
-        out = self.flush(False)
-        self.due = self.held + self.look
-        return out
+        self.docs.append((key, ids, self.end))
+        self.fresh.append(ids)
+        self.end += len(ids)
+        return self.flush(False) if self.end - self.known >= self.look else []
 
     def flush(self, last: bool) -> list[tuple]:
-        """Cut what is settled, at ``last`` all that is held."""
-        if not self.held:
+        """The pieces of what is settled, at ``last`` of all that is held."""
+        if self.fresh:
+            places, cost = _places(np.concatenate(self.fresh), np.cumsum([len(x) for x in self.fresh]), self.ends_sentence, self.known)
+            self.cutting.extend([self.known + p for p in places[1:]], cost[1:])
+            self.fresh, self.known = [], self.end
+        numbers = self.cutting.whole() if last else self.cutting.settled()
+        if not numbers:
             return []
-        stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
-        doc_ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
-        places, cost = _places(stream, doc_ends, self.ends_sentence, self.before)
-        cuts = [places[j] for j in (cut_windows if last else settled_windows)(places, cost, self.size)]
+        cuts = [self.cutting.places[j] for j in numbers]
         if last:
             # a sequence whose length is a power of two takes no padding: the rest becomes such lengths
-            a, b = cuts[-2] if len(cuts) > 1 else 0, cuts.pop()
+            a, b = cuts[-2] if len(cuts) > 1 else self.at, cuts.pop()
             while a < b:
                 a += 1 << ((b - a).bit_length() - 1)
                 cuts.append(a)
-        out, d, doc_at = [], 0, 0  # doc_at: where document d starts in the stream
-        a = 0
+        else:
+            self.cutting.forget(numbers[-1])
+        out = []
         for b in cuts:
-            at = a
+            at = self.at
             while at < b:
-                key, ids, done = self.docs[d]
-                end = doc_at + len(ids) - done
-                to = min(b, end)
-                first = done + at - doc_at
-                piece = ids[first : first + to - at]
-                out.append((key, first, to - at, zlib.crc32(piece.tobytes()), len(ids), self.sequence, at - a))
+                key, ids, start = self.docs[0]
+                to = min(b, start + len(ids))
+                piece = ids[at - start : to - start]
+                out.append((key, at - start, to - at, zlib.crc32(piece.tobytes()), len(ids), self.sequence, at - self.at))
                 at = to
-                if to == end:
-                    d, doc_at = d + 1, end
+                if to == start + len(ids):
+                    self.docs.popleft()
             self.sequence += 1
-            a = b
-        rest = self.docs[d:]
-        if rest:
-            key, ids, done = rest[0]
-            rest[0] = (key, ids, done + a - doc_at)
-        self.docs, self.held, self.before = rest, len(stream) - a, self.before + a
+            self.at = b
         return out
 
 

@@ -144,7 +144,7 @@ def test_packing(spark, docs, texts, empty):
 
 
 def test_cutting_is_optimal():
-    from spinlattice.llm.packing import cut_windows
+    from spinlattice.llm.packing import Cutting
 
     rng = random.Random(3)
     for _ in range(200):
@@ -165,12 +165,14 @@ def test_cutting_is_optimal():
 
         n = len(places)
         every = ([j for j in range(1, n - 1) if m >> j & 1] + [n - 1] for m in range(1 << n))
-        assert price(cut_windows(places, cost, size)) == min(x for c in every if (x := price(c)) is not None)
+        cutting = Cutting(size)
+        cutting.extend(places[1:], cost[1:])
+        assert price(cutting.whole()) == min(x for c in every if (x := price(c)) is not None)
 
 
 def test_cutting_has_no_horizon():
     """Looking for settled windows early or late gives the pieces of one cutting of the whole stream."""
-    from spinlattice.llm.packing import INSIDE, Packer, _places, cheapest, cut_windows, settled_windows
+    from spinlattice.llm.packing import INSIDE, Cutting, Packer, _places
 
     rng = np.random.default_rng(4)
     ends = np.zeros(50, bool)
@@ -184,13 +186,15 @@ def test_cutting_has_no_horizon():
         assert made[0] == made[1] == made[2]
         stream, doc_ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
         places, cost = _places(stream, doc_ends, ends)
-        whole = [places[j] for j in cut_windows(places, cost, size)]
+        cutting = Cutting(size)
+        cutting.extend(places[1:], cost[1:])
+        whole = [places[j] for j in cutting.whole()]
         lengths = {}
         for piece in made[0]:
             lengths[piece[5]] = lengths.get(piece[5], 0) + piece[2]
         assert np.cumsum([n for _, n in sorted(lengths.items())]).tolist()[: len(whole) - 1] == whole[:-1]
-        some = [places[j] for j in settled_windows(places, cost, size)]
-        assert some == whole[: len(some)] and len(some) > len(whole) // 2 and max(cost) == INSIDE and len(cheapest(places, cost, size)[0]) == len(places)
+        some = [places[j] for j in cutting.settled()]
+        assert some == whole[: len(some)] and len(some) > len(whole) // 2 and max(cost) == INSIDE
 
 
 def simhash(text):
