@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scoring import upper_median  # noqa: F401
+from ..shared import materialize
 
 c = F.col
 
 
 #: Library rows of one cell that meet a line in one task.
 CELL = 2_000
+#: Tokens of at most so many library tracks give a line a first likeness to beat; other lines start at 0.5.
+RARE = 64
 
 
 def join_cells(left: DataFrame, right: DataFrame, on: list[str], spread: str, most: int = CELL) -> DataFrame:
@@ -30,36 +33,57 @@ def match_setlist(lines: DataFrame, library: DataFrame, keys: list[str]) -> Data
     """The library track of each line (title, artist): 0.6 max(title, file name similarity) + 0.4 artist similarity
     over 0.5, the best, the first by file name.
 
-    Without a common artist token the title or file name must be similar by over 5/6, so of n tokens, ordered by rarity (then text), the
-    first n - ceil(5n/6) + 1 of both sides hold a common one, and the shorter has 5/6 of the longer's tokens. With a common artist token they
-    must have any token in common: those pairs meet on (artist token, title token). Both ways are lossless. Rows bring their
+    A line's rarest token, if RARE tracks or fewer hold it, gives a likeness ``least`` that the best one has at least (else 0.5). Of n title tokens ordered
+    by rarity (then text) a track whose title or file name is similar by t holds one of the first n - ceil(tn) + 1. Without a common artist token t is least / 0.6,
+    at least 5/6: those tokens meet the track's own such ones of 5/6, and the shorter has 5/6 of the longer's tokens. With a common artist token
+    t is (least - 0.4) / 0.6: those pairs meet on (artist token, title token). Both ways are lossless, and a line that has its own track meets few others. Rows bring their
     tokens along, so a pair is scored where it meets and only those over 0.5 go any further; cells that most of a library shares, such as an
     unknown artist and a common word, are split. Equal lines are matched once.
     """
     told = lines.select(*keys, F.coalesce("title", F.lit("")).alias("_t"), F.coalesce("artist", F.lit("")).alias("_a"))
-    want = told.select("_t", "_a").distinct().select("_t", "_a", text.tokens(c("_t")).alias("lt"), text.tokens(c("_a")).alias("la"))
-    have = library.select("track_id", "filename", text.tokens(F.coalesce("title", F.lit(""))).alias("tt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("ta"), text.tokens(F.coalesce("filename", F.lit(""))).alias("tf"))
-    rarity = have.select(F.explode(F.array_distinct(F.concat("tt", "tf"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = 0.6 * F.greatest(text.jaccard(c("lt"), c("tt")), text.jaccard(c("lt"), c("tf"))) + 0.4 * text.jaccard(c("la"), c("ta"))
     # the best, then the first by file name, then the least id
     order = F.struct((-c("similarity")).alias("s"), "filename", "track_id")
-    scored = lambda pairs: pairs.withColumn("similarity", total).where("similarity > 0.5").select("_t", "_a", order.alias("m"))
+    some = setlist_pairs(told.select("_t", "_a").distinct(), library).withColumn("similarity", _likeness()).where("similarity > 0.5")
+    best = some.select("_t", "_a", order.alias("m")).groupBy("_t", "_a").agg(F.min("m").alias("m"))
+    return told.join(best, ["_t", "_a"]).select(*keys, c("m.track_id").alias("track_id"), (-c("m.s")).alias("similarity"))
+
+
+def _likeness() -> Column:
+    return 0.6 * F.greatest(text.jaccard(c("lt"), c("tt")), text.jaccard(c("lt"), c("tf"))) + 0.4 * text.jaccard(c("la"), c("ta"))
 
-    def prefix(df: DataFrame, array: str) -> DataFrame:
-        """Rows by the rarest tokens of an array that a common one must be among."""
-        each = df.select("*", F.explode(array).alias("token")).join(rarity, "token", "left")
-        first = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
-        sorted_ = each.groupBy(*df.columns).agg(first.alias("s"))
-        size = F.size("s")
-        return sorted_.select(*df.columns, F.explode(F.slice("s", F.lit(1), size - F.ceil(size * 5 / 6).cast("int") + 1)).alias("x")).select(*df.columns, "x.token")
 
+def setlist_pairs(wanted: DataFrame, library: DataFrame) -> DataFrame:
+    """Of distinct lines (_t, _a) and the library every pair that can be a line's best, with the tokens of both: see :func:`match_setlist`."""
+    want = wanted.select("_t", "_a", text.tokens(c("_t")).alias("lt"), text.tokens(c("_a")).alias("la"))
+    have = library.select("track_id", "filename", text.tokens(F.coalesce("title", F.lit(""))).alias("tt"), text.tokens(F.coalesce("artist", F.lit(""))).alias("ta"), text.tokens(F.coalesce("filename", F.lit(""))).alias("tf"))
+    have = materialize(have, "set-library")
+    held = have.select("*", F.explode(F.array_union("tt", "tf")).alias("token"))
+    rarity = held.groupBy("token").agg(F.count("*").alias("n"))
+
+    def ranked(df: DataFrame, array: str) -> DataFrame:
+        """Rows with ``s``, an array's tokens by rarity."""
+        each = df.select("*", F.explode(array).alias("token")).join(rarity, "token", "left")
+        return each.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("s"))
+
+    def prefix(df: DataFrame, like: Column) -> DataFrame:
+        """Rows of :func:`ranked` by the rarest tokens that one common to an array similar by ``like`` must be among."""
+        shared = F.greatest(F.lit(1), F.ceil(F.size("s") * like - 1e-9).cast("int"))
+        return df.select("*", F.explode(F.slice("s", F.lit(1), F.size("s") - shared + 1)).alias("x")).select(*(x for x in df.columns if x != "s"), "x.token")
+
+    known = materialize(ranked(want, "lt"), "set-lines")
+    rarest = F.get(F.filter("s", lambda x: (x["n"] > 0) & (x["n"] <= RARE)), F.lit(0))["token"]
+    met = known.select("_t", "_a", "lt", "la", rarest.alias("token")).where("token is not null").join(held, "token")
+    least = met.groupBy("_t", "_a").agg(F.max(_likeness()).alias("least"))
+    known = known.join(least, ["_t", "_a"], "left").withColumn("least", F.greatest(F.lit(0.5), "least"))
+    known = materialize(known, "set-least")
+    pair = ["_t", "_a", "lt", "la", "track_id", "filename", "tt", "ta", "tf"]
     near = lambda x, y: 6 * F.least(F.size(x), F.size(y)) >= 5 * F.greatest(F.size(x), F.size(y))
-    mine, theirs = prefix(want, "lt"), prefix(have, "tt").unionByName(prefix(have, "tf"))
-    alike = scored(join_cells(mine, theirs, ["token"], "track_id").where(near("lt", "tt") | near("lt", "tf")))
-    left = want.select("*", F.explode("la").alias("artist")).select("*", F.explode("lt").alias("token"))
-    right = have.select("*", F.explode("ta").alias("artist")).select("*", F.explode(F.array_union("tt", "tf")).alias("token"))
-    best = alike.unionByName(scored(join_cells(left, right, ["artist", "token"], "track_id"))).groupBy("_t", "_a").agg(F.min("m").alias("m"))
-    return told.join(best, ["_t", "_a"]).select(*keys, c("m.track_id").alias("track_id"), (-c("m.s")).alias("similarity"))
+    mine = prefix(known.where(c("least") <= 0.6 + 1e-9), F.greatest(F.lit(5 / 6), c("least") / 0.6))
+    theirs = prefix(ranked(have, "tt"), F.lit(5 / 6)).unionByName(prefix(ranked(have, "tf"), F.lit(5 / 6)))
+    alike = join_cells(mine, theirs, ["token"], "track_id").where(near("lt", "tt") | near("lt", "tf"))
+    left = prefix(known.select("*", F.explode("la").alias("artist")), (c("least") - 0.4) / 0.6)
+    right = held.select("*", F.explode("ta").alias("artist"))
+    return alike.select(*pair).unionByName(join_cells(left, right, ["artist", "token"], "track_id").select(*pair))
 
 
 def flow(ordered: DataFrame) -> DataFrame:

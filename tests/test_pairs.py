@@ -32,3 +32,20 @@ def test_neighbours_look_up_no_pairs(spark):
     want = {(a, b) for a in bpm for b in bpm if a != b and abs(bpm[b] - bpm[a]) / bpm[a] <= 0.06}
     rows = got.where("relation = 'same-key'").collect()
     assert {(r["track_id"], r["other_id"]) for r in rows} == want and {r["score"] for r in rows} == {95}
+
+
+def test_setlist_lines_meet_few_tracks(spark):
+    from pyspark.sql import functions as F
+
+    from spinlattice.operators import sets
+
+    # one artist and two words shared by all: a line with a track of its own meets that one, not the whole library
+    lib = spark.range(600).select(F.col("id").alias("track_id"), F.lit("large ring").alias("title"), F.lit("Unknown Artist").alias("artist"), F.concat(F.lit("large ring "), "id", F.lit(".mp3")).alias("filename"))
+    lines = lib.where("track_id < 50").select("track_id", F.concat(F.upper("filename"), F.lit(" (Live!)")).alias("title"), "artist")
+    pairs = sets.setlist_pairs(lines.select(F.col("title").alias("_t"), F.col("artist").alias("_a")), lib)
+    assert pairs.count() <= 4 * 50
+    got = sets.match_setlist(lines.withColumnRenamed("track_id", "line"), lib, ["line"]).collect()
+    assert len(got) == 50 and all(r["track_id"] == r["line"] for r in got)
+    # a line without a rare token still meets all of them: the first by file name of equal ones
+    one = sets.match_setlist(spark.createDataFrame([(1, "Large Ring", "Unknown Artist")], "line int, title string, artist string"), lib, ["line"]).collect()
+    assert [(r["track_id"], r["similarity"]) for r in one] == [(0, 1.0)]
