@@ -49,3 +49,28 @@ def test_setlist_lines_meet_few_tracks(spark):
     # a line without a rare token still meets all of them: the first by file name of equal ones
     one = sets.match_setlist(spark.createDataFrame([(1, "Large Ring", "Unknown Artist")], "line int, title string, artist string"), lib, ["line"]).collect()
     assert [(r["track_id"], r["similarity"]) for r in one] == [(0, 1.0)]
+
+
+def test_code_pairs_are_looked_up(spark):
+    from pyspark.sql import functions as F
+
+    from spinlattice.functions import keys, text
+
+    texts = ["8A", " 08b ", "9a", "12B", "1B", "x", "", None, "13A"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "ak string, bk string")
+    rules = {"ok": (keys.is_compatible, False), "strength": (keys.strength, 0), "relation": (keys.relation, "unknown"), "verdict": (text.harmonic_verdict, "warn")}
+    got = keys.by_codes(rows, "ak", "bk", rules)
+    assert got.columns == ["ak", "bk", *rules] and got.count() == len(texts) ** 2
+    for name, (rule, _) in rules.items():
+        assert got.where(~F.col(name).eqNullSafe(rule(F.col("ak"), F.col("bk")))).count() == 0, name
+
+
+def test_ambiguity_is_a_small_tree(spark):
+    from pyspark.sql import functions as F
+
+    from spinlattice.functions import keys
+
+    names = keys.dim_key(spark).select("name")
+    df = names.crossJoin(names.withColumnRenamed("name", "other")).select(keys.ambiguity(F.col("name"), F.col("other")).alias("kind"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 40_000
+    assert {r["kind"]: r["count"] for r in df.groupBy("kind").count().collect()} == {"same": 24, "parallel": 24, "relative": 24, "close_wheel": 48, "distant": 456}
