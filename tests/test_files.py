@@ -38,3 +38,13 @@ def test_files_are_read_from_few_folders(spark):
     v = Source(spark, "/root/testdata/sf0.001")
     path = q.one_file_each(v, q.stems(v).select("stem", F.col("filename").alias("value")), q.work(v, "few"), "mp3")
     assert files.media_files(spark, path).count() == q.stems(v).count() and len(os.listdir(path)) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_annotation_files_lie_in_few_folders(spark, monkeypatch):
+    from spinlattice.catalog_queries import QUERIES
+
+    read, seen = files.jams, []
+    monkeypatch.setattr(q.files, "jams", lambda spark, path: seen.append(path) or read(spark, path))
+    assert QUERIES["a07_jams"](spark, "/root/testdata/sf0.001").count() == 10
+    assert len(os.listdir(seen[0])) == 1 and sum(len(names) for _, _, names in os.walk(seen[0])) == 10
