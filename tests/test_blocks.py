@@ -1,5 +1,7 @@
 """Blocks of long series against whole series in numpy."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -109,3 +111,19 @@ def test_peaks_and_tempo(spark):
     for r in signal.tempo(peaks, ac.select("track_id").distinct()).collect():
         tempos[r["track_id"]] = (r["bpm"], r["confidence"])
     assert tempos.keys() == want_tempos.keys() and all(tempos[t] == pytest.approx(want_tempos[t]) for t in tempos)
+
+
+def test_lags_meet_in_blocks_not_once_a_lag(spark, capsys):
+    rng = random.Random(5)
+    value = {(t, f): rng.random() for t in (1, 2) for f in rng.sample(range(-20, 200), 90)}
+    onset = spark.createDataFrame([(t, f, x) for (t, f), x in value.items()], "track_id long, frame int, onset double")
+    got = signal.autocorrelation_by_join(onset, 13)
+    got.explain()
+    assert "sequence(" not in capsys.readouterr().out  # a row a lag
+    raw = {}
+    for (t, f), x in value.items():
+        for lag in range(14):
+            if (t, f + lag) in value:
+                raw[t, lag] = raw.get((t, lag), 0) + x * value[t, f + lag]
+    held = {(r["track_id"], r["lag"]): r["value"] for r in got.collect()}
+    assert set(held) == set(raw) and all(abs(held[k] - raw[k] / raw[k[0], 0]) < 1e-9 for k in raw)
