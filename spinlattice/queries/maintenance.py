@@ -13,7 +13,7 @@ c = F.col
 
 def stored(v, rows, key, files=8):
     """``rows`` as a table of about so many files."""
-    return KeyedTable.create(rows, new_path(v.spark, "table"), key, max(1, rows.count() // files))
+    return KeyedTable.create(rows, new_path(v.spark, "table"), key, files=files)
 
 
 @query("h01_stored_upsert", """SELECT track_id, CASE WHEN track_id % 50 < 3 THEN 'X' ELSE key_camelot END AS key_camelot, status FROM v_tracks

@@ -164,3 +164,28 @@ def test_pages_read_only_their_blocks(spark, tmp_path, sort, descending):
             page = pages.page(offset, limit, None if kind is None else F.col("kind") == kind)
             assert [tuple(r) for r in page.rows.collect()] == want[offset : offset + limit] and page.total == len(want)
             assert kind is not None or len(page.blocks) <= 3
+
+
+def test_a_table_is_made_from_rows_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = KeyedTable.create(spark.range(1000).withColumnRenamed("id", "k").mapInArrow(look, "k long"), str(tmp_path / "o"), "k", files=5)
+    assert seen.value == 1000 and made.read().count() == 1000 and made.rows_per_file == 200 and 3 <= len(made.state().files) <= 7
+
+
+@pytest.mark.parametrize("kind,values", [("bigint", [-5, 0, 3, 3_000_000_000]), ("string", ["a'b", "m", "é"]), ("double", [-0.5, 1.25, 7.0])])
+def test_places_by_conditions_are_those_by_the_fold(spark, monkeypatch, kind, values):
+    from spinlattice import shared
+
+    keys = spark.createDataFrame([(None,), *((x,) for v in values for x in (v, *((v - 1, v + 1) if kind != "string" else (v + "x", ""))))], f"k {kind}")
+    written = keys.select("k", shared.place(F.col("k"), values, kind).alias("at"))
+    assert "lambda" not in written._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in written.collect()]
+    monkeypatch.setattr(shared, "WRITTEN_OUT", 0)
+    assert got == [tuple(r) for r in keys.select("k", shared.place(F.col("k"), values, kind).alias("at")).collect()]
+    assert got == [(k, 0 if k is None else sum(v <= k for v in values)) for k, _ in got]
