@@ -189,3 +189,20 @@ def test_places_by_conditions_are_those_by_the_fold(spark, monkeypatch, kind, va
     monkeypatch.setattr(shared, "WRITTEN_OUT", 0)
     assert got == [tuple(r) for r in keys.select("k", shared.place(F.col("k"), values, kind).alias("at")).collect()]
     assert got == [(k, 0 if k is None else sum(v <= k for v in values)) for k, _ in got]
+
+
+def test_a_stream_is_dealt_by_one_job(spark):
+    from spinlattice.queries.files import dealt
+    from spinlattice.queries.registry import Source
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stream = dealt(Source(spark, ""), spark.range(200).mapInArrow(look, "id long"), ["id"])
+    got = []
+    jobs.run(stream, lambda rows, n: got.append(sorted(r["id"] for r in rows.collect())), f"{Source(spark, '').spark.conf.get('spark.checkpoint.dir')}/dealt-progress")
+    assert seen.value == 200 and len(got) == 4 and sorted(sum(got, [])) == list(range(200))
