@@ -1,6 +1,7 @@
 """Stored tables and the streams that fill them: what a change writes, repeated batches, late rows."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,18 +192,11 @@ def test_places_by_conditions_are_those_by_the_fold(spark, monkeypatch, kind, va
     assert got == [(k, 0 if k is None else sum(v <= k for v in values)) for k, _ in got]
 
 
-def test_a_stream_is_dealt_by_one_job(spark):
-    from spinlattice.queries.files import dealt
-    from spinlattice.queries.registry import Source
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_results_work_the_opinions_out_once(spark, monkeypatch):
+    from spinlattice.queries import files, registry
 
-    seen = spark.sparkContext.accumulator(0)
-
-    def look(batches):
-        for batch in batches:
-            seen.add(batch.num_rows)
-            yield batch
-
-    stream = dealt(Source(spark, ""), spark.range(200).mapInArrow(look, "id long"), ["id"])
-    got = []
-    jobs.run(stream, lambda rows, n: got.append(sorted(r["id"] for r in rows.collect())), f"{Source(spark, '').spark.conf.get('spark.checkpoint.dir')}/dealt-progress")
-    assert seen.value == 200 and len(got) == 4 and sorted(sum(got, [])) == list(range(200))
+    asked, view = [], registry.view
+    monkeypatch.setattr(registry, "view", lambda spark, folder, name: asked.append(name) or view(spark, folder, name))
+    files.results_stored(registry.Source(spark, "/root/testdata/sf0.001"))
+    assert asked.count("v_opinions") == 1
