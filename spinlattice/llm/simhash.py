@@ -99,8 +99,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of_class = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     of_class = materialize(of_class, "simhash-groups")
     # a fingerprint that most rows have and a component of most fingerprints are joined in parts
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
-    named = join_hot(of_class, least, "component", "classes", F.col("fp")).select("fp", "component_id", "copies")
+    least = materialize(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "simhash-least")
+    named = materialize(join_hot(of_class, least, "component", "classes", F.col("fp")).select("fp", "component_id", "copies"), "simhash-named")
     return join_hot(fps, named, "fp", "copies", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
