@@ -11,7 +11,23 @@ def test_tasks_follow_the_rows(spark, monkeypatch, capsys):
 
     monkeypatch.setattr(views, "ROWS_A_TASK", 100)
     wanted = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
-    for name in ("a12_export_manifest", "c29_trajectory", "f08_key_journey"):
+    for name in ("a12_export_manifest", "f01_transitions", "c29_trajectory", "f08_key_journey"):
         QUERIES[name](spark, SF).explain()
         dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)
         assert {by for by, n in dealt if int(n) == wanted} >= {"l_orderkey", "track_id"} and wanted > 4, (name, dealt)
+
+
+def test_transitions_look_codes_up(spark):
+    from spinlattice.functions import keys
+    from spinlattice.operators import harmony
+
+    codes = ["8A", "9A", "8B", None, "x", "08a", "12B", "3A", "10A", "6A", "1B", ""]
+    rows = [(1, i, i, k, b) for i, (k, b) in enumerate(zip([x for a in codes for b in codes for x in (a, b)], [120.0, 131.0, None, 0.0, 90.0] * 58, strict=False))]
+    got = harmony.transitions(spark.createDataFrame(rows, "playlist_id long, position long, track_id long, key_camelot string, bpm double"))
+    pairs = [(*a, *b[2:]) for a, b in zip(rows, rows[1:], strict=False)]
+    from pyspark.sql import functions as F
+
+    rel, d = keys.relation(F.col("k"), F.col("l")), keys.delta_percent(F.col("b"), F.col("d"))
+    plain = spark.createDataFrame(pairs, "p long, at long, t long, k string, b double, u long, l string, d double").select("p", "at", "t", "u", rel, d, keys.transition_score(rel, d), keys.relation_label(rel), keys.relation_risk(rel), keys.delta_text(d))
+    order = got.select("playlist_id", "position", "track_id", "next_id", "relation", "delta_pct", "score", "label", "risk", "delta_text")
+    assert sorted(map(tuple, order.collect())) == sorted(map(tuple, plain.collect())) and len(pairs) == got.count()
