@@ -11,7 +11,7 @@ def test_tasks_follow_the_rows(spark, monkeypatch, capsys):
 
     monkeypatch.setattr(views, "ROWS_A_TASK", 100)
     wanted = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
-    for name in ("a12_export_manifest", "f01_transitions", "c29_trajectory", "f08_key_journey"):
+    for name in ("a12_export_manifest", "f01_transitions", "f02_setlist_flow", "c29_trajectory", "f08_key_journey"):
         QUERIES[name](spark, SF).explain()
         dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)
         assert {by for by, n in dealt if int(n) == wanted} >= {"l_orderkey", "track_id"} and wanted > 4, (name, dealt)
