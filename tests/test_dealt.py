@@ -17,6 +17,17 @@ def test_tasks_follow_the_rows(spark, monkeypatch, capsys):
         assert {by for by, n in dealt if int(n) == wanted} >= {"l_orderkey", "track_id"} and wanted > 4, (name, dealt)
 
 
+def test_opinions_are_sorted_once_in_tasks_by_rows(spark, monkeypatch, capsys):
+    from spinlattice.plans import views
+
+    monkeypatch.setattr(views, "ROWS_A_TASK", 100)
+    wanted = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    views.view(spark, SF, "v_opinions").explain()
+    plan = capsys.readouterr().out
+    assert re.search(rf"hashpartitioning\(l_partkey#\d+L?, {wanted}\), REPARTITION_BY_NUM", plan)
+    assert "Partial" not in plan and plan.count("Sort [l_partkey") == 1  # nothing is sorted before it is dealt
+
+
 def test_transitions_look_codes_up(spark):
     from spinlattice.functions import keys
     from spinlattice.operators import harmony

@@ -179,6 +179,52 @@ def test_a_table_is_made_from_rows_worked_out_once(spark, tmp_path):
     assert seen.value == 1000 and made.read().count() == 1000 and made.rows_per_file == 200 and 3 <= len(made.state().files) <= 7
 
 
+def test_a_change_works_its_rows_out_once(spark, table):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    before = table.state()
+    keys = spark.range(485, 515).select(F.col("id").alias("k"))
+    after = table.change(keys, lambda rows: rows.mapInArrow(look, rows.schema))
+    met = [f for f, g in zip(before.files, [*before.files[1:], None], strict=True) if (f[1] is None or f[1] < 515) and (g is None or g[1] > 485)]
+    assert seen.value == sum(f[2] for f in met) >= 50  # once, not once more for a sample
+    assert len(after.files) == len(before.files) and rows_of(table.read()) == rows_of(table.read(0))
+
+
+def test_a_file_that_grows_too_large_is_cut(spark, table):
+    more = spark.range(1_000_000, 1_000_900).select(F.col("id").alias("k"), F.lit("more").alias("v"))
+    before = len(table.state().files)
+    jobs.append_rows(more, table, "j", 0)
+    files = table.state().files
+    assert len(files) >= before + 6 and max(f[2] for f in files) < 400 and table.read().count() == 1900
+    assert [f[1] for f in files[1:]] == sorted(f[1] for f in files[1:])
+
+
+def test_steps_run_together_and_all_end(spark):
+    import threading
+
+    from spinlattice.shared import together
+
+    met, ended = threading.Barrier(2, timeout=60), []
+
+    def well():
+        met.wait()
+        ended.append(spark.range(10).count())
+        return ended[0]
+
+    def badly():
+        met.wait()
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        together(spark, badly, well)
+    assert ended == [10] and together(spark, lambda: 1, lambda: 2) == [1, 2]
+
+
 @pytest.mark.parametrize("kind,values", [("bigint", [-5, 0, 3, 3_000_000_000]), ("string", ["a'b", "m", "é"]), ("double", [-0.5, 1.25, 7.0])])
 def test_places_by_conditions_are_those_by_the_fold(spark, monkeypatch, kind, values):
     from spinlattice import shared
