@@ -246,3 +246,83 @@ def test_results_work_the_opinions_out_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "view", lambda spark, folder, name: asked.append(name) or view(spark, folder, name))
     files.results_stored(registry.Source(spark, "/root/testdata/sf0.001"))
     assert asked.count("v_opinions") == 1
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for name, put in (("appended", jobs.append_rows), ("merged", jobs.merge_updates)):
+        into = KeyedTable.create(spark.createDataFrame([], "k long"), str(tmp_path / name), "k")
+        before = seen.value
+        put(spark.range(100).withColumnRenamed("id", "k").mapInArrow(look, "k long"), into, "job", 0)
+        assert seen.value - before == 100 and into.read().count() == 100
+        # a repeated batch changes nothing, but its operators run, as their state must be there for the next one
+        put(spark.range(100).withColumnRenamed("id", "k").mapInArrow(look, "k long"), into, "job", 0)
+        assert seen.value - before == 200 and into.read().count() == 100
+
+
+class FakeState:
+    def __init__(self, empty):
+        self.empty, self.value = empty, empty
+
+    def exists(self):
+        return self.value != self.empty
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendValue(self, value):  # noqa: N802
+        self.value = [*self.value, value]
+
+    def clear(self):
+        self.value = self.empty
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers, self.states = [], {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, FakeState([]))
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, FakeState(None))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_a_session_waits_for_one_timer():
+    import pandas as pd
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    handle, start = FakeHandle(), 1_700_000_000_000
+    taps = jobs.Taps(600.0)
+    taps.init(handle)
+    batch = lambda seconds: [pd.DataFrame({"ts": pd.to_datetime([start + 1000 * s for s in seconds], unit="ms")})]
+    taps.handleInputRows((7,), batch(range(500, 0, -1)), Times(0))
+    assert handle.timers == [start + 1000]  # not one a tap
+    taps.handleInputRows((7,), batch([900, 0]), Times(0))
+    assert handle.timers == [start + 1000, start]  # an earlier tap needs one of its own
+    (out,) = taps.handleExpiredTimer((7,), Times(start + 100_000), None)
+    assert len(out) == 101 and out["bpm"].tolist()[1:] == [60] * 100 and handle.timers[2:] == [start + 101_000]
+    assert list(taps.handleExpiredTimer((7,), Times(start + 100_000), None)) == [] and len(handle.timers) == 3  # one that is left over does nothing
+    (out,) = taps.handleExpiredTimer((7,), Times(start + 900_000), None)
+    assert len(out) == 401 and handle.timers[3:] == [start + 1_500_001]
+    assert list(taps.handleExpiredTimer((7,), Times(start + 1_500_001), None)) == [] and not any(s.exists() for s in handle.states.values())
