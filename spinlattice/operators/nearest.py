@@ -69,13 +69,14 @@ def nearest(items: DataFrame, wanted: DataFrame, m: int, far: bool = False) -> D
     id, null where nothing is asked for or found."""
     laid = _laid(items, m)
     numbered, marks = _numbered(laid, _places(wanted, far))
-    block = F.expr(f"at div {max(BLOCK, m)}")
-    # a block's rows, and the m - 1 first ones of the next as its halo
-    halo = F.array_compact(F.array(block, F.when(c("at") % max(BLOCK, m) < m - 1, block - 1)))
-    following = Window.partitionBy("_block").orderBy("at").rowsBetween(0, m - 1)
-    runs = numbered.withColumn("_block", F.explode(halo)).withColumn("_next", F.collect_list(F.struct("lane", "cell", "id", "x")).over(following)).where(c("_block") == block)
-    found = marks.join(runs.select("at", "_next"), "at")
-    own = F.filter("_next", lambda e: (e["lane"] == c("lane")) & e["cell"].eqNullSafe(c("cell")))
+    rows = max(BLOCK, m)
+    block = F.expr(f"at div {rows}")
+    # a block's rows once, in order, and the m - 1 first ones of the next as its halo: a place takes the m from its own on
+    halo = F.array_compact(F.array(block, F.when(c("at") % rows < m - 1, block - 1)))
+    held = numbered.withColumn("_block", F.explode(halo)).groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("at", "lane", "cell", "id", "x"))).alias("_held"))
+    found = marks.withColumn("_block", block).join(held, "_block")
+    next_ = F.slice("_held", (c("at") - c("_block") * rows + 1).cast("int"), m)
+    own = F.filter(next_, lambda e: (e["lane"] == c("lane")) & e["cell"].eqNullSafe(c("cell")))
     found = found.select("lane", "cell", "s", F.transform(own, lambda e: F.struct(e["id"].alias("id"), e["x"].alias("x"))).alias("near")).where(F.size("near") > 0)
     out = wanted
     for lane, x in (("up", c("s")), ("down", -c("s"))):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql.functions import col
 
 from spinlattice.functions import keys
 from spinlattice.operators import harmony, nearest
@@ -102,3 +103,29 @@ def test_candidates_are_ranked_in_tasks_by_tracks(spark, monkeypatch):
     dealt = harmony.next_candidates(tracks, n=5)
     assert dealt.rdd.getNumPartitions() == 6  # however few bytes the rows have before they unfold
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 1500
+
+
+def test_candidates_with_used_partners_deal_a_row_a_track(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, f"{rng.randint(1, 12)}{rng.choice('AB')}", rng.choice([None, 120.0, 120.0, round(rng.uniform(80, 160), 1)])) for i in range(250)]
+    tracks = spark.createDataFrame(rows, "track_id long, key_camelot string, bpm double")
+    # near partners and far ones; track 3 has used most others, itself and one that the library lacks
+    pairs = [(i, rng.randrange(250)) for i in range(200) for _ in range(rng.choice([0, 1, 6]))] + [(3, i) for i in range(200)] + [(3, 999)]
+    used = spark.createDataFrame([*pairs, *pairs[:50]], "track_id long, other_id long")
+    light = used.where("track_id <> 3")
+    plan = harmony.next_candidates(tracks, light, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(track_id" not in plan  # candidates are not dealt by track to be ranked
+    got = []
+    for spare in (24, 2, 1000):
+        monkeypatch.setattr(harmony, "SPARE", spare, raising=False)
+        got.append(sorted(map(tuple, harmony.next_candidates(tracks, used, 5).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1250
+    score = {(r["a"], r["b"]): r["r"] for r in spark.sql("SELECT 1").crossJoin(tracks.selectExpr("key_camelot a").distinct()).crossJoin(tracks.selectExpr("key_camelot b").distinct()).select("a", "b", keys.relation(col("a"), col("b")).alias("r")).collect()}
+    base = {"same-key": 95, "neighbor": 85, "mood-shift": 80, "energy-boost": 75, "energy-drop": 70, "tension": 40, "bridge-needed": 20}
+    taken, by_hand = set(pairs), set()
+    for a in rows:
+        delta = lambda b, a=a: (b[2] - a[2]) / a[2] * 100 if a[2] and b[2] is not None else 0.0
+        points = lambda b, a=a, delta=delta: max(0, base[score[a[1], b[1]]] - (min(20, int((abs(delta(b)) - 6) * 2 + 0.5)) if abs(delta(b)) > 6 else 0))
+        best = sorted((-points(b), (a[0], b[0]) in taken, abs(delta(b)), b[0]) for b in rows if b[0] != a[0])[:5]
+        by_hand |= {(a[0], o, -s, u, k + 1) for k, (s, u, _, o) in enumerate(best)}
+    assert {(r[0], r[1], r[4], r[5], r[6]) for r in got[0]} == by_hand
